@@ -2,11 +2,66 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import DAY, idiv
 
 
+@dataclass(frozen=True)
+class Source:
+    """One right side of an as-of join: ``payload`` maps output names to its columns."""
+
+    df: DataFrame
+    time: str | Column
+    payload: dict[str, str]
+    inclusive: bool = True
+
+
+def asof_multi(
+    left: DataFrame,
+    sources: list[Source],
+    keys: list[str],
+    left_time: str | Column,
+    width: int = 7 * DAY,
+    forward: bool = False,
+    until: Column | None = None,
+) -> DataFrame:
+    """Attach, per source, the nearest row at or before (``forward``: after) the left time.
+
+    Left rows, source rows and carry rows are united and swept once per
+    ``(keys, time chunk)``. A carry row repeats the last source row of a chunk at
+    the start of each following chunk up to the next one that has its own, so no
+    join is needed and the left side is read and shuffled exactly once whatever
+    the number of sources or matches. ``until`` is the last left time; pass it
+    when the left plan is expensive, otherwise it is a scalar subquery.
+    """
+    sign = -1 if forward else 1
+    lt = F.lit(sign) * (left_time if isinstance(left_time, Column) else F.col(left_time))
+    if until is None:
+        until = left.agg(F.max(lt)).scalar()
+    else:
+        until = F.lit(sign) * until
+    last_chunk = idiv(until, width)
+    u = left.select(*keys, lt.alias("_t"), F.lit(1).alias("_kind"), F.struct("*").alias("_row")).withColumn("_chunk", idiv("_t", width))
+    for i, s in enumerate(sources):
+        st = F.lit(sign) * (s.time if isinstance(s.time, Column) else F.col(s.time))
+        pay = F.struct(st.alias("_o"), *[F.col(c).alias(o) for o, c in s.payload.items()]).alias(f"_p{i}")
+        r = s.df.select(*keys, st.alias("_t"), F.lit(0 if s.inclusive else 2).alias("_kind"), pay).withColumn("_chunk", idiv("_t", width))
+        edge = r.groupBy(*keys, "_chunk").agg(F.max(f"_p{i}").alias(f"_p{i}"))
+        nxt = F.lead("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
+        edge = edge.withColumn("_hi", F.coalesce(nxt, last_chunk)).where(F.col("_hi") > F.col("_chunk"))
+        carry = edge.select(*keys, F.explode(F.sequence(F.col("_chunk") + 1, F.col("_hi"))).alias("_chunk"), f"_p{i}")
+        carry = carry.withColumn("_t", F.col("_chunk") * F.lit(width)).withColumn("_kind", F.lit(-1))
+        u = u.unionByName(r, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
+    pcols = [f"_p{i}" for i in range(len(sources))]
+    w = (Window.partitionBy(*keys, "_chunk").orderBy("_t", "_kind", *pcols)
+         .rowsBetween(Window.unboundedPreceding, 0))
+    swept = u.select("_row", *[F.last(p, ignorenulls=True).over(w).alias(p) for p in pcols]).where(F.col("_row").isNotNull())
+    return swept.select("_row.*", *[F.col(f"_p{i}")[o].alias(o) for i, s in enumerate(sources) for o in s.payload])
+
+
 def asof(
     left: DataFrame,
     right: DataFrame,
@@ -17,30 +72,10 @@ def asof(
     width: int = 7 * DAY,
     inclusive: bool = True,
     forward: bool = False,
+    until: Column | None = None,
 ) -> DataFrame:
-    """Attach the nearest right row at or before (``forward``: after) the left time.
-
-    ``payload`` maps output names to right columns; ``inclusive`` decides whether
-    equal times match. Both sides are united and scanned once per ``(keys, chunk)``;
-    the last right row of earlier chunks is carried over, so the cost is one
-    shuffle of the union whatever the number of matches is.
-    """
-    sign = -1 if forward else 1
-    lt = left_time if isinstance(left_time, Column) else F.col(left_time)
-    pay = F.struct((F.lit(sign) * F.col(right_time)).alias("_o"), *[F.col(c).alias(o) for o, c in payload.items()])
-    r = right.select(*keys, (F.lit(sign) * F.col(right_time)).alias("_t"), F.lit(0 if inclusive else 1).alias("_kind"),
-                     pay.alias("_p"))
-    l = left.select(*keys, (F.lit(sign) * lt).alias("_t"), F.lit(1 if inclusive else 0).alias("_kind"),
-                    F.struct("*").alias("_row"))
-    u = l.unionByName(r, allowMissingColumns=True).withColumn("_chunk", idiv("_t", width))
-    w = (Window.partitionBy(*keys, "_chunk").orderBy("_t", "_kind", "_p")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    local = u.withColumn("_loc", F.last("_p", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
-    edge = u.groupBy(*keys, "_chunk").agg(F.max("_p").alias("_edge"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = edge.select(*keys, "_chunk", F.last("_edge", ignorenulls=True).over(before).alias("_car"))
-    hit = F.coalesce(F.col("_loc"), F.col("_car"))
-    return local.join(carry, [*keys, "_chunk"], "left").select("_row.*", *[hit[o].alias(o) for o in payload])
+    """As-of join with one source."""
+    return asof_multi(left, [Source(right, right_time, payload, inclusive)], keys, left_time, width, forward, until)
 
 
 def interval_join(
@@ -95,35 +130,39 @@ def event_counts(
     spans: dict[str, int | None],
     width: int = 7 * DAY,
     right_inclusive: bool = True,
+    until: Column | None = None,
 ) -> DataFrame:
     """Events in ``[cutoff - span, cutoff]`` per span (``None`` = lifetime).
 
-    Each left row becomes one probe per interval end; all probes and events are
-    scanned together once as running counts, then differenced. No row is paired
-    with an event.
+    A sweep: an event adds one when it enters (at ``e``) and takes one away when it
+    leaves a span (just after ``e + span``); a count is the running sum at the
+    cutoff. Left rows, entries and one carry row per following chunk are united
+    and swept once per ``(keys, chunk)``. No row is ever paired with an event.
     """
     cut = cutoff if isinstance(cutoff, Column) else F.col(cutoff)
-    base = left.withColumn("_cut", cut)
-    probes = [F.struct(F.lit("end").alias("name"), F.col("_cut").alias("at"), F.lit(right_inclusive).alias("incl"))]
-    for name, span in spans.items():
-        if span is not None:
-            probes.append(F.struct(F.lit(name).alias("name"), (F.col("_cut") - F.lit(span)).alias("at"), F.lit(False).alias("incl")))
-    from .scan import running
-
-    # Probes need only the key and the cutoff: equal cutoffs of a key are asked once.
-    ask = base.select(*keys, "_cut").distinct().withColumn("_pr", F.explode(F.array(*probes)))
-    q = ask.select(*keys, "_cut", F.col("_pr.name").alias("_name"), F.col("_pr.at").alias("_t"),
-                   F.when(F.col("_pr.incl"), 2).otherwise(0).alias("_kind"), F.lit(0).cast("bigint").alias("_n"))
-    e = events.groupBy(*keys, F.col(event_time).alias("_t")).agg(F.count("*").alias("_n")).withColumn("_kind", F.lit(1))
-    u = q.unionByName(e, allowMissingColumns=True)
-    cum = running(u, keys, ["_t", "_kind"], idiv("_t", width), {"_cum": ("sum", F.col("_n"))}).where(F.col("_name").isNotNull())
-    def at(n):
-        return F.max(F.when(F.col("_name") == n, F.col("_cum")))
-
-    wide = cum.groupBy(*keys, "_cut").agg(
-        *[(at("end") - (at(n) if s is not None else F.lit(0))).cast("bigint").alias(n) for n, s in spans.items()]
-    )
-    return base.join(wide, [*keys, "_cut"], "left").drop("_cut")
+    if until is None:
+        until = left.agg(F.max(cut)).scalar()
+    last_chunk = idiv(until, width)
+    names = list(spans)
+    u = left.select(*keys, cut.alias("_t"), F.lit(1).alias("_kind"), F.struct("*").alias("_row")).withColumn("_chunk", idiv("_t", width))
+
+    def entry(at, kind, deltas):
+        return F.struct(at.alias("_t"), F.lit(kind).alias("_kind"), *[F.lit(deltas.get(n, 0)).cast("bigint").alias(f"_d_{n}") for n in names])
+
+    et = F.col(event_time)
+    marks = [entry(et, 0 if right_inclusive else 2, {n: 1 for n in names})]
+    marks += [entry(et + F.lit(s), 2, {n: -1}) for n, s in spans.items() if s is not None]
+    e = events.select(*keys, F.explode(F.array(*marks)).alias("_m")).select(*keys, "_m.*").withColumn("_chunk", idiv("_t", width))
+    w = Window.partitionBy(*keys).orderBy("_chunk")
+    tot = e.groupBy(*keys, "_chunk").agg(*[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in names])
+    tot = tot.select(*keys, "_chunk", *[F.sum(f"_d_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_d_{n}") for n in names],
+                     F.coalesce(F.lead("_chunk").over(w), last_chunk).alias("_hi")).where(F.col("_hi") > F.col("_chunk"))
+    carry = tot.select(*keys, F.explode(F.sequence(F.col("_chunk") + 1, F.col("_hi"))).alias("_chunk"), *[f"_d_{n}" for n in names])
+    carry = carry.withColumn("_t", F.col("_chunk") * F.lit(width)).withColumn("_kind", F.lit(-1))
+    u = u.unionByName(e, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
+    sweep = Window.partitionBy(*keys, "_chunk").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = u.select("_row", *[F.coalesce(F.sum(f"_d_{n}").over(sweep), F.lit(0).cast("bigint")).alias(f"_c_{n}") for n in names])
+    return swept.where(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_c_{n}").alias(n) for n in names])
 
 
 def align(a: DataFrame, b: DataFrame, keys: list[str], cols_a: dict[str, str], cols_b: dict[str, str]) -> DataFrame:

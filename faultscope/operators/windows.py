@@ -1,0 +1,347 @@
+"""Sliding-window operators on the dense (entity, bin) grid.
+
+Grid windows run per entity: after binning an entity has one row per bin, so a
+window task is bounded by the length of the recording however hot the raw key
+was. Rows equal bins on the dense grid. A window of ``W`` bins with gap ``g``
+at bin ``b`` is ``[b-g-W+1, b-g]``; rows without that much history get NULL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.scalar import idiv, safe_ratio
+
+BLOCK_FROM = 32  # from this window length on, the two-block form is cheaper than a frame
+
+
+def _over(keys, bin_col="bin"):
+    return Window.partitionBy(*keys).orderBy(bin_col)
+
+
+def frame(keys, W: int, gap: int, bin_col="bin"):
+    return _over(keys, bin_col).rowsBetween(-(W + gap - 1), -gap)
+
+
+def has_history(keys, W: int, gap: int, bin_col="bin") -> Column:
+    return F.lag(bin_col, W + gap - 1).over(_over(keys, bin_col)).isNotNull()
+
+
+def sliding_moments(df: DataFrame, keys: list[str], cols: Sequence[str], W: int, gap: int = 3, bin_col: str = "bin",
+                    tag: str | None = None, mode: str = "auto",
+                    stats: Sequence[str] = ("n", "mean", "std", "max", "min")) -> DataFrame:
+    """``<col>_{n,mean,std,max,min}<tag>`` over the lagged window (population std, NULLs skipped).
+
+    ``frame`` mode evaluates Spark's sliding frame, O(W) per row. ``blocks`` mode
+    cuts the axis into blocks of ``W`` bins and merges one running suffix with one
+    running prefix per window, O(1) per row; moments merge in the stable
+    (count, mean, M2) form, so nothing cancels.
+    """
+    tag = str(W) if tag is None else tag
+    if mode == "auto":
+        mode = "blocks" if W >= BLOCK_FROM else "frame"
+    ok = has_history(keys, W, gap, bin_col)
+    if mode == "frame":
+        f = frame(keys, W, gap, bin_col)
+        out = {}
+        for c in cols:
+            for s, fn in (("n", F.count), ("mean", F.avg), ("std", F.stddev_pop), ("max", F.max), ("min", F.min)):
+                if s not in stats:
+                    continue
+                out[f"{c}_{s}{tag}"] = F.when(ok, fn(c).over(f))
+        return df.withColumns(out)
+
+    base = df.withColumn("_blk", idiv(bin_col, W))
+    fwd = Window.partitionBy(*keys, "_blk").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, 0)
+    bwd = Window.partitionBy(*keys, "_blk").orderBy(F.desc(bin_col)).rowsBetween(Window.unboundedPreceding, 0)
+
+    def part(c, w):
+        return F.struct(F.count(c).over(w).alias("n"), F.avg(c).over(w).alias("m"), F.var_pop(c).over(w).alias("v"),
+                        F.max(c).over(w).alias("x"), F.min(c).over(w).alias("i"))
+
+    base = base.withColumns({f"_p_{c}": part(c, fwd) for c in cols})
+    base = base.withColumns({f"_s_{c}": part(c, bwd) for c in cols})
+    w = _over(keys, bin_col)
+    end_aligned = F.pmod(F.col(bin_col) - gap + 1, F.lit(W)) == 0
+    base = base.withColumns(
+        {f"_p_{c}": F.lag(f"_p_{c}", gap).over(w) for c in cols}
+        | {f"_s_{c}": F.when(~end_aligned, F.lag(f"_s_{c}", W + gap - 1).over(w)) for c in cols}
+        | {"_ok": ok})
+    out = {}
+    for c in cols:
+        p, s = F.col(f"_p_{c}"), F.col(f"_s_{c}")
+        na, nb = F.coalesce(s["n"], F.lit(0)), F.coalesce(p["n"], F.lit(0))
+        ma, mb = F.coalesce(s["m"], F.lit(0.0)), F.coalesce(p["m"], F.lit(0.0))
+        n = na + nb
+        m2 = na * F.coalesce(s["v"], F.lit(0.0)) + nb * F.coalesce(p["v"], F.lit(0.0)) + (ma - mb) * (ma - mb) * na * nb / n
+        out[f"{c}_n{tag}"] = F.when(F.col("_ok"), n)
+        out[f"{c}_mean{tag}"] = F.when(F.col("_ok") & (n > 0), (na * ma + nb * mb) / n)
+        out[f"{c}_std{tag}"] = F.when(F.col("_ok") & (n > 0), F.sqrt(m2 / n))
+        out[f"{c}_max{tag}"] = F.when(F.col("_ok"), F.greatest(s["x"], p["x"]))
+        out[f"{c}_min{tag}"] = F.when(F.col("_ok"), F.least(s["i"], p["i"]))
+    drop = [x for c in cols for x in (f"_p_{c}", f"_s_{c}")] + ["_blk", "_ok"]
+    wanted = {k: v for k, v in out.items() if any(k.endswith(f"_{x}{tag}") for x in stats)}
+    return base.withColumns(wanted).drop(*drop)
+
+
+def lag_window(df: DataFrame, keys: list[str], cols: Sequence[str], W: int, gap: int = 3, bin_col: str = "bin",
+               tag: str | None = None, mode: str = "auto") -> DataFrame:
+    """Moments plus ``last`` (exactly bin ``b-gap``) and ``delta = last - mean``."""
+    t = str(W) if tag is None else tag
+    d = sliding_moments(df, keys, cols, W, gap, bin_col, tag, mode)
+    ok = has_history(keys, W, gap, bin_col)
+    d = d.withColumns({f"{c}_last{t}": F.when(ok, F.lag(c, gap).over(_over(keys, bin_col))) for c in cols})
+    return d.withColumns({f"{c}_delta{t}": F.col(f"{c}_last{t}") - F.col(f"{c}_mean{t}") for c in cols})
+
+
+def first_difference(df, keys, cols, bin_col="bin"):
+    w = _over(keys, bin_col)
+    return df.withColumns({f"{c}_diff": F.col(c) - F.lag(c).over(w) for c in cols})
+
+
+def slope_per_hour(df, keys, col, W, gap, bin_hours: float, bin_col="bin", name=None):
+    """Least squares over the valid points of the window; NULL below two points."""
+    f = frame(keys, W, gap, bin_col)
+    name = name or f"{col}_slope{W}"
+    return df.withColumn(name, F.when(has_history(keys, W, gap, bin_col), F.regr_slope(F.col(col), F.col(bin_col) * F.lit(bin_hours)).over(f)))
+
+
+def window_coverage(df, keys, col, W, gap, bin_minutes: float, bin_col="bin"):
+    """Valid bins, missing share and minutes since the last valid bin of the window."""
+    w = _over(keys, bin_col)
+    f = frame(keys, W, gap, bin_col)
+    ok = has_history(keys, W, gap, bin_col)
+    n = F.count(col).over(f)
+    last = F.max(F.when(F.col(col).isNotNull(), F.col(bin_col))).over(w.rowsBetween(Window.unboundedPreceding, -gap))
+    end = F.col(bin_col) - gap
+    lag_min = F.when(n > 0, (end - last) * bin_minutes).otherwise(F.lit(W * bin_minutes))
+    return df.withColumns({
+        f"{col}_valid{W}": F.when(ok, n), f"{col}_missing{W}": F.when(ok, 1 - n / W),
+        f"{col}_stale_min{W}": F.when(ok, lag_min.cast("double")),
+    })
+
+
+def missing_features(df, keys, cols, W, gap, bin_col="bin"):
+    """Share and maximum of missing flags per metric, their mean over metrics."""
+    f = frame(keys, W, gap, bin_col)
+    ok = has_history(keys, W, gap, bin_col)
+    miss = {c: F.when(F.col(c).isNull(), 1.0).otherwise(0.0) for c in cols}
+    d = df.withColumns({f"_mi_{c}": e for c, e in miss.items()})
+    d = d.withColumns({f"{c}_miss_mean": F.when(ok, F.avg(f"_mi_{c}").over(f)) for c in cols}
+                      | {f"{c}_miss_max": F.when(ok, F.max(f"_mi_{c}").over(f)) for c in cols})
+    total = sum((F.col(f"{c}_miss_mean") for c in cols[1:]), F.col(f"{cols[0]}_miss_mean")) / len(cols)
+    return d.withColumn("missing_mean", total).withColumn("observed_mean", 1 - F.col("missing_mean")).drop(*[f"_mi_{c}" for c in cols])
+
+
+def observability_score(df, keys, a_valid, a_expected, b_valid, b_expected, a_bins=6, b_lags=(3, 8), bin_col="bin"):
+    """Lower of two trailing coverages: log bins before ``b`` and telemetry lags."""
+    w = _over(keys, bin_col)
+    fa = w.rowsBetween(-a_bins, -1)
+    fb = w.rowsBetween(-b_lags[1], -b_lags[0])
+    ok = F.lag(bin_col, b_lags[1]).over(w).isNotNull()
+    ra = F.sum(a_valid).over(fa) / F.sum(a_expected).over(fa)
+    rb = F.sum(b_valid).over(fb) / F.sum(b_expected).over(fb)
+    return df.withColumn("observability", F.when(ok, F.least(ra, rb)))
+
+
+def unknown_future(df, keys, bad: Column, h: int, bin_col="bin", name="unknown"):
+    """The next ``h`` bins (from the current one) contain a bad bin or leave the grid.
+
+    With running counts this is one subtraction instead of a frame of ``h`` rows.
+    """
+    w = _over(keys, bin_col)
+    d = df.withColumn("_cum", F.sum(F.when(bad, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_before", F.coalesce(F.lag("_cum").over(w), F.lit(0))).withColumn("_to", F.lead("_cum", h - 1).over(w))
+    return d.withColumn(name, F.col("_to").isNull() | (F.col("_to") > F.col("_before"))).drop("_cum", "_before", "_to")
+
+
+def multi_span(df, keys, cols, spans: Sequence[int], gap: int, bin_col="bin"):
+    """Mean and std of level and first difference per span, missing filled by the span mean."""
+    w = _over(keys, bin_col)
+    d = first_difference(df, keys, cols, bin_col)
+    ok = has_history(keys, max(spans), gap, bin_col)
+    out = {}
+    for s in spans:
+        f = frame(keys, s, gap, bin_col)
+        for c in cols:
+            out[f"{c}_m{s}"] = F.when(ok, F.avg(c).over(f))
+            out[f"{c}_s{s}"] = F.when(ok, F.sqrt(F.var_pop(c).over(f) * F.count(c).over(f) / s))
+            if s > 1:
+                g = w.rowsBetween(-(s + gap - 2), -gap)
+                out[f"{c}_dm{s}"] = F.when(ok, F.avg(f"{c}_diff").over(g))
+                out[f"{c}_ds{s}"] = F.when(ok, F.sqrt(F.var_pop(f"{c}_diff").over(g) * F.count(f"{c}_diff").over(g) / (s - 1)))
+    return d.withColumns(out).drop(*[f"{c}_diff" for c in cols])
+
+
+def _median(arr: Column) -> Column:
+    s = F.array_sort(arr)
+    n = F.size(s)
+    return F.when(n > 0, (F.element_at(s, F.floor((n + 1) / 2).cast("int")) + F.element_at(s, F.floor(n / 2 + 1).cast("int"))) / 2)
+
+
+def robust_summary(df, keys, col, W, gap, bin_col="bin"):
+    """Last, mean, min, max, std, range, slope, delta stats and the MAD score of a short window."""
+    w = _over(keys, bin_col)
+    f = frame(keys, W, gap, bin_col)
+    d = df.withColumn("_d", F.col(col) - F.lag(col).over(w))
+    d = d.withColumn("_a", F.when(has_history(keys, W, gap, bin_col), F.collect_list(F.struct(F.col(col).alias("x"), F.col("_d").alias("d"))).over(f)))
+    d = d.withColumn("_v", F.filter(F.transform("_a", lambda s: s["x"]), lambda x: x.isNotNull()))
+    n = F.size("_v")
+    mean = F.when(n > 0, F.aggregate("_v", F.lit(0.0), lambda a, x: a + x) / n).otherwise(F.lit(0.0))
+    d = d.withColumn("_mean", mean).withColumn("_med", F.coalesce(_median(F.col("_v")), F.lit(0.0)))
+    d = d.withColumn("_f", F.transform("_a", lambda s: F.coalesce(s["x"], F.col("_mean"))))
+    d = d.withColumn("_dd", F.transform("_a", lambda s: F.coalesce(s["d"], F.lit(0.0))))
+    var = F.aggregate("_f", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / W
+    mad = _median(F.transform("_f", lambda x: F.abs(x - F.col("_med"))))
+    last, first = F.element_at("_f", -1), F.element_at("_f", 1)
+    return d.withColumns({
+        f"{col}_r_last": last, f"{col}_r_mean": F.when(F.col("_a").isNotNull(), F.col("_mean")),
+        f"{col}_r_min": F.array_min("_f"), f"{col}_r_max": F.array_max("_f"), f"{col}_r_std": F.sqrt(var),
+        f"{col}_r_range": F.array_max("_f") - F.array_min("_f"), f"{col}_r_slope": (last - first) / max(1, W - 1),
+        f"{col}_r_dmean": F.aggregate("_dd", F.lit(0.0), lambda a, x: a + x) / W,
+        f"{col}_r_dmax": F.array_max(F.transform("_dd", F.abs)),
+        f"{col}_r_score": (last - F.col("_med")) / F.greatest(1.4826 * mad, F.lit(1e-3)),
+        f"{col}_r_missing": F.when(F.col("_a").isNotNull(), 1 - n / W),
+    }).drop("_d", "_a", "_v", "_mean", "_med", "_f", "_dd")
+
+
+def interpolated_stats(df, keys, cols: Sequence[str], spans: dict[str, int], gap: int, bin_hours: float, bin_col="bin"):
+    """Statistics of each window after linear interpolation *inside* the window, plus slope and coverage.
+
+    Between two valid points of one window the window's interpolation equals the
+    interpolation of the whole series; only the flat ends differ. So the series is
+    interpolated once and each window is a difference of running sums plus two
+    flat ends: O(1) per row for any number of spans, no array per window. Values
+    outside ``[first valid, last valid]`` of a window are never read, so nothing
+    leaks. Values are centred on the key's first value before squaring.
+    """
+    w = _over(keys, bin_col)
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.desc(bin_col)).rowsBetween(Window.unboundedPreceding, 0)
+    b = F.col(bin_col)
+
+    def each(fn):
+        return {k: v for c in cols for k, v in fn(c).items()}
+
+    d = df.withColumns(each(lambda c: {f"_pt_{c}": F.when(F.col(c).isNotNull(), F.struct(b.alias("b"), F.col(c).alias("x")))}))
+    d = d.withColumns(each(lambda c: {f"_nx_{c}": F.last(f"_pt_{c}", ignorenulls=True).over(down)}))
+    d = d.withColumns(each(lambda c: {f"_pv_{c}": F.last(f"_pt_{c}", ignorenulls=True).over(up),
+                                      f"_c_{c}": F.first(F.col(f"_nx_{c}")["x"]).over(up)}))
+
+    def series(c):
+        p, n = F.col(f"_pv_{c}"), F.col(f"_nx_{c}")
+        g = F.coalesce(F.col(c), p["x"] + (n["x"] - p["x"]) * (b - p["b"]) / F.when(n["b"] > p["b"], n["b"] - p["b"]))
+        return {f"_g_{c}": F.coalesce(g - F.col(f"_c_{c}"), F.lit(0.0)),
+                f"_y_{c}": F.when(F.col(c).isNotNull(), F.col(c) - F.col(f"_c_{c}")),
+                f"_v_{c}": F.when(F.col(c).isNotNull(), 1).otherwise(0).cast("bigint")}
+
+    d = d.withColumns(each(series))
+    d = d.withColumns(each(lambda c: {f"_k_{c}": F.struct(
+        b.alias("b"), F.col(f"_g_{c}").alias("g"), F.sum(f"_g_{c}").over(up).alias("g1"),
+        F.sum(F.col(f"_g_{c}") * F.col(f"_g_{c}")).over(up).alias("g2"),
+        F.sum(f"_v_{c}").over(up).alias("n"), F.sum(F.col(f"_v_{c}") * b).over(up).alias("sx"),
+        F.sum(F.col(f"_v_{c}") * b * b).over(up).alias("sxx"), F.coalesce(F.sum(f"_y_{c}").over(up), F.lit(0.0)).alias("sy"),
+        F.coalesce(F.sum(F.col(f"_y_{c}") * b).over(up), F.lit(0.0)).alias("sxy"))}))
+    d = d.withColumns(each(lambda c: {f"_m_{c}": F.when(F.col(f"_v_{c}") == 1, F.struct(F.col(f"_k_{c}.b").alias("b"), F.col(f"_k_{c}.g").alias("g"), F.col(f"_k_{c}.g1").alias("g1"), F.col(f"_k_{c}.g2").alias("g2")))}))
+    d = d.withColumns(each(lambda c: {f"_fm_{c}": F.last(f"_m_{c}", ignorenulls=True).over(down)}))
+    d = d.withColumns(each(lambda c: {f"_lm_{c}": F.last(f"_m_{c}", ignorenulls=True).over(up)}))
+    lags = {}
+    for t, W in spans.items():
+        lags[f"_ok_{t}"] = has_history(keys, W, gap, bin_col)
+        for c in cols:
+            lags |= {f"_s_{c}_{t}": F.lag(f"_fm_{c}", W + gap - 1).over(w), f"_kl_{c}_{t}": F.lag(f"_k_{c}", W + gap).over(w)}
+    for c in cols:
+        lags |= {f"_e_{c}": F.lag(f"_lm_{c}", gap).over(w), f"_kh_{c}": F.lag(f"_k_{c}", gap).over(w)}
+    d = d.withColumns(lags)
+    out = {}
+    for t, W in spans.items():
+        lo, hi = b - (W + gap - 1), b - gap
+        for c in cols:
+            e, st, ctr = F.col(f"_e_{c}"), F.col(f"_s_{c}_{t}"), F.col(f"_c_{c}")
+            full = F.col(f"_ok_{t}")
+            ok = full & e.isNotNull() & (e["b"] >= lo)
+            s1 = e["g1"] - st["g1"] + st["g"] * (st["b"] - lo + 1) + e["g"] * (hi - e["b"])
+            s2 = e["g2"] - st["g2"] + st["g"] * st["g"] * (st["b"] - lo + 1) + e["g"] * e["g"] * (hi - e["b"])
+            kh, kl = F.col(f"_kh_{c}"), F.col(f"_kl_{c}_{t}")
+            diff = {f: kh[f] - F.coalesce(kl[f], F.lit(0).cast("double" if f in ("sy", "sxy") else "bigint")) for f in ("n", "sx", "sxx", "sy", "sxy")}
+            n = diff["n"]
+            den = n * diff["sxx"] - diff["sx"] * diff["sx"]
+            slope = (n * diff["sxy"] - diff["sx"] * diff["sy"]) / den / bin_hours
+            out |= {
+                f"{c}_last_{t}": F.when(ok, e["g"] + ctr), f"{c}_mean_{t}": F.when(ok, s1 / W + ctr),
+                f"{c}_std_{t}": F.when(ok, F.sqrt(F.greatest(F.lit(0.0), s2 / W - (s1 / W) * (s1 / W)))),
+                f"{c}_delta_{t}": F.when(ok, e["g"] - st["g"]),
+                f"{c}_slope_{t}": F.when(full & (n >= 2) & (den > 0), slope),
+                f"{c}_valid_{t}": F.when(full, n.cast("double")), f"{c}_missing_{t}": F.when(full, 1 - n / W),
+                f"{c}_stale_{t}": F.when(ok, (hi - e["b"]) * bin_hours * 60).when(full, F.lit(W * bin_hours * 60.0)),
+            }
+    d = d.withColumns(out)
+    return d.select(*df.columns, *out)
+
+
+def sequences(df, keys, cols, W, gap, stride: int = 1, bin_col="bin", name="steps"):
+    """Chronological array of steps (NULL as 0), optionally every ``stride``-th step."""
+    step = F.struct(F.col(bin_col).alias("b"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
+    arr = F.when(has_history(keys, W, gap, bin_col), F.collect_list(step).over(frame(keys, W, gap, bin_col)))
+    d = df.withColumn(name, arr)
+    if stride > 1:
+        end = F.col(bin_col) - gap
+        d = d.withColumn(name, F.filter(name, lambda s: F.pmod(end - s["b"], F.lit(stride)) == 0))
+    return d
+
+
+def sequence_summary(df, keys, cols, W, gap, bin_col="bin"):
+    """Mean, std, min, max and last-first per channel with NULL as 0."""
+    d = df.withColumns({f"_z_{c}": F.coalesce(F.col(c), F.lit(0.0)) for c in cols})
+    f = frame(keys, W, gap, bin_col)
+    w = _over(keys, bin_col)
+    ok = has_history(keys, W, gap, bin_col)
+    out = {}
+    for c in cols:
+        z = f"_z_{c}"
+        out |= {f"{c}_q_mean": F.when(ok, F.avg(z).over(f)), f"{c}_q_std": F.when(ok, F.stddev_pop(z).over(f)),
+                f"{c}_q_min": F.when(ok, F.min(z).over(f)), f"{c}_q_max": F.when(ok, F.max(z).over(f)),
+                f"{c}_q_change": F.lag(z, gap).over(w) - F.lag(z, W + gap - 1).over(w)}
+    return d.withColumns(out).drop(*[f"_z_{c}" for c in cols])
+
+
+def peer_stats(df, group: list[str], slot: str, col: str, members: int = 8, policy: str = "null_aware"):
+    """Same-group context of one metric: mean, max, std, z-score and rank.
+
+    Groups are bounded by contract (``members`` slots, see ``grid_violations``).
+    ``legacy``: peer mean over a fixed ``members-1`` with NULL as 0, std over the
+    whole group. ``null_aware``: statistics of the valid peers only.
+    """
+    w = Window.partitionBy(*group)
+    x0 = F.coalesce(F.col(col), F.lit(0.0))
+    top = F.max(F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("x"), (-F.col(slot)).alias("s")))).over(w)
+    d = df.withColumns({
+        "_n": F.count(col).over(w), "_s": F.sum(col).over(w), "_ss": F.stddev_pop(col).over(w), "_top": top,
+        f"{col}_peer_rank": F.rank().over(w.orderBy(x0.desc())).cast("double"),
+    })
+    second = F.max(F.when(F.col(slot) != -F.col("_top.s"), F.col(col))).over(w)
+    d = d.withColumn("_second", second)
+    peak = F.when(F.col(slot) == -F.col("_top.s"), F.col("_second")).otherwise(F.col("_top.x"))
+    own = F.col(col)
+    if policy == "legacy":
+        mean = (F.coalesce(F.col("_s"), F.lit(0.0)) - x0) / (members - 1)
+        std = F.coalesce(F.col("_ss"), F.lit(0.0))
+        peak = F.coalesce(peak, own, F.lit(0.0))
+    else:
+        np_ = F.col("_n") - F.when(own.isNotNull(), 1).otherwise(0)
+        sp = F.coalesce(F.col("_s"), F.lit(0.0)) - x0
+        mean = F.when(np_ > 0, sp / np_).otherwise(F.lit(0.0))
+        # M2 of the group minus the own row, in the stable removal form.
+        m2 = F.col("_n") * F.col("_ss") * F.col("_ss")
+        gm = F.col("_s") / F.col("_n")
+        m2p = F.when(own.isNotNull(), m2 - (own - gm) * (own - mean)).otherwise(m2)
+        std = F.when(np_ > 1, F.sqrt(F.greatest(F.lit(0.0), m2p) / np_)).otherwise(F.lit(0.0))
+        peak = F.coalesce(peak, F.lit(0.0))
+    return d.withColumns({
+        f"{col}_peer_mean": mean, f"{col}_peer_max": peak, f"{col}_peer_std": std,
+    }).withColumns({
+        f"{col}_peer_diff": x0 - F.col(f"{col}_peer_mean"),
+        f"{col}_peer_z": safe_ratio(x0 - F.col(f"{col}_peer_mean"), F.col(f"{col}_peer_std")),
+    }).drop("_n", "_s", "_ss", "_top", "_second")

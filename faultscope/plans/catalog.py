@@ -2,6 +2,9 @@
 
 from . import (  # noqa: F401
     q_episodes,
+    q_grid,
+    q_joins,
+    q_ranking,
 )
 from .registry import PLANS
 

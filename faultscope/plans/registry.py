@@ -26,14 +26,20 @@ class Plan:
 PLANS: dict[str, Plan] = {}
 
 
+def nudge(digits: int) -> float:
+    """Added before rounding on both engines: exact half-way values then round the same way
+    whatever the last bit of the sum behind them is."""
+    return float(f"1.7e-{digits + 2}")
+
+
 def tidy(df: DataFrame, digits: int) -> DataFrame:
-    """Round doubles and turn -0.0 into 0.0; narrow integers become bigint."""
+    """Round doubles (-0.0 becomes 0.0); narrow integers become bigint."""
     out = []
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
         c = F.col(f"`{f.name}`")
         if kind == "double":
-            c = (F.round(c, digits) + F.lit(0.0)).alias(f.name)
+            c = (F.round(c + F.lit(nudge(digits)), digits) + F.lit(0.0)).alias(f.name)
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("bigint").alias(f.name)
         out.append(c)
@@ -48,7 +54,7 @@ def plan(name: str, covers: str, uses: tuple[str, ...] = (), sql: str | None = N
         if sql is not None:
             text = compose(uses, sql)
             if doubles:
-                rep = ", ".join(f"round({c}::DOUBLE, {digits}) + 0.0::DOUBLE AS {c}" for c in doubles.split())
+                rep = ", ".join(f"round({c}::DOUBLE + {nudge(digits)!r}::DOUBLE, {digits}) + 0.0::DOUBLE AS {c}" for c in doubles.split())
                 text = f"SELECT * REPLACE ({rep}) FROM ({text}) AS q"
         if name in PLANS:
             raise ValueError(f"duplicate plan {name}")
