@@ -3,7 +3,9 @@
 from . import (  # noqa: F401
     q_episodes,
     q_grid,
+    q_jobs,
     q_joins,
+    q_matching,
     q_ranking,
 )
 from .registry import PLANS

@@ -158,8 +158,8 @@ def atk_sql(score, group):
     g = "".join(f"{x}, " for x in group)
     return f"""rk AS (SELECT *, {rk(score)} FROM scores), ks AS (SELECT * FROM (VALUES (10), (20), (50)) v(k)),
 idl AS (SELECT k, p, sum(1 / log2(i + 1)) AS ideal FROM ks, (SELECT unnest(range(1, 51)) AS p), (SELECT unnest(range(1, 51)) AS i) WHERE i <= least(p, k) GROUP BY 1, 2),
-per AS (SELECT {g}bin, k, count(*) AS n, sum(label) AS pos, sum(CASE WHEN rank <= k THEN label ELSE 0 END) AS hits,
- sum(CASE WHEN rank <= k AND label = 1 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM rk, ks GROUP BY ALL),
+per AS (SELECT {g}bin, ks.k AS k, count(*) AS n, sum(label) AS pos, sum(CASE WHEN rank <= ks.k THEN label ELSE 0 END) AS hits,
+ sum(CASE WHEN rank <= ks.k AND label = 1 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM rk, ks GROUP BY ALL),
 atk AS (SELECT {g}per.k::BIGINT AS k, sum(hits)::BIGINT AS hits, sum(pos)::BIGINT AS positives, count(*) AS times, sum(hits) / greatest(sum(pos), 1)::DOUBLE AS recall,
  sum(hits) / (count(*) * per.k)::DOUBLE AS precision, sum(hits) / (count(*) * per.k)::DOUBLE / (sum(pos) / sum(n)::DOUBLE) AS lift,
  avg(CASE WHEN pos > 0 THEN hits / pos::DOUBLE END) AS macro_recall, avg(CASE WHEN pos > 0 THEN dcg / ideal END) AS ndcg
@@ -275,19 +275,19 @@ def _(c):
 
 # ---- scalar functions and fusion -------------------------------------------------
 
-SC = ("lgt sgm restored natural pareto report fused blend napp recency ratio eps dis")
+SC = ("lgt sgm restored nat pareto report fused blend napp recency ratio eps dis")
 
 
 @plan("score_functions", "F4 F5 F6 F7 F8 F9 F10 F11 F12 F16 F17 F21 F25 J17", ("scores",), f"""SELECT entity, bin, ln(p1 / (1 - p1)) AS lgt, 1 / (1 + exp(-(p1 * 4 - 2))) AS sgm,
  (p1/(1-p1) * (0.1/0.9::DOUBLE) / (0.3/0.7::DOUBLE)) / (1 + p1/(1-p1) * (0.1/0.9::DOUBLE) / (0.3/0.7::DOUBLE)) AS restored,
- 1 / (1 + exp(-(ln(p1/(1-p1)) + ln(0.1/0.9::DOUBLE)))) AS natural, least(1.0, greatest(0.05, least(0.6, pow(1.0 / (k + 1), 1.2)))) AS pareto,
+ 1 / (1 + exp(-(ln(p1/(1-p1)) + ln(0.1/0.9::DOUBLE)))) AS nat, least(1.0, greatest(0.05, least(0.6, pow(1.0 / (k + 1), 1.2)))) AS pareto,
  0.2 + 0.4 * (1.0 / (k + 1)) AS report, 0.6 * p1 + 0.4 * p2 AS fused, (ln(p1/(1-p1)) + 2 * p2) / 3 AS blend, greatest(0.0, least(1.0, (p1 - 0.3) / 0.7)) AS napp,
  exp(-ln(2) * bin / 40) AS recency, CASE WHEN abs(p2 - 0.5) > 1e-4 THEN greatest(-100.0, least(100.0, p1 / (p2 - 0.5))) ELSE 0.0 END AS ratio, p1 / (p2 + 1e-4) AS eps, 1 / log2(k + 2) AS dis FROM scores""", SC)
 def _(c):
     p1 = F.col("p1")
     return c.scores.select(
         "entity", "bin", S.logit("p1").alias("lgt"), S.expit(p1 * 4 - 2).alias("sgm"), S.restore_prior("p1", F.lit(0.1), F.lit(0.3)).alias("restored"),
-        S.natural_probability("p1", F.lit(0.1)).alias("natural"), S.pareto_weight("k", 1.2).alias("pareto"), S.report_weight("k", 0.6, 0.2).alias("report"),
+        S.natural_probability("p1", F.lit(0.1)).alias("nat"), S.pareto_weight("k", 1.2).alias("pareto"), S.report_weight("k", 0.6, 0.2).alias("report"),
         S.fuse("p1", "p2", 0.6).alias("fused"), S.inertia_blend(S.logit("p1"), "p2", 2.0).alias("blend"), S.norm_ap("p1", F.lit(0.3)).alias("napp"),
         S.recency_weight("bin", 40).alias("recency"), S.safe_ratio(p1, F.col("p2") - 0.5).alias("ratio"), S.eps_ratio("p1", "p2").alias("eps"),
         S.dcg_discount(F.col("k") + 1).alias("dis"))
@@ -386,7 +386,7 @@ def _(c):
 
 
 @plan("parameter_selection", "K6 K7 M28", ("scores",), RANKS + """, g AS (SELECT * FROM (VALUES (20, 0, 0), (30, 10, 5), (40, 20, 10), (60, 40, 15)) v(m, n, swaps)),
-x AS (SELECT origin, m, n, swaps, sum(CASE WHEN rank2 <= 20 - swaps OR (rank1 <= swaps AND rank2 <= m) THEN label ELSE 0 END) AS hits, avg(CASE WHEN rank2 <= 20 THEN p1 END) + swaps / 100.0::DOUBLE AS ndcg FROM rr, g GROUP BY ALL),
+x AS (SELECT origin, m, n, swaps, sum(CASE WHEN rank2 <= 20 - swaps OR (rank1 <= swaps AND rank2 <= m) THEN label ELSE 0 END) AS hits, avg(CASE WHEN rank2 <= 20 THEN p1 END) + any_value(swaps) / 100.0::DOUBLE AS ndcg FROM rr, g GROUP BY origin, m, n, swaps),
 b AS (SELECT origin, hits AS bh, ndcg AS bn FROM x WHERE swaps = 0),
 r AS (SELECT x.*, row_number() OVER (PARTITION BY origin ORDER BY CASE WHEN hits > bh AND ndcg >= bn THEN 0 ELSE 1 END, hits DESC, ndcg DESC, swaps, m, n) AS k FROM x JOIN b USING (origin) WHERE (hits > bh AND ndcg >= bn) OR swaps = 0)
 SELECT origin, m::BIGINT AS m, n::BIGINT AS n, swaps::BIGINT AS swaps, hits::BIGINT AS hits, ndcg FROM r WHERE k = 1""", "ndcg")
