@@ -106,7 +106,6 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, width:
     """Union of intervals per key; touching intervals (``next start <= end``) merge."""
     from .scan import running
 
-    chunk = idiv(start, width)
     d = df.select(*keys, F.col(start).alias("start"), F.col(end).alias("end")).distinct()
     chunk = idiv("start", width)
     prev = running(d, keys, ["start", "end"], chunk, {"_reach": ("max", F.col("end"))}, inclusive=False)
@@ -115,10 +114,51 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, width:
     return ids.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("members"))
 
 
-def not_in_intervals(points: DataFrame, merged: DataFrame, keys: list[str], t: str, width: int = 30 * DAY) -> DataFrame:
-    """Points outside every merged interval (both ends inclusive); as-of, no range join."""
-    hit = asof(points, merged, keys, t, "start", {"_blocked_to": "end"}, width)
-    return hit.where(F.col("_blocked_to").isNull() | (F.col("_blocked_to") < F.col(t))).drop("_blocked_to")
+def sweep(
+    left: DataFrame,
+    entries: DataFrame,
+    keys: list[str],
+    left_time: Column,
+    values: dict[str, str],
+    width: int,
+    until: Column | None = None,
+) -> DataFrame:
+    """Running ``sum`` or ``max`` of entry values at each left time.
+
+    ``entries`` holds ``keys, _t, _kind`` (0 = visible at equal times, 2 = only
+    later) and the value columns; ``values`` maps a column to ``sum`` or ``max``.
+    Left rows, entries and one carry row per following chunk are united and swept
+    once per ``(keys, chunk)``: the left side is shuffled once and never paired.
+    """
+    fn = {"sum": F.sum, "max": F.max}
+    if until is None:
+        until = left.agg(F.max(left_time)).scalar()
+    last_chunk = idiv(until, width)
+    u = left.select(*keys, left_time.alias("_t"), F.lit(1).alias("_kind"), F.struct("*").alias("_row")).withColumn("_chunk", idiv("_t", width))
+    e = entries.withColumn("_chunk", idiv("_t", width))
+    w = Window.partitionBy(*keys).orderBy("_chunk")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    tot = e.groupBy(*keys, "_chunk").agg(*[fn[k](v).alias(v) for v, k in values.items()])
+    tot = tot.select(*keys, "_chunk", *[fn[k](v).over(upto).alias(v) for v, k in values.items()],
+                     F.coalesce(F.lead("_chunk").over(w), last_chunk).alias("_hi")).where(F.col("_hi") > F.col("_chunk"))
+    carry = tot.select(*keys, F.explode(F.sequence(F.col("_chunk") + 1, F.col("_hi"))).alias("_chunk"), *values)
+    carry = carry.withColumn("_t", F.col("_chunk") * F.lit(width)).withColumn("_kind", F.lit(-1))
+    u = u.unionByName(e, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
+    order = Window.partitionBy(*keys, "_chunk").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = u.select("_row", *[fn[k](v).over(order).alias(v) for v, k in values.items()]).where(F.col("_row").isNotNull())
+    return swept.select("_row.*", *values)
+
+
+def not_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, start: str = "start", end: str = "end",
+                     width: int = 7 * DAY, until: Column | None = None) -> DataFrame:
+    """Points outside every interval (both ends inclusive).
+
+    A point is blocked exactly when the farthest end among the intervals that
+    started at or before it reaches it, so one sweep decides; intervals may overlap.
+    """
+    e = intervals.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_kind"), F.col(end).alias("_reach"))
+    d = sweep(points, e, keys, F.col(t), {"_reach": "max"}, width, until)
+    return d.where(F.col("_reach").isNull() | (F.col("_reach") < F.col(t))).drop("_reach")
 
 
 def event_counts(
@@ -134,17 +174,11 @@ def event_counts(
 ) -> DataFrame:
     """Events in ``[cutoff - span, cutoff]`` per span (``None`` = lifetime).
 
-    A sweep: an event adds one when it enters (at ``e``) and takes one away when it
-    leaves a span (just after ``e + span``); a count is the running sum at the
-    cutoff. Left rows, entries and one carry row per following chunk are united
-    and swept once per ``(keys, chunk)``. No row is ever paired with an event.
+    An event adds one when it enters (at ``e``) and takes one away when it leaves a
+    span (just after ``e + span``); a count is the running sum at the cutoff.
     """
     cut = cutoff if isinstance(cutoff, Column) else F.col(cutoff)
-    if until is None:
-        until = left.agg(F.max(cut)).scalar()
-    last_chunk = idiv(until, width)
     names = list(spans)
-    u = left.select(*keys, cut.alias("_t"), F.lit(1).alias("_kind"), F.struct("*").alias("_row")).withColumn("_chunk", idiv("_t", width))
 
     def entry(at, kind, deltas):
         return F.struct(at.alias("_t"), F.lit(kind).alias("_kind"), *[F.lit(deltas.get(n, 0)).cast("bigint").alias(f"_d_{n}") for n in names])
@@ -152,17 +186,9 @@ def event_counts(
     et = F.col(event_time)
     marks = [entry(et, 0 if right_inclusive else 2, {n: 1 for n in names})]
     marks += [entry(et + F.lit(s), 2, {n: -1}) for n, s in spans.items() if s is not None]
-    e = events.select(*keys, F.explode(F.array(*marks)).alias("_m")).select(*keys, "_m.*").withColumn("_chunk", idiv("_t", width))
-    w = Window.partitionBy(*keys).orderBy("_chunk")
-    tot = e.groupBy(*keys, "_chunk").agg(*[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in names])
-    tot = tot.select(*keys, "_chunk", *[F.sum(f"_d_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_d_{n}") for n in names],
-                     F.coalesce(F.lead("_chunk").over(w), last_chunk).alias("_hi")).where(F.col("_hi") > F.col("_chunk"))
-    carry = tot.select(*keys, F.explode(F.sequence(F.col("_chunk") + 1, F.col("_hi"))).alias("_chunk"), *[f"_d_{n}" for n in names])
-    carry = carry.withColumn("_t", F.col("_chunk") * F.lit(width)).withColumn("_kind", F.lit(-1))
-    u = u.unionByName(e, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
-    sweep = Window.partitionBy(*keys, "_chunk").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = u.select("_row", *[F.coalesce(F.sum(f"_d_{n}").over(sweep), F.lit(0).cast("bigint")).alias(f"_c_{n}") for n in names])
-    return swept.where(F.col("_row").isNotNull()).select("_row.*", *[F.col(f"_c_{n}").alias(n) for n in names])
+    e = events.select(*keys, F.explode(F.array(*marks)).alias("_m")).select(*keys, "_m.*")
+    d = sweep(left, e, keys, cut, {f"_d_{n}": "sum" for n in names}, width, until)
+    return d.select(*left.columns, *[F.coalesce(f"_d_{n}", F.lit(0).cast("bigint")).alias(n) for n in names])
 
 
 def align(a: DataFrame, b: DataFrame, keys: list[str], cols_a: dict[str, str], cols_b: dict[str, str]) -> DataFrame:

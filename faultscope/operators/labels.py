@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import DAY, HOUR, idiv
-from .joins import Source, asof, asof_multi, merge_intervals, not_in_intervals
+from .joins import Source, asof, asof_multi, not_in_intervals
 
 
 def next_event(decisions: DataFrame, onsets: DataFrame, t: str = "t", name: str = "next_onset") -> DataFrame:
@@ -64,12 +64,11 @@ def label3(positive: Column, unknown: Column) -> Column:
 def outside_gaps(decisions: DataFrame, gaps: DataFrame, horizon: int) -> DataFrame:
     """Drop decisions whose ``[t, t + horizon]`` overlaps a recording gap (``t < right`` and ``t + h > left``).
 
-    The gap list is not broadcast: equal decision times are tested once against
-    the merged gaps by an as-of scan and joined back.
+    The gap list is not broadcast: each distinct decision time is tested once by a
+    sweep over the gaps.
     """
     blocked = gaps.select((F.col("gap_start") - horizon + 1).alias("s"), (F.col("gap_end") - 1).alias("e"))
-    merged = merge_intervals(blocked, [], "s", "e", width=30 * DAY)
-    times = not_in_intervals(decisions.select("t").distinct(), merged, [], "t")
+    times = not_in_intervals(decisions.select("t").distinct(), blocked, [], "t", "s", "e", width=DAY)
     return decisions.join(times, "t", "left_semi")
 
 

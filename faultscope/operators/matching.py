@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import DAY, HOUR, activity_state, idiv
-from .joins import interval_join, merge_intervals, not_in_intervals
+from .joins import interval_join, not_in_intervals
 
 
 def curves(tel: DataFrame, points: DataFrame, keys: list[str], point_id: str, at: str, metrics: list[str], unit: int, start: int, end: int) -> DataFrame:
@@ -60,7 +60,7 @@ def control_candidates(events: DataFrame, t0: Column, t1: Column, period: int =
         (F.col("point_t") >= t0 + F.lit(margin)) & (F.col("point_t") <= t1 - F.lit(margin)))
     for key, (b, a) in (("entity", entity_block), ("grp", group_block)):
         iv = events.select(key, (F.col("start_t") - b).alias("s"), (F.col("end_t") + a).alias("e"))
-        c = not_in_intervals(c, merge_intervals(iv, [key], "s", "e"), [key], "point_t")
+        c = not_in_intervals(c, iv, [key], "point_t", "s", "e", until=t1)
     return c
 
 

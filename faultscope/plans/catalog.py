@@ -7,6 +7,8 @@ from . import (  # noqa: F401
     q_joins,
     q_matching,
     q_ranking,
+    q_sampling,
+    q_tapes,
 )
 from .registry import PLANS
 

@@ -97,7 +97,7 @@ BLOCK = f"""iv AS (SELECT entity, t - 12*{H} AS s, t + 6*{H} AS e FROM faults)""
 @plan("blocked_times_removed", "J5 A12", ("decisions", "faults"), BLOCK + """SELECT entity, bin FROM decisions d WHERE NOT EXISTS (SELECT 1 FROM iv WHERE iv.entity = d.entity AND d.t >= iv.s AND d.t <= iv.e)""")
 def _(c):
     iv = c.faults.select("entity", (F.col("t") - 12 * HR).alias("s"), (F.col("t") + 6 * HR).alias("e"))
-    return J.not_in_intervals(dec(c), J.merge_intervals(iv, ["entity"], "s", "e"), ["entity"], "t").select("entity", "bin")
+    return J.not_in_intervals(dec(c), iv, ["entity"], "t", "s", "e").select("entity", "bin")
 
 
 GAPS = "gp AS (SELECT p AS gap_start, t AS gap_end FROM (SELECT t, lag(t) OVER (ORDER BY t) AS p FROM (SELECT DISTINCT t FROM tel)) WHERE t - p > 1500000000)"
