@@ -106,6 +106,13 @@ class Canon:
             idiv("bin", DAY // self.step).alias("origin"),
         )
 
+    @cached_property
+    def tape(self) -> DataFrame:
+        """The score table written once, for plans that pass over it several times."""
+        from .session import materialize
+
+        return materialize(self.scores, "scores")
+
     @cached_property
     def jobs(self) -> DataFrame:
         """Job trace: submit = order date, start/end = first/last ship date."""

@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     q_ranking,
     q_sampling,
     q_tapes,
+    q_training,
 )
 from .registry import PLANS
 

@@ -28,7 +28,7 @@ def _(c):
 
 @plan("top_fraction", "K2", ("scores",), f"SELECT entity, bin, rank FROM (SELECT *, {rk()}, count(*) OVER (PARTITION BY bin) AS n FROM scores) WHERE rank <= greatest(1, ceil(n * 0.05::DOUBLE))")
 def _(c):
-    return R.top_fraction(c.scores, "p1", 0.05).select("entity", "bin", "rank")
+    return R.top_fraction(c.tape, "p1", 0.05).select("entity", "bin", "rank")
 
 
 @plan("rank_mean", "W19", ("scores",), f"""SELECT entity, bin, ((n - r1 + 1) / n::DOUBLE + (n - r2 + 1) / n::DOUBLE) / 2 AS rank_mean
@@ -40,13 +40,13 @@ def _(c):
 @plan("strict_intersection", "K8", ("scores",), f"""SELECT entity, bin FROM (SELECT *, {rk('p1', 'r1')}, {rk('p2', 'r2')}, count(*) OVER (PARTITION BY bin) AS n FROM scores)
  WHERE r1 <= greatest(1, ceil(n * 0.2::DOUBLE)) AND r2 <= greatest(1, ceil(n * 0.2::DOUBLE))""")
 def _(c):
-    return R.intersect_topk(c.scores, ["p1", "p2"], 0.2).select("entity", "bin")
+    return R.intersect_topk(c.tape, ["p1", "p2"], 0.2).select("entity", "bin")
 
 
 @plan("topk_overlap", "U4 E18", ("scores",), f"""a AS (SELECT entity, bin, {rk('p1', 'r1')}, {rk('p2', 'r2')} FROM scores)
 SELECT bin, count(*) AS overlap, count(*) FILTER (WHERE r1 = r2) AS same_position FROM a WHERE r1 <= 20 AND r2 <= 20 GROUP BY 1""")
 def _(c):
-    return R.topk_overlap(R.topk(c.scores, "p1", 20), R.topk(c.scores, "p2", 20))
+    return R.topk_overlap(R.topk(c.tape, "p1", 20), R.topk(c.tape, "p2", 20))
 
 
 CHURN = f"""tp AS (SELECT entity, bin FROM (SELECT *, {rk()} FROM scores) WHERE rank <= 20)
@@ -56,7 +56,7 @@ CHURN = f"""tp AS (SELECT entity, bin FROM (SELECT *, {rk()} FROM scores) WHERE
 @plan("topk_churn", "W23 E14", ("scores",), CHURN + """SELECT bin, count(*) AS members, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM tp p WHERE p.entity = tp.entity AND p.bin = tp.bin - 1)) AS entered
  FROM tp WHERE bin - 1 IN (SELECT bin FROM tp) GROUP BY 1""")
 def _(c):
-    return R.topk_churn(R.topk(c.scores, "p1", 20), 1)
+    return R.topk_churn(R.topk(c.tape, "p1", 20), 1)
 
 
 @plan("churn_summary", "E14", ("scores",), CHURN + """, c AS (SELECT bin, count(*) AS members, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM tp p WHERE p.entity = tp.entity AND p.bin = tp.bin - 1)) AS entered
@@ -64,7 +64,7 @@ def _(c):
 SELECT sum(entered)::BIGINT AS entries, count(*) AS transitions, sum(entered) / (count(*) * 6.0::DOUBLE) AS churn_per_hour, sum(entered) / sum(members)::DOUBLE AS turnover,
  (SELECT count(DISTINCT entity) FROM tp) AS unique_selected FROM c""", "churn_per_hour turnover")
 def _(c):
-    top = R.topk(c.scores, "p1", 20)
+    top = R.topk(c.tape, "p1", 20)
     per = R.topk_churn(top, 1)
     uniq = top.agg(F.count_distinct("entity"))
     return per.agg(F.sum("entered").alias("entries"), F.count("*").alias("transitions"),
@@ -76,7 +76,7 @@ RANKS = f"rr AS (SELECT *, {rk('p1', 'rank1')}, {rk('p2', 'rank2')} FROM scores)
 
 
 def ranks(c):
-    return R.risk_rank(R.risk_rank(c.scores, "p1", name="rank1"), "p2", name="rank2")
+    return R.risk_rank(R.risk_rank(c.tape, "p1", name="rank1"), "p2", name="rank2")
 
 
 @plan("candidate_union", "J21", ("scores",), RANKS + " SELECT bin, count(*) AS candidates, sum(label)::BIGINT AS positives FROM rr WHERE rank2 <= 30 OR rank1 <= 10 GROUP BY 1")
@@ -120,25 +120,25 @@ q AS (SELECT {sel}sum(n)::BIGINT AS rows, sum(pos)::BIGINT AS positives, CASE WH
 
 @plan("ap_auc_pooled", "E1 E2", ("scores",), ap_sql([]) + "SELECT * FROM q", "ap auc")
 def _(c):
-    return M.ranking_quality(c.scores, [], "p1", "label")
+    return M.ranking_quality(c.tape, [], "p1", "label")
 
 
 @plan("ap_auc_by_origin", "E1 E2 E9", ("scores",), ap_sql(["origin"], "p2") + "SELECT * FROM q", "ap auc")
 def _(c):
-    return M.ranking_quality(c.scores, ["origin"], "p2", "label")
+    return M.ranking_quality(c.tape, ["origin"], "p2", "label")
 
 
 @plan("origin_macro", "E9 A38", ("scores",), ap_sql(["origin"]) + """SELECT count(*) AS origins, avg(ap) AS mean_ap, stddev_pop(ap) AS std_ap, min(ap) AS min_ap, max(ap) AS max_ap,
  avg(ap / (positives / rows::DOUBLE)) AS mean_ap_ratio FROM q WHERE positives > 0""", "mean_ap std_ap min_ap max_ap mean_ap_ratio")
 def _(c):
-    q = M.ranking_quality(c.scores, ["origin"], "p1", "label").where(F.col("positives") > 0)
+    q = M.ranking_quality(c.tape, ["origin"], "p1", "label").where(F.col("positives") > 0)
     return q.agg(F.count("*").alias("origins"), F.avg("ap").alias("mean_ap"), F.stddev_pop("ap").alias("std_ap"), F.min("ap").alias("min_ap"),
                  F.max("ap").alias("max_ap"), F.avg(F.col("ap") / (F.col("positives") / F.col("rows"))).alias("mean_ap_ratio"))
 
 
 @plan("mean_time_ap", "E26", ("scores",), ap_sql(["origin", "bin"]) + "SELECT origin, avg(ap) AS mean_ap, avg(positives / rows::DOUBLE) AS mean_prevalence FROM q GROUP BY 1", "mean_ap mean_prevalence")
 def _(c):
-    return M.mean_time_ap(c.scores, ["bin"], ["origin"], "p1", "label")
+    return M.mean_time_ap(c.tape, ["bin"], ["origin"], "p1", "label")
 
 
 @plan("prob_losses", "E3", ("scores",), """c AS (SELECT *, greatest(1e-6, least(1 - 1e-6, p1)) AS q FROM scores)
@@ -191,7 +191,7 @@ def _(c):
 @plan("best_f1", "E11", ("scores",), ap_sql(["origin"]) + """, t AS (SELECT origin, sum(pos) AS p FROM hist GROUP BY 1), f AS (SELECT origin, s, 2 * tp / (seen + p)::DOUBLE AS f1 FROM cum JOIN t USING (origin))
 SELECT origin, s AS threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY f1 DESC, s DESC) AS r FROM f) WHERE r = 1""", "threshold f1")
 def _(c):
-    return M.best_f1(c.scores, ["origin"], "p1", "label")
+    return M.best_f1(c.tape, ["origin"], "p1", "label")
 
 
 @plan("at_threshold", "E11", ("scores",), """SELECT origin, count(*) FILTER (WHERE p1 >= 0.8 AND label = 1) AS tp, count(*) FILTER (WHERE p1 >= 0.8) AS alerts, count(*) FILTER (WHERE label = 1) AS pos,
@@ -244,12 +244,12 @@ def _(c):
 
 @plan("split_metrics", "E16", ("scores",), "sx AS (SELECT *, unnest([CASE WHEN bin < 80 THEN 'development' ELSE 'terminal' END, 'full']) AS split FROM scores), " + ap_sql(["split"], "p1", "sx") + "SELECT * FROM q", "ap auc")
 def _(c):
-    return M.ranking_quality(M.split_rows(c.scores, 80), ["split"], "p1", "label")
+    return M.ranking_quality(M.split_rows(c.tape, 80), ["split"], "p1", "label")
 
 
 @plan("model_metrics", "E28 E25", ("scores",), "sx AS (UNPIVOT (SELECT origin, label, p1, p2 FROM scores) ON p1, p2 INTO NAME model VALUE score), " + ap_sql(["model", "origin"], "score", "sx") + "SELECT * FROM q", "ap auc")
 def _(c):
-    long = M.unpivot_models(c.scores, ["entity", "origin", "label"], ["p1", "p2"])
+    long = M.unpivot_models(c.tape, ["entity", "origin", "label"], ["p1", "p2"])
     return M.ranking_quality(long, ["model", "origin"], "score", "label")
 
 
@@ -257,7 +257,7 @@ def _(c):
 SELECT 'p2' AS model, avg(ap) AS mean, avg(d) AS mean_delta, median(d) AS median_delta, count(*) FILTER (WHERE d > 1e-12) AS wins, count(*) FILTER (WHERE abs(d) <= 1e-12) AS ties,
  count(*) FILTER (WHERE d < -1e-12) AS losses, min(d) AS worst_delta FROM j""", "mean mean_delta median_delta worst_delta")
 def _(c):
-    long = M.unpivot_models(c.scores, ["entity", "origin", "label"], ["p1", "p2"])
+    long = M.unpivot_models(c.tape, ["entity", "origin", "label"], ["p1", "p2"])
     return M.compare_summary(M.ranking_quality(long, ["model", "origin"], "score", "label"), "p1", ["origin"], "ap")
 
 
@@ -269,7 +269,7 @@ def _(c):
 
 @plan("cohort_compare", "E20 P25", ("scores",), "sx AS (SELECT *, CASE WHEN k = 0 THEN 'clean' ELSE 'repeat' END AS cohort FROM scores), " + ap_sql(["cohort"], "p1", "sx") + "SELECT * FROM q", "ap auc")
 def _(c):
-    d = c.scores.withColumn("cohort", F.when(F.col("k") == 0, "clean").otherwise("repeat"))
+    d = c.tape.withColumn("cohort", F.when(F.col("k") == 0, "clean").otherwise("repeat"))
     return M.ranking_quality(d, ["cohort"], "p1", "label")
 
 
@@ -332,7 +332,7 @@ def _(c):
       + ap_sql(["alpha"], "round(f, 9)", "sx") + "SELECT * FROM q", "alpha ap auc")
 def _(c):
     g = F.explode(F.array(*[F.lit(a) for a in (0.5, 1.0, 2.0)]))
-    d = U.weighted_fusion(c.scores.withColumn("alpha", g), F.col("alpha")).withColumn("f", F.round("fused", 9))
+    d = U.weighted_fusion(c.tape.withColumn("alpha", g), F.col("alpha")).withColumn("f", F.round("fused", 9))
     return M.ranking_quality(d, ["alpha"], "f", "label")
 
 
@@ -345,13 +345,13 @@ e AS (SELECT entity, bin, t, r, z, CAST(NULL AS DOUBLE) AS mem, z AS state FROM
 
 @plan("ema_memory", "W20 W21", ("scores",), ema_sql(12) + "SELECT entity, bin, mem AS memory FROM e", "memory")
 def _(c):
-    d = c.scores.withColumn("z", S.logit("p1"))
+    d = c.tape.withColumn("z", S.logit("p1"))
     return U.ema_memory(d, ["entity"], "t", "z", 12.0, chunk_half_lives=12).select("entity", "bin", "memory")
 
 
 @plan("inertia_scores", "W20 F12", ("scores",), ema_sql(2) + "SELECT entity, bin, 1 / (1 + exp(-CASE WHEN mem IS NULL THEN z ELSE (z + 1.0 * mem) / 2.0 END)) AS q FROM e", "q")
 def _(c):
-    return U.inertia(c.scores, "t", "p1", 2.0, 1.0).select("entity", "bin", "q")
+    return U.inertia(c.tape, "t", "p1", 2.0, 1.0).select("entity", "bin", "q")
 
 
 @plan("inertia_with_reset", "W21", ("scores",), f"""z AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t) AS r FROM (SELECT entity, bin, t, ln(p1 / (1 - p1)) AS z FROM scores WHERE (bin // 7) % 4 <> 1)),
@@ -371,7 +371,7 @@ e2 AS (SELECT entity, bin, t, r, z, CAST(NULL AS DOUBLE) AS mem, z AS state FROM
  UNION ALL SELECT y.entity, y.bin, y.t, y.r, y.z, e2.state, pow(2.0, -(y.t - e2.t) / (6 * {H}.0)) * e2.state + (1 - pow(2.0, -(y.t - e2.t) / (6 * {H}.0))) * y.z FROM e2 JOIN y ON y.entity = e2.entity AND y.r = e2.r + 1)
 SELECT e.entity, e.bin, e.mem / 6 AS m1, e2.mem / 6 AS m2, (e.z / 6) * (e2.z / 6) AS b12, (e.z / 6) * (e.mem / 6) AS z1m1 FROM e JOIN e2 USING (entity, bin)""", "m1 m2 b12 z1m1")
 def _(c):
-    d = c.scores.select("entity", "bin", "t", "p1", "p2", S.logit("p1").alias("z1"), S.logit("p2").alias("z2"))
+    d = c.tape.select("entity", "bin", "t", "p1", "p2", S.logit("p1").alias("z1"), S.logit("p2").alias("z2"))
     d = U.ema_memory(d, ["entity"], "t", "z1", 2.0, name="mem1")
     d = U.ema_memory(d, ["entity"], "t", "z2", 6.0, name="mem2")
     b = S.residual_basis("p1", "p2", "mem1", "mem2")

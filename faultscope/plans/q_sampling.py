@@ -22,7 +22,7 @@ smp AS (SELECT entity, bin, origin, label, p1, p2 FROM ps WHERE label = 1 UNION
 
 
 def sample(c):
-    return S.sample_negatives(c.scores, ["origin"], "label", 1.5, 60, ["entity", "bin"], 11)
+    return S.sample_negatives(c.tape, ["origin"], "label", 1.5, 60, ["entity", "bin"], 11)
 
 
 @plan("negative_sampling", "L7", ("scores",), SN + "SELECT entity, bin, origin, label FROM smp")
@@ -38,7 +38,7 @@ def _(c):
 @plan("validation_subset", "L10", ("scores",), f"""ng AS (SELECT *, row_number() OVER (ORDER BY {hsh(5)}, entity, bin) AS r FROM scores WHERE label = 0)
 SELECT entity, bin, label FROM scores WHERE label = 1 UNION ALL SELECT entity, bin, label FROM ng WHERE r <= greatest(0, 9000 - (SELECT sum(label) FROM scores))""")
 def _(c):
-    return S.validation_subset(c.scores, "label", 9000, ["entity", "bin"], 5).select("entity", "bin", "label")
+    return S.validation_subset(c.tape, "label", 9000, ["entity", "bin"], 5).select("entity", "bin", "label")
 
 
 @plan("time_sampling", "L11", ("decisions",), f"SELECT t FROM (SELECT t, row_number() OVER (ORDER BY {mix_hash_sql(3, 't')}, t) AS r FROM (SELECT DISTINCT t FROM decisions)) WHERE r <= 40")
@@ -49,7 +49,7 @@ def _(c):
 @plan("multi_head_sampling", "L12 L4", ("scores",), f"""hd AS (SELECT *, label AS l1, (label = 1 AND bin % 2 = 0)::BIGINT AS l2 FROM scores), ng AS (SELECT *, row_number() OVER (ORDER BY {hsh(9)}, entity, bin) AS r FROM hd WHERE greatest(l1, l2) = 0)
 SELECT entity, bin, l1, l2 FROM hd WHERE greatest(l1, l2) = 1 UNION ALL SELECT entity, bin, l1, l2 FROM ng WHERE r <= least(5000, floor((SELECT sum(greatest(l1, l2)) FROM hd) * 0.5))""")
 def _(c):
-    d = c.scores.withColumns({"l1": F.col("label"), "l2": F.when(F.col("bin") % 2 == 0, F.col("label")).otherwise(0).cast("bigint")})
+    d = c.tape.withColumns({"l1": F.col("label"), "l2": F.when(F.col("bin") % 2 == 0, F.col("label")).otherwise(0).cast("bigint")})
     return S.sample_multi(d, ["l1", "l2"], 0.5, 5000, ["entity", "bin"], 9).select("entity", "bin", "l1", "l2")
 
 
@@ -64,19 +64,19 @@ def _(c):
 @plan("class_weights", "F18 F17", ("scores",), """a AS (SELECT sum(label) AS p, count(*) AS n, avg(exp(-ln(2) * (119 - bin) / 4.0 / 7)) AS m FROM scores)
 SELECT entity, bin, CASE WHEN label = 1 THEN n / (2.0 * p) ELSE n / (2.0 * (n - p)) END AS weight, exp(-ln(2) * (119 - bin) / 4.0 / 7) / m AS recency FROM scores, a""", "weight recency")
 def _(c):
-    d = S.class_weight(c.scores, "label").withColumn("age", (119 - F.col("bin")) / 4.0)
+    d = S.class_weight(c.tape, "label").withColumn("age", (119 - F.col("bin")) / 4.0)
     m = d.agg(F.avg(recency_weight("age", 7.0)))
     return d.select("entity", "bin", "weight", (recency_weight("age", 7.0) / m.scalar()).alias("recency"))
 
 
 @plan("case_control_weights", "F18 L7", ("scores",), SN + "SELECT entity, bin, CASE WHEN label = 1 THEN 1.0 ELSE (SELECT count(*) FROM scores WHERE label = 0) / (SELECT count(*) FROM smp WHERE label = 0)::DOUBLE END AS weight FROM smp", "weight")
 def _(c):
-    return S.case_control_weight(sample(c), c.scores, "label").select("entity", "bin", "weight")
+    return S.case_control_weight(sample(c), c.tape, "label").select("entity", "bin", "weight")
 
 
 @plan("priors", "A43", ("scores",), SN + "SELECT origin, (SELECT avg(s.label) FROM scores s WHERE s.origin = smp.origin) AS true_prior, avg(label) AS sample_prior, count(*) AS samples FROM smp GROUP BY origin", "true_prior sample_prior")
 def _(c):
-    return S.priors(c.scores, sample(c), ["origin"])
+    return S.priors(c.tape, sample(c), ["origin"])
 
 
 @plan("standardize", "F19 F20", ("grid",), """a AS (SELECT avg(util_mean) AS mu, stddev_pop(util_mean) AS su, avg(temp_mean) AS mt, stddev_pop(temp_mean) AS st, quantile_cont(temp_mean, 0.5) AS qt FROM grid WHERE bin < 80)
@@ -100,7 +100,7 @@ bl AS (SELECT origin, greatest(0.0, least(1.0, (ap - prev) / greatest(1 - prev,
 def blocks(c):
     from ..functions.scalar import norm_ap
     from ..session import materialize
-    long = M.unpivot_models(c.scores, ["entity", "origin", "label"], ["p1", "p2"])
+    long = M.unpivot_models(c.tape, ["entity", "origin", "label"], ["p1", "p2"])
     q = M.ranking_quality(long, ["model", "origin"], "score", "label")
     w = q.groupBy("origin").agg(F.max(F.when(F.col("model") == "p1", F.col("ap"))).alias("ap"), F.max(F.when(F.col("model") == "p2", F.col("ap"))).alias("ap2"),
                                 F.max(F.col("positives") / F.col("rows")).alias("prev"))
@@ -165,7 +165,7 @@ def _(c):
 def _(c):
     """Validation AP of nine (train, observe) combinations per origin, then hold or re-search."""
     combos = F.explode(F.array(*[F.struct(F.lit(d).cast("bigint").alias("days"), F.lit(h).cast("bigint").alias("hours")) for d in (7, 14, 21) for h in (1, 6, 24)]))
-    s = c.scores.withColumn("g", combos).select("origin", "label", "p1", "p2", "g.*")
+    s = c.tape.withColumn("g", combos).select("origin", "label", "p1", "p2", "g.*")
     mix = F.round(F.col("p1") * F.col("hours") / 31 + F.col("p2") * F.col("days") / 31, 9)
     q = M.ranking_quality(s.withColumn("s", mix), ["origin", "days", "hours"], "s", "label")
     cyc = q.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("days", "hours", "ap"))).alias("scores"))

@@ -129,7 +129,7 @@ p AS (SELECT bin, count(*) AS n, count(*) FILTER (WHERE (entity * 7 + bin) % 301
 SELECT 'full_population' AS "check", 'FAIL' AS status, count(*) FILTER (WHERE n <> (SELECT count(DISTINCT entity) FROM scores)) AS violations FROM p UNION ALL SELECT 'contiguous_cadence', 'FAIL', 1
 UNION ALL SELECT 'score_in_unit_interval', CASE WHEN sum(bs) > 0 THEN 'FAIL' ELSE 'PASS' END, sum(bs)::BIGINT FROM p UNION ALL SELECT 'rank_is_permutation', 'FAIL', count(*) FILTER (WHERE dupr > 0) FROM p UNION ALL SELECT 'top_flag', 'PASS', 0 UNION ALL SELECT 'cutoff_offset', 'PASS', 0""")
 def _(c):
-    s = R.risk_rank(c.scores.where(~((F.col("entity") == 3) & (F.col("bin") % 20 == 0))), "p1").where(F.col("bin") != 50)
+    s = R.risk_rank(c.tape.where(~((F.col("entity") == 3) & (F.col("bin") % 20 == 0))), "p1").where(F.col("bin") != 50)
     tape = s.select("entity", "t", F.when((F.col("entity") * 7 + F.col("bin")) % 301 == 0, F.lit(1.5)).otherwise(F.col("p1")).alias("score"),
                     F.when((F.col("bin") % 13 == 0) & (F.col("rank") == 3), 2).otherwise(F.col("rank")).alias("rank"),
                     (F.when((F.col("bin") % 13 == 0) & (F.col("rank") == 3), 2).otherwise(F.col("rank")) <= 20).alias("in_top"),
@@ -139,7 +139,7 @@ def _(c):
 
 @plan("prediction_parity", "S22", ("scores",), "SELECT count(*) AS rows, count(*) FILTER (WHERE bin = 7) AS unmatched, 0.5::DOUBLE AS max_diff, count(*) FILTER (WHERE bin % 11 = 0) AS beyond_tolerance FROM scores", "max_diff")
 def _(c):
-    s = c.scores
+    s = c.tape
     other = s.where(F.col("bin") != 7).select("entity", "bin", (F.col("p1") + F.when(F.col("bin") % 11 == 0, 0.5).otherwise(0.0)).alias("p1"))
     return A.prediction_parity(s, other, ["entity", "bin"], "p1", 1e-6)
 
@@ -154,8 +154,8 @@ def _(c):
 
 @plan("reaggregate_check", "E22", ("scores",), "SELECT origin, origin % 5 = 0 AS violation FROM scores GROUP BY 1")
 def _(c):
-    p = c.scores.groupBy("origin", "bin").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    s = c.scores.groupBy("origin").agg((F.sum("label") + F.when(F.col("origin") % 5 == 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
+    p = c.tape.groupBy("origin", "bin").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
+    s = c.tape.groupBy("origin").agg((F.sum("label") + F.when(F.col("origin") % 5 == 0, 1).otherwise(0)).alias("pos"), F.count("*").alias("n"))
     return A.reaggregate_check(p, s, ["origin"], ["pos", "n"])
 
 
@@ -243,13 +243,13 @@ def _(c):
     return d.groupBy("node", bin_index(F.unix_micros("ts"), T0, HOUR).alias("hr")).agg(F.avg("power").alias("power"), F.count("*").alias("rows"))
 
 
-@plan("malformed_rows", "S8", ("tel",), "SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 50 = 0) AS malformed FROM tel")
+@plan("malformed_rows", "S8", ("tel",), "SELECT count(*) AS rows, count(*) FILTER (WHERE event_id % 50 = 0) AS malformed, count(*) AS parsed_entity, count(*) AS parsed_t, count(*) AS parsed_x FROM tel")
 def _(c):
     path = scratch_path(c.spark, "lines")
     line = F.concat_ws(",", F.col("entity").cast("string"), F.col("t").cast("string"), F.when(F.col("event_id") % 50 == 0, "1,2,3").otherwise("1"))
     c.telemetry.select(line).write.text(path)
     schema = T.StructType([T.StructField("entity", T.LongType()), T.StructField("t", T.LongType()), T.StructField("x", T.LongType())])
-    return readers.malformed_rows(readers.read_with_corrupt(c.spark, path, schema, header=False)).select("rows", "malformed")
+    return readers.malformed_rows(readers.read_with_corrupt(c.spark, path, schema, header=False))
 
 
 @plan("tape_roundtrip", "S16 U1", ("scores",), "SELECT origin, count(*) AS rows, sum(label)::BIGINT AS positives FROM scores GROUP BY 1")
@@ -275,7 +275,7 @@ def _(c):
 
 @plan("resume_partitions", "T12 M12", ("scores",), "SELECT DISTINCT origin FROM scores WHERE origin >= 10")
 def _(c):
-    s = c.scores
+    s = c.tape
     path = writers.write_tape(s.where(F.col("origin") < 10), scratch_path(c.spark, "resume"), "origin")
     return writers.missing_partitions(c.spark, path, "origin", s)
 
