@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     q_matching,
     q_ranking,
     q_sampling,
+    q_streaming,
     q_tapes,
     q_training,
 )
