@@ -13,7 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions.scalar import DAY, HOUR, idiv, mix_hash
+from .functions.scalar import DAY, HOUR, bin_index, idiv, mix_hash
 from .operators import grid as G
 from .session import use_utc
 
@@ -79,7 +79,9 @@ class Canon:
     @cached_property
     def grid(self) -> DataFrame:
         """Dense (entity, bin) grid; unobserved cells are NULL with count 0."""
-        dense = G.densify(self.binned, ["entity", "grp", "slot"], "bin")
+        t = self.telemetry.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+        span = t.select(F.struct(bin_index("lo", T0, self.step).alias("lo"), bin_index("hi", T0, self.step).alias("hi"))).scalar()
+        dense = G.densify(self.binned, ["entity"], ["grp", "slot"], span["lo"], span["hi"])
         return G.fill_counts(dense, METRICS)
 
     @cached_property

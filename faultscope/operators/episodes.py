@@ -74,14 +74,34 @@ def node_incidents(onsets: DataFrame, gap: int, width: int = DAY) -> DataFrame:
     )
 
 
+def gap_table(times: DataFrame, t: str, step: int, width: int = DAY) -> DataFrame:
+    """Recording gaps longer than ``step``, one row per time chunk: ``chunk, gaps, before``.
+
+    Rows collapse map-side to the first and last time per ``step``-wide bucket (two
+    times of one bucket are never a gap apart), buckets to one ordered array per
+    chunk of ``width``, and chunks are compared in order. The arrays are bounded by
+    ``width / step`` and the table by the number of chunks, whatever the row count.
+    ``before`` counts the gaps of earlier chunks; a gap belongs to the chunk of its end.
+    """
+    per = max(1, width // step)
+    b = times.groupBy(idiv(t, step).alias("_b")).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
+    c = b.groupBy(idiv("_b", per).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("a"))
+    w = Window.orderBy("chunk")
+    c = c.withColumn("_p", F.lag(F.element_at("a", -1)).over(w))
+    c = c.withColumn("a", F.when(F.col("_p").isNotNull(), F.concat(F.array("_p"), "a")).otherwise(F.col("a")))
+    # Neighbours in the ordered array; the first chunk has no predecessor.
+    pairs = F.transform(F.sequence(F.lit(2), F.greatest(F.size("a"), F.lit(2))), lambda i: F.struct(
+        F.try_element_at("a", i - 1)["hi"].alias("gap_start"), F.try_element_at("a", i)["lo"].alias("gap_end")))
+    gaps = F.filter(pairs, lambda g: F.coalesce(g["gap_end"] - g["gap_start"] > step, F.lit(False)))
+    c = c.select("chunk", gaps.alias("gaps"))
+    n = F.size("gaps").cast("bigint")
+    return c.select("chunk", "gaps", F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+
+
 def recording_gaps(times: DataFrame, t: str, step: int, width: int = DAY) -> DataFrame:
     """Intervals where consecutive distinct times are more than ``step`` apart."""
-    d = times.select(t).distinct()
-    d = with_neighbour(d, [], [t], idiv(t, width), {"gap_start": t})
-    return d.where(F.col(t) - F.col("gap_start") > step).select(
-        "gap_start", F.col(t).alias("gap_end"),
-        (idiv(F.col(t) - F.col("gap_start"), step) - 1).alias("missing_rows"),
-    )
+    g = gap_table(times, t, step, width).select(F.explode("gaps").alias("g")).select("g.*")
+    return g.withColumn("missing_rows", idiv(F.col("gap_end") - F.col("gap_start"), step) - 1)
 
 
 def episode_ledger(log: DataFrame, gap: int, recording_gap: int | None = None, width: int = DAY) -> DataFrame:
@@ -92,31 +112,49 @@ def episode_ledger(log: DataFrame, gap: int, recording_gap: int | None = None, w
     than ``gap``. Zero closes; unobserved rows neither close nor extend. A hole in
     the global recording longer than ``recording_gap`` closes everything.
     ``uncertain_onset``: the row just before the start was unobserved or missing.
+
+    One two-level scan: rows see the previous and next observed row inside their
+    ``(entity, chunk)``; what crosses a chunk border is settled on one summary row
+    per chunk and joined back.
     """
-    recording_gap = gap if recording_gap is None else recording_gap
-    chunk = idiv("t", width)
-    rows = log.select("entity", "t", F.coalesce(valid_code("code"), F.lit(-1)).alias("c"))
-    # The stretch of unbroken recording each time belongs to, from the distinct times alone.
-    stretch = sessionize(log.select("t").distinct(), [], "t", recording_gap, HOUR, "stretch").select("t", "stretch")
-    rows = rows.join(stretch, "t")
-    rows = scan(rows, ["entity"], ["t"], chunk, lag={"_any_c": "c"})
-    last_stretch = stretch.agg(F.max("stretch").alias("m"))
+    rg = gap if recording_gap is None else recording_gap
+    per = max(1, width // rg)
+    holes = gap_table(log, "t", rg, width)
+    rows = log.select("entity", "t", F.coalesce(valid_code("code"), F.lit(-1)).alias("c"), idiv(idiv("t", rg), per).alias("_hc"))
+    # One small row per time chunk; Spark broadcasts it when its measured size allows, else it shuffles.
+    rows = rows.join(holes.withColumnRenamed("chunk", "_hc"), "_hc", "left")
+    nth = F.coalesce("before", F.lit(0)) + F.size(F.filter(F.coalesce("gaps", F.array()), lambda g: g["gap_end"] <= F.col("t")))
+    rows = rows.select("entity", "t", "c", nth.cast("bigint").alias("s"), idiv("t", width).alias("_chunk"))
 
     def starts(p, c):
-        return (c["c"] > 0) & ((p["c"] != c["c"]) | (c["t"] - p["t"] > gap) | (p["stretch"] != c["stretch"]))
-
-    obs = segments(rows.where(F.col("c") >= 0), ["entity"], ["t"], chunk, starts, "_ep",
-                   lead={"_nt": "t", "_nc": "c", "_ns": "stretch"})
-    ep = obs.where(F.col("c") > 0).groupBy("entity", "_ep").agg(
-        F.min("c").alias("code"), F.min("t").alias("onset_t"), F.max("t").alias("end_t"), F.max("stretch").alias("_s"),
-        F.min_by("_any_c", "t").alias("_before"),
-        F.max_by(F.struct("_nt", "_nc", "_ns"), "t").alias("z"),
-    )
+        return (p["c"] != c["c"]) | (c["t"] - p["t"] > gap) | (p["s"] != c["s"])
+
+    key = ["entity", "_chunk"]
+    asc, desc = Window.partitionBy(*key).orderBy("t"), Window.partitionBy(*key).orderBy(F.desc("t"))
+    rows = rows.withColumn("_cur", F.struct("t", "c", "s")).withColumn("_obs", F.when(F.col("c") >= 0, F.col("_cur")))
+    rows = rows.withColumns({"_any": F.lag("c").over(asc), "_po": F.last("_obs", ignorenulls=True).over(asc.rowsBetween(Window.unboundedPreceding, -1))})
+    new = F.when((F.col("c") > 0) & F.col("_po").isNotNull(), starts(F.col("_po"), F.col("_cur")).cast("bigint")).otherwise(0)
+    rows = rows.withColumn("_new", new).withColumn("_loc", F.sum("_new").over(asc.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = rows.groupBy(*key).agg(F.min("_obs").alias("fo"), F.max("_obs").alias("lo"), F.sum("_new").alias("n"), F.max_by("c", "t").alias("la"))
+    cw, cd = Window.partitionBy("entity").orderBy("_chunk"), Window.partitionBy("entity").orderBy(F.desc("_chunk"))
+    edges = edges.withColumns({"_cpo": F.last("lo", ignorenulls=True).over(cw.rowsBetween(Window.unboundedPreceding, -1)), "_cany": F.lag("la").over(cw)})
+    edges = edges.withColumn("_cno", F.last("fo", ignorenulls=True).over(cd.rowsBetween(Window.unboundedPreceding, -1)))
+    open_ = F.when((F.col("fo.c") > 0) & (F.col("_cpo").isNull() | starts(F.col("_cpo"), F.col("fo"))), 1).otherwise(0)
+    edges = edges.withColumn("_open", open_.cast("bigint"))
+    edges = edges.withColumn("_base", F.sum(F.col("_open") + F.col("n")).over(cw.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    local = rows.withColumn("_no", F.last("_obs", ignorenulls=True).over(desc.rowsBetween(Window.unboundedPreceding, -1))).where(F.col("c") > 0)
+    pos = local.join(edges.select(*key, "_base", "_cany", "_cno"), key)
+    pos = pos.select("entity", "t", "c", "s", (F.col("_base") + F.col("_loc")).alias("_ep"), F.coalesce("_any", "_cany").alias("_before"),
+                     F.coalesce("_no", "_cno").alias("_next"))
+    ep = pos.groupBy("entity", "_ep").agg(
+        F.min("c").alias("code"), F.min("t").alias("onset_t"), F.max("t").alias("end_t"), F.max("s").alias("_s"),
+        F.min_by("_before", "t").alias("_before"), F.max_by("_next", "t").alias("z"))
     # A recording hole also closes an episode that has no later observed row.
+    total = holes.agg(F.coalesce(F.sum(F.size("gaps")), F.lit(0)).cast("bigint"))
     reason = (
-        F.when(F.coalesce(F.col("z._ns"), last_stretch.scalar()) > F.col("_s"), "time_gap")
-        .when(F.col("z._nt").isNull(), "end_of_file")
-        .when(F.col("z._nc") == 0, "observed_zero")
+        F.when(F.coalesce(F.col("z.s"), total.scalar()) > F.col("_s"), "time_gap")
+        .when(F.col("z").isNull(), "end_of_file")
+        .when(F.col("z.c") == 0, "observed_zero")
         .otherwise("repeat_timeout_or_code_change")
     )
     return ep.select("entity", "code", "onset_t", "end_t", (F.coalesce("_before", F.lit(-1)) < 0).alias("uncertain_onset"),

@@ -24,18 +24,21 @@ def bin_std(df: DataFrame, keys: list[str], t: str, t0: int, step: int, metric:
     )
 
 
-def densify(df: DataFrame, keys: list[str], bin_col: str = "bin") -> DataFrame:
-    """Every key gets every bin of the recording; missing cells are NULL rows.
+def densify(df: DataFrame, key: list[str], attrs: list[str], lo: Column, hi: Column, bin_col: str = "bin") -> DataFrame:
+    """Every key gets every bin of ``[lo, hi]``; missing cells are NULL rows.
 
-    The bin range comes from scalar subqueries and is listed with ``sequence``,
-    so the plan holds no cross join.
+    Each row lists the bins up to the key's next row (the first row also those
+    from ``lo``), so there is no join and no cross product: one pass, partitioned
+    by ``key`` as the windows downstream need it. ``attrs`` belong to the key.
     """
-    b = df.agg(F.min(bin_col).alias("lo"), F.max(bin_col).alias("hi"))
-    keys_only = df.select(*keys).distinct()
-    full = keys_only.select(
-        *keys, F.explode(F.sequence(b.select("lo").scalar(), b.select("hi").scalar())).alias(bin_col)
-    )
-    return full.join(df, [*keys, bin_col], "left")
+    w = Window.partitionBy(*key).orderBy(bin_col)
+    values = [c for c in df.columns if c not in (*key, *attrs, bin_col)]
+    start = F.when(F.lag(bin_col).over(w).isNull(), lo).otherwise(F.col(bin_col))
+    end = F.coalesce(F.lead(bin_col).over(w) - 1, hi)
+    d = df.withColumns({"_from": start, "_to": end})
+    d = d.withColumn("_b", F.explode(F.sequence("_from", "_to")))
+    here = F.col("_b") == F.col(bin_col)
+    return d.select(*key, *attrs, F.col("_b").alias(bin_col), *[F.when(here, F.col(c)).alias(c) for c in values])
 
 
 def fill_counts(df: DataFrame, metrics) -> DataFrame:

@@ -255,30 +255,32 @@ def interpolated_stats(df, keys, cols: Sequence[str], spans: dict[str, int], gap
     for c in cols:
         lags |= {f"_e_{c}": F.lag(f"_lm_{c}", gap).over(w), f"_kh_{c}": F.lag(f"_k_{c}", gap).over(w)}
     d = d.withColumns(lags)
+    # SQL text keeps these many small expressions to one call each.
     out = {}
     for t, W in spans.items():
-        lo, hi = b - (W + gap - 1), b - gap
+        lo, hi = f"({bin_col} - {W + gap - 1})", f"({bin_col} - {gap})"
         for c in cols:
-            e, st, ctr = F.col(f"_e_{c}"), F.col(f"_s_{c}_{t}"), F.col(f"_c_{c}")
-            full = F.col(f"_ok_{t}")
-            ok = full & e.isNotNull() & (e["b"] >= lo)
-            s1 = e["g1"] - st["g1"] + st["g"] * (st["b"] - lo + 1) + e["g"] * (hi - e["b"])
-            s2 = e["g2"] - st["g2"] + st["g"] * st["g"] * (st["b"] - lo + 1) + e["g"] * e["g"] * (hi - e["b"])
-            kh, kl = F.col(f"_kh_{c}"), F.col(f"_kl_{c}_{t}")
-            diff = {f: kh[f] - F.coalesce(kl[f], F.lit(0).cast("double" if f in ("sy", "sxy") else "bigint")) for f in ("n", "sx", "sxx", "sy", "sxy")}
-            n = diff["n"]
-            den = n * diff["sxx"] - diff["sx"] * diff["sx"]
-            slope = (n * diff["sxy"] - diff["sx"] * diff["sy"]) / den / bin_hours
+            e, st, kh, kl = f"_e_{c}", f"_s_{c}_{t}", f"_kh_{c}", f"_kl_{c}_{t}"
+            full = f"_ok_{t}"
+            ok = f"({full} AND {e} IS NOT NULL AND {e}.b >= {lo})"
+
+            def diff(f, kh=kh, kl=kl):
+                return f"({kh}.{f} - coalesce({kl}.{f}, {'0D' if f in ('sy', 'sxy') else '0L'}))"
+
+            n, den = diff("n"), f"({diff('n')} * {diff('sxx')} - {diff('sx')} * {diff('sx')})"
+            s1 = f"({e}.g1 - {st}.g1 + {st}.g * ({st}.b - {lo} + 1) + {e}.g * ({hi} - {e}.b))"
+            s2 = f"({e}.g2 - {st}.g2 + {st}.g * {st}.g * ({st}.b - {lo} + 1) + {e}.g * {e}.g * ({hi} - {e}.b))"
             out |= {
-                f"{c}_last_{t}": F.when(ok, e["g"] + ctr), f"{c}_mean_{t}": F.when(ok, s1 / W + ctr),
-                f"{c}_std_{t}": F.when(ok, F.sqrt(F.greatest(F.lit(0.0), s2 / W - (s1 / W) * (s1 / W)))),
-                f"{c}_delta_{t}": F.when(ok, e["g"] - st["g"]),
-                f"{c}_slope_{t}": F.when(full & (n >= 2) & (den > 0), slope),
-                f"{c}_valid_{t}": F.when(full, n.cast("double")), f"{c}_missing_{t}": F.when(full, 1 - n / W),
-                f"{c}_stale_{t}": F.when(ok, (hi - e["b"]) * bin_hours * 60).when(full, F.lit(W * bin_hours * 60.0)),
+                f"{c}_last_{t}": f"CASE WHEN {ok} THEN {e}.g + _c_{c} END",
+                f"{c}_mean_{t}": f"CASE WHEN {ok} THEN {s1} / {W}D + _c_{c} END",
+                f"{c}_std_{t}": f"CASE WHEN {ok} THEN sqrt(greatest(0D, {s2} / {W}D - ({s1} / {W}D) * ({s1} / {W}D))) END",
+                f"{c}_delta_{t}": f"CASE WHEN {ok} THEN {e}.g - {st}.g END",
+                f"{c}_slope_{t}": f"CASE WHEN {full} AND {n} >= 2 AND {den} > 0 THEN ({n} * {diff('sxy')} - {diff('sx')} * {diff('sy')}) / {den} / {float(bin_hours)!r}D END",
+                f"{c}_valid_{t}": f"CASE WHEN {full} THEN cast({n} AS double) END",
+                f"{c}_missing_{t}": f"CASE WHEN {full} THEN 1 - {n} / {W}D END",
+                f"{c}_stale_{t}": f"CASE WHEN {ok} THEN ({hi} - {e}.b) * {float(bin_hours * 60)!r}D WHEN {full} THEN {float(W * bin_hours * 60)!r}D END",
             }
-    d = d.withColumns(out)
-    return d.select(*df.columns, *out)
+    return d.select(*df.columns, *[F.expr(x).alias(n) for n, x in out.items()])
 
 
 def sequences(df, keys, cols, W, gap, stride: int = 1, bin_col="bin", name="steps"):
