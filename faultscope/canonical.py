@@ -76,11 +76,21 @@ class Canon:
         """One row per (entity, bin) with data: means and valid counts."""
         return G.bin_means(self.telemetry, ["entity", "grp", "slot"], "t", T0, self.step, METRICS)
 
+    @cached_property
+    def span(self):
+        """First and last bin as a scalar subquery over the time column alone."""
+        t = self.telemetry.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+        return t.select(F.struct(bin_index("lo", T0, self.step).alias("lo"), bin_index("hi", T0, self.step).alias("hi"))).scalar()
+
+    @property
+    def bounds(self):
+        """First and last decision time, for the sweeps over decisions."""
+        return F.lit(T0) + self.span["lo"] * F.lit(self.step), F.lit(T0) + self.span["hi"] * F.lit(self.step)
+
     @cached_property
     def grid(self) -> DataFrame:
         """Dense (entity, bin) grid; unobserved cells are NULL with count 0."""
-        t = self.telemetry.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-        span = t.select(F.struct(bin_index("lo", T0, self.step).alias("lo"), bin_index("hi", T0, self.step).alias("hi"))).scalar()
+        span = self.span
         dense = G.densify(self.binned, ["entity"], ["grp", "slot"], span["lo"], span["hi"])
         return G.fill_counts(dense, METRICS)
 
@@ -97,8 +107,8 @@ class Canon:
         """
         from .operators.joins import asof, event_counts
 
-        d = event_counts(self.decisions, self.faults, ["entity"], "t", "t", {"k": 7 * DAY}, right_inclusive=False)
-        d = asof(d, self.faults, ["entity"], "t", "t", {"next_onset": "t"}, inclusive=False, forward=True)
+        d = event_counts(self.decisions, self.faults, ["entity"], "t", "t", {"k": 7 * DAY}, right_inclusive=False, until=self.bounds[1])
+        d = asof(d, self.faults, ["entity"], "t", "t", {"next_onset": "t"}, inclusive=False, forward=True, until=self.bounds[0])
         label = F.when(F.col("next_onset") <= F.col("t") + DAY, 1).otherwise(0).cast("bigint")
         s1 = F.pmod(F.col("entity") * 37 + F.col("bin") * 101 + F.col("entity") * F.col("bin"), F.lit(997))
         s2 = F.pmod(F.col("entity") * 53 + F.col("bin") * 17 + F.col("k") * 211, F.lit(499))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.scalar import DAY, HOUR, idiv, valid_code
 from .joins import merge_intervals
 from .scan import running, scan, segments, sequence_number, with_neighbour
+from .summaries import with_percentiles
 
 
 def sessionize(df: DataFrame, keys: list[str], t: str, gap: int, width: int = DAY, name: str = "episode_id") -> DataFrame:
@@ -192,10 +193,7 @@ def recurrence(onsets: DataFrame, width: int = 30 * DAY) -> DataFrame:
     d = with_neighbour(onsets, ["code"], ["t", "entity"], idiv("t", width), {"_p": "t"})
     gap = (F.col("t") - F.col("_p")) / HOUR
     d = d.withColumn("gap_h", gap).where(F.col("gap_h").isNotNull())
-    q = F.percentile("gap_h", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return d.groupBy("code").agg(
-        F.count("*").alias("gaps"), q[0].alias("q25_h"), q[1].alias("q50_h"), q[2].alias("q75_h"),
-        F.avg((F.col("gap_h") <= 1).cast("double")).alias("within_1h"),
-        F.avg((F.col("gap_h") <= 24).cast("double")).alias("within_24h"),
-        F.avg((F.col("gap_h") <= 168).cast("double")).alias("within_7d"),
-    )
+    a = d.groupBy("code").agg(
+        F.count("*").alias("gaps"), F.avg((F.col("gap_h") <= 1).cast("double")).alias("within_1h"),
+        F.avg((F.col("gap_h") <= 24).cast("double")).alias("within_24h"), F.avg((F.col("gap_h") <= 168).cast("double")).alias("within_7d"))
+    return with_percentiles(a, d, ["code"], "gap_h", {"q25_h": 0.25, "q50_h": 0.5, "q75_h": 0.75})

@@ -102,27 +102,27 @@ def peer45(grid: DataFrame, w: int, gap: int = 3, layout: str = "integrated", ho
 
 
 def history5(decisions: DataFrame, onsets: DataFrame, buffer: int = 10 * MINUTE, cap_days: float = 90.0,
-             calendar: bool = True, span: int = 30 * DAY) -> DataFrame:
+             calendar: bool = True, span: int = 30 * DAY, until=None) -> DataFrame:
     """Onsets of the last 30 days and days since the last one at ``t - buffer``, plus the calendar."""
     d = decisions.withColumn("_cut", F.col("t") - F.lit(buffer))
-    d = event_counts(d, onsets, ["entity"], "_cut", "t", {"count_30d": span})
-    d = asof(d, onsets.select("entity", F.col("t").alias("_et")), ["entity"], "_cut", "_et", {"_last": "_et"})
+    d = event_counts(d, onsets, ["entity"], "_cut", "t", {"count_30d": span}, until=until)
+    d = asof(d, onsets.select("entity", F.col("t").alias("_et")), ["entity"], "_cut", "_et", {"_last": "_et"}, until=until)
     d = d.withColumn("days_since", F.coalesce(F.least((F.col("_cut") - F.col("_last")) / DAY, F.lit(cap_days)), F.lit(cap_days)))
     if calendar:
         d = d.withColumns({"hour": hour_of_day("t"), "dow": day_of_week("t"), "weekend": is_weekend("t")})
     return d.drop("_cut", "_last")
 
 
-def hazard11(decisions: DataFrame, onsets: DataFrame, start_t: int, buffer: int = 10 * MINUTE) -> DataFrame:
+def hazard11(decisions: DataFrame, onsets: DataFrame, start_t: int, buffer: int = 10 * MINUTE, until=None) -> DataFrame:
     """Counts over five spans, recency, last inter-arrival, exposure and rates."""
     from ..functions.scalar import idiv
     from .scan import with_neighbour
 
     spans = {"c_1h": HOUR, "c_6h": 6 * HOUR, "c_24h": DAY, "c_7d": 7 * DAY, "c_30d": 30 * DAY}
     d = decisions.withColumn("_cut", F.col("t") - F.lit(buffer))
-    d = event_counts(d, onsets, ["entity"], "_cut", "t", spans)
+    d = event_counts(d, onsets, ["entity"], "_cut", "t", spans, until=until)
     ev = with_neighbour(onsets.select("entity", F.col("t").alias("_et")), ["entity"], ["_et"], idiv("_et", 30 * DAY), {"_pt": "_et"})
-    d = asof(d, ev, ["entity"], "_cut", "_et", {"_last": "_et", "_before": "_pt"})
+    d = asof(d, ev, ["entity"], "_cut", "_et", {"_last": "_et", "_before": "_pt"}, until=until)
     expo = F.greatest(F.lit(0.0), F.least(F.lit(30.0), (F.col("_cut") - F.lit(start_t)) / DAY))
     cap = lambda x: F.coalesce(F.least(x / DAY, F.lit(90.0)), F.lit(90.0))
     return d.withColumns({
@@ -162,9 +162,9 @@ def context_features(grid: DataFrame, context: DataFrame, context_cols: list[str
     return d.select(*ID, *cols, *[f"{c}_{s}_x" for c in context_cols for s in ("mean", "last")])
 
 
-def tape14(grid: DataFrame, decisions: DataFrame, onsets: DataFrame, w: int, gap: int = 3) -> DataFrame:
+def tape14(grid: DataFrame, decisions: DataFrame, onsets: DataFrame, w: int, gap: int = 3, until=None) -> DataFrame:
     """Last, mean, delta and group last for three metrics, count and days since (cap 95)."""
     b = basic30(grid, w, gap)
-    h = history5(decisions.select("entity", "bin", "t"), onsets, cap_days=95.0, calendar=False)
+    h = history5(decisions.select("entity", "bin", "t"), onsets, cap_days=95.0, calendar=False, until=until)
     cols = [f"{m}_{s}" for m in CONTEXT for s in ("last", "mean", "delta", "node_mean")]
     return b.select(*ID, *cols).join(h, ["entity", "bin"])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import DAY, SECOND, idiv
+from .summaries import with_percentiles
 
 
 def quality(jobs: DataFrame) -> DataFrame:
@@ -43,9 +44,10 @@ def job_tape(eligible: DataFrame, t0: int) -> DataFrame:
 def daily(jobs: DataFrame) -> DataFrame:
     q = quality(jobs)
     failed = F.col("state") == "FAILED"
-    return q.groupBy("submit_day").agg(
-        F.count("*").alias("jobs"), F.sum("gpu_num").alias("gpus"), F.percentile("wait_s", 0.5).alias("median_wait_s"),
+    a = q.groupBy("submit_day").agg(
+        F.count("*").alias("jobs"), F.sum("gpu_num").alias("gpus"),
         (F.sum("gpu_time") / 3600).alias("gpu_hours"), F.count_if(failed).alias("failed"), F.avg(failed.cast("double")).alias("failed_rate"))
+    return with_percentiles(a, q, ["submit_day"], "wait_s", {"median_wait_s": 0.5})
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -56,27 +58,23 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Count, mean, sample std, min, quantiles, max; one row per column, one pass over the table."""
-    aggs = []
-    for c in cols:
-        q = F.percentile(c, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]))
-        aggs.append(F.struct(F.lit(c).alias("col"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
-                             F.min(F.col(c).cast("double")).alias("lo"), q[0].alias("p50"), q[1].alias("p90"), q[2].alias("p95"), q[3].alias("p99"),
-                             F.max(F.col(c).cast("double")).alias("hi")).alias(f"_{c}"))
-    return df.agg(*aggs).select(F.explode(F.array(*[f"_{c}" for c in cols])).alias("x")).select("x.*")
+    """Count, mean, sample std, min, quantiles, max; one row per column."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "col", "v")
+    a = long.groupBy("col").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return with_percentiles(a, long, ["col"], "v", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 def selection_bias(eligible: DataFrame) -> DataFrame:
-    side = F.when(F.col("eligible"), "eligible").otherwise("excluded")
-    q = F.percentile("duration", F.array(F.lit(0.5), F.lit(0.95)))
-    return eligible.groupBy(side.alias("side")).agg(
-        F.count("*").alias("jobs"), (F.sum("gpu_time") / 3600).alias("gpu_hours"), q[0].alias("duration_p50"), q[1].alias("duration_p95"),
-        F.avg((F.col("gpu_num") > 1).cast("double")).alias("multi_gpu_share"))
+    d = eligible.withColumn("side", F.when(F.col("eligible"), "eligible").otherwise("excluded"))
+    a = d.groupBy("side").agg(
+        F.count("*").alias("jobs"), (F.sum("gpu_time") / 3600).alias("gpu_hours"), F.avg((F.col("gpu_num") > 1).cast("double")).alias("multi_gpu_share"))
+    return with_percentiles(a, d, ["side"], "duration", {"duration_p50": 0.5, "duration_p95": 0.95})
 
 
 def summaries(jobs: DataFrame, by: list[str]) -> DataFrame:
-    return jobs.groupBy(*by).agg(F.count("*").alias("jobs"), F.sum("gpu_num").alias("gpus"), F.percentile("duration", 0.5).alias("median_duration"),
-                                 F.avg((F.col("state") == "FAILED").cast("double")).alias("failed_rate"))
+    a = jobs.groupBy(*by).agg(F.count("*").alias("jobs"), F.sum("gpu_num").alias("gpus"),
+                             F.avg((F.col("state") == "FAILED").cast("double")).alias("failed_rate"))
+    return with_percentiles(a, jobs, by, "duration", {"median_duration": 0.5})
 
 
 def offered_load(jobs: DataFrame, capacity: int) -> DataFrame:

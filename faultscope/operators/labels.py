@@ -8,14 +8,14 @@ from ..functions.scalar import DAY, HOUR, idiv
 from .joins import Source, asof, asof_multi, not_in_intervals
 
 
-def next_event(decisions: DataFrame, onsets: DataFrame, t: str = "t", name: str = "next_onset") -> DataFrame:
-    """Next onset strictly after ``t``."""
-    return asof(decisions, onsets, ["entity"], t, "t", {name: "t"}, inclusive=False, forward=True)
+def next_event(decisions: DataFrame, onsets: DataFrame, t: str = "t", name: str = "next_onset", bounds=None) -> DataFrame:
+    """Next onset strictly after ``t``. ``bounds`` (here and below): first and last decision time, if known."""
+    return asof(decisions, onsets, ["entity"], t, "t", {name: "t"}, inclusive=False, forward=True, until=bounds and bounds[0])
 
 
-def label_future(decisions: DataFrame, onsets: DataFrame, horizon: int = DAY, name: str = "label") -> DataFrame:
+def label_future(decisions: DataFrame, onsets: DataFrame, horizon: int = DAY, name: str = "label", bounds=None) -> DataFrame:
     """1 when an onset lies in ``(t, t + horizon]``."""
-    d = next_event(decisions, onsets, name="_next")
+    d = next_event(decisions, onsets, name="_next", bounds=bounds)
     return d.withColumn(name, F.when(F.col("_next") <= F.col("t") + horizon, 1).otherwise(0).cast("bigint")).drop("_next")
 
 
@@ -26,16 +26,18 @@ def label_bins(grid: DataFrame, onset_bins: DataFrame, h: int, name: str = "labe
     return d.withColumn(name, F.when(F.col("_next") <= F.col("bin") + h, 1).otherwise(0).cast("bigint")).drop("_next")
 
 
-def label_state(decisions: DataFrame, ledger: DataFrame, horizon: int = DAY) -> DataFrame:
+def label_state(decisions: DataFrame, ledger: DataFrame, horizon: int = DAY, bounds=None) -> DataFrame:
     """Label from certain onsets; not eligible inside an episode or with an uncertain onset ahead."""
-    bounds = decisions.agg(F.max("t").alias("hi"), F.min("t").alias("lo"))
+    if bounds is None:
+        b = decisions.agg(F.struct(F.min("t").alias("lo"), F.max("t").alias("hi"))).scalar()
+        bounds = (b["lo"], b["hi"])
     led = ledger.select("entity", "onset_t", "end_t", "uncertain_onset")
     d = asof_multi(
         decisions,
         [Source(led.where(~F.col("uncertain_onset")), "onset_t", {"_c": "onset_t"}, False),
          Source(led.where(F.col("uncertain_onset")), "onset_t", {"_u": "onset_t"}, False)],
-        ["entity"], "t", forward=True, until=bounds.select("lo").scalar())
-    d = asof(d, led, ["entity"], "t", "onset_t", {"_end": "end_t"}, until=bounds.select("hi").scalar())
+        ["entity"], "t", forward=True, until=bounds[0])
+    d = asof(d, led, ["entity"], "t", "onset_t", {"_end": "end_t"}, until=bounds[1])
     ahead = lambda c: F.coalesce(F.col(c) <= F.col("t") + horizon, F.lit(False))
     active = F.coalesce(F.col("_end") >= F.col("t"), F.lit(False))
     return d.withColumns({
@@ -44,14 +46,14 @@ def label_state(decisions: DataFrame, ledger: DataFrame, horizon: int = DAY) ->
     }).drop("_c", "_u", "_end")
 
 
-def label_state_for_code(decisions: DataFrame, ledger: DataFrame, code: int, horizon: int = DAY) -> DataFrame:
-    return label_state(decisions, ledger.where(F.col("code") == code), horizon)
+def label_state_for_code(decisions: DataFrame, ledger: DataFrame, code: int, horizon: int = DAY, bounds=None) -> DataFrame:
+    return label_state(decisions, ledger.where(F.col("code") == code), horizon, bounds)
 
 
-def multi_labels(decisions: DataFrame, onsets: DataFrame, codes: list[int], horizon: int = DAY) -> DataFrame:
+def multi_labels(decisions: DataFrame, onsets: DataFrame, codes: list[int], horizon: int = DAY, bounds=None) -> DataFrame:
     """One head per code and an ``any`` head, in one sweep."""
     src = [Source(onsets.where(F.col("code") == c), "t", {f"_n{c}": "t"}, False) for c in codes]
-    d = asof_multi(decisions, [Source(onsets, "t", {"_nany": "t"}, False), *src], ["entity"], "t", forward=True)
+    d = asof_multi(decisions, [Source(onsets, "t", {"_nany": "t"}, False), *src], ["entity"], "t", forward=True, until=bounds and bounds[0])
     heads = {"label_any": "_nany", **{f"label_{c}": f"_n{c}" for c in codes}}
     return d.withColumns({h: F.when(F.col(c) <= F.col("t") + horizon, 1).otherwise(0).cast("bigint") for h, c in heads.items()}).drop(*heads.values())
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import clip, dcg_discount, ideal_dcg, score_chunk
 from .joins import Source, asof_multi, interval_join
-from .ranking import risk_rank
+from .ranking import risk_rank, topk
 from .scan import scan
+from .summaries import with_percentiles
 
 
 def score_histogram(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
@@ -58,20 +59,26 @@ def calibration_error(df: DataFrame, group: list[str], p: str, label: str, bins:
     return g.groupBy(*group).agg((F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / F.sum("n")).alias("ece"))
 
 
-def per_time_at_k(ranked: DataFrame, ks: list[int], by: list[str], label: str = "label", rank: str = "rank") -> DataFrame:
-    """Positives, hits and DCG per time for several K (one pass over ranked rows)."""
+def per_time_at_k(df: DataFrame, score: str, ks: list[int], by: list[str], label: str = "label", tie: str = "entity") -> DataFrame:
+    """Rows, positives, hits and DCG per time for several K.
+
+    Totals are a plain aggregate; hits need only the ``max(ks)`` best rows per
+    time, which Spark prunes map-side. No time is ever ranked in full.
+    """
     y = F.col(label)
-    aggs = [F.count("*").alias("n"), F.sum(y).alias("pos")]
+    total = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
+    head = topk(df.select(*dict.fromkeys([*by, tie, score, label])), score, max(ks), by, tie)
+    aggs = []
     for k in ks:
-        inside = F.col(rank) <= k
+        inside = F.col("rank") <= k
         aggs += [F.sum(F.when(inside, y).otherwise(0)).alias(f"hits_{k}"),
-                 F.sum(F.when(inside & (y == 1), dcg_discount(rank)).otherwise(0.0)).alias(f"dcg_{k}")]
-    return ranked.groupBy(*by).agg(*aggs)
+                 F.sum(F.when(inside & (y == 1), dcg_discount("rank")).otherwise(0.0)).alias(f"dcg_{k}")]
+    return total.join(head.groupBy(*by).agg(*aggs), by)
 
 
-def at_k(ranked: DataFrame, ks: list[int], by: list[str], group: list[str], label: str = "label") -> DataFrame:
+def at_k(df: DataFrame, score: str, ks: list[int], by: list[str], group: list[str], label: str = "label", tie: str = "entity") -> DataFrame:
     """Pooled recall/precision/lift and macro recall/NDCG at each K, long by ``k``."""
-    per = per_time_at_k(ranked, ks, sorted({*by, *group}), label)
+    per = per_time_at_k(df, score, ks, sorted({*by, *group}), label, tie)
     arr = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"hits_{k}").alias("hits"), F.col(f"dcg_{k}").alias("dcg"),
                              ideal_dcg("pos", k).alias("ideal")) for k in ks])
     d = per.select(*group, "n", "pos", F.explode(arr).alias("x")).select(*group, "n", "pos", "x.*")
@@ -87,15 +94,12 @@ def at_k(ranked: DataFrame, ks: list[int], by: list[str], group: list[str], labe
 
 def fraction_metrics(df: DataFrame, score: str, fractions: list[float], by: list[str], label: str = "label", tie: str = "entity") -> DataFrame:
     """Pooled capture and active-time macro precision/recall in the top fraction per time."""
-    w = Window.partitionBy(*by)
-    d = risk_rank(df, score, by, tie)
     n = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    d = d.join(n, by)
-    arr = F.array(*[F.struct(F.lit(float(f)).alias("f"), F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(float(f)))).alias("k")) for f in fractions])
-    del w
-    per = d.groupBy(*by, "_n").agg(F.sum(label).alias("pos"), F.collect_list(F.when(F.col(label) == 1, F.col("rank"))).alias("_ranks"))
-    per = per.withColumn("x", F.explode(arr)).select(*by, "pos", F.col("x.f").alias("fraction"), F.col("x.k").alias("k"),
-                                                       F.size(F.filter("_ranks", lambda r: r <= F.col("x.k"))).alias("hits"))
+    d = risk_rank(df.select(*by, tie, score, label), score, by, tie).join(n, by)
+    size = {i: F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(float(f)))) for i, f in enumerate(fractions)}
+    per = d.groupBy(*by, "_n").agg(F.sum(label).alias("pos"), *[F.sum(F.when(F.col("rank") <= k, F.col(label)).otherwise(0)).alias(f"_h{i}") for i, k in size.items()])
+    arr = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), size[i].alias("k"), F.col(f"_h{i}").alias("hits")) for i, f in enumerate(fractions)])
+    per = per.select("pos", F.explode(arr).alias("x")).select("pos", "x.*")
     act = F.col("pos") > 0
     return per.groupBy("fraction").agg(
         F.sum("hits").alias("hits"), (F.sum("hits") / F.sum("pos")).alias("capture"),
@@ -142,10 +146,9 @@ def onset_capture(top: DataFrame, times: DataFrame, onsets: DataFrame, lo: int,
 
 
 def capture_summary(cap: DataFrame) -> DataFrame:
-    q = F.percentile("lead_hours", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return cap.where("eligible").agg(
-        F.count("*").alias("onsets"), F.count_if("captured").alias("captured"), F.avg(F.col("captured").cast("double")).alias("rate"),
-        q[0].alias("lead_p10"), q[1].alias("lead_median"), q[2].alias("lead_p90"))
+    e = cap.where("eligible")
+    a = e.agg(F.count("*").alias("onsets"), F.count_if("captured").alias("captured"), F.avg(F.col("captured").cast("double")).alias("rate"))
+    return with_percentiles(a, e, [], "lead_hours", {"lead_p10": 0.1, "lead_median": 0.5, "lead_p90": 0.9})
 
 
 def episode_capture(rows: DataFrame, onsets: DataFrame, k: int, horizon: int) -> DataFrame:

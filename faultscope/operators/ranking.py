@@ -6,19 +6,27 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.scalar import score_chunk
+from .scan import sequence_number
+
 
 def rank_window(score: str, by=("bin",), tie: str = "entity"):
     return Window.partitionBy(*by).orderBy(F.col(score).desc(), F.col(tie))
 
 
 def risk_rank(df: DataFrame, score: str, by=("bin",), tie: str = "entity", name: str = "rank") -> DataFrame:
-    """1..N per decision time, ties in entity order. A time holds one row per entity."""
-    return df.withColumn(name, F.row_number().over(rank_window(score, by, tie)))
+    """1..N per decision time, ties in entity order.
+
+    A two-level scan over score chunks: a time that holds a large share of all
+    rows is ranked by many tasks. For the head of the list use ``topk``.
+    """
+    d = df.withColumn("_neg", -F.col(score))
+    return sequence_number(d, list(by), ["_neg", tie], score_chunk("_neg"), name).drop("_neg")
 
 
 def topk(df: DataFrame, score: str, k: int, by=("bin",), tie: str = "entity", name: str = "rank") -> DataFrame:
     """``rank <= k``; Spark prunes each map task to k rows per time before the shuffle."""
-    return risk_rank(df, score, by, tie, name).where(F.col(name) <= k)
+    return df.withColumn(name, F.row_number().over(rank_window(score, by, tie))).where(F.col(name) <= k)
 
 
 def top_fraction(df: DataFrame, score: str, f: float, by=("bin",), tie: str = "entity") -> DataFrame:
@@ -29,9 +37,11 @@ def top_fraction(df: DataFrame, score: str, f: float, by=("bin",), tie: str = "e
 
 def rank_mean(df: DataFrame, scores: list[str], by=("bin",), tie: str = "entity", name: str = "rank_mean") -> DataFrame:
     """Mean over models of ``(n - rank0) / n``."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    parts = [(n - F.row_number().over(rank_window(s, by, tie)) + 1) / n for s in scores]
-    return df.withColumn(name, reduce(lambda a, b: a + b, parts) / len(parts))
+    d = df.join(df.groupBy(*by).agg(F.count("*").alias("_n")), list(by))
+    for i, sc in enumerate(scores):
+        d = risk_rank(d, sc, by, tie, f"_r{i}")
+    parts = [(F.col("_n") - F.col(f"_r{i}") + 1) / F.col("_n") for i in range(len(scores))]
+    return d.withColumn(name, reduce(lambda a, b: a + b, parts) / len(parts)).drop("_n", *[f"_r{i}" for i in range(len(scores))])
 
 
 def intersect_topk(df: DataFrame, scores: list[str], f: float, by=("bin",), tie: str = "entity") -> DataFrame:
@@ -87,11 +97,16 @@ def swap_tail(df: DataFrame, k: int, m: int, n: int, swaps: int, ratio: float, r
         F.struct(F.col("_new").alias("e"), F.col("_slot").alias("slot"), F.lit(1).alias("into")),
         F.struct(F.col("_old").alias("e"), F.col("_slot").alias("slot"), F.lit(0).alias("into")))).alias("_x"))
     moved = moved.select(*by, F.col("_x.e").alias(entity), F.col("_x.slot").alias("_slot"), F.col("_x.into").alias("_into"))
-    d = df.join(moved, [*by, entity], "left")
-    in_top = F.when(F.col("_into").isNotNull(), F.col("_into") == 1).otherwise(F.col("rank2") <= k)
-    d = d.withColumn("in_top", in_top).withColumn("_pos", F.when(F.col("_into") == 1, F.col("_slot")).otherwise(F.col("rank2")))
-    w = Window.partitionBy(*by).orderBy(F.col("in_top").desc(), "_pos")
-    return d.withColumn("position", F.row_number().over(w)).drop("_slot", "_into", "_pos")
+    # Positions follow from the swap list itself (at most ``swaps`` entries per time), without sorting again.
+    gone = hit.groupBy(*by).agg(F.sort_array(F.collect_list("_slot")).alias("_out"), F.collect_list("_new").alias("_in"), F.count("*").alias("_m"))
+    came = hit.join(df.select(*by, F.col(entity).alias("_new"), F.col("rank2").alias("_r2")), [*by, "_new"]).groupBy(*by).agg(F.collect_list("_r2").alias("_cr"))
+    d = df.join(moved, [*by, entity], "left").join(gone.drop("_in").join(came, by), by, "left")
+    r = F.col("rank2")
+    ahead = lambda arr: F.coalesce(F.size(F.filter(arr, lambda x: x < r)), F.lit(0))
+    in_top = F.when(F.col("_into").isNotNull(), F.col("_into") == 1).otherwise(r <= k)
+    pos = (F.when(F.col("_into") == 1, F.col("_slot")).when(F.col("_into") == 0, F.lit(k + 1) + ahead("_out"))
+           .when(r <= k, r).otherwise(r + F.coalesce("_m", F.lit(0)) - F.when(F.col("_m").isNotNull(), ahead("_cr")).otherwise(F.lit(0))))
+    return d.withColumn("in_top", in_top).withColumn("position", pos).drop("_slot", "_into", "_out", "_m", "_cr")
 
 
 def best_row(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -327,7 +327,7 @@ CAL = f"(t // {H}) % 24 AS hour, (t // {D} + 3) % 7 AS dow, (((t // {D} + 3) % 7
 
 @plan("features_history5", "M3 W11 W12 F3", ("decisions", "faults"), HIST + f"""SELECT entity, bin, t, count_30d, coalesce(least((t - 600000000 - lt) / {D}.0::DOUBLE, 90.0), 90.0) AS days_since, {CAL} FROM h""", "days_since")
 def _(c):
-    return X.history5(c.decisions.select("entity", "bin", "t"), c.faults, span=7 * DAY)
+    return X.history5(c.decisions.select("entity", "bin", "t"), c.faults, span=7 * DAY, until=c.bounds[1])
 
 
 @plan("features_hazard11", "M4 W11 W12 W13 W14", ("decisions", "faults"), f"""e AS (SELECT entity, t, lag(t) OVER (PARTITION BY entity ORDER BY t) AS pt FROM faults),
@@ -338,7 +338,7 @@ SELECT entity, bin, t, c_1h, c_6h, c_24h, c_7d, c_30d, coalesce(least((cut - lt)
  coalesce(least((lt - pt) / {D}.0::DOUBLE, 90.0), 90.0) AS last_gap_days, c_1h / greatest(c_24h, 1)::DOUBLE AS share_1h, exposure_days, c_30d / greatest(exposure_days, 1.0) AS rate_30d FROM x""",
       "days_since last_gap_days share_1h exposure_days rate_30d")
 def _(c):
-    return X.hazard11(c.decisions.select("entity", "bin", "t"), c.faults, T0)
+    return X.hazard11(c.decisions.select("entity", "bin", "t"), c.faults, T0, until=c.bounds[1])
 
 
 DS = "slope valid missing stale min max obs"
@@ -385,4 +385,4 @@ T14 = [f"{m}_{s}" for m in X.CONTEXT for s in ("last", "mean", "delta", "node_me
 @plan("features_tape14", "M6", ("grid", "decisions", "faults"), B30_SQL + f""", {HIST.replace('7*', '30*')}
 SELECT entity, grp, slot, bin, t, {', '.join(T14)}, count_30d, coalesce(least((t - 600000000 - lt) / {D}.0::DOUBLE, 95.0), 95.0) AS days_since FROM b30 JOIN h USING (entity, bin)""", " ".join(T14) + " days_since")
 def _(c):
-    return X.tape14(c.grid, c.decisions, c.faults, 12)
+    return X.tape14(c.grid, c.decisions, c.faults, 12, until=c.bounds[1])

@@ -21,19 +21,19 @@ def dec(c):
 @plan("asof_last_onset", "J6", ("decisions", "faults"), """SELECT d.entity, d.bin, coalesce(max(f.t), -1) AS last_t FROM decisions d
  LEFT JOIN faults f ON f.entity = d.entity AND f.t <= d.t - 600000000 GROUP BY 1, 2""")
 def _(c):
-    d = J.asof(dec(c), c.faults, ["entity"], F.col("t") - 600_000_000, "t", {"last_t": "t"}, width=3 * DAY)
+    d = J.asof(dec(c), c.faults, ["entity"], F.col("t") - 600_000_000, "t", {"last_t": "t"}, width=3 * DAY, until=c.bounds[1])
     return d.select("entity", "bin", F.coalesce("last_t", F.lit(-1)).alias("last_t"))
 
 
 @plan("asof_next_onset", "J7", ("decisions", "faults"), """SELECT d.entity, d.bin, coalesce(min(f.t), -1) AS next_t FROM decisions d
  LEFT JOIN faults f ON f.entity = d.entity AND f.t > d.t GROUP BY 1, 2""")
 def _(c):
-    return L.next_event(dec(c), c.faults, name="n").select("entity", "bin", F.coalesce("n", F.lit(-1)).alias("next_t"))
+    return L.next_event(dec(c), c.faults, name="n", bounds=c.bounds).select("entity", "bin", F.coalesce("n", F.lit(-1)).alias("next_t"))
 
 
 @plan("label_future", "J8", ("scores",), "SELECT entity, bin, label FROM scores")
 def _(c):
-    return L.label_future(dec(c), c.faults).select("entity", "bin", "label")
+    return L.label_future(dec(c), c.faults, bounds=c.bounds).select("entity", "bin", "label")
 
 
 @plan("label_bins_inclusive", "J9 P28", ("decisions", "faults"), f"""p AS (SELECT DISTINCT entity, unnest(range((t - {T0}) // {STEP} - 4, (t - {T0}) // {STEP} + 1)) AS bin FROM faults)
@@ -52,26 +52,26 @@ STATE = LEDGER + f""", st AS (SELECT d.entity, d.bin, d.t, (count(*) FILTER (WHE
 @plan("label_state", "L2 J8 J10", ("flog", "decisions"), STATE + "SELECT entity, bin, label, NOT coalesce(le >= t, false) AND u = 0 AS eligible FROM st")
 def _(c):
     led = materialize(ledger(c), "ledger")
-    return L.label_state(dec(c), led).select("entity", "bin", "label", "eligible")
+    return L.label_state(dec(c), led, bounds=c.bounds).select("entity", "bin", "label", "eligible")
 
 
 @plan("label_state_code", "L3", ("flog", "decisions"), STATE.replace("ON l.entity = d.entity", "ON l.entity = d.entity AND l.code = 43") + "SELECT entity, bin, label, NOT coalesce(le >= t, false) AND u = 0 AS eligible FROM st")
 def _(c):
     led = materialize(ledger(c), "ledger")
-    return L.label_state_for_code(dec(c), led, 43).select("entity", "bin", "label", "eligible")
+    return L.label_state_for_code(dec(c), led, 43, bounds=c.bounds).select("entity", "bin", "label", "eligible")
 
 
 @plan("multi_head_labels", "L4 P24", ("decisions", "faults"), f"""SELECT d.entity, d.bin, (count(f.t) > 0)::BIGINT AS label_any,
  (count(f.t) FILTER (WHERE code = 31) > 0)::BIGINT AS label_31, (count(f.t) FILTER (WHERE code = 43) > 0)::BIGINT AS label_43
  FROM decisions d LEFT JOIN faults f ON f.entity = d.entity AND f.t > d.t AND f.t <= d.t + {D} GROUP BY 1, 2""")
 def _(c):
-    return L.multi_labels(dec(c), c.faults, [31, 43]).select("entity", "bin", "label_any", "label_31", "label_43")
+    return L.multi_labels(dec(c), c.faults, [31, 43], bounds=c.bounds).select("entity", "bin", "label_any", "label_31", "label_43")
 
 
 @plan("label_precedence", "L5", ("grid", "scores"), """SELECT s.entity, s.bin, CASE WHEN s.label = 1 THEN 'positive' WHEN g.util_n = 0 THEN 'unknown' ELSE 'negative' END AS state
  FROM scores s JOIN grid g USING (entity, bin)""")
 def _(c):
-    d = L.label_future(c.grid.withColumn("t", F.lit(T0) + F.col("bin") * F.lit(c.step)), c.faults)
+    d = L.label_future(c.grid.withColumn("t", F.lit(T0) + F.col("bin") * F.lit(c.step)), c.faults, bounds=c.bounds)
     return d.select("entity", "bin", L.label3(F.col("label") == 1, F.col("util_n") == 0).alias("state"))
 
 
@@ -79,7 +79,7 @@ def _(c):
  FROM decisions d LEFT JOIN faults f ON f.entity = d.entity AND f.t < d.t GROUP BY 1, 2""")
 def _(c):
     d = J.event_counts(dec(c), c.faults, ["entity"], "t", "t", {"n_6h": 6 * HR, "n_1d": DAY, "n_7d": 7 * DAY, "n_life": None},
-                       width=5 * DAY, right_inclusive=False)
+                       width=5 * DAY, right_inclusive=False, until=c.bounds[1])
     return d.select("entity", "bin", "n_6h", "n_1d", "n_7d", "n_life")
 
 
@@ -97,7 +97,7 @@ BLOCK = f"""iv AS (SELECT entity, t - 12*{H} AS s, t + 6*{H} AS e FROM faults)""
 @plan("blocked_times_removed", "J5 A12", ("decisions", "faults"), BLOCK + """SELECT entity, bin FROM decisions d WHERE NOT EXISTS (SELECT 1 FROM iv WHERE iv.entity = d.entity AND d.t >= iv.s AND d.t <= iv.e)""")
 def _(c):
     iv = c.faults.select("entity", (F.col("t") - 12 * HR).alias("s"), (F.col("t") + 6 * HR).alias("e"))
-    return J.not_in_intervals(dec(c), iv, ["entity"], "t", "s", "e").select("entity", "bin")
+    return J.not_in_intervals(dec(c), iv, ["entity"], "t", "s", "e", until=c.bounds[1]).select("entity", "bin")
 
 
 GAPS = "gp AS (SELECT p AS gap_start, t AS gap_end FROM (SELECT t, lag(t) OVER (ORDER BY t) AS p FROM (SELECT DISTINCT t FROM tel)) WHERE t - p > 1500000000)"

@@ -18,7 +18,7 @@ def rk(score="p1", name="rank"):
 
 @plan("risk_rank", "W18 K5", ("scores",), f"SELECT entity, bin, p1, {rk()} FROM scores", "p1")
 def _(c):
-    return R.risk_rank(c.scores, "p1").select("entity", "bin", "p1", "rank")
+    return R.risk_rank(c.tape, "p1").select("entity", "bin", "p1", "rank")
 
 
 @plan("topk_per_time", "K1 T8", ("scores",), f"SELECT entity, bin, rank FROM (SELECT *, {rk('p2')} FROM scores) WHERE rank <= 10")
@@ -34,7 +34,7 @@ def _(c):
 @plan("rank_mean", "W19", ("scores",), f"""SELECT entity, bin, ((n - r1 + 1) / n::DOUBLE + (n - r2 + 1) / n::DOUBLE) / 2 AS rank_mean
  FROM (SELECT *, {rk('p1', 'r1')}, {rk('p2', 'r2')}, count(*) OVER (PARTITION BY bin) AS n FROM scores)""", "rank_mean")
 def _(c):
-    return R.rank_mean(c.scores, ["p1", "p2"]).select("entity", "bin", "rank_mean")
+    return R.rank_mean(c.tape, ["p1", "p2"]).select("entity", "bin", "rank_mean")
 
 
 @plan("strict_intersection", "K8", ("scores",), f"""SELECT entity, bin FROM (SELECT *, {rk('p1', 'r1')}, {rk('p2', 'r2')}, count(*) OVER (PARTITION BY bin) AS n FROM scores)
@@ -172,12 +172,12 @@ ATK = "recall precision lift macro_recall ndcg"
 
 @plan("recall_ndcg_at_k", "E5 E6 E7 F25", ("scores",), atk_sql("p1", []) + "SELECT * FROM atk", ATK)
 def _(c):
-    return M.at_k(R.risk_rank(c.scores, "p1"), [10, 20, 50], ["bin"], [])
+    return M.at_k(c.tape, "p1", [10, 20, 50], ["bin"], [])
 
 
 @plan("fold_metrics", "E19 E5 E7", ("scores",), atk_sql("p2", ["origin"]) + "SELECT * FROM atk", ATK)
 def _(c):
-    return M.at_k(R.risk_rank(c.scores, "p2"), [10, 20, 50], ["bin"], ["origin"])
+    return M.at_k(c.tape, "p2", [10, 20, 50], ["bin"], ["origin"])
 
 
 @plan("fraction_capture", "E8 K2", ("scores",), f"""rk AS (SELECT *, {rk()}, count(*) OVER (PARTITION BY bin) AS n FROM scores), f AS (SELECT * FROM (VALUES (0.02::DOUBLE), (0.05::DOUBLE)) v(fraction)),
@@ -185,7 +185,7 @@ p AS (SELECT fraction, bin, max(greatest(1, ceil(n * fraction))) AS k, sum(label
 SELECT fraction, sum(hits)::BIGINT AS hits, sum(hits) / sum(pos)::DOUBLE AS capture, sum(hits) / sum(k)::DOUBLE AS precision, avg(CASE WHEN pos > 0 THEN hits / pos::DOUBLE END) AS macro_recall,
  avg(CASE WHEN pos > 0 THEN hits / k::DOUBLE END) AS macro_precision FROM p GROUP BY 1""", "fraction capture precision macro_recall macro_precision")
 def _(c):
-    return M.fraction_metrics(c.scores, "p1", [0.02, 0.05], ["bin"])
+    return M.fraction_metrics(c.tape, "p1", [0.02, 0.05], ["bin"])
 
 
 @plan("best_f1", "E11", ("scores",), ap_sql(["origin"]) + """, t AS (SELECT origin, sum(pos) AS p FROM hist GROUP BY 1), f AS (SELECT origin, s, 2 * tp / (seen + p)::DOUBLE AS f1 FROM cum JOIN t USING (origin))
@@ -232,7 +232,7 @@ SELECT code, count(*) AS episodes, sum(hit)::BIGINT AS captured, avg(hit) AS rat
       "rate random_rate median_lead_hours")
 def _(c):
     sizes = c.decisions.groupBy("bin").agg(F.count("*").alias("n"))
-    rows = R.risk_rank(c.scores, "p1").join(sizes, "bin").select("entity", "t", "rank", "n")
+    rows = R.risk_rank(c.tape, "p1").join(sizes, "bin").select("entity", "t", "rank", "n")
     return M.episode_capture(rows, c.faults, 20, DAY)
 
 

@@ -57,7 +57,7 @@ def _(c):
  FROM scores JOIN grid USING (entity, bin)""", "prevalence")
 def _(c):
     from ..operators.labels import label_future
-    d = label_future(c.grid.withColumn("t", F.lit(T0) + F.col("bin") * F.lit(c.step)), c.faults).withColumn("ok", F.col("util_n") > 0)
+    d = label_future(c.grid.withColumn("t", F.lit(T0) + F.col("bin") * F.lit(c.step)), c.faults, bounds=c.bounds).withColumn("ok", F.col("util_n") > 0)
     return S.sample_summary(d, "label", "ok")
 
 

@@ -117,7 +117,7 @@ RT = f"""rt AS (SELECT t AS decision_t, entity, CASE WHEN (entity * 31 + bin) %
 UNION ALL SELECT 'decision_time_coverage', 'WARN', count(*) FROM rt WHERE decision_t < {T0} + {D} OR decision_t > {T0} + 25*{D} UNION ALL SELECT 'finite_risk_score', 'FAIL', count(*) FROM rt WHERE risk_score IS NULL
 UNION ALL SELECT 'positive_risk_rank', 'FAIL', count(*) FROM rt WHERE risk_rank < 1 UNION ALL SELECT 'unique_decision_entity', 'PASS', 0 UNION ALL SELECT 'out_of_fold_provenance', 'BLOCKED', 0 UNION ALL SELECT 'leakage_cutoff', 'PASS', 0""")
 def _(c):
-    r = R.risk_rank(c.scores, "p1")
+    r = R.risk_rank(c.tape, "p1")
     e, b = F.col("entity"), F.col("bin")
     tape = r.select(F.col("t").alias("decision_t"), "entity", F.when((e * 31 + b) % 97 != 0, F.col("p1")).alias("risk_score"),
                     F.when((e + b) % 89 == 0, 0).otherwise(F.col("rank")).alias("risk_rank"), (F.col("t") - 600_000_000).alias("feature_cutoff_t"))
@@ -283,5 +283,5 @@ def _(c):
 @plan("risk_tape", "S16 S19 W10", ("scores",), f"""SELECT t AS decision_t, entity, p1 AS risk_score, row_number() OVER (PARTITION BY bin ORDER BY p1 DESC, entity) AS risk_rank, CASE WHEN bin >= 60 THEN 'late' ELSE 'early' END AS model_fold, t - 600000000 AS feature_cutoff_t FROM scores""", "risk_score")
 def _(c):
     obs = c.grid.select("entity", "bin", (F.col("util_n") / 2).alias("observability"))
-    r = R.risk_rank(c.scores, "p1").withColumn("score", F.col("p1")).withColumn("fold", F.when(F.col("bin") >= 60, "late").otherwise("early"))
+    r = R.risk_rank(c.tape, "p1").withColumn("score", F.col("p1")).withColumn("fold", F.when(F.col("bin") >= 60, "late").otherwise("early"))
     return Tp.risk_tape(r, obs).drop("observability")

@@ -26,8 +26,8 @@ B1 = ["util_last", "temp_last", "util_mean", "temp_mean", "util_std", "temp_std"
 def table(c):
     """Feature table of both branches with label and eligibility, written once."""
     f = X.peer45(c.grid, 12, hours=72.0, colocate=True).select("entity", "bin", *B1)
-    d = X.history5(c.decisions.select("entity", "bin", "t"), c.faults, span=7 * DAY)
-    d = label_future(d, c.faults).withColumn("eligible", F.col("bin") <= 115)
+    d = X.history5(c.decisions.select("entity", "bin", "t"), c.faults, span=7 * DAY, until=c.bounds[1])
+    d = label_future(d, c.faults, bounds=c.bounds).withColumn("eligible", F.col("bin") <= 115)
     return materialize(f.join(d, ["entity", "bin"]), "features")
 
 
