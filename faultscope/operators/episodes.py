@@ -48,7 +48,7 @@ def event_index(eps: DataFrame, near: int = 2 * HOUR, clean: int = 72 * HOUR, wi
     return d.join(sizes, ["grp", "code", "start_t"])
 
 
-def cluster_numbers(events: DataFrame, cols: list[str], order_col: str, width: int = 30 * DAY) -> DataFrame:
+def cluster_numbers(events: DataFrame, cols: list[str], order_col: str, width: int = DAY) -> DataFrame:
     """Dense 1-based number per distinct ``cols`` in global order, without a global sort."""
     d = events.select(*cols).distinct()
     return sequence_number(d, [], [order_col, *[c for c in cols if c != order_col]], idiv(order_col, width), "cluster_no")
@@ -105,7 +105,7 @@ def recording_gaps(times: DataFrame, t: str, step: int, width: int = DAY) -> Dat
     return g.withColumn("missing_rows", idiv(F.col("gap_end") - F.col("gap_start"), step) - 1)
 
 
-def episode_ledger(log: DataFrame, gap: int, recording_gap: int | None = None, width: int = DAY) -> DataFrame:
+def episode_ledger(log: DataFrame, gap: int, recording_gap: int | None = None, width: int = HOUR) -> DataFrame:
     """Fault episodes with censoring evidence from a log of observed codes.
 
     A row is observed when its code is a whole number >= 0. Over observed rows an
@@ -116,7 +116,8 @@ def episode_ledger(log: DataFrame, gap: int, recording_gap: int | None = None, w
 
     One two-level scan: rows see the previous and next observed row inside their
     ``(entity, chunk)``; what crosses a chunk border is settled on one summary row
-    per chunk and joined back.
+    per chunk and joined back. ``width`` bounds the rows of the hottest entity in one
+    task: at a 15-second cadence an hour is 240 rows of it.
     """
     rg = gap if recording_gap is None else recording_gap
     per = max(1, width // rg)
@@ -173,6 +174,20 @@ def ledger_audit(ledger: DataFrame, gaps: dict[str, int], width: int = 30 * DAY)
     )
 
 
+def rolling_feasibility(ledger: DataFrame, origins: DataFrame, length: int, minimum: int = 20) -> DataFrame:
+    """Certain onsets per code inside each rolling training span: min, median, max, spans below ``minimum``.
+
+    ``origins``: ``origin_t`` (span end). Counts come from one sweep per code, not from pairs.
+    """
+    from .joins import event_counts
+
+    ends = origins.agg(F.collect_set("origin_t"))  # one entry per scheduled origin
+    spans = ledger.select("code").distinct().withColumn("origin_t", F.explode(ends.scalar()))
+    d = event_counts(spans, ledger.where(~F.col("uncertain_onset")), ["code"], "origin_t", "onset_t", {"n": length}, right_inclusive=False)
+    return d.groupBy("code").agg(F.count("*").alias("spans"), F.min("n").alias("min_onsets"), F.percentile("n", 0.5).alias("median_onsets"),
+                                 F.max("n").alias("max_onsets"), F.count_if(F.col("n") < minimum).alias("thin_spans"))
+
+
 def longest_run(df: DataFrame, keys: list[str], bin_col: str, flag) -> DataFrame:
     """Longest run of consecutive bins where ``flag`` holds, per key (grid rows)."""
     w = Window.partitionBy(*keys).orderBy(bin_col)
@@ -188,7 +203,7 @@ def fault_clusters(events: DataFrame) -> DataFrame:
     )
 
 
-def recurrence(onsets: DataFrame, width: int = 30 * DAY) -> DataFrame:
+def recurrence(onsets: DataFrame, width: int = HOUR) -> DataFrame:
     """Inter-arrival quantiles per code and shares within 1 h, 24 h and 7 d."""
     d = with_neighbour(onsets, ["code"], ["t", "entity"], idiv("t", width), {"_p": "t"})
     gap = (F.col("t") - F.col("_p")) / HOUR

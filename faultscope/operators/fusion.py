@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import HOUR, expit, fuse, idiv, inertia_blend, logit, pareto_weight
@@ -96,11 +94,9 @@ def inertia(df: DataFrame, t: str, p: str, half_life_hours: float, gamma: float,
     return d.withColumn(name, F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), q))).drop("_z", "_mem")
 
 
-def hold_scores(coarse: DataFrame, fine_times: DataFrame, keys=("entity",), t: str = "t", score: str = "score", width: int = 7 * 24 * HOUR) -> DataFrame:
+def hold_scores(coarse: DataFrame, fine_times: DataFrame, keys=("entity",), t: str = "t", score: str = "score", width: int = 24 * HOUR) -> DataFrame:
     """The last coarse score at or before each fine time; never a future one."""
     from .joins import asof
 
     return asof(fine_times, coarse.select(*keys, F.col(t).alias("_ct"), score), list(keys), t, "_ct", {score: score}, width)
 
-
-HALF_LIFE_LN2 = math.log(2.0)

@@ -24,7 +24,7 @@ def asof_multi(
     sources: list[Source],
     keys: list[str],
     left_time: str | Column,
-    width: int = 7 * DAY,
+    width: int = DAY,
     forward: bool = False,
     until: Column | None = None,
 ) -> DataFrame:
@@ -69,7 +69,7 @@ def asof(
     left_time: str | Column,
     right_time: str,
     payload: dict[str, str],
-    width: int = 7 * DAY,
+    width: int = DAY,
     inclusive: bool = True,
     forward: bool = False,
     until: Column | None = None,
@@ -102,7 +102,7 @@ def interval_join(
     return joined.where(lower & upper).drop("_b")
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, width: int = 30 * DAY) -> DataFrame:
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, width: int = 7 * DAY) -> DataFrame:
     """Union of intervals per key; touching intervals (``next start <= end``) merge."""
     from .scan import running
 
@@ -150,7 +150,7 @@ def sweep(
 
 
 def not_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, start: str = "start", end: str = "end",
-                     width: int = 7 * DAY, until: Column | None = None) -> DataFrame:
+                     width: int = DAY, until: Column | None = None) -> DataFrame:
     """Points outside every interval (both ends inclusive).
 
     A point is blocked exactly when the farthest end among the intervals that
@@ -168,7 +168,7 @@ def event_counts(
     cutoff: str | Column,
     event_time: str,
     spans: dict[str, int | None],
-    width: int = 7 * DAY,
+    width: int = DAY,
     right_inclusive: bool = True,
     until: Column | None = None,
 ) -> DataFrame:

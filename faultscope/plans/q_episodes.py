@@ -165,3 +165,19 @@ def _(c):
 SELECT entity, max(n) AS max_run FROM (SELECT entity, isl, count(*) AS n FROM a GROUP BY 1, 2) GROUP BY 1""")
 def _(c):
     return E.longest_run(c.grid, ["entity"], "bin", F.col("util_n") == 0)
+
+
+@plan("rolling_feasibility", "A36 P20", ("flog",), LEDGER + f""", og AS (SELECT unnest(range({T0} + 10*{D}, {T0} + 30*{D}, {D})) AS ot), cd AS (SELECT DISTINCT code FROM ledger),
+nn AS (SELECT cd.code, og.ot, count(l.onset_t) AS n FROM og CROSS JOIN cd LEFT JOIN ledger l ON l.code = cd.code AND NOT l.uncertain_onset AND l.onset_t >= og.ot - 7*{D} AND l.onset_t < og.ot GROUP BY 1, 2)
+SELECT code, count(*) AS spans, min(n) AS min_onsets, median(n) AS median_onsets, max(n) AS max_onsets, count(*) FILTER (WHERE n < 120) AS thin_spans FROM nn GROUP BY 1""", "median_onsets")
+def _(c):
+    from ..session import materialize
+    led = materialize(ledger(c), "ledger")
+    o = c.telemetry.agg(F.max("t").alias("hi")).select(F.explode(F.sequence(F.lit(T0 + 10 * DAY), F.lit(T0 + 29 * DAY), F.lit(DAY))).alias("origin_t"))
+    return E.rolling_feasibility(led, o, 7 * DAY, 120)
+
+
+@plan("daily_clusters", "A28", ("faults",), f"""SELECT code, (t - {T0}) // {D} AS day, count(DISTINCT grp) AS clusters, count(*) AS events FROM faults GROUP BY 1, 2""")
+def _(c):
+    from ..functions.scalar import bin_index
+    return c.faults.groupBy("code", bin_index("t", T0, DAY).alias("day")).agg(F.count_distinct("grp").alias("clusters"), F.count("*").alias("events"))

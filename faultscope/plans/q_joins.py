@@ -156,7 +156,7 @@ def _(c):
                                      F.sum("n").alias("rows"), (F.min("n") == F.max("e")).alias("full_population"))
 
 
-@plan("positive_intervals", "P14 P10", ("tel", "faults"), f"""h AS (SELECT * FROM (VALUES ('12h', 12*{H}), ('24h', 24*{H}), ('72h', 72*{H})) v(horizon, len)),
+@plan("positive_intervals", "P14 D4", ("tel", "faults"), f"""h AS (SELECT * FROM (VALUES ('12h', 12*{H}), ('24h', 24*{H}), ('72h', 72*{H})) v(horizon, len)),
 m AS (SELECT min(t) AS lo FROM tel), k AS (SELECT entity, event_id, 'raw' AS kind, t AS tm FROM faults UNION ALL SELECT entity, event_id, 'early', t - {H} FROM faults)
 SELECT entity, event_id, horizon, kind, greatest(lo, tm - len) AS start_t, tm AS end_t FROM k, h, m""")
 def _(c):

@@ -118,7 +118,7 @@ q AS (SELECT {sel}sum(n)::BIGINT AS rows, sum(pos)::BIGINT AS positives, CASE WH
 """
 
 
-@plan("ap_auc_pooled", "E1 E2", ("scores",), ap_sql([]) + "SELECT * FROM q", "ap auc")
+@plan("ap_auc_pooled", "E1 E2 D5", ("scores",), ap_sql([]) + "SELECT * FROM q", "ap auc")
 def _(c):
     return M.ranking_quality(c.tape, [], "p1", "label")
 
@@ -343,7 +343,7 @@ e AS (SELECT entity, bin, t, r, z, CAST(NULL AS DOUBLE) AS mem, z AS state FROM
 """
 
 
-@plan("ema_memory", "W20 W21", ("scores",), ema_sql(12) + "SELECT entity, bin, mem AS memory FROM e", "memory")
+@plan("ema_memory", "W20 W21 D2", ("scores",), ema_sql(12) + "SELECT entity, bin, mem AS memory FROM e", "memory")
 def _(c):
     d = c.tape.withColumn("z", S.logit("p1"))
     return U.ema_memory(d, ["entity"], "t", "z", 12.0, chunk_half_lives=12).select("entity", "bin", "memory")
@@ -398,3 +398,26 @@ def _(c):
                                                     F.avg(F.when(F.col("rank2") <= 20, F.col("p1"))).alias("a"))
     x = x.withColumn("ndcg", F.col("a") + F.col("swaps") / 100).drop("a")
     return R.select_params(x, ["origin"], F.col("swaps") == 0)
+
+
+@plan("cadence_comparison", "E18 P21 P22 P23", ("scores",), f"""c AS (SELECT entity, bin, p1 FROM scores WHERE bin % 6 = 0), h AS (SELECT s.entity, s.bin, s.label, s.p1, c.p1 AS held FROM scores s JOIN c ON c.entity = s.entity AND c.bin = s.bin // 6 * 6),
+v AS (SELECT 'fine' AS variant, bin, entity, label, p1 AS score FROM h UNION ALL SELECT 'held', bin, entity, label, held FROM h UNION ALL SELECT 'coarse', bin, entity, label, p1 FROM h WHERE bin % 6 = 0 UNION ALL SELECT 'extra', bin, entity, label, p1 FROM h WHERE bin % 6 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY variant, bin ORDER BY score DESC, entity) AS rank FROM v)
+SELECT variant, count(DISTINCT bin) AS times, sum(label)::BIGINT AS positives, sum(CASE WHEN rank <= 20 THEN label ELSE 0 END)::BIGINT AS hits FROM r GROUP BY 1""")
+def _(c):
+    s = c.tape
+    h = U.hold_scores(s.where(F.col("bin") % 6 == 0).select("entity", "t", F.col("p1").alias("held")), s.select("entity", "bin", "t", "label", "p1"), score="held")
+    coarse = F.col("bin") % 6 == 0
+    v = F.array(F.struct(F.lit("fine").alias("variant"), F.col("p1").alias("score")), F.struct(F.lit("held").alias("variant"), F.col("held").alias("score")),
+                F.struct(F.when(coarse, "coarse").otherwise("extra").alias("variant"), F.col("p1").alias("score")))
+    d = h.withColumn("v", F.explode(v)).select("entity", "bin", "label", "v.*")
+    per = M.per_time_at_k(d, "score", [20], ["bin", "variant"])
+    return per.groupBy("variant").agg(F.count("*").alias("times"), F.sum("pos").alias("positives"), F.sum("hits_20").alias("hits"))
+
+
+@plan("warning_rows", "J18", ("scores", "faults"), f"""SELECT f.event_id, count(*) AS rows, max(s.p1) AS top FROM faults f JOIN scores s ON s.entity = f.entity AND s.t >= f.t - {D} AND s.t < f.t GROUP BY 1""", "top")
+def _(c):
+    from ..operators.joins import interval_join
+    iv = c.faults.select("entity", "event_id", (F.col("t") - DAY).alias("lo"), F.col("t").alias("hi"))
+    j = interval_join(c.tape.select("entity", "t", "p1"), iv, ["entity"], "t", "lo", "hi", DAY)
+    return j.groupBy("event_id").agg(F.count("*").alias("rows"), F.max("p1").alias("top"))
