@@ -57,9 +57,20 @@ def sliding_moments(df: DataFrame, keys: list[str], cols: Sequence[str], W: int,
     fwd = Window.partitionBy(*keys, "_blk").orderBy(bin_col).rowsBetween(Window.unboundedPreceding, 0)
     bwd = Window.partitionBy(*keys, "_blk").orderBy(F.desc(bin_col)).rowsBetween(Window.unboundedPreceding, 0)
 
+    moments = [x for x in ("n", "mean", "std") if x in stats]
+
     def part(c, w):
-        return F.struct(F.count(c).over(w).alias("n"), F.avg(c).over(w).alias("m"), F.var_pop(c).over(w).alias("v"),
-                        F.max(c).over(w).alias("x"), F.min(c).over(w).alias("i"))
+        """Only the running values the requested statistics need."""
+        f = []
+        if moments:
+            f += [F.count(c).over(w).alias("n"), F.avg(c).over(w).alias("m")]
+        if "std" in stats:
+            f.append(F.var_pop(c).over(w).alias("v"))
+        if "max" in stats:
+            f.append(F.max(c).over(w).alias("x"))
+        if "min" in stats:
+            f.append(F.min(c).over(w).alias("i"))
+        return F.struct(*f)
 
     base = base.withColumns({f"_p_{c}": part(c, fwd) for c in cols})
     base = base.withColumns({f"_s_{c}": part(c, bwd) for c in cols})
@@ -72,15 +83,19 @@ def sliding_moments(df: DataFrame, keys: list[str], cols: Sequence[str], W: int,
     out = {}
     for c in cols:
         p, s = F.col(f"_p_{c}"), F.col(f"_s_{c}")
-        na, nb = F.coalesce(s["n"], F.lit(0)), F.coalesce(p["n"], F.lit(0))
-        ma, mb = F.coalesce(s["m"], F.lit(0.0)), F.coalesce(p["m"], F.lit(0.0))
-        n = na + nb
-        m2 = na * F.coalesce(s["v"], F.lit(0.0)) + nb * F.coalesce(p["v"], F.lit(0.0)) + (ma - mb) * (ma - mb) * na * nb / n
-        out[f"{c}_n{tag}"] = F.when(F.col("_ok"), n)
-        out[f"{c}_mean{tag}"] = F.when(F.col("_ok") & (n > 0), (na * ma + nb * mb) / n)
-        out[f"{c}_std{tag}"] = F.when(F.col("_ok") & (n > 0), F.sqrt(m2 / n))
-        out[f"{c}_max{tag}"] = F.when(F.col("_ok"), F.greatest(s["x"], p["x"]))
-        out[f"{c}_min{tag}"] = F.when(F.col("_ok"), F.least(s["i"], p["i"]))
+        if moments:
+            na, nb = F.coalesce(s["n"], F.lit(0)), F.coalesce(p["n"], F.lit(0))
+            ma, mb = F.coalesce(s["m"], F.lit(0.0)), F.coalesce(p["m"], F.lit(0.0))
+            n = na + nb
+            out[f"{c}_n{tag}"] = F.when(F.col("_ok"), n)
+            out[f"{c}_mean{tag}"] = F.when(F.col("_ok") & (n > 0), (na * ma + nb * mb) / n)
+        if "std" in stats:
+            m2 = na * F.coalesce(s["v"], F.lit(0.0)) + nb * F.coalesce(p["v"], F.lit(0.0)) + (ma - mb) * (ma - mb) * na * nb / n
+            out[f"{c}_std{tag}"] = F.when(F.col("_ok") & (n > 0), F.sqrt(m2 / n))
+        if "max" in stats:
+            out[f"{c}_max{tag}"] = F.when(F.col("_ok"), F.greatest(s["x"], p["x"]))
+        if "min" in stats:
+            out[f"{c}_min{tag}"] = F.when(F.col("_ok"), F.least(s["i"], p["i"]))
     drop = [x for c in cols for x in (f"_p_{c}", f"_s_{c}")] + ["_blk", "_ok"]
     wanted = {k: v for k, v in out.items() if any(k.endswith(f"_{x}{tag}") for x in stats)}
     return base.withColumns(wanted).drop(*drop)
