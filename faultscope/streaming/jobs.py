@@ -8,16 +8,19 @@ state machine runs, so the result does not depend on file or partition order.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ranking import topk
 from ..session import scratch_path
 
-SECOND_MS = 1000
+# Executors get the state functions with the job, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def run_to_table(stream: DataFrame, label: str, checkpoint: str | None = None, path: str | None = None, mode: str = "append") -> DataFrame:
