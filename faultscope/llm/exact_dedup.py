@@ -40,10 +40,8 @@ def keyed_state(feed_path: str, like: DataFrame, trigger_bytes: int | None = Non
     spark = like.sparkSession
     checkpoint = checkpoint or scratch_path(spark, "dedup-state")
     reader = spark.readStream.schema(like.schema)
-    if trigger_bytes:
-        reader = reader.option("maxBytesPerTrigger", trigger_bytes)
-    if files:
-        reader = reader.option("maxFilesPerTrigger", files)
+    if files or trigger_bytes:  # Spark takes one of the two
+        reader = reader.option(*(("maxFilesPerTrigger", files) if files else ("maxBytesPerTrigger", trigger_bytes)))
     state = reader.parquet(feed_path).groupBy("digest").agg(
         F.max("id").alias("keep_id"), F.max_by("at", "id").alias("keep_at"), F.count(F.lit(1)).alias("group_size"))
     key, old = "spark.sql.streaming.stateStore.providerClass", None
