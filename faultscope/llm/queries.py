@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import q_dedup
 
 QUERIES = {
+    "op9_simhash_near_dedup": q_dedup.op9_simhash_near_dedup,
     "op10_exact_dedup": q_dedup.op10_exact_dedup,
 }
 SQL = {
