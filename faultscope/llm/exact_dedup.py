@@ -25,7 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import scratch_path
 from .common import ascii_lower, back_to_id, id_of
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; without preallocation, which takes megabytes for each of many small stores.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def sha256(text: Column) -> Column:
@@ -44,14 +46,15 @@ def keyed_state(feed_path: str, like: DataFrame, trigger_bytes: int | None = Non
         reader = reader.option(*(("maxFilesPerTrigger", files) if files else ("maxBytesPerTrigger", trigger_bytes)))
     state = reader.parquet(feed_path).groupBy("digest").agg(
         F.max("id").alias("keep_id"), F.max_by("at", "id").alias("keep_at"), F.count(F.lit(1)).alias("group_size"))
-    key, old = "spark.sql.streaming.stateStore.providerClass", None
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in STATE}
     try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(key, old) if old else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     kept = spark.read.format("statestore").load(checkpoint)
     fields = kept.schema["value"].dataType.fieldNames()  # buffers in the order of the aggregates: max, (value, ordering), count
     return kept.select("key.digest", F.col("value")[fields[0]].alias("keep_id"), F.col("value")[fields[1]].alias("keep_at"), F.col("value")[fields[3]].alias("group_size"))
