@@ -1 +1,10 @@
-"""Operators for training-data pipelines; nothing else in the library imports this package."""
+"""Operators for training-data pipelines; nothing else in the library imports this package.
+
+Its functions travel with the job, so executors need not have the package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

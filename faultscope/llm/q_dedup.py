@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, simhash, substring
 from .common import table
 
 
@@ -23,3 +23,27 @@ FROM d JOIN g ON d.norm = g.norm
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(range(len(w) - 19)) AS start FROM d WHERE len(w) >= 20
+), g AS (
+  SELECT doc_id, start, row_number() OVER (PARTITION BY array_to_string(w[start + 1:start + 20], ' ') ORDER BY doc_id, start) > 1 AS again FROM s
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM g WHERE again
+), r AS (SELECT doc_id, list(place) AS gone FROM gone GROUP BY doc_id),
+k AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS m,
+         CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END AS kept
+  FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+)
+SELECT doc_id, n AS n_words, m AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""

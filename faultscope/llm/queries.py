@@ -5,9 +5,11 @@ from __future__ import annotations
 from . import q_dedup
 
 QUERIES = {
+    "op1_substring_dedup": q_dedup.op1_substring_dedup,
     "op9_simhash_near_dedup": q_dedup.op9_simhash_near_dedup,
     "op10_exact_dedup": q_dedup.op10_exact_dedup,
 }
 SQL = {
+    "op1_substring_dedup": q_dedup.OP1_SQL,
     "op10_exact_dedup": q_dedup.OP10_SQL,
 }
