@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import q_dedup
+from . import packing, q_dedup, token_counts
 
 QUERIES = {
     "op1_substring_dedup": q_dedup.op1_substring_dedup,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op6_packing": packing.op6_packing,
     "op9_simhash_near_dedup": q_dedup.op9_simhash_near_dedup,
     "op10_exact_dedup": q_dedup.op10_exact_dedup,
 }
