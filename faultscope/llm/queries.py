@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, packing, q_dedup, secrets, token_counts
+from . import chat, contamination, packing, q_dedup, quality, secrets, token_counts
 
 QUERIES = {
     "op1_substring_dedup": q_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_packing": packing.op6_packing,
     "op7_decontamination": contamination.op7_decontamination,
+    "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_simhash_near_dedup": q_dedup.op9_simhash_near_dedup,
     "op10_exact_dedup": q_dedup.op10_exact_dedup,
 }
