@@ -127,7 +127,7 @@ def _quads(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarr
 def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     n, m = x.shape if len(x) else (0, len(NAMES))
     share = float(y.mean()) if n else 0.5
-    if not 0 < share < 1:
+    if not n or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Additive([], [], float(np.log(share / (1 - share))))
     cuts = lambda k, bins: np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1]))
