@@ -6,7 +6,7 @@ word that no item has is number 0. A match ends at a word, so hits are word rang
 byte spans of the words map them to code points of the original text.
 
 The items' windows are the only thing broadcast. Their size is counted first: beyond
-``BLOCK`` windows the items are dealt into blocks by hash, each scanned with an automaton of
+``BLOCK`` (half the bytes) the items are dealt into blocks by hash, each scanned with an automaton of
 its own, and the (few) hit documents are put together by key. Documents themselves never
 move while there is one block.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import batch_of, plain_word_spans, plain_words, table
 
-WINDOW, BLOCK = 10, 200_000
+WINDOW, BLOCK = 10, 500_000
 
 
 class Windows:
@@ -107,21 +107,37 @@ def _scan(rows: DataFrame, items: list[tuple], window: int, only_hits: bool) ->
     return rows.mapInArrow(run, f"{ROW}, key long, runs {SPANS}")
 
 
+class item_blocks:
+    """The items in blocks of bounded size, each fetched when its turn comes."""
+
+    def __init__(self, items: DataFrame, item_col: str, item_text: str, block: int):
+        tests = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
+        size = int(tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // 2  # no fewer than there are windows
+        self.n = max(1, -(-size // block))
+        self.dealt = tests.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(self.n)))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self):
+        for k in range(self.n):
+            yield [(r.i, r.t) for r in self.dealt.where(F.col("block") == k).select("i", "t").collect()]
+
+    def first(self) -> list[tuple]:
+        return next(iter(self))
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                   window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row per document row: id, n_words, n_hit, items (sorted ids), spans (code points), contaminated."""
-    tests = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
-    size = tests.agg(F.sum(F.size(F.split("t", " ")))).first()[0] or 0  # at least about the number of windows
-    blocks = -(-size // block) or 1
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    dealt = tests.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks)))
-    parts = [[(r.i, r.t) for r in dealt.where(F.col("block") == k).select("i", "t").collect()] for k in range(blocks)] if blocks == 1 else None
-    if parts:
-        out = _scan(rows, parts[0], window, False).drop("key", "runs")
+    parts = item_blocks(items, item_col, item_text, block)
+    if len(parts) == 1:
+        out = _scan(rows, parts.first(), window, False).drop("key", "runs")
     else:
         hits = None
-        for k in range(blocks):
-            part = _scan(rows, [(r.i, r.t) for r in dealt.where(F.col("block") == k).select("i", "t").collect()], window, True).select("key", "items", "runs")
+        for items_ in parts:
+            part = _scan(rows, items_, window, True).select("key", "items", "runs")
             hits = part if hits is None else hits.unionByName(part)
         put = hits.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.flatten(F.collect_set("runs")).alias("runs"))
         out = rows.join(put, "key", "left").select("id", "text", "items", "runs").mapInArrow(_merge, ROW)
@@ -147,6 +163,23 @@ def _merge(batches):
             yield batch_of(schema, list(zip(*out, strict=True)))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+               window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """Rows of ``docs``, all columns, without a hit; each block of items is one filter, nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def clean(shared):
+        def run(batches):
+            windows = shared.value
+            for b in batches:
+                yield b.filter(pa.array([not windows.scan(t.as_py())[1] for t in b.column(at)], pa.bool_()))
+        return run
+
+    for part in item_blocks(items, item_col, item_text, block):
+        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(Windows(part, window))), docs.schema)
+    return docs
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, packing, q_dedup, quality, secrets, token_counts
+from . import chat, contamination, html, packing, q_dedup, quality, secrets, token_counts
 
 QUERIES = {
     "op1_substring_dedup": q_dedup.op1_substring_dedup,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_html_extraction": html.op5_html_extraction,
     "op6_packing": packing.op6_packing,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_quality_classifier": quality.op8_quality_classifier,
