@@ -82,6 +82,17 @@ class Canon:
         t = self.telemetry.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
         return t.select(F.struct(bin_index("lo", T0, self.step).alias("lo"), bin_index("hi", T0, self.step).alias("hi"))).scalar()
 
+    @cached_property
+    def first_last(self) -> tuple[int, int]:
+        """First and last bin as numbers, for driver loops over origins."""
+        row = self.telemetry.agg(F.min(bin_index("t", T0, self.step)), F.max(bin_index("t", T0, self.step))).first()
+        return int(row[0]), int(row[1])
+
+    def at(self, part: int, of: int) -> int:
+        """Bin at a share of the recording; ``oracle.at`` is the same in SQL."""
+        lo, hi = self.first_last
+        return lo + (hi - lo + 1) * part // of
+
     @property
     def bounds(self):
         """First and last decision time, for the sweeps over decisions."""

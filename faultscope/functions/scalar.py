@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, functions as F
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
@@ -38,10 +38,6 @@ def local_day(t, offset_us: int = 9 * HOUR) -> Column:
     return idiv(_c(t) + F.lit(offset_us), DAY)
 
 
-def local_half_day(t, offset_us: int = 9 * HOUR) -> Column:
-    return idiv(_c(t) + F.lit(offset_us), DAY // 2)
-
-
 def day_key(t, tz: str = "Asia/Seoul") -> Column:
     """``yyyy-MM-dd`` in a named zone."""
     return F.date_format(F.from_utc_timestamp(F.timestamp_micros(_c(t)), tz), "yyyy-MM-dd")
@@ -87,21 +83,19 @@ def normalize_node(col) -> Column:
 
 
 def valid_code(col) -> Column:
-    """Finite, whole and non-negative; everything else is 'not observed'."""
-    c = _c(col).cast("double")
-    ok = ~F.isnan(c) & (c < F.lit(2.0**31)) & (c == F.floor(c)) & (c >= 0)
-    return F.when(ok, c.cast("bigint"))
+    """Finite, whole and non-negative, of any size a bigint holds; everything else is 'not observed'.
 
-
-def nan_to_null(col) -> Column:
-    c = _c(col)
-    return F.when(~F.isnan(c), c)
+    Whole-number columns keep their digits: only the test looks at the double.
+    """
+    c = _c(col).cast("double")
+    ok = (c >= 0) & (c < F.lit(2.0**63)) & (c == F.rint(c))
+    return F.when(ok, _c(col).cast("bigint"))
 
 
-def clean(col, limit: float = 1e6) -> Column:
-    """End-of-assembly cleaning: NULL/NaN to 0 and infinities to +-limit."""
-    c = F.coalesce(F.nanvl(_c(col), F.lit(0.0)), F.lit(0.0))
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), c))
+def clean(col) -> Column:
+    """End-of-assembly cleaning: NULL, NaN and infinities become 0; finite values stay."""
+    c = _c(col).cast("double")
+    return F.when(F.abs(c) < F.lit(float("inf")), c).otherwise(F.lit(0.0))
 
 
 def safe_ratio(num, den) -> Column:
@@ -245,7 +239,3 @@ def score_chunk(order) -> Column:
     """
     c = _c(order).cast("double")
     return F.floor(F.signum(c) * F.log1p(F.abs(c) * 1e6) * 64.0).cast("bigint")
-
-
-def sorted_by(df, keys, order):
-    return Window.partitionBy(*keys).orderBy(*order)

@@ -30,10 +30,23 @@ def with_node_diff(df: DataFrame) -> DataFrame:
     return df.withColumns({f"{m}_diff_node": F.col(f"{m}_last") - F.col(f"{m}_node_mean") for m in CONTEXT})
 
 
-def basic30(grid: DataFrame, w: int, gap: int = 3) -> DataFrame:
-    """Six window statistics of four metrics, group mean and distance for three."""
+def zero_filled(df: DataFrame) -> DataFrame:
+    """Missing last, mean and group mean become 0 before the differences (the frozen and the integrated layout)."""
+    c, zero = F.col, lambda n: F.coalesce(F.col(n), F.lit(0.0))
+    d = df.withColumns({f"{m}_{s}": zero(f"{m}_{s}") for m in METRICS for s in ("last", "mean")} | {f"{m}_node_mean": zero(f"{m}_node_mean") for m in CONTEXT})
+    return d.withColumns({f"{m}_delta": c(f"{m}_last") - c(f"{m}_mean") for m in METRICS})
+
+
+def basic30(grid: DataFrame, w: int, gap: int = 3, zero_last: bool = False) -> DataFrame:
+    """Six window statistics of four metrics, group mean and distance for three.
+
+    ``zero_last`` keeps rows with full history only and fills missing values with 0 first.
+    """
     d = _lagged_context(_levels(grid), gap)
-    d = with_node_diff(W.lag_window(d, KEYS, METRICS, w, gap, tag=""))
+    if zero_last:
+        d = d.withColumn("has_history", W.has_history(KEYS, w, gap))
+    d = W.lag_window(d, KEYS, METRICS, w, gap, tag="")
+    d = with_node_diff(zero_filled(d.where("has_history")) if zero_last else d)
     cols = [f"{m}_{s}" for m in METRICS for s in ("last", "mean", "max", "min", "std", "delta")]
     cols += [f"{m}_{s}" for m in CONTEXT for s in ("node_mean", "diff_node")]
     return d.select(*ID, *cols)
@@ -94,11 +107,14 @@ def peer45(grid: DataFrame, w: int, gap: int = 3, layout: str = "integrated", ho
     d = d.withColumns({f"{m}_node_mean": F.lag(f"_g_{m}", gap).over(ew) for m in CONTEXT}
                       | {p: F.lag(p, gap).over(ew) for p in peers}
                       | {"has_history": W.has_history(ent, w, gap)})
+    d = d.where("has_history")
+    if layout == "integrated":
+        d = zero_filled(d)
     d = dynamics(cross_metric(with_node_diff(d)), hours)
     stats = ("last", "mean", "max", "min", "std", "delta") if layout == "unified" else ("last", "mean", "std", "delta")
     cols = [f"{m}_{s}" for m in METRICS for s in stats] + [f"{m}_{s}" for m in CONTEXT for s in ("node_mean", "diff_node")]
     cols += CROSS + TOPOLOGY + ([] if layout == "unified" else RELATIVE + DYNAMICS)
-    return d.where("has_history").select(*ID, *[clean(c).alias(c) for c in cols])
+    return d.select(*ID, *[clean(c).alias(c) for c in cols])
 
 
 def history5(decisions: DataFrame, onsets: DataFrame, buffer: int = 10 * MINUTE, cap_days: float = 90.0,

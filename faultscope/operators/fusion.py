@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import HOUR, expit, fuse, idiv, inertia_blend, logit, pareto_weight
@@ -47,7 +50,8 @@ def ema_memory(df: DataFrame, keys: list[str], t: str, value: str, half_life_hou
     else:
         narrow = d.select(*cols)
         s = segments(narrow, keys, [t], idiv(t, width), lambda p, c: c[t] - p[t] >= reset_us, seg).select(*keys, t, seg)
-        d = d.join(s, [*keys, t])
+        s = s.select(F.struct(*keys).alias("_key"), t, seg)
+        d = d.withColumn("_key", F.struct(*keys)).join(s, ["_key", t]).drop("_key")
         part = [*keys, seg]
         d = d.withColumn("_chunk", idiv(t, width))
     w = Window.partitionBy(*part, "_chunk").orderBy(t)
@@ -80,7 +84,7 @@ def ema_memory(df: DataFrame, keys: list[str], t: str, value: str, half_life_hou
     zero = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0).cast("bigint").alias("lt"), empty.alias("out"))
     carry = folded.select(*part, F.explode(F.aggregate("a", zero, step, lambda s: s["out"])).alias("o")).select(
         *part, F.col("o._chunk").alias("_chunk"), F.col("o.before").alias("_before"), F.col("o.mf").alias("_mf"))
-    d = d.join(carry, [*part, "_chunk"])
+    d = d.join(carry.withColumnsRenamed({k: f"_r_{k}" for k in (*part, "_chunk")}), reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in (*part, "_chunk")]))
     mem = F.when(F.col("_pt").isNull(), F.col("_before")).otherwise(
         F.col("_pacc") * two(-rel(F.col("_pt"))) + F.col("_mf") * two(-((F.col("_pt") - F.col("_ft")) / F.lit(h))))
     return d.select(*[F.col(c) for c in df.columns], mem.alias(name))

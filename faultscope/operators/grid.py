@@ -45,12 +45,6 @@ def fill_counts(df: DataFrame, metrics) -> DataFrame:
     return df.fillna(0, subset=[f"{m}_n" for m in metrics])
 
 
-def time_grid(df: DataFrame, t: str, step: int) -> DataFrame:
-    """Arithmetic sequence from the first to the last time."""
-    b = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
-    return b.select(F.explode(F.sequence("lo", "hi", F.lit(step))).alias(t))
-
-
 def assemble_metrics(frames: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """Long metric frames (``keys, value``) side by side; one shuffle for all metrics.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import clip, dcg_discount, ideal_dcg, score_chunk
-from .joins import Source, asof_multi, interval_join
+from ..functions.scalar import DAY, clip, dcg_discount, ideal_dcg, idiv, score_chunk
+from .joins import Source, asof, asof_multi, interval_join
 from .ranking import risk_rank, topk
-from .scan import scan
+from .scan import scan, sequence_number
 from .summaries import with_percentiles
 
 
@@ -129,14 +129,20 @@ def at_threshold(df: DataFrame, group: list[str], score: str, label: str, thresh
 def onset_capture(top: DataFrame, times: DataFrame, onsets: DataFrame, lo: int, hi: int, step: int, closed: str = "both") -> DataFrame:
     """Per onset: selected at least once in ``[onset - lo, onset - hi]``, first alert and lead.
 
-    Eligible only when every scheduled time of the window exists in ``times``.
+    ``times`` holds the scheduled times that may be used. An onset is eligible if its window
+    begins at or after the first of them, ends at or before the last, and no time of the
+    regular schedule (``step``) inside the window is missing; both counts come from numbers
+    looked up on the ordered time axis.
     """
     on = onsets.select("entity", F.col("t").alias("onset_t")).distinct().withColumns({
         "w_lo": F.col("onset_t") - F.lit(lo), "w_hi": F.col("onset_t") - F.lit(hi)})
-    # Number of scheduled times in the window, by running counts on the time axis.
-    axis = times.select("t").distinct()
-    span = axis.agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    full = (F.col("w_lo") >= span.select("a").scalar() - step + 1) & (F.col("w_hi") <= span.select("b").scalar() + step - 1)
+    axis = sequence_number(times.select("t").distinct(), [], ["t"], idiv("t", DAY), "_seq")
+    span = axis.agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.struct("a", "b")).scalar()
+    on = asof(on, axis.select(F.col("t").alias("_at"), "_seq"), [], "w_hi", "_at", {"_upto": "_seq"})
+    on = asof(on.withColumn("_before_lo", F.col("w_lo") - 1), axis.select(F.col("t").alias("_at"), "_seq"), [], "_before_lo", "_at", {"_before": "_seq"})
+    have = F.coalesce("_upto", F.lit(0)) - F.coalesce("_before", F.lit(0))
+    due = idiv(F.col("w_hi") - span["a"], step) - idiv(F.col("w_lo") - span["a"] - 1, step)
+    full = (F.col("w_lo") >= span["a"]) & (F.col("w_hi") <= span["b"]) & (due > 0) & (have == due)
     hits = interval_join(top.select("entity", "t"), on, ["entity"], "t", "w_lo", "w_hi", width=lo, closed=closed)
     first = hits.groupBy("entity", "onset_t").agg(F.min("t").alias("first_alert"), F.count("*").alias("alerts"))
     d = on.join(first, ["entity", "onset_t"], "left")
@@ -164,9 +170,9 @@ def episode_capture(rows: DataFrame, onsets: DataFrame, k: int, horizon: int) ->
     ep = d.groupBy("entity", "code", "onset_t").agg(
         F.max(hit.cast("int")).alias("hit"), (1 - F.exp(F.sum(miss))).alias("random"),
         F.min(F.when(hit, F.col("t"))).alias("first_t"))
-    return ep.groupBy("code").agg(
-        F.count("*").alias("episodes"), F.sum("hit").alias("captured"), F.avg("hit").alias("rate"), F.avg("random").alias("random_rate"),
-        F.percentile((F.col("onset_t") - F.col("first_t")) / 3_600_000_000, 0.5).alias("median_lead_hours"))
+    a = ep.groupBy("code").agg(F.count("*").alias("episodes"), F.sum("hit").alias("captured"), F.avg("hit").alias("rate"), F.avg("random").alias("random_rate"))
+    lead = ep.select("code", ((F.col("onset_t") - F.col("first_t")) / 3_600_000_000).alias("_lead"))
+    return with_percentiles(a, lead, ["code"], "_lead", {"median_lead_hours": 0.5})
 
 
 def random_reference(n: Column, k: int, times_per_day: int = 287, steps_per_hour: int = 12) -> list[Column]:

@@ -100,5 +100,6 @@ def standardize(df: DataFrame, train: Column, cols: list[str], suffix: str = "_z
 
 def impute_median(df: DataFrame, train: Column, cols: list[str]) -> DataFrame:
     """NULL becomes the training median (training rows only, so nothing leaks)."""
-    a = df.where(train).agg(*[F.percentile(c, 0.5).alias(c) for c in cols])
-    return df.withColumns({c: F.coalesce(F.col(c), a.select(c).scalar()) for c in cols})
+    from .summaries import exact_percentiles
+
+    return df.withColumns({c: F.coalesce(F.col(c), exact_percentiles(df.where(train), [], c, {"m": 0.5}).select("m").scalar()) for c in cols})

@@ -41,9 +41,12 @@ def scan(
     src = df.withColumn("_chunk", chunk)
     for n, spec in run.items():
         src = src.withColumn(f"_in_{n}", spec[1])
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    by = ["_key"] if keys else []  # one struct: NULL keys meet in the join below as they do in a window
+    if keys:
+        src = src.withColumn("_key", F.struct(*keys))
+    w = Window.partitionBy(*by, "_chunk").orderBy(*order)
     local, edge, carry, out = [], [], [], []
-    cw = Window.partitionBy(*keys).orderBy("_chunk")
+    cw = Window.partitionBy(*by).orderBy("_chunk")
     before = cw.rowsBetween(Window.unboundedPreceding, -1)
     for n, spec in run.items():
         kind, strict = spec[0], len(spec) > 2
@@ -62,8 +65,8 @@ def scan(
         both = F.coalesce(F.col(f"_loc__{tag}"), F.col(f"_car__{tag}"))
         out += [both[o].alias(o) for o in cols]
     rows = src.select("*", *local)
-    edges = src.groupBy(*keys, "_chunk").agg(*edge).select(*keys, "_chunk", *carry)
-    return rows.join(edges, [*keys, "_chunk"], "left").select(*[F.col(c) for c in df.columns], *out)
+    edges = src.groupBy(*by, "_chunk").agg(*edge).select(*by, "_chunk", *carry)
+    return rows.join(edges, [*by, "_chunk"], "left").select(*[F.col(c) for c in df.columns], *out)
 
 
 def running(df, keys, order, chunk, outputs: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
@@ -100,24 +103,27 @@ def segments(
     """
     prev, lead = prev or {}, lead or {}
     row = F.struct(*[F.col(c) for c in df.columns])
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    by = ["_key"] if keys else []
+    w = Window.partitionBy(*by, "_chunk").orderBy(*order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     src = df.withColumn("_chunk", chunk).withColumn("_cur", row)
+    if keys:
+        src = src.withColumn("_key", F.struct(*keys))
     local = src.withColumn("_prev", F.lag("_cur").over(w))
     if lead:
         local = local.withColumn("_next", F.lead(F.struct(*[F.col(c).alias(o) for o, c in lead.items()])).over(w))
     flag = F.when(F.col("_prev").isNull(), 0).when(starts(F.col("_prev"), F.col("_cur")), 1).otherwise(0)
     local = local.withColumn("_new", flag.cast("bigint")).withColumn("_loc", F.sum("_new").over(run))
     key = F.struct(*order)
-    edges = local.groupBy(*keys, "_chunk").agg(
+    edges = local.groupBy(*by, "_chunk").agg(
         F.min_by("_cur", key).alias("_first"), F.max_by("_cur", key).alias("_last"), F.sum("_new").alias("_n"))
-    cw = Window.partitionBy(*keys).orderBy("_chunk")
+    cw = Window.partitionBy(*by).orderBy("_chunk")
     edges = edges.withColumn("_plast", F.lag("_last").over(cw)).withColumn("_nfirst", F.lead("_first").over(cw))
     edges = edges.withColumn(
         "_open", F.when(F.col("_plast").isNull(), 1).when(starts(F.col("_plast"), F.col("_first")), 1).otherwise(0).cast("bigint"))
     edges = edges.withColumn("_base", F.sum(F.col("_open") + F.col("_n")).over(cw.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
     carry = edges.select(
-        *keys, "_chunk", "_base", F.struct(*[F.col("_plast")[c].alias(c) for c in prev.values()] or [F.lit(1).alias("x")]).alias("_pc"),
+        *by, "_chunk", "_base", F.struct(*[F.col("_plast")[c].alias(c) for c in prev.values()] or [F.lit(1).alias("x")]).alias("_pc"),
         F.col("_plast").isNotNull().alias("_has"),
         *([F.when(F.col("_nfirst").isNotNull(), F.struct(*[F.col("_nfirst")[c].alias(o) for o, c in lead.items()])).alias("_nc")] if lead else []))
     out = [(F.col("_base") + F.col("_loc")).alias(name)]
@@ -126,4 +132,4 @@ def segments(
     if lead:
         both = F.coalesce(F.col("_next"), F.col("_nc"))
         out += [both[o].alias(o) for o in lead]
-    return local.join(carry, [*keys, "_chunk"], "left").select(*[F.col(c) for c in df.columns], *out)
+    return local.join(carry, [*by, "_chunk"], "left").select(*[F.col(c) for c in df.columns], *out)

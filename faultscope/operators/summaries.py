@@ -19,7 +19,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, f
     h = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
     n = h.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     cum = running(h, keys, ["_x"], score_chunk("_x"), {"_cum": ("sum", F.col("_c"))})
-    cum = cum.join(n, keys) if keys else cum.withColumn("_n", n.scalar())
+    if keys:
+        cum = cum.withColumn("_key", F.struct(*keys)).join(n.select(F.struct(*keys).alias("_key"), "_n"), "_key")
+    else:
+        cum = cum.withColumn("_n", n.scalar())
     aggs = []
     for name, p in probs.items():
         pos = (F.col("_n") - 1) * F.lit(float(p))
@@ -33,8 +36,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], x: str, probs: dict[str, f
 def with_percentiles(agg: DataFrame, df: DataFrame, keys: list[str], x: str, probs: dict[str, float]) -> DataFrame:
     """Add quantile columns to an aggregate of the same keys."""
     q = exact_percentiles(df, keys, x, probs)
-    if keys:
-        return agg.join(q, keys, "left")
+    if keys:  # struct keys: the NULL key keeps its quantiles
+        q = q.select(F.struct(*keys).alias("_key"), *probs)
+        return agg.withColumn("_key", F.struct(*keys)).join(q, "_key", "left").drop("_key")
     row = q.select(F.struct(*probs)).scalar()
     return agg.withColumns({p: row[p] for p in probs})
 

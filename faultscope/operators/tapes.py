@@ -101,7 +101,3 @@ def risk_tape(ranked: DataFrame, observability: DataFrame, cutoff: int = 10 * MI
     return ranked.join(observability, ["entity", "bin"], "left").select(
         F.col("t").alias("decision_t"), "entity", F.col("score").alias("risk_score"), F.col("rank").alias("risk_rank"),
         "observability", F.col("fold").alias("model_fold"), (F.col("t") - cutoff).alias("feature_cutoff_t"))
-
-
-def class_of(c: Column) -> Column:
-    return F.coalesce(c, F.lit("unclassified"))

@@ -45,6 +45,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def at(part: int, of: int, table: str = "tel") -> str:
+    """Bin at a share of the recording (``Canon.at``); ``table`` is ``tel`` or one with a ``bin``."""
+    b = f"(t - {T0}) // {STEP}" if table == "tel" else "bin"
+    return f"(SELECT min({b}) + (max({b}) - min({b}) + 1) * {part} // {of} FROM {table})"
+
+
 def compose(uses: tuple[str, ...], body: str) -> str:
     """WITH clause of the needed CTEs (dependencies first) in front of the body."""
     order: list[str] = []

@@ -96,11 +96,11 @@ def _(c):
 @plan("grid_checks", "S14", ("grid",), """i AS (SELECT DISTINCT entity, grp, slot FROM grid),
 g AS (SELECT grp, count(*) AS m, count(DISTINCT slot) AS s, min(slot) AS lo, max(slot) AS hi FROM i GROUP BY 1)
 SELECT 'duplicate_key' AS rule, (SELECT count(*) FROM (SELECT entity, bin FROM grid GROUP BY 1, 2 HAVING count(*) > 1)) AS violations
-UNION ALL SELECT 'off_grid', (SELECT count(*) FROM grid WHERE bin < 0 OR bin > 118)
+UNION ALL SELECT 'off_grid', (SELECT count(*) FROM grid WHERE bin < 0 OR bin > (SELECT max(bin) - 1 FROM grid))
 UNION ALL SELECT 'incomplete_group', (SELECT count(*) FROM g WHERE m <> 8 OR s <> 8 OR lo <> 0 OR hi <> 7)
 UNION ALL SELECT 'entity_in_two_groups', (SELECT count(*) FROM (SELECT entity FROM i GROUP BY 1 HAVING count(*) > 1))""")
 def _(c):
-    return G.grid_violations(c.grid, "entity", "grp", "slot", "bin", F.lit(0), F.lit(118), 8)
+    return G.grid_violations(c.grid, "entity", "grp", "slot", "bin", F.lit(0), c.span["hi"] - 1, 8)
 
 
 @plan("coverage_violations", "S15", ("grid",), "SELECT entity, bin, util_n FROM grid WHERE util_n > 4")
@@ -289,13 +289,22 @@ b30 AS (SELECT *, {', '.join(f'{m}_last - {m}_node_mean AS {m}_diff_node' for m
 """
 
 
+B30Z = ", b30z AS (SELECT * REPLACE (" + ", ".join(f"coalesce({m}_last, 0) AS {m}_last, coalesce({m}_last, 0) - coalesce({m}_mean, 0) AS {m}_delta, coalesce({m}_mean, 0) AS {m}_mean" for m in METRICS) + ", " + ", ".join(
+    f"coalesce({m}_node_mean, 0) AS {m}_node_mean, coalesce({m}_last, 0) - coalesce({m}_node_mean, 0) AS {m}_diff_node" for m in X.CONTEXT) + ") FROM b30 WHERE ok)"
+
+
+@plan("features_basic30_frozen", "M1", ("grid",), B30_SQL + B30Z + f" SELECT entity, grp, slot, bin, {', '.join(B30)} FROM b30z", " ".join(B30))
+def _(c):
+    return X.basic30(c.grid, 12, zero_last=True)
+
+
 @plan("features_basic30", "M1 J15 W6", ("grid",), B30_SQL + f"SELECT entity, grp, slot, bin, {', '.join(B30)} FROM b30", " ".join(B30))
 def _(c):
     return X.basic30(c.grid, 12)
 
 
 def clean_sql(c):
-    return f"greatest(-1e6, least(1e6, coalesce({c}, 0.0::DOUBLE))) AS {c}"
+    return f"CASE WHEN isfinite({c}) THEN {c} ELSE 0.0::DOUBLE END AS {c}"
 
 
 def peer45_plan(layout):
@@ -303,13 +312,15 @@ def peer45_plan(layout):
     cols = [f"{m}_{s}" for m in METRICS for s in stats] + [f"{m}_{s}" for m in X.CONTEXT for s in ("node_mean", "diff_node")]
     cols += X.CROSS + X.TOPOLOGY + ([] if layout == "unified" else X.RELATIVE + X.DYNAMICS)
     peers = [f"{m}_peer_{s}" for m in X.CONTEXT for s in ("mean", "max", "std", "rank")]
-    sql = B30_SQL + f""", p AS (SELECT entity, bin, util, temp, power, {', '.join(peer_sql(m, 'legacy') for m in X.CONTEXT)} FROM lv WINDOW g AS (PARTITION BY grp, bin)),
+    zero = "" if layout == "unified" else f""", b30z AS (SELECT * REPLACE ({', '.join(f'coalesce({m}_last, 0) AS {m}_last, coalesce({m}_last, 0) - coalesce({m}_mean, 0) AS {m}_delta, coalesce({m}_mean, 0) AS {m}_mean' for m in METRICS)},
+ {', '.join(f'coalesce({m}_node_mean, 0) AS {m}_node_mean, coalesce({m}_last, 0) - coalesce({m}_node_mean, 0) AS {m}_diff_node' for m in X.CONTEXT)}) FROM b30)"""
+    sql = B30_SQL + zero + f""", p AS (SELECT entity, bin, util, temp, power, {', '.join(peer_sql(m, 'legacy') for m in X.CONTEXT)} FROM lv WINDOW g AS (PARTITION BY grp, bin)),
 p2 AS (SELECT *, {', '.join(f"coalesce({m}, 0) - {m}_peer_mean AS {m}_peer_diff, {ratio_sql(f'(coalesce({m}, 0) - {m}_peer_mean)', f'{m}_peer_std')} AS {m}_peer_z" for m in X.CONTEXT)} FROM p),
 p3 AS (SELECT entity, bin, {', '.join(f'lag({x}, 3) OVER w AS {x}' for x in peers + [f"{m}_peer_{s}" for m in X.CONTEXT for s in ("diff", "z")])} FROM p2 {WIN}),
 a AS (SELECT *, {ratio_sql('temp_mean', 'util_mean')} AS thermal_efficiency, {ratio_sql('power_std', 'temp_std')} AS power_temp_ratio,
  util_delta * fb_delta AS util_fb_coupling, {ratio_sql('power_mean', 'util_mean')} AS power_per_util, abs(temp_delta - fb_delta) AS temp_fb_divergence,
  temp_max - temp_mean AS thermal_headroom, power_max - power_mean AS power_headroom, temp_delta / 12 AS temp_slope, power_delta / 12 AS power_slope,
- {ratio_sql('temp_delta', 'temp_std')} AS thermal_persistence FROM b30 JOIN p3 USING (entity, bin) WHERE ok)
+ {ratio_sql('temp_delta', 'temp_std')} AS thermal_persistence FROM {'b30' if layout == 'unified' else 'b30z'} b30 JOIN p3 USING (entity, bin) WHERE ok)
 SELECT entity, grp, slot, bin, {', '.join(clean_sql(c) for c in cols)} FROM a"""
 
     @plan(f"features_peer45_{layout}", "M2 F4 F14 F15 F24 W15 W16 W17", ("grid",), sql, " ".join(cols), digits=4)
@@ -320,14 +331,14 @@ SELECT entity, grp, slot, bin, {', '.join(clean_sql(c) for c in cols)} FROM a"""
 peer45_plan("integrated")
 peer45_plan("unified")
 
-HIST = f"""h AS (SELECT d.entity, d.bin, d.t, count(f.t) FILTER (WHERE f.t >= d.t - 600000000 - 7*{D}) AS count_30d, max(f.t) AS lt
+HIST = f"""h AS (SELECT d.entity, d.bin, d.t, count(f.t) FILTER (WHERE f.t >= d.t - 600000000 - 30*{D}) AS count_30d, max(f.t) AS lt
  FROM decisions d LEFT JOIN faults f ON f.entity = d.entity AND f.t <= d.t - 600000000 GROUP BY ALL)"""
 CAL = f"(t // {H}) % 24 AS hour, (t // {D} + 3) % 7 AS dow, (((t // {D} + 3) % 7) >= 5)::BIGINT AS weekend"
 
 
 @plan("features_history5", "M3 W11 W12 F3", ("decisions", "faults"), HIST + f"""SELECT entity, bin, t, count_30d, coalesce(least((t - 600000000 - lt) / {D}.0::DOUBLE, 90.0), 90.0) AS days_since, {CAL} FROM h""", "days_since")
 def _(c):
-    return X.history5(c.decisions.select("entity", "bin", "t"), c.faults, span=7 * DAY, until=c.bounds[1])
+    return X.history5(c.decisions.select("entity", "bin", "t"), c.faults, until=c.bounds[1])
 
 
 @plan("features_hazard11", "M4 W11 W12 W13 W14", ("decisions", "faults"), f"""e AS (SELECT entity, t, lag(t) OVER (PARTITION BY entity ORDER BY t) AS pt FROM faults),
@@ -382,7 +393,7 @@ def _(c):
 T14 = [f"{m}_{s}" for m in X.CONTEXT for s in ("last", "mean", "delta", "node_mean")]
 
 
-@plan("features_tape14", "M6", ("grid", "decisions", "faults"), B30_SQL + f""", {HIST.replace('7*', '30*')}
+@plan("features_tape14", "M6", ("grid", "decisions", "faults"), B30_SQL + f""", {HIST}
 SELECT entity, grp, slot, bin, t, {', '.join(T14)}, count_30d, coalesce(least((t - 600000000 - lt) / {D}.0::DOUBLE, 95.0), 95.0) AS days_since FROM b30 JOIN h USING (entity, bin)""", " ".join(T14) + " days_since")
 def _(c):
     return X.tape14(c.grid, c.decisions, c.faults, 12, until=c.bounds[1])

@@ -7,7 +7,7 @@ from ..functions.scalar import DAY, HOUR, bin_index, idiv
 from ..operators import joins as J
 from ..operators import labels as L
 from ..session import materialize
-from .oracle import D, H, STEP
+from .oracle import D, H, STEP, at
 from .q_episodes import LEDGER, ledger
 from .registry import plan
 
@@ -122,22 +122,25 @@ def _(c):
     return L.chrono_split(dec(c))
 
 
-@plan("fold_assignment", "P18", ("decisions",), f"""SELECT CASE WHEN bin >= 40 AND bin < 80 THEN 'f1' WHEN bin >= 80 AND bin < 100 THEN 'f2' ELSE 'warmup' END AS fold, count(*) AS rows FROM decisions GROUP BY 1""")
+@plan("fold_assignment", "P18", ("decisions",), f"""c AS (SELECT {at(1, 3, 'decisions')} AS a, {at(2, 3, 'decisions')} AS b, {at(5, 6, 'decisions')} AS e)
+SELECT CASE WHEN bin >= a AND bin < b THEN 'f1' WHEN bin >= b AND bin < e THEN 'f2' ELSE 'warmup' END AS fold, count(*) AS rows FROM decisions, c GROUP BY 1""")
 def _(c):
-    at = lambda b: T0 + b * c.step
-    return L.assign_fold(dec(c), [("f1", at(40), at(80)), ("f2", at(80), at(100))]).groupBy("fold").agg(F.count("*").alias("rows"))
+    a, b, e = (T0 + c.at(*share) * c.step for share in ((1, 3), (2, 3), (5, 6)))
+    return L.assign_fold(dec(c), [("f1", a, b), ("f2", b, e)]).groupBy("fold").agg(F.count("*").alias("rows"))
 
 
-@plan("rolling_origins", "P19 P20", ("bins",), """SELECT bin AS origin, least(bin + 4, (SELECT max(bin) + 1 FROM bins)) AS score_end, bin - 6 - 28 AS train_start, bin - 6 AS train_end, true AS mature
- FROM bins WHERE bin >= 40 AND (bin - 40) % 4 = 0""")
+@plan("rolling_origins", "P19 P20", ("bins",), f"""c AS (SELECT {at(1, 3, 'bins')} AS a)
+SELECT bin AS origin, least(bin + 4, (SELECT max(bin) + 1 FROM bins)) AS score_end, bin - 6 - 28 AS train_start, bin - 6 AS train_end, true AS mature
+ FROM bins, c WHERE bin >= a AND (bin - a) % 4 = 0""")
 def _(c):
-    o = L.origins(c.binned, "bin", 40, 4)
+    o = L.origins(c.binned, "bin", c.at(1, 3) - c.first_last[0], 4)
     return o.join(L.train_intervals(o, 28, 6, 4), "origin")
 
 
-@plan("origin_assignment", "J19 P27", ("decisions",), """SELECT bin // 4 * 4 AS origin, count(*) AS rows, min(bin) AS first_bin, max(bin) AS last_bin FROM decisions WHERE bin >= 40 GROUP BY 1""")
+@plan("origin_assignment", "J19 P27", ("decisions",), f"""c AS (SELECT {at(1, 3, 'decisions')} AS a)
+SELECT bin // 4 * 4 AS origin, count(*) AS rows, min(bin) AS first_bin, max(bin) AS last_bin FROM decisions, c WHERE bin >= a GROUP BY 1""")
 def _(c):
-    d = dec(c).where(F.col("bin") >= 40).withColumn("origin", idiv("bin", 4) * 4)
+    d = dec(c).where(F.col("bin") >= c.at(1, 3)).withColumn("origin", idiv("bin", 4) * 4)
     return d.groupBy("origin").agg(F.count("*").alias("rows"), F.min("bin").alias("first_bin"), F.max("bin").alias("last_bin"))
 
 

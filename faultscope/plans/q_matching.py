@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import DAY, HOUR
+from ..functions.scalar import DAY, HOUR, idiv
 from ..operators import bootstrap as B
 from ..operators import matching as Mt
 from ..session import materialize
@@ -84,7 +84,6 @@ def _(c):
     return candidates(c).select("event_id", "entity", "shift", "point_t")
 
 
-PID = 1_000_003  # point ids are (entity, time) pairs
 
 
 MATCH = CAND + ", " + cv_sql("cv", "ev", "event_id", "start_t") + ", " + win_sql("fw", "cv", "event_id") + f""",
@@ -119,6 +118,22 @@ def _(c):
     return Mt.greedy_match(matched_parts(c)[4], DAY)
 
 
+@plan("greedy_match_contended", "J14 D1", ("tel", "faults"), f"""ev AS (SELECT entity, min(event_id) AS event_id, t // (6*{H}) * (6*{H}) AS start_t FROM faults GROUP BY 1, 3),
+cd AS (SELECT entity, event_id, start_t, s AS shift, start_t + s * {D} AS point_t, ((event_id * 7 + s * 13 + 700) % 5)::DOUBLE AS abs_diff FROM ev, (SELECT unnest([-3, -2, -1, 1, 2, 3]::BIGINT[]) AS s)),
+ls AS (SELECT entity, event_id, start_t % {D} AS phase, count(*) AS n, list({{'p': point_t, 's': shift, 'd': abs_diff}} ORDER BY abs_diff, abs(shift), shift) AS c FROM cd GROUP BY ALL),
+od AS (SELECT *, row_number() OVER (PARTITION BY entity, phase ORDER BY n, event_id) AS i FROM ls),
+st AS (SELECT entity, phase, i, event_id, n, c[1] AS k, [c[1].p] AS taken FROM od WHERE i = 1 UNION ALL
+ SELECT o.entity, o.phase, o.i, o.event_id, o.n, list_filter(o.c, lambda x: NOT list_contains(st.taken, x.p))[1],
+ list_concat(st.taken, list_transform(list_filter(o.c, lambda x: NOT list_contains(st.taken, x.p))[1:1], lambda x: x.p)) FROM st JOIN od o ON o.entity = st.entity AND o.phase = st.phase AND o.i = st.i + 1)
+SELECT entity, event_id, k.s AS shift, k.p AS point_t, k.d AS abs_diff, n AS eligible_candidates FROM st WHERE k IS NOT NULL""", "abs_diff")
+def _(c):
+    start = idiv("t", 6 * HOUR) * F.lit(6 * HOUR)
+    ev = c.faults.groupBy("entity", start.alias("start_t")).agg(F.min("event_id").alias("event_id"))
+    cd = ev.withColumn("shift", F.explode(F.array(*[F.lit(k).cast("bigint") for k in (-3, -2, -1, 1, 2, 3)])))
+    cd = cd.withColumns({"point_t": F.col("start_t") + F.col("shift") * F.lit(DAY), "abs_diff": F.pmod(F.col("event_id") * 7 + F.col("shift") * 13 + 700, F.lit(5)).cast("double")})
+    return Mt.greedy_match(cd, DAY)
+
+
 DIC = MATCH + f""", dd AS (SELECT m.event_id, e.metric, x.comparison, CASE x.comparison WHEN 'pre6' THEN e.pre6 WHEN 'pre3' THEN e.pre3 ELSE e.post3 END - e.base AS event_change,
  CASE x.comparison WHEN 'pre6' THEN p.pre6 WHEN 'pre3' THEN p.pre3 ELSE p.post3 END - p.base AS control_change FROM mt m JOIN fw e USING (event_id) JOIN pw p ON p.point_id = m.point_id AND p.metric = e.metric,
  (VALUES ('pre6'), ('pre3'), ('post3')) x(comparison)), dic AS (SELECT *, event_change - control_change AS difference FROM dd)

@@ -8,7 +8,8 @@ from ..functions.scalar import DAY, HOUR
 from ..operators import fusion as U
 from ..operators import metrics as M
 from ..operators import ranking as R
-from .oracle import D, H
+from ..session import materialize
+from .oracle import D, H, at
 from .registry import plan
 
 
@@ -202,16 +203,19 @@ def _(c):
     return M.at_threshold(c.scores, ["origin"], "p1", "label", F.lit(0.8))
 
 
-CAP = f"""tp AS (SELECT entity, t FROM (SELECT *, {rk()} FROM scores) WHERE rank <= 20), sp AS (SELECT min(t) AS a, max(t) AS b FROM scores),
-cap AS (SELECT o.entity, o.onset_t, any_value(o.onset_t - {D} >= a - 6*{H} + 1 AND o.onset_t - 600000000 <= b + 6*{H} - 1) AS eligible, count(tp.t) > 0 AS captured, count(tp.t) AS alerts,
- (o.onset_t - min(tp.t)) / {H}.0::DOUBLE AS lead_hours FROM (SELECT DISTINCT entity, t AS onset_t FROM faults) o CROSS JOIN sp
+CAP = f"""tp AS (SELECT entity, t FROM (SELECT *, {rk()} FROM scores) WHERE rank <= 20), ax AS (SELECT DISTINCT t FROM scores WHERE bin % 17 <> 5), sp AS (SELECT min(t) AS a, max(t) AS b FROM ax),
+gr AS (SELECT unnest(range(a, b + 1, 6*{H})) AS t FROM sp), du AS (SELECT DISTINCT t - {D} AS lo, t - 600000000 AS hi FROM faults),
+el AS (SELECT lo, lo >= a AND hi <= b AND (SELECT count(*) FROM gr WHERE gr.t BETWEEN lo AND hi) > 0 AND (SELECT count(*) FROM gr WHERE gr.t BETWEEN lo AND hi AND gr.t NOT IN (SELECT t FROM ax)) = 0 AS ok FROM du, sp),
+cap AS (SELECT o.entity, o.onset_t, any_value(el.ok) AS eligible, count(tp.t) > 0 AS captured, count(tp.t) AS alerts,
+ (o.onset_t - min(tp.t)) / {H}.0::DOUBLE AS lead_hours FROM (SELECT DISTINCT entity, t AS onset_t FROM faults) o JOIN el ON el.lo = o.onset_t - {D}
  LEFT JOIN tp ON tp.entity = o.entity AND tp.t >= o.onset_t - {D} AND tp.t <= o.onset_t - 600000000 GROUP BY 1, 2)
 """
 
 
 def capture(c):
     top = R.topk(c.scores, "p1", 20)
-    return M.onset_capture(top, c.decisions, c.faults, DAY, 600_000_000, 6 * HOUR)
+    times = c.decisions.where(F.pmod("bin", F.lit(17)) != 5)  # a schedule with holes
+    return M.onset_capture(top, times, c.faults, DAY, 600_000_000, 6 * HOUR)
 
 
 @plan("onset_capture", "E12 J18", ("scores", "faults"), CAP + "SELECT * FROM cap", "lead_hours")
@@ -222,7 +226,7 @@ def _(c):
 @plan("capture_summary", "E12", ("scores", "faults"), CAP + """SELECT count(*) AS onsets, count(*) FILTER (WHERE captured) AS captured, avg(captured::INT) AS rate, quantile_cont(lead_hours, 0.1) AS lead_p10,
  quantile_cont(lead_hours, 0.5) AS lead_median, quantile_cont(lead_hours, 0.9) AS lead_p90 FROM cap WHERE eligible""", "rate lead_p10 lead_median lead_p90")
 def _(c):
-    return M.capture_summary(capture(c))
+    return M.capture_summary(materialize(capture(c), "capture"))
 
 
 @plan("episode_capture", "E13", ("scores", "faults"), f"""rk AS (SELECT *, {rk()}, count(*) OVER (PARTITION BY bin) AS n FROM scores),
@@ -242,9 +246,9 @@ def _(c):
     return M.population_table(c.scores, "origin", [])
 
 
-@plan("split_metrics", "E16", ("scores",), "sx AS (SELECT *, unnest([CASE WHEN bin < 80 THEN 'development' ELSE 'terminal' END, 'full']) AS split FROM scores), " + ap_sql(["split"], "p1", "sx") + "SELECT * FROM q", "ap auc")
+@plan("split_metrics", "E16", ("scores",), f"sx AS (SELECT *, unnest([CASE WHEN bin < {at(2, 3, 'scores')} THEN 'development' ELSE 'terminal' END, 'full']) AS split FROM scores), " + ap_sql(["split"], "p1", "sx") + "SELECT * FROM q", "ap auc")
 def _(c):
-    return M.ranking_quality(M.split_rows(c.tape, 80), ["split"], "p1", "label")
+    return M.ranking_quality(M.split_rows(c.tape, c.at(2, 3)), ["split"], "p1", "label")
 
 
 @plan("model_metrics", "E28 E25", ("scores",), "sx AS (UNPIVOT (SELECT origin, label, p1, p2 FROM scores) ON p1, p2 INTO NAME model VALUE score), " + ap_sql(["model", "origin"], "score", "sx") + "SELECT * FROM q", "ap auc")
@@ -323,7 +327,7 @@ def _(c):
 FUS = "fu AS (SELECT *, least(0.6, 1.0 / (k + 1)) * p1 + (1 - least(0.6, 1.0 / (k + 1))) * p2 AS fused FROM scores)"
 
 
-@plan("weighted_fusion", "F9 F11 M26", ("scores",), FUS + " SELECT entity, bin, fused FROM fu", "fused")
+@plan("weighted_fusion", "F9 F11", ("scores",), FUS + " SELECT entity, bin, fused FROM fu", "fused")
 def _(c):
     return U.weighted_fusion(c.scores).select("entity", "bin", "fused")
 

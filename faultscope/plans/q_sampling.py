@@ -7,7 +7,7 @@ from ..functions.scalar import DAY, HOUR, bin_index, mix_hash_sql, recency_weigh
 from ..operators import control as C
 from ..operators import metrics as M
 from ..operators import sampling as S
-from .oracle import D, H, STEP
+from .oracle import D, H, STEP, at
 from .q_ranking import ap_sql
 from .registry import plan
 
@@ -61,10 +61,10 @@ def _(c):
     return S.sample_summary(d, "label", "ok")
 
 
-@plan("class_weights", "F18 F17", ("scores",), """a AS (SELECT sum(label) AS p, count(*) AS n, avg(exp(-ln(2) * (119 - bin) / 4.0 / 7)) AS m FROM scores)
-SELECT entity, bin, CASE WHEN label = 1 THEN n / (2.0 * p) ELSE n / (2.0 * (n - p)) END AS weight, exp(-ln(2) * (119 - bin) / 4.0 / 7) / m AS recency FROM scores, a""", "weight recency")
+@plan("class_weights", "F18 F17", ("scores",), """z AS (SELECT max(bin) AS top FROM scores), a AS (SELECT sum(label) AS p, count(*) AS n, avg(exp(-ln(2) * (top - bin) / 4.0 / 7)) AS m FROM scores, z)
+SELECT entity, bin, CASE WHEN label = 1 THEN n / (2.0 * p) ELSE n / (2.0 * (n - p)) END AS weight, exp(-ln(2) * (top - bin) / 4.0 / 7) / m AS recency FROM scores, a, z""", "weight recency")
 def _(c):
-    d = S.class_weight(c.tape, "label").withColumn("age", (119 - F.col("bin")) / 4.0)
+    d = S.class_weight(c.tape, "label").withColumn("age", (c.span["hi"] - F.col("bin")) / 4.0)
     m = d.agg(F.avg(recency_weight("age", 7.0)))
     return d.select("entity", "bin", "weight", (recency_weight("age", 7.0) / m.scalar()).alias("recency"))
 
@@ -79,11 +79,11 @@ def _(c):
     return S.priors(c.tape, sample(c), ["origin"])
 
 
-@plan("standardize", "F19 F20", ("grid",), """a AS (SELECT avg(util_mean) AS mu, stddev_pop(util_mean) AS su, avg(temp_mean) AS mt, stddev_pop(temp_mean) AS st, quantile_cont(temp_mean, 0.5) AS qt FROM grid WHERE bin < 80)
+@plan("standardize", "F19 F20", ("grid",), f"""a AS (SELECT avg(util_mean) AS mu, stddev_pop(util_mean) AS su, avg(temp_mean) AS mt, stddev_pop(temp_mean) AS st, quantile_cont(temp_mean, 0.5) AS qt FROM grid WHERE bin < {at(2, 3, 'grid')})
 SELECT entity, bin, (coalesce(util_mean, mu) - mu) / su AS util_z, (coalesce(temp_mean, mt) - mt) / st AS temp_z, coalesce(temp_mean, qt) AS temp_filled FROM grid, a""", "util_z temp_z temp_filled")
 def _(c):
     d = c.grid.select("entity", "bin", F.col("util_mean").alias("util"), F.col("temp_mean").alias("temp"))
-    train = F.col("bin") < 80
+    train = F.col("bin") < c.at(2, 3)
     d = S.standardize(d, train, ["util", "temp"]).withColumn("temp_filled", F.col("temp"))
     return S.impute_median(d, train, ["temp_filled"]).select("entity", "bin", "util_z", "temp_z", "temp_filled")
 

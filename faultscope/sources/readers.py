@@ -21,6 +21,11 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def checked_csv(spark: SparkSession, schema: T.StructType):
+    """Columns are taken by position, so a file whose header has another order is an error."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+
+
 def read_wide_csv(spark: SparkSession, path: str, time_col: str = "Time", entities: list[str] | None = None,
                   value: str = "value") -> DataFrame:
     """Wide time-series CSV (one column per entity) to ``entity, ts, value``; empty cells are NULL.
@@ -30,18 +35,18 @@ def read_wide_csv(spark: SparkSession, path: str, time_col: str = "Time", entiti
     cols = csv_header(spark, path)
     ids = [c for c in cols if c != time_col]
     schema = T.StructType([T.StructField(c, T.StringType() if c == time_col else T.DoubleType()) for c in cols])
-    df = spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+    df = checked_csv(spark, schema).option("nullValue", "").csv(path)
     keep = ids if entities is None else [e for e in ids if e in set(entities)]
     df = df.select(parse_ts(time_col).alias("ts"), *[F.nanvl(F.col(f"`{c}`"), F.lit(None)).alias(c) for c in keep])
     return df.unpivot(["ts"], keep, "entity", value)
 
 
 def read_fault_log(spark: SparkSession, path: str, time_col: str = "Time", strict: bool = True) -> DataFrame:
-    """Wide fault log to non-zero codes; ``strict`` fails the job on a fractional code."""
+    """Wide fault log to non-zero codes; ``strict`` fails the job on a fractional or negative code."""
     d = read_wide_csv(spark, path, time_col, value="raw")
     if strict:
-        bad = F.col("raw").isNotNull() & (F.col("raw") != F.floor("raw"))
-        d = d.withColumn("raw", F.when(bad, F.raise_error(F.concat(F.lit("fractional code at "), F.col("entity")))).otherwise(F.col("raw")))
+        bad = (F.col("raw") != F.rint("raw")) | (F.col("raw") < 0)
+        d = d.withColumn("raw", F.when(bad, F.raise_error(F.concat(F.lit("fractional or negative code at "), F.col("entity")))).otherwise(F.col("raw")))
     return d.select("entity", "ts", valid_code("raw").alias("code")).where(F.col("code") != 0)
 
 
@@ -67,14 +72,14 @@ def read_onsets(spark: SparkSession, path: str) -> DataFrame:
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     """Job trace; unparsable timestamps become NULL."""
-    d = spark.read.schema(JOB_SCHEMA).option("header", True).csv(path)
+    d = checked_csv(spark, JOB_SCHEMA).csv(path)
     return d.withColumns({c: parse_ts(c) for c in ("submit_time", "start_time", "end_time")})
 
 
 def read_node_power(spark: SparkSession, paths: list[str], power_col: str = "Sys_Total_Power") -> DataFrame:
     """Long node-power files: bad times dropped, node names normalised, values <= 0 are NULL."""
     schema = T.StructType([T.StructField("Time", T.StringType()), T.StructField(power_col, T.DoubleType()), T.StructField("node", T.StringType())])
-    d = spark.read.schema(schema).option("header", True).csv(paths)
+    d = checked_csv(spark, schema).csv(paths)
     p = F.col(power_col)
     return d.select(normalize_node("node").alias("node"), parse_ts("Time").alias("ts"), F.when(p > 0, p).alias("power")).where(F.col("ts").isNotNull())
 

@@ -1,13 +1,14 @@
 """Structured Streaming forms of the batch operators.
 
-Every function maps a streaming DataFrame to a streaming DataFrame (or starts a
-``foreachBatch`` query). Event time is the timestamp column ``ts``. State is per
-entity; within a micro-batch the rows of an entity are ordered by time before the
-state machine runs, so the result does not depend on file or partition order.
+Every function maps a streaming DataFrame to a streaming DataFrame. Event time is the timestamp column ``ts``. State is per entity. Machines with
+memory wait until the watermark has passed a row, so the result does not depend on
+how rows are dealt to files and batches.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import sys
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ranking import topk
+from ..functions.scalar import idiv
 from ..session import scratch_path
 
 # Executors get the state functions with the job, so the package need not be installed there.
@@ -38,6 +39,16 @@ def run_to_table(stream: DataFrame, label: str, checkpoint: str | None = None, p
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def arrival_files(df: DataFrame, path: str, order, batches: int, files: int = 2, first: int = 0, last: int | None = None) -> str:
+    """Write a table as it would arrive: ``batches`` groups of ``files`` files, one group after the other.
+
+    ``order`` is the number of the group of each row (0 .. batches - 1); groups ``first .. last`` are written.
+    """
+    for b in range(first, batches if last is None else last + 1):
+        df.where(order == b).repartition(files).write.mode("append").parquet(path)
+    return path
+
+
 def read_events(spark: SparkSession, base: str, schema: T.StructType, glob: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
     r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch:
@@ -80,141 +91,167 @@ def stream_matured(scores: DataFrame, onsets: DataFrame, horizon: str, delay: st
     return s.join(o, cond, "left_outer").select(*scores.columns, "onset_ts")
 
 
-def stream_topk(scores: DataFrame, score: str, k: int, path: str, checkpoint: str, by=("ts",)) -> None:
-    """Rank the closed times of each micro-batch; the batch id makes a replayed batch overwrite itself."""
+def stream_topk(scores: DataFrame, length_us: int, k: int, delay: str, salts: int = 8) -> DataFrame:
+    """The best rows of every window of ``length_us``, given out once, when the watermark has closed it.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        topk(batch, score, k, by).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    ``scores`` has ``ts, t, score, item``; equal scores prefer the smaller item. A window is kept
+    as ``salts`` lists of at most ``k`` rows, so neither state nor task grows with its rows; the
+    final Top-K of a window is taken among its ``salts * k`` rows when the table is read.
+    """
 
-    q = scores.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    def run(key, pdfs, state: GroupState):
+        score, item = state.get if state.exists else ([], [])
+        best = list(zip(score, item))
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                best = sorted([*best, *zip(pdf["score"].tolist(), pdf["item"].tolist())], key=lambda x: (-x[0], x[1]))[:k]
+        if (key[0] + length_us) // 1000 <= state.getCurrentWatermarkMs():
+            state.remove()
+            yield pd.DataFrame([(key[0], s, i) for s, i in best], columns=["start", "score", "item"])
+        else:
+            state.update(([float(s) for s, _ in best], [int(i) for _, i in best]))
+            state.setTimeoutTimestamp(max((int(key[0]) + length_us) // 1000 - 1, state.getCurrentWatermarkMs() + 1))
+
+    d = scores.withWatermark("ts", delay).withColumns({"start": idiv("t", length_us) * F.lit(length_us), "salt": F.pmod(F.xxhash64("item"), F.lit(salts))})
+    return d.groupBy("start", "salt").applyInPandasWithState(run, "start bigint, score double, item bigint", "score array<double>, item array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- custom state --------------------------------------------------------------------
+#
+# Each machine below keeps the rows that the watermark has not passed in its state
+# (bounded by the delay) and runs over the rows behind it in the order of time. So late
+# rows inside the delay take their place, and the result does not depend on how the
+# input is cut into files or batches. A timer at the watermark releases what is held
+# when an entity gets no more rows; rows later than the delay are dropped by Spark.
+
+HELD = "held_t array<bigint>, held_v array<double>"
 
-def _ordered(pdfs: Iterator[pd.DataFrame], by=("ts",)) -> pd.DataFrame:
-    parts = list(pdfs)
-    if not parts:
-        return pd.DataFrame()
-    return pd.concat(parts, ignore_index=True).sort_values(list(by), kind="stable")
 
+def _released(pdfs: Iterator[pd.DataFrame], held_t, held_v, value: str | None, watermark_us: int, timed_out: bool) -> tuple[list, list, list]:
+    """(rows behind the watermark by time, times still held, values still held).
+
+    A micro-batch of an entity arrives as Arrow chunks; each is merged as it comes.
+    """
+    rows = [(t, math.nan if v is None else v) for t, v in zip(held_t, held_v)]
+    if not timed_out:
+        for pdf in pdfs:
+            rows += zip(pdf["t"].tolist(), pdf[value].to_numpy(dtype=float) if value else [0.0] * len(pdf))
+    rows.sort(key=lambda r: (r[0], r[1] != r[1], r[1]))
+    cut = bisect.bisect_right(rows, watermark_us, key=lambda r: r[0])
+    keep = rows[cut:]
+    return rows[:cut], [int(t) for t, _ in keep], [float(v) for _, v in keep]
+
+
+def _machine(src: DataFrame, key: str, value: str | None, step: Callable, start: tuple, state_cols: str, out: str, delay: str) -> DataFrame:
+    """``step(memory, t, v) -> (memory, output rows)`` over each entity's rows in the order of time.
+
+    ``start`` is the memory before the first row. ``step(memory, None, watermark)`` is asked
+    once the rows are done, to close what the watermark has closed; it returns a third value,
+    the time in microseconds to be asked again, or None.
+    """
+    names = [c.split()[0] for c in out.split(",")]
+
+    def run(k, pdfs, state: GroupState):
+        *memory, held_t, held_v = state.get if state.exists else (*start, [], [])
+        mark = state.getCurrentWatermarkMs() * 1000
+        rows, held_t, held_v = _released(pdfs, held_t, held_v, value, mark, state.hasTimedOut)
+        done: list[tuple] = []
+        for t, v in rows:
+            memory, more = step(memory, int(t), float(v))
+            done += more
+        memory, more, again = step(memory, None, mark)
+        done += more
+        state.update((*memory, held_t, held_v))
+        wake = [*held_t[:1], *([again] if again is not None else [])]
+        if wake:  # fires once the watermark is past it
+            state.setTimeoutTimestamp(max(min(wake) // 1000, state.getCurrentWatermarkMs() + 1))
+        if done:
+            yield pd.DataFrame([(k[0], *d) for d in done], columns=names)
 
-def _stateful(src: DataFrame, key: str, fn: Callable, out: str, state: str, delay: str, timeout=GroupStateTimeout.NoTimeout) -> DataFrame:
-    return src.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(fn, out, state, "append", timeout)
+    return src.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(run, out, f"{state_cols}, {HELD}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 LEDGER_OUT = "entity bigint, code bigint, onset_t bigint, end_t bigint, uncertain_onset boolean, close_reason string"
-LEDGER_STATE = "code bigint, start_t bigint, last_t bigint, uncertain boolean, missing boolean"
 
 
 def stream_ledger(src: DataFrame, gap_us: int, delay: str) -> DataFrame:
     """Episode state machine per entity: ``src`` has ``entity, ts, t, code`` (NULL = not observed).
 
-    Closed episodes are emitted as they close. An episode without a successor is
-    closed by an event-time timer once the watermark is ``gap`` past its last row.
+    Closed episodes are emitted as they close. If no observed row follows within ``gap``, the
+    episode ends as a ``time_gap``: by an event-time timer once the watermark is there, or by
+    the next row if that is released first; both give the same episode.
     """
 
-    def run(key, pdfs, state: GroupState):
-        code, start, last, unc, missing = state.get if state.exists else (-1, 0, 0, False, True)
+    def step(memory, t, c):
+        code, start, last, unc, missing = memory
+        if t is None:
+            if code > 0 and (last + gap_us) // 1000 + 1 <= c // 1000:
+                return [-1, 0, 0, False, missing], [(code, start, last, unc, "time_gap")], None
+            return memory, [], last + gap_us if code > 0 else None
         done = []
-        if state.hasTimedOut:
-            if code > 0:
-                done.append((key[0], code, start, last, unc, "time_gap"))
-            state.update((-1, 0, 0, False, missing))
-        else:
-            rows = _ordered(pdfs, ("t",))
-            for t, c in zip(rows["t"].to_numpy(), rows["code"].to_numpy(dtype=float)):
-                t, ok = int(t), c == c and c >= 0 and c == int(c)
-                if ok:
-                    if code > 0 and (c == 0 or c != code or t - last > gap_us):
-                        done.append((key[0], code, start, last, unc, "observed_zero" if c == 0 else "repeat_timeout_or_code_change"))
-                        code = -1
-                    if c > 0:
-                        if code <= 0:
-                            code, start, unc = int(c), t, bool(missing)
-                        last = t
-                missing = not ok
-            state.update((int(code), int(start), int(last), bool(unc), bool(missing)))
-            if code > 0:
-                fire = (last + gap_us) // 1000 + 1
-                state.setTimeoutTimestamp(max(fire, state.getCurrentWatermarkMs() + 1))
-        if done:
-            yield pd.DataFrame(done, columns=["entity", "code", "onset_t", "end_t", "uncertain_onset", "close_reason"])
+        ok = c == c and c >= 0 and c == int(c)
+        if ok:
+            if code > 0 and (c != code or t - last > gap_us):
+                why = "time_gap" if t - last > gap_us else "observed_zero" if c == 0 else "repeat_timeout_or_code_change"
+                done.append((code, start, last, unc, why))
+                code = -1
+            if c > 0:
+                if code <= 0:
+                    code, start, unc = int(c), t, bool(missing)
+                last = t
+        return [int(code), int(start), int(last), bool(unc), not ok], done
 
-    return _stateful(src, "entity", run, LEDGER_OUT, LEDGER_STATE, delay, GroupStateTimeout.EventTimeTimeout)
+    return _machine(src, "entity", "code", step, (-1, 0, 0, False, True), "code bigint, start_t bigint, last_t bigint, uncertain boolean, missing boolean", LEDGER_OUT, delay)
 
 
 def stream_inertia(src: DataFrame, gamma: float, half_life_hours: float, delay: str, reset_us: int = 24 * 3_600_000_000) -> DataFrame:
     """Blend with the memory from strictly before, then update; ``src`` has ``entity, ts, t, z`` (logit scores).
 
-    Rows at or before the last processed time of the entity are dropped.
+    Repeated times of an entity count once (the smallest value).
     """
     h = half_life_hours * 3_600_000_000
 
-    def run(key, pdfs, state: GroupState):
-        m, last = state.get if state.exists else (None, None)
-        rows = _ordered(pdfs, ("t",))
-        out = []
-        for t, z in zip(rows["t"].to_numpy(), rows["z"].to_numpy()):
-            t, z = int(t), float(z)
-            if last is not None and t <= last:
-                continue
-            if m is None or t - last >= reset_us:
-                out.append((key[0], t, z))
-                m = z
-            else:
-                out.append((key[0], t, (z + gamma * m) / (1 + gamma)))
-                rho = 2.0 ** (-(t - last) / h)
-                m = rho * m + (1 - rho) * z
-            last = t
-        if last is not None:
-            state.update((float(m), int(last)))
-        if out:
-            yield pd.DataFrame(out, columns=["entity", "t", "blended"])
-
-    return _stateful(src, "entity", run, "entity bigint, t bigint, blended double", "m double, last_t bigint", delay)
+    def step(memory, t, z):
+        m, last = memory
+        if t is None:
+            return memory, [], None
+        if 0 <= last and t <= last:
+            return memory, []
+        if last < 0 or t - last >= reset_us:
+            return [float(z), t], [(t, z)]
+        rho = 2.0 ** (-(t - last) / h)
+        return [rho * m + (1 - rho) * z, t], [(t, (z + gamma * m) / (1 + gamma))]
+
+    return _machine(src, "entity", "z", step, (0.0, -1), "m double, last_t bigint", "entity bigint, t bigint, blended double", delay)
 
 
 def stream_alerts(src: DataFrame, threshold: float, required: int, window: int, cooldown: int, delay: str) -> DataFrame:
-    """Alert when ``required`` of the last ``window`` scores reach the threshold and the cooldown is over."""
+    """Alert when ``required`` of the last ``window`` scores, by time, reach the threshold and the cooldown is over."""
     if not 1 <= required <= window:
         raise ValueError("required must lie in 1..window")
 
-    def run(key, pdfs, state: GroupState):
-        flags, n, last = state.get if state.exists else ([], 0, -cooldown)
-        flags = list(flags)
-        rows = _ordered(pdfs, ("t",))
-        out = []
-        for t, s in zip(rows["t"].to_numpy(), rows["score"].to_numpy()):
-            flags = (flags + [1 if s >= threshold else 0])[-window:]
-            if sum(flags) >= required and n - last >= cooldown:
-                out.append((key[0], int(t)))
-                last = n
-            n += 1
-        state.update((flags, int(n), int(last)))
-        if out:
-            yield pd.DataFrame(out, columns=["entity", "t"])
-
-    return _stateful(src, "entity", run, "entity bigint, t bigint", "flags array<int>, n bigint, last bigint", delay)
+    def step(memory, t, s):
+        flags, n, last = memory
+        if t is None:
+            return memory, [], None
+        flags = [*flags, int(s >= threshold)][-window:]
+        hit = sum(flags) >= required and n - last >= cooldown
+        return [[int(f) for f in flags], n + 1, n if hit else last], [(t,)] if hit else []
+
+    return _machine(src, "entity", "score", step, ([], 0, -cooldown), "flags array<int>, n bigint, last bigint", "entity bigint, t bigint", delay)
 
 
 def stream_gaps(src: DataFrame, step_us: int, delay: str, key: str = "entity") -> DataFrame:
-    """Recording gaps and the longest missing run so far, as rows arrive."""
+    """Recording gaps and the longest missing run so far, in the order of time."""
 
-    def run(k, pdfs, state: GroupState):
-        last, longest = state.get if state.exists else (None, 0)
-        rows = _ordered(pdfs, ("t",))
-        out = []
-        for t in rows["t"].drop_duplicates().to_numpy():
-            t = int(t)
-            if last is not None and t - last > step_us:
-                longest = max(longest, (t - last) // step_us - 1)
-                out.append((k[0], last, t, (t - last) // step_us - 1, longest))
-            last = t if last is None else max(last, t)
-        if last is not None:
-            state.update((int(last), int(longest)))
-        if out:
-            yield pd.DataFrame(out, columns=[key, "gap_start", "gap_end", "missing_rows", "longest"])
-
-    out = f"{key} bigint, gap_start bigint, gap_end bigint, missing_rows bigint, longest bigint"
-    return _stateful(src, key, run, out, "last_t bigint, longest bigint", delay)
+    def step(memory, t, _):
+        last, longest = memory
+        if t is None:
+            return memory, [], None
+        done = []
+        if last >= 0 and t - last > step_us:
+            longest = max(longest, (t - last) // step_us - 1)
+            done.append((last, t, (t - last) // step_us - 1, longest))
+        return [t, longest], done
+
+    return _machine(src, key, None, step, (-1, 0), "last_t bigint, longest bigint", f"{key} bigint, gap_start bigint, gap_end bigint, missing_rows bigint, longest bigint", delay)
