@@ -109,6 +109,23 @@ def swap_tail(df: DataFrame, k: int, m: int, n: int, swaps: int, ratio: float, r
     return d.withColumn("in_top", in_top).withColumn("position", pos).drop("_slot", "_into", "_out", "_m", "_cr")
 
 
+def promote(candidates: DataFrame, baseline: DataFrame, kind: str, ap: str, recall: str, name: str, gain: float, tolerance: float, tie: float = 1e-12) -> DataFrame:
+    """The candidates with their deltas to the baseline of their kind, the two gate tests and the choice.
+
+    A candidate passes with an AP gain above ``gain`` and a recall loss of at most ``tolerance``.
+    Chosen is the passing one with the highest AP; within ``tie`` of it the higher recall,
+    then the first name. One row per candidate: a handful, whatever the data.
+    """
+    b = baseline.select(kind, F.col(ap).alias("_ap"), F.col(recall).alias("_recall"))
+    d = candidates.join(b, kind).withColumns({"ap_delta": F.col(ap) - F.col("_ap"), "recall_delta": F.col(recall) - F.col("_recall")}).drop("_ap", "_recall")
+    d = d.withColumns({"passes_ap": F.col("ap_delta") > gain, "passes_recall": F.col("recall_delta") >= -tolerance})
+    d = d.withColumn("eligible", F.col("passes_ap") & F.col("passes_recall"))
+    top = d.where("eligible").agg(F.max(ap)).scalar()
+    rank = F.struct(F.when(F.col("eligible") & (F.col(ap) >= top - tie), 0).otherwise(1), -F.col(recall), F.col(name))
+    best = d.where("eligible").agg(F.min_by(name, rank)).scalar()
+    return d.withColumn("chosen", F.coalesce(F.col("eligible") & (F.col(name) == best), F.lit(False)))
+
+
 def best_row(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order) if by else Window.partitionBy(F.lit(1)).orderBy(*order)
     return df.withColumn("_b", F.row_number().over(w)).where(F.col("_b") == 1).drop("_b")

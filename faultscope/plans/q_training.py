@@ -1,135 +1,261 @@
-"""Training, calibration and re-ranking plans.
+"""Training, calibration, fusion and re-ranking plans.
 
-Model outputs depend on the learner, so these plans check contracts by SQL where
-they can (samples, spans, populations) and otherwise return the rows.
+Model outputs depend on the learner, so a plan returns what any right fit must satisfy: the
+sums that vanish at the optimum of a logistic fit (a constant model fails them), AP on the
+training sample above its prevalence, a training loss that falls with every round, and the
+spans, populations and samples as SQL has them. All spans are shares of the recording.
 """
 
-from pyspark.sql import functions as F
+from functools import reduce
 
-from ..canonical import T0
-from ..functions.scalar import DAY, HOUR, mix_hash_sql
+from pyspark.sql import DataFrame, functions as F
+
+from ..canonical import STEP, T0
+from ..functions.scalar import DAY, HOUR, logit, mix_hash_sql
 from ..operators import features as X
 from ..operators import metrics as M
 from ..operators import ranking as R
+from ..operators import fusion as Fu
 from ..operators.labels import label_future
 from ..session import materialize, scratch_path
 from ..training import models as Mo
 from ..training import walkforward as Wf
+from .oracle import at
+from .q_ranking import ap_sql
+from .q_sampling import BL, blocks
 from .registry import plan
 
-PURGE, HORIZON, FIRST = 6, 4, 14
+PURGE, HORIZON, WINDOW, GAP = 6, 4, 12, 3
 B2 = ["count_30d", "days_since", "hour", "dow", "weekend"]
 B1 = ["util_last", "temp_last", "util_mean", "temp_mean", "util_std", "temp_std", "temp_delta", "power_mean", "thermal_efficiency", "temp_peer_z",
       "temp_peer_rank", "temp_slope", "thermal_persistence"]
+#: The same rows in SQL: decisions with full history and a mature label.
+ELIGIBLE = f"sb AS (SELECT min(bin) AS lo, max(bin) AS hi FROM scores), el AS (SELECT s.*, lo, hi FROM scores s, sb WHERE bin >= lo + {WINDOW + GAP - 1} AND bin <= hi - {HORIZON}), "
+
 
+def first(c) -> int:
+    return c.first_last[0] + WINDOW + GAP - 1
 
-def table(c):
+
+def table(c) -> DataFrame:
     """Feature table of both branches with label and eligibility, written once."""
-    f = X.peer45(c.grid, 12, hours=72.0, colocate=True).select("entity", "bin", *B1)
-    d = X.history5(c.decisions.select("entity", "bin", "t"), c.faults, span=7 * DAY, until=c.bounds[1])
-    d = label_future(d, c.faults, bounds=c.bounds).withColumn("eligible", F.col("bin") <= 115)
+    f = X.peer45(c.grid, WINDOW, GAP, hours=WINDOW * STEP / HOUR, colocate=True).select("entity", "bin", *B1)
+    d = X.history5(c.decisions.select("entity", "bin", "t"), c.faults, until=c.bounds[1])
+    d = label_future(d, c.faults, bounds=c.bounds).withColumn("eligible", F.col("bin") <= c.first_last[1] - HORIZON)
     return materialize(f.join(d, ["entity", "bin"]), "features")
 
 
-SPAN = [(60, 88), (88, 116)]
+def span(df: DataFrame, lo: int, hi: int) -> DataFrame:
+    return df.where((F.col("bin") >= lo) & (F.col("bin") < hi))
 
 
-@plan("walk_forward_contract", "M7 M8 M12 M26 P20", ("scores",), f"""e AS (SELECT entity, bin, label FROM scores WHERE bin >= 14 AND bin <= 115), o AS (SELECT * FROM (VALUES (60, 88), (88, 116)) v(origin, e)),
-ng AS (SELECT o.origin, e.entity, e.bin, row_number() OVER (PARTITION BY o.origin ORDER BY CASE WHEN o.origin = 60 THEN {mix_hash_sql(102, 'entity', 'bin')} ELSE {mix_hash_sql(130, 'entity', 'bin')} END, entity, bin) AS r,
- p.p FROM e JOIN o ON bin >= greatest(14, origin - 6 - 40) AND bin < origin - 6 JOIN (SELECT origin, sum(label) AS p FROM e JOIN o ON bin >= greatest(14, origin - 6 - 40) AND bin < origin - 6 GROUP BY 1) p USING (origin) WHERE label = 0)
-SELECT o.origin::BIGINT AS origin, (SELECT count(*) FROM e WHERE e.bin >= o.origin AND e.bin < o.e) AS scored, (SELECT sum(label) FROM e WHERE e.bin >= o.origin AND e.bin < o.e)::BIGINT AS positives,
- 0::BIGINT AS bad_scores, (SELECT count(*) FROM ng WHERE ng.origin = o.origin AND r <= least(4000, floor(p * 1.0)))::BIGINT AS negatives FROM o""")
-def _(c):
-    t = table(c)
-    fam = {"b1": Mo.boosted_trees(B1, rounds=3, depth=3), "b2": Mo.logistic(B2, iters=15)}
-    s, trace = Wf.walk_forward(t, SPAN, fam, 40, PURGE, HORIZON, FIRST, ratio=1.0, cap=4000, seed=42)
-    ok = lambda p: F.coalesce((F.col(p) >= 0) & (F.col(p) <= 1), F.lit(False))
-    a = s.groupBy("origin").agg(F.count("*").alias("scored"), F.sum("label").alias("positives"), F.count_if(~(ok("p_b1") & ok("p_b2"))).alias("bad_scores"))
-    neg = None
-    for x in trace:
-        n = Wf.training_sample(t, x["train_start"], x["train_end"], 1.0, 4000, 42 + x["origin"]).agg(F.count_if(F.col("label") == 0).alias("negatives"))
-        n = n.select(F.lit(x["origin"]).cast("bigint").alias("origin"), "negatives")
-        neg = n if neg is None else neg.unionByName(n)
-    return a.join(neg, "origin")
+def flat(gradients: DataFrame) -> DataFrame:
+    """Number of terms and the largest of the sums that must vanish."""
+    return gradients.agg(F.count("*").alias("terms"), F.max(F.abs("gradient")).alias("max_gradient"))
+
 
+def learns(scored: DataFrame, p: str) -> bool:
+    """AP above the share of positives on the rows of the fit."""
+    r = M.ranking_quality(scored, [], p, "label").first()
+    return bool(r["ap"] > r["positives"] / r["rows"])
 
-FOLDS = [("f1", 50, 80), ("f2", 80, 116)]
 
+def rolling(c) -> list[tuple[int, int]]:
+    lo, hi = c.first_last
+    return Wf.schedule(lo, hi, c.at(1, 2) - lo, max(1, (hi - lo + 1) // 8))
 
-@plan("fold_scores", "M11 M13 E19 P18", ("scores",), """SELECT CASE WHEN bin < 80 THEN 'f1' ELSE 'f2' END AS fold, count(*) AS rows, sum(label)::BIGINT AS positives, 0::BIGINT AS bad FROM scores WHERE bin >= 50 AND bin < 116 GROUP BY 1""")
+
+ORIGINS = ELIGIBLE + f"""o AS (SELECT unnest(range({at(1, 2, 'scores')}, (SELECT hi + 1 FROM sb), (SELECT greatest(1, (hi - lo + 1) // 8) FROM sb))) AS origin),
+oe AS (SELECT o.origin, least(o.origin + greatest(1, (hi - lo + 1) // 8), hi + 1) AS e, greatest(lo + {WINDOW + GAP - 1}, o.origin - {PURGE} - 40) AS a, o.origin - {PURGE} AS b FROM o, sb)"""
+SEED = mix_hash_sql(0, "entity", "bin").replace("0::BIGINT", "(42 + origin)::BIGINT", 1)
+
+
+@plan("walk_forward_contract", "M8 M12 P20 S16 T12", ("scores",), ORIGINS + f""",
+tr AS (SELECT oe.origin, el.* EXCLUDE (origin) FROM el JOIN oe ON bin >= a AND bin < b), ps AS (SELECT origin, sum(label) AS p FROM tr GROUP BY 1),
+ng AS (SELECT origin, row_number() OVER (PARTITION BY origin ORDER BY {SEED}, entity, bin) AS r FROM tr WHERE label = 0),
+sc AS (SELECT oe.origin, count(*) AS scored, sum(label)::BIGINT AS positives FROM scores JOIN oe ON bin >= oe.origin AND bin < e GROUP BY 1)
+SELECT sc.origin, scored, positives, 0::BIGINT AS bad_scores, true AS varied, (SELECT count(*) FROM ng WHERE ng.origin = sc.origin AND r <= least(4000, floor(p * 1.0))) AS negatives FROM sc JOIN ps ON ps.origin = sc.origin""")
 def _(c):
-    s = Wf.oof_scores(table(c), FOLDS, Mo.logistic(B2, iters=15), PURGE)
-    slope, icpt = Mo.platt_fit(s.where(F.col("fold") == "f1"), "p")
-    s = s.withColumn("q", Mo.platt_apply("p", slope, icpt))
-    return s.groupBy("fold").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"), F.count_if(~((F.col("q") > 0) & (F.col("q") < 1))).alias("bad"))
+    """All rolling origins, written one by one; the second call finds the first two and adds the rest."""
+    t, o, path = table(c), rolling(c), scratch_path(c.spark, "walk-forward")
+    fam = {"b1": Mo.boosted_trees(B1, rounds=3, depth=3), "b2": Mo.logistic(B2, iters=30)}
+    run = lambda part: Wf.walk_forward_to(path, t, part, fam, 40, PURGE, HORIZON, first(c), ratio=1.0, cap=4000, seed=42)
+    run(o[:2])
+    s = run(o)
+    ok = lambda p: F.coalesce((F.col(p) >= 0) & (F.col(p) <= 1), F.lit(False))
+    a = s.groupBy("origin").agg(F.count("*").alias("scored"), F.sum("label").alias("positives"), F.count_if(~(ok("p_b1") & ok("p_b2"))).alias("bad_scores"),
+                                ((F.stddev("p_b1") > 0) & (F.stddev("p_b2") > 0)).alias("varied"))
+    parts = []
+    for origin, _ in o:
+        lo, hi = Wf.train_interval(origin, 40, PURGE, HORIZON, first(c))
+        n = Wf.training_sample(t, lo, hi, 1.0, 4000, 42 + origin).agg(F.count_if(F.col("label") == 0).alias("negatives"))
+        parts.append(n.select(F.lit(origin).cast("bigint").alias("origin"), "negatives"))
+    return a.join(reduce(DataFrame.unionByName, parts), "origin")
 
 
-@plan("model_families", "M9 M10 M33")
+@plan("logistic_optimum", "M7", ("scores",), "SELECT 6::BIGINT AS terms, 0.0::DOUBLE AS max_gradient, true AS learns", "max_gradient", digits=4)
 def _(c):
-    fam = {"logistic": Mo.logistic(B2, iters=10), "forest": Mo.forest(B2, trees=5, depth=3), "linear_svm": Mo.linear_svm(B2, iters=10),
-           "perceptron": Mo.perceptron(B2, iters=10), "boosted_trees": Mo.boosted_trees(B2, rounds=3, depth=2)}
-    return Wf.compare_families(table(c), FOLDS[1:], fam, PURGE)
+    s = materialize(Wf.training_sample(table(c), first(c), c.at(2, 3) - PURGE, 4.0, 250_000, 7), "sample")
+    m = Mo.fit(Mo.logistic(B2, iters=200), s)
+    return flat(Mo.optimality(m, s)).withColumn("learns", F.lit(learns(Mo.score(m, s, "p"), "p")))
 
 
-@plan("window_search", "M18 M24 M25 K6")
+@plan("boosting_rounds", "M8", ("scores",), "SELECT round, true AS falls, true AS same_again FROM (SELECT unnest([2, 4, 8])::BIGINT AS round)")
 def _(c):
-    fam = {"history": Mo.logistic(B2, iters=10), "telemetry": Mo.logistic(B1, iters=10)}
-    return Wf.search_windows(table(c), 100, [28, 56], fam, 12, PURGE, FIRST)
+    """The training loss falls with the rounds, and a second fit gives the same scores."""
+    s = materialize(Wf.training_sample(table(c), first(c), c.at(2, 3) - PURGE, 4.0, 250_000, 7), "sample")
+    last, rows = float("inf"), []
+    for n in (2, 4, 8):
+        a, b = (Mo.score(Mo.fit(Mo.boosted_trees(B1, rounds=n, depth=3), s), s, p) for p in ("p", "q"))
+        loss = M.prob_losses(Mo.with_weights(a), [], "p", "label").first()
+        weighted = Mo.with_weights(a).agg(F.sum(F.col("_w") * -F.log(F.when(F.col("label") == 1, F.col("p")).otherwise(1 - F.col("p")))) / F.sum("_w")).first()[0]
+        diff = a.join(b.select("entity", "bin", "q"), ["entity", "bin"]).agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
+        rows.append((n, weighted < last and loss is not None, diff == 0))
+        last = weighted
+    return c.spark.createDataFrame(rows, "round bigint, falls boolean, same_again boolean")
+
+
+def folds(c) -> list[tuple[str, int, int]]:
+    return [("f1", c.at(5, 12), c.at(2, 3)), ("f2", c.at(2, 3), c.first_last[1] - HORIZON + 1)]
 
 
-@plan("offender_model", "M29 J22", ("scores", "faults"), f"""o AS (SELECT DISTINCT entity FROM faults WHERE code = 43 AND t < {T0 + 20 * 6 * HOUR})
-SELECT count(*) AS rows, count(*) FILTER (WHERE entity NOT IN (SELECT entity FROM o)) AS gated FROM scores WHERE bin >= 60 AND bin < 110""")
+FOLD = f"""fo AS (SELECT 'f1' AS fold, {at(5, 12, 'scores')} AS a, {at(2, 3, 'scores')} AS b UNION ALL SELECT 'f2', {at(2, 3, 'scores')}, max(bin) - {HORIZON} + 1 FROM scores)"""
+
+
+@plan("fold_scores", "M11 M13 E19 P18", ("scores",), FOLD + """ SELECT fold, count(*) AS rows, sum(label)::BIGINT AS positives, 0::BIGINT AS bad, 0.0::DOUBLE AS max_gradient FROM scores JOIN fo ON bin >= a AND bin < b GROUP BY 1""", "max_gradient", digits=6)
 def _(c):
-    target = c.faults.where(F.col("code") == 43)
-    s = Wf.two_stage(table(c), target, Mo.logistic(B2, iters=10), FIRST, 60, 110, T0 + 20 * 6 * HOUR)
-    return s.agg(F.count("*").alias("rows"), F.count_if(F.col("score") == 0).alias("gated"))
+    """Expanding folds; a fold is calibrated on the out-of-fold scores of the folds before it, the first one is not."""
+    s = materialize(Wf.oof_scores(table(c), folds(c), Mo.logistic(B2, iters=50), PURGE), "folds")
+    earlier = s.where((F.col("fold") == "f1") & F.col("eligible"))
+    slope, icpt = Mo.platt_fit(earlier, "p")
+    r = Mo.platt_apply("p", slope, icpt) - F.col("label")
+    g = earlier.agg(F.greatest(F.abs(F.avg(r)), F.abs(F.avg(r * logit("p"))))).scalar()
+    s = s.withColumn("q", F.when(F.col("fold") == "f1", F.col("p")).otherwise(Mo.platt_apply("p", slope, icpt)))
+    return s.groupBy("fold").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"), F.count_if(~((F.col("q") > 0) & (F.col("q") < 1))).alias("bad")).withColumn("max_gradient", g)
+
+
+@plan("model_families", "M9 M10 M33", ("scores",), FOLD + """ SELECT model, fold, count(*) AS rows, sum(label)::BIGINT AS positives, true AS learns
+FROM scores JOIN fo ON bin >= a AND bin < b, (SELECT unnest(['logistic', 'forest', 'linear_svm', 'perceptron', 'boosted_trees']) AS model) GROUP BY 1, 2""")
+def _(c):
+    fam = {"logistic": Mo.logistic(B2, iters=20), "forest": Mo.forest(B2, trees=3, depth=3), "linear_svm": Mo.linear_svm(B2, iters=10),
+           "perceptron": Mo.perceptron(B2, iters=20), "boosted_trees": Mo.boosted_trees(B2, rounds=2, depth=2)}
+    t, parts = table(c), []
+    for name, pipe in fam.items():
+        for fold, lo, hi in folds(c):
+            s = Wf.training_sample(t, 0, lo - PURGE, 4.0, 250_000, 42)
+            m = Mo.fit(pipe, s)
+            a = Mo.score(m, span(t, lo, hi), "p").agg(F.count("p").alias("rows"), F.sum("label").alias("positives"))
+            parts.append(a.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "rows", "positives", F.lit(learns(Mo.score(m, s, "p"), "p")).alias("learns")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@plan("window_search", "M18 M24 M25 K6", ("scores",), ELIGIBLE + f"""v AS (SELECT count(*) AS rows, sum(label)::BIGINT AS positives FROM el WHERE bin >= {at(5, 6, 'scores')} - {PURGE} - 12 AND bin < {at(5, 6, 'scores')} - {PURGE})
+SELECT l.train_bins, w.win AS "window", rows, positives, true AS ranked FROM v, (SELECT unnest([(SELECT (hi - lo + 1) // 4 FROM sb), (SELECT (hi - lo + 1) // 2 FROM sb)]) AS train_bins) l, (SELECT unnest(['history', 'telemetry']) AS win) w""")
+def _(c):
+    lo, hi = c.first_last
+    n = hi - lo + 1
+    fam = {"history": Mo.logistic(B2, iters=20), "telemetry": Mo.logistic(B1, iters=20)}
+    q = Wf.search_windows(table(c), c.at(5, 6), [n // 4, n // 2], fam, 12, PURGE, first(c))
+    return q.select("train_bins", "window", "rows", "positives", F.col("ap").between(0, 1).alias("ranked"))
 
 
-@plan("residual_fusion", "M14 M15 F13", ("scores",), "SELECT count(*) AS rows, 0::BIGINT AS bad FROM scores WHERE bin >= 80")
+@plan("offender_model", "M29 J22", ("scores", "faults"), f"""o AS (SELECT DISTINCT entity FROM faults, (SELECT {at(1, 6, 'scores')} AS b) WHERE code = 43 AND t < {T0} + b * {STEP})
+SELECT count(*) AS rows, count(*) FILTER (WHERE entity NOT IN (SELECT entity FROM o)) AS gated, true AS varied FROM scores WHERE bin >= {at(1, 2, 'scores')} AND bin < {at(11, 12, 'scores')}""")
 def _(c):
-    d = c.tape
-    train = d.where((F.col("bin") >= 40) & (F.col("bin") < 74))
-    slope, icpt = Mo.platt_fit(d.where((F.col("bin") >= 10) & (F.col("bin") < 40)), "p1", monotone=True)
-    cal = lambda x: x.withColumn("c1", Mo.platt_apply("p1", slope, icpt))
-    f = Mo.residual_fusion(cal(train), cal(d.where(F.col("bin") >= 80)), "c1", "p2")
-    return f.agg(F.count("*").alias("rows"), F.count_if(~((F.col("fused") > 0) & (F.col("fused") < 1))).alias("bad"))
+    target = c.faults.where(F.col("code") == 43)
+    s = Wf.two_stage(table(c), target, Mo.logistic(B2, iters=20), first(c), c.at(1, 2), c.at(11, 12), T0 + c.at(1, 6) * STEP)
+    return s.agg(F.count("*").alias("rows"), F.count_if(F.col("score") == 0).alias("gated"), (F.stddev(F.when(F.col("score") > 0, F.col("score"))) > 0).alias("varied"))
 
 
-@plan("meta_rerank", "M16 M17 K3 K4", ("scores",), "SELECT bin, count(*) AS rows, 20::BIGINT AS in_top, true AS permutation FROM scores GROUP BY 1")
+@plan("residual_fusion", "M14 M15 F13", ("scores",), f"""SELECT arm, terms, (SELECT count(*) FROM scores WHERE bin >= {at(3, 4, 'scores')}) AS rows, 0::BIGINT AS bad, 'fitted' AS status, 0.0::DOUBLE AS max_gradient, true AS improves
+FROM (VALUES ('none', 6::BIGINT), ('first', 9::BIGINT), ('second', 9::BIGINT), ('both', 12::BIGINT)) v(arm, terms)""", "max_gradient", digits=7)
+def _(c):
+    """Heads on older days, arms on newer ones, scores after the purge; memories are past-only averages of the logits."""
+    d = c.scores.withColumns({"z1": logit("p1"), "z2": logit("p2")})
+    for z, m in (("z1", "m1"), ("z2", "m2")):
+        d = Fu.ema_memory(d, ["entity"], "t", z, 24.0, name=m)
+    d = materialize(d, "memories")
+    older, newer = materialize(span(d, c.at(1, 4), c.at(1, 2)), "older"), materialize(span(d, c.at(1, 2), c.at(3, 4) - PURGE), "newer")
+    f = Mo.fit_fusion(older, newer)
+    rows = newer.dropna(subset=["z1", "z2", "m1", "m2"])
+    y, loss = F.col("label"), lambda p: F.avg(-F.log(F.when(y == 1, F.col(p)).otherwise(1 - F.col(p))))  # noqa: B023, E731
+    parts = []
+    for arm in Mo.ARMS:
+        s = Mo.apply_fusion(d.where(F.col("bin") >= c.at(3, 4)), f, arm)
+        a = s.agg(F.count("*").alias("rows"), F.count_if(~((F.col("fused") > 0) & (F.col("fused") < 1))).alias("bad"))
+        g = flat(Mo.fusion_gradient(newer, f, arm))
+        fit = Mo.apply_fusion(rows, f, arm).withColumn("head", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), Mo.platt_apply("p2", *f.heads["z2"]))))
+        better = fit.agg((loss("fused") <= loss("head") + 1e-9).alias("b")).scalar()
+        parts.append(g.crossJoin(a).select(F.lit(arm).alias("arm"), "terms", "rows", "bad", F.lit(f.status).alias("status"), "max_gradient", better.alias("improves")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@plan("meta_rerank", "M16 K3 K4", ("scores",), "SELECT bin, count(*) AS rows, least(20, count(*)) AS in_top, true AS permutation, true AS optimal FROM scores GROUP BY 1")
 def _(c):
-    d = materialize(Mo.rerank(c.tape, F.col("bin") < 60), "rerank")
-    s = R.swap_tail(d, 20, 60, 40, 5, 1.0, "risk")
+    d = materialize(Mo.rerank_features(c.tape), "rerank-features")
+    train = materialize(d.where(F.col("bin") < c.at(1, 2) - PURGE), "rerank-train")
+    m = Mo.fit(Mo.logistic(Mo.RERANK, iters=300), train)
+    best = flat(Mo.optimality(m, train)).select(F.col("max_gradient") < 1e-4).scalar()
+    s = R.swap_tail(materialize(Mo.score(m, d, "risk"), "rerank"), 20, 60, 40, 5, 1.0, "risk")
     return s.groupBy("bin").agg(F.count("*").alias("rows"), F.count_if("in_top").alias("in_top"),
-                                (F.count_distinct("position") == F.count("*")).alias("permutation"))
+                                (F.count_distinct("position") == F.count("*")).alias("permutation")).withColumn("optimal", best)
 
 
-@plan("stacked_blocks", "M30")
+@plan("stacked_blocks", "M30", ("scores",), ELIGIBLE + f"""b AS (SELECT count(*) AS rows, sum(label)::BIGINT AS positives FROM el WHERE bin >= {at(4, 5, 'scores')}) SELECT rows, positives, true AS ranked FROM b""")
 def _(c):
-    fam = {"b1": Mo.logistic(B1, iters=8), "b2": Mo.logistic(B2, iters=8)}
-    s = Wf.stacked_oof(table(c), [(60, 78), (78, 96), (96, 116)], fam, PURGE, HORIZON, FIRST, 40, ["count_30d", "temp_mean"])
-    return M.ranking_quality(s.where("eligible"), [], "p_stack", "label")
+    fam = {"b1": Mo.logistic(B1, iters=20), "b2": Mo.logistic(B2, iters=20), "trees": Mo.boosted_trees(B1, rounds=2, depth=2), "forest": Mo.forest(B2, trees=3, depth=3)}
+    cuts = [c.at(1, 2), c.at(13, 20), c.at(4, 5), c.first_last[1] + 1]
+    s = Wf.stacked_oof(table(c), list(zip(cuts[:-1], cuts[1:], strict=True)), fam, PURGE, HORIZON, first(c), 40, ["count_30d", "temp_mean"])
+    return M.ranking_quality(s.where("eligible"), [], "p_stack", "label").select("rows", "positives", F.col("ap").between(0, 1).alias("ranked"))
 
 
-@plan("frozen_rescore", "M32 S22", ("scores",), "SELECT count(*) AS rows, 0::BIGINT AS unmatched, 0.0::DOUBLE AS max_diff, 0::BIGINT AS beyond_tolerance FROM scores WHERE bin >= 80 AND bin < 116", "max_diff")
+@plan("frozen_rescore", "M32 S22", ("scores",), f"SELECT 2 * count(*) AS fine_rows, count(*) AS rows, 0::BIGINT AS unmatched, 0.0::DOUBLE AS max_diff, 0::BIGINT AS beyond_tolerance FROM scores WHERE bin >= {at(2, 3, 'scores')}", "max_diff")
 def _(c):
+    """A stored model scores a cadence twice as fine as it was fitted on; the common times keep their scores."""
     from ..operators.audits import prediction_parity
-    t = table(c)
-    m = Mo.fit(Mo.logistic(B2, iters=10), Wf.training_sample(t, FIRST, 74, 4.0, 250_000, 1))
+    hist = lambda d: X.history5(d, c.faults, until=c.bounds[1] + F.lit(STEP))
+    t = materialize(label_future(hist(c.decisions.select("entity", "bin", "t")), c.faults, bounds=c.bounds).withColumn("eligible", F.lit(True)), "history")
+    m = Mo.fit(Mo.logistic(B2, iters=20), Wf.training_sample(t, first(c), c.at(2, 3) - PURGE, 4.0, 250_000, 1))
     path = scratch_path(c.spark, "model")
     m.write().save(path)
-    seg = t.where((F.col("bin") >= 80) & (F.col("bin") < 116))
-    return prediction_parity(Mo.score(m, seg, "p"), Mo.score(Mo.load(path), seg, "p"), ["entity", "bin"], "p", 1e-9)
+    seg = c.decisions.where(F.col("bin") >= c.at(2, 3)).select("entity", "bin", "t")
+    fine = seg.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("t", F.col("t") + F.col("half") * F.lit(STEP // 2))
+    f = materialize(Mo.score(Mo.load(path), hist(fine.select("entity", "bin", "half", "t")), "p"), "fine")
+    out = prediction_parity(Mo.score(m, t.where(F.col("bin") >= c.at(2, 3)), "p"), f.where("half = 0"), ["entity", "bin"], "p", 1e-9)
+    return out.withColumn("fine_rows", f.agg(F.count("p")).scalar())
 
 
-@plan("prior_fallback", "M31", ("scores",), "SELECT count(*) AS rows, 0.000001::DOUBLE AS score FROM scores WHERE bin >= 100 AND bin < 116", "score", digits=9)
+@plan("prior_fallback", "M31", ("scores",), f"SELECT count(*) AS rows, 0.000001::DOUBLE AS score FROM scores WHERE bin >= {at(5, 6, 'scores')}", "score", digits=9)
 def _(c):
     t = table(c)
-    m = Mo.fit(Mo.logistic(B2), t.where((F.col("bin") < 60) & (F.col("label") == 0)))
-    return Mo.score(m, t.where((F.col("bin") >= 100) & (F.col("bin") < 116)), "p").agg(F.count("*").alias("rows"), F.max("p").alias("score"))
+    m = Mo.fit(Mo.logistic(B2), t.where((F.col("bin") < c.at(1, 2)) & (F.col("label") == 0)))
+    return Mo.score(m, t.where(F.col("bin") >= c.at(5, 6)), "p").agg(F.count("*").alias("rows"), F.max("p").alias("score"))
 
 
-@plan("block_gate", "M23 W35")
+@plan("block_gate", "M23 W35", ("scores",), BL + ", " + f"""tn AS (SELECT {at(2, 3, 'scores')} // 4 AS cut) SELECT origin, (ap > ap2)::BIGINT AS better, true AS in_range, origin + 1 < cut AS trained_on FROM bl0, tn""")
 def _(c):
-    from .q_sampling import blocks
+    """A block trains the gate once its labels are mature: one block (a day) before the cut."""
+    cut = c.at(2, 3) // 4
     b = blocks(c).withColumn("better", F.when(F.col("ap") > F.col("ap2"), 1).otherwise(0).cast("bigint"))
-    return Wf.block_gate(b, ["n1", "n2", "prev"], "better", F.col("origin") < 20).select("origin", "better", F.col("p_gate").between(0, 1).alias("in_range"))
+    mature = F.col("origin") + 1 < cut
+    return Wf.block_gate(b, ["n1", "n2", "prev"], "better", mature).select("origin", "better", F.col("p_gate").between(0, 1).alias("in_range"), mature.alias("trained_on"))
+
+
+PR = """lg AS (SELECT bin, entity, label, 'base' AS model, round(p2, 9) AS f FROM scores UNION ALL SELECT bin, entity, label, v.model, round(least(0.6, pow(1.0 / (k + 1), v.alpha)) * p1 + (1 - least(0.6, pow(1.0 / (k + 1), v.alpha))) * p2, 9)
+ FROM scores, (VALUES ('a_half', 0.5::DOUBLE), ('b_one', 1.0::DOUBLE), ('c_two', 2.0::DOUBLE)) v(model, alpha)), """ + ap_sql(["model"], "f", "lg") + """,
+rc AS (SELECT model, sum(label) FILTER (WHERE r <= 20) / sum(label)::DOUBLE AS recall FROM (SELECT *, row_number() OVER (PARTITION BY model, bin ORDER BY f DESC, entity) AS r FROM lg) GROUP BY 1),
+m AS (SELECT q.model, ap, recall FROM q JOIN rc ON rc.model = q.model), d AS (SELECT m.model, m.ap, m.recall, m.ap - b.ap AS ap_delta, m.recall - b.recall AS recall_delta FROM m, m b WHERE b.model = 'base' AND m.model <> 'base'),
+e AS (SELECT *, ap_delta > -0.01 AS passes_ap, recall_delta >= -0.02 AS passes_recall, ap_delta > -0.01 AND recall_delta >= -0.02 AS eligible FROM d)
+SELECT *, coalesce(eligible AND model = (SELECT model FROM e WHERE eligible AND ap >= (SELECT max(ap) FROM e WHERE eligible) - 1e-12 ORDER BY recall DESC, model LIMIT 1), false) AS chosen FROM e"""
+
+
+@plan("promotion_gate", "M28", ("scores",), PR, "ap recall ap_delta recall_delta")
+def _(c):
+    d = c.tape.withColumn("v", F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(a).alias("alpha")) for n, a in (("base", 0.0), ("a_half", 0.5), ("b_one", 1.0), ("c_two", 2.0))])))
+    d = d.select("entity", "bin", "label", "p1", "p2", "k", "v.*")
+    d = Fu.weighted_fusion(d, F.col("alpha")).withColumn("f", F.round(F.when(F.col("model") == "base", F.col("p2")).otherwise(F.col("fused")), 9))
+    d = materialize(d.select("entity", "bin", "label", "model", "f"), "candidates")
+    hits = R.topk(d, "f", 20, ("model", "bin")).groupBy("model").agg(F.sum("label").alias("hits"))
+    m = M.ranking_quality(d, ["model"], "f", "label").join(hits, "model").select("model", "ap", (F.col("hits") / F.col("positives")).alias("recall"), F.lit("fusion").alias("kind"))
+    m = materialize(m, "metrics")
+    return R.promote(m.where("model <> 'base'"), m.where("model = 'base'"), "kind", "ap", "recall", "model", -0.01, 0.02).drop("kind")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Matrices
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import clip, expit, logit, residual_basis
@@ -28,7 +29,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 def logistic(cols, label="label", weighted=True, reg=1e-4, iters=50) -> Pipeline:
     """Standardised logistic regression."""
-    lr = LogisticRegression(featuresCol=SCALED, labelCol=label, maxIter=iters, regParam=reg, standardization=False)
+    lr = LogisticRegression(featuresCol=SCALED, labelCol=label, maxIter=iters, regParam=reg, standardization=False, tol=1e-9)
     if weighted:
         lr = lr.setWeightCol("_w")
     return Pipeline(stages=[_assembler(cols), StandardScaler(inputCol=FEATURES, outputCol=SCALED, withMean=True), lr])
@@ -109,40 +110,158 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+# ---- optimality ----------------------------------------------------------------------
+
+def optimality(model: PipelineModel, train: DataFrame, label: str = "label") -> DataFrame:
+    """Mean weighted residual times each (scaled) feature plus its ridge term, long by ``term``: about 0 at the fit.
+
+    ``train`` is the table the model was fitted on, with the weights of ``fit``.
+    """
+    lr = model.stages[-1]
+    beta, reg = lr.coefficients.toArray().tolist(), lr.getRegParam()
+    d = model.transform(with_weights(train, label)).select(
+        F.col("_w"), (F.col("_w") * (vector_to_array("probability")[1] - F.col(label))).alias("_r"), vector_to_array(SCALED).alias("_x"))
+    n = F.sum("_w")
+    sums = [(F.sum("_r") / n).alias("b0"), *[(F.sum(F.col("_r") * F.col("_x")[i]) / n + F.lit(reg * v)).alias(f"b{i + 1}") for i, v in enumerate(beta)]]
+    names = [f"b{i}" for i in range(len(beta) + 1)]
+    return d.agg(*sums).unpivot([], names, "term", "gradient")
+
+
+def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
+    return class_weight(df, label, "_w")
+
+
 # ---- calibration ---------------------------------------------------------------------
 
-def platt_fit(df: DataFrame, p: str, label: str = "label", monotone: bool = False, ridge: float = 1e-6) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve on ``logit(p)``; ``monotone`` bounds the slope to [0.01, 20]."""
-    d = df.select(logit(p).alias("_z"), F.col(label).cast("double").alias("_y"))
-    lr = LogisticRegression(featuresCol=FEATURES, labelCol="_y", maxIter=100, regParam=ridge, standardization=False)
-    if monotone:
-        lr = lr.setLowerBoundsOnCoefficients(Matrices.dense(1, 1, [0.01])).setUpperBoundsOnCoefficients(Matrices.dense(1, 1, [20.0])).setFamily("binomial").setRegParam(0.0)
-    m = lr.fit(VectorAssembler(inputCols=["_z"], outputCol=FEATURES).transform(d))
-    return float(m.coefficients[0]), float(m.intercept)
+def penalised_logit(df: DataFrame, x: list[Column], y: Column, ridge: list[float], centre: list[float] | None = None, offset: Column | None = None,
+                    start: list[float] | None = None, rounds: int = 60, tolerance: float = 1e-10) -> list[float]:
+    """Minimum of the mean log loss of ``offset + sum(b * x)`` plus ``ridge * (b - centre)^2 / 2`` per coefficient.
+
+    Newton steps on sums: every round is one aggregate over the rows, with k gradient and
+    k (k + 1) / 2 curvature sums, and the driver solves a k x k system. A step that does not
+    lower the loss is halved. ``gradient`` gives the same sums at any point.
+    """
+    k = len(x)
+    c = np.array(centre or [0.0] * k)
+    lam = np.array(ridge)
+    d = df.select(*[v.cast("double").alias(f"x{i}") for i, v in enumerate(x)], y.cast("double").alias("y"), (offset if offset is not None else F.lit(0.0)).cast("double").alias("o"))
+
+    def at(b: np.ndarray):
+        eta = F.col("o")
+        for i in range(k):
+            eta = eta + F.lit(float(b[i])) * F.col(f"x{i}")
+        p = 1 / (1 + F.exp(-eta))
+        loss = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta))) - F.col("y") * eta
+        q = d.withColumns({"_p": p, "_l": loss})
+        row = q.agg(F.avg("_l"), *[F.avg((F.col("_p") - F.col("y")) * F.col(f"x{i}")) for i in range(k)],
+                    *[F.avg(F.col("_p") * (1 - F.col("_p")) * F.col(f"x{i}") * F.col(f"x{j}")) for i in range(k) for j in range(i, k)]).first()
+        h = np.zeros((k, k))
+        h[np.triu_indices(k)] = row[1 + k:]
+        h = h + np.triu(h, 1).T + np.diag(lam)
+        return row[0] + float(lam @ (b - c) ** 2) / 2, np.array(row[1:1 + k]) + lam * (b - c), h
+
+    b = np.array(start or list(c), float)
+    loss, g, h = at(b)
+    for _ in range(rounds):
+        if np.abs(g).max() < tolerance:
+            break
+        step = np.linalg.lstsq(h, g, rcond=None)[0]
+        while True:
+            new = at(b - step)
+            if new[0] <= loss + 1e-15 or np.abs(step).max() < 1e-12:
+                break
+            step = step / 2
+        b = b - step
+        loss, g, h = new
+    return [float(v) for v in b]
+
+
+#: Fixed values of the monotone head: scale of the logit, its prior slope and weight, bounds of the slope.
+HEAD_SCALE, HEAD_SLOPE, HEAD_RIDGE, HEAD_LOW, HEAD_HIGH = 6.0, 6.0, 1e-4, 0.01, 20.0
+
+
+def platt_fit(df: DataFrame, p: str | Column, label: str = "label", monotone: bool = False) -> tuple[float, float]:
+    """(slope, intercept) of a logistic curve on ``logit(p)``.
+
+    ``monotone`` is the head with a prior: the slope on ``logit(p) / 6`` is pulled to 6 with
+    weight 1e-4 and stays in [0.01, 20]; if it runs into a bound, the intercept is fitted there.
+    """
+    y, z = F.col(label), logit(p)
+    if not monotone:
+        b = penalised_logit(df, [F.lit(1.0), z], y, [0.0, 1e-9], start=[0.0, 1.0])
+        return b[1], b[0]
+    x = z / HEAD_SCALE
+    b = penalised_logit(df, [F.lit(1.0), x], y, [0.0, HEAD_RIDGE], [0.0, HEAD_SLOPE])
+    slope = min(max(b[1], HEAD_LOW), HEAD_HIGH)
+    if slope != b[1]:
+        b = [*penalised_logit(df, [F.lit(1.0)], y, [0.0], offset=x * F.lit(slope)), slope]
+    return b[1] / HEAD_SCALE, b[0]
 
 
 def platt_apply(p: str | Column, slope: float, intercept: float) -> Column:
     return expit(logit(p) * F.lit(slope) + F.lit(intercept))
 
 
-def residual_fusion(train: DataFrame, df: DataFrame, p1: str, p2: str, label: str = "label", memory: tuple[str, str] | None = None,
-                    ridge: float = 0.01, minimum: int = 20, name: str = "fused") -> DataFrame:
-    """``logit p = logit p2 + X beta`` by a ridge GLM with an offset; falls back to branch 2 when a class is thin."""
-    row = train.agg(F.sum(label).alias("p"), F.count("*").alias("n")).head()
-    if (row["p"] or 0) < minimum or row["n"] - (row["p"] or 0) < minimum:
-        return df.withColumn(name, F.col(p2))
-    m1, m2 = memory or (None, None)
-    basis = residual_basis(p1, p2, m1, m2)
-    cols = [c for c in basis if c != "b0"]
-
-    def prep(d):
-        d = d.withColumns({f"_x_{c}": F.coalesce(basis[c], F.lit(0.0)) for c in cols} | {"_off": logit(p2)})
-        return VectorAssembler(inputCols=[f"_x_{c}" for c in cols], outputCol=FEATURES).transform(d)
-
-    g = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol=FEATURES, labelCol=label, offsetCol="_off", regParam=ridge, maxIter=25,
-                                    predictionCol="_pred")
-    m = g.fit(prep(train))
-    return m.transform(prep(df)).select(*[F.col(c) for c in df.columns], clip("_pred", 1e-6, 1 - 1e-6).alias(name))
+#: Which memories an arm of the residual fusion uses.
+ARMS = {"none": (False, False), "first": (True, False), "second": (False, True), "both": (True, True)}
+
+
+@dataclass(frozen=True)
+class Fusion:
+    """Calibration heads of the four inputs and the coefficients of each arm; ``status`` says if they were fitted."""
+
+    status: str
+    heads: dict[str, tuple[float, float]]
+    arms: dict[str, list[float]]
+
+
+def _basis(df: DataFrame, heads: dict[str, tuple[float, float]], arm: str) -> tuple[list[Column], Column]:
+    """Basis of the calibrated logits (with those of the memories in the arm) and the offset."""
+    q = {c: clip(platt_apply(expit(c), *heads[c]), 1e-6, 1 - 1e-6) for c in heads}
+    one, two = ARMS[arm]
+    cols = residual_basis(q["z1"], q["z2"], logit(q["m1"]) if one else None, logit(q["m2"]) if two else None)
+    return list(cols.values()), logit(q["z2"])
+
+
+def fit_fusion(older: DataFrame, newer: DataFrame, label: str = "label", ridge: float = 0.01, minimum: int = 20) -> Fusion:
+    """Heads on the older matured rows, arms on the newer ones; columns ``z1, z2, m1, m2`` are logits.
+
+    Rows with a missing memory do not count. With fewer than ``minimum`` rows of a class in
+    either part nothing is fitted and the second branch stands (``status`` tells).
+    """
+    names = ["z1", "z2", "m1", "m2"]
+    older, newer = (d.dropna(subset=names) for d in (older, newer))
+    least = [min(r["p"] or 0, r["n"] - (r["p"] or 0)) for r in (d.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first() for d in (older, newer))]
+    if min(least) < minimum:
+        return Fusion("second branch stands", {}, {})
+    heads = {c: platt_fit(older, expit(c), label, monotone=True) for c in names}
+    arms = {}
+    for arm in ARMS:
+        x, offset = _basis(newer, heads, arm)
+        arms[arm] = penalised_logit(newer, x, F.col(label), [0.0] + [ridge] * (len(x) - 1), offset=offset)
+    return Fusion("fitted", heads, arms)
+
+
+def apply_fusion(df: DataFrame, fusion: Fusion, arm: str, name: str = "fused") -> DataFrame:
+    """Rows without the arm's memories, and all rows without a fit, get the second branch."""
+    if fusion.status != "fitted":
+        return df.withColumn(name, expit("z2"))
+    x, eta = _basis(df, fusion.heads, arm)
+    for b, c in zip(fusion.arms[arm], x, strict=True):
+        eta = eta + F.lit(b) * c
+    return df.withColumn(name, F.coalesce(clip(expit(eta), 1e-6, 1 - 1e-6), expit("z2")))
+
+
+def fusion_gradient(newer: DataFrame, fusion: Fusion, arm: str, label: str = "label", ridge: float = 0.01) -> DataFrame:
+    """Mean residual times each basis column plus the ridge term, long by term: about 0 at the fit."""
+    newer = newer.dropna(subset=["z1", "z2", "m1", "m2"])
+    x, eta = _basis(newer, fusion.heads, arm)
+    beta = fusion.arms[arm]
+    for b, c in zip(beta, x, strict=True):
+        eta = eta + F.lit(b) * c
+    r = expit(eta) - F.col(label)
+    sums = [(F.avg(r * c) + F.lit(ridge * b if i else 0.0)).alias(f"b{i}") for i, (b, c) in enumerate(zip(beta, x, strict=True))]
+    return newer.agg(*sums).unpivot([], [f"b{i}" for i in range(len(beta))], "term", "gradient")
 
 
 def rerank_features(df: DataFrame, by=("bin",), entity: str = "entity") -> DataFrame:
