@@ -40,17 +40,52 @@ WINDOW, PIECE, HOT = 20, 4, 20_000
 HELD, HELD_BYTES = 200_000, 48 << 20
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash; a cache of bounded size."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, w: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
+class Words:
+    """A text as its words joined by one blank: bytes, word borders and a 64-bit hash of each word.
+
+    The hash is a polynomial in the word's bytes modulo 2**64. Prefix sums of all bytes give it
+    for every word at once: the difference at its borders, moved to place 0 by the inverse power.
+    """
+
+    FACTOR = 0x9E3779B97F4A7C15
+    BLOCK = 1 << 20  # bytes hashed at a time
+    power = inverse = np.ones(1, np.uint64)
+
+    def __init__(self, text: str | None):
+        self.norm = b" ".join(words(text))
+        a = np.frombuffer(self.norm, np.uint8)
+        cut = np.flatnonzero(a == 32)
+        self.start = np.concatenate([[0], cut + 1]) if len(a) else np.empty(0, np.int64)
+        self.end = np.concatenate([cut, [len(a)]]) if len(a) else np.empty(0, np.int64)
+        self.n = len(self.start)
+
+    @classmethod
+    def powers(cls, n: int) -> None:
+        if len(cls.power) < n:
+            for name, f in (("power", cls.FACTOR), ("inverse", pow(cls.FACTOR, -1, 1 << 64))):
+                p = np.full(n, f, np.uint64)
+                p[0] = 1
+                setattr(cls, name, np.multiply.accumulate(p))
+
+    def hashes(self) -> np.ndarray:
+        a = np.frombuffer(self.norm, np.uint8)
+        out, k = np.empty(self.n, np.uint64), 0
+        while k < self.n:
+            e = max(k + 1, int(np.searchsorted(self.end, self.start[k] + self.BLOCK, "right")))
+            lo, hi = self.start[k], self.end[e - 1]
+            self.powers(max(hi - lo, self.BLOCK) + 1)
+            before = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum((a[lo:hi].astype(np.uint64) + np.uint64(1)) * self.power[:hi - lo], out=before[1:])
+            s = self.start[k:e] - lo
+            out[k:e] = (before[self.end[k:e] - lo] - before[s]) * self.inverse[s]
+            k = e
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+        return out
+
+    def slice(self, first: int, stop: int) -> bytes:
+        return self.norm[self.start[first]:self.end[stop - 1]]
 
 
 def sliding(a: np.ndarray, k: int, op) -> np.ndarray:
@@ -91,13 +126,12 @@ def list_places(window: int, piece: int):
     schema = pa.schema([("least", pa.int64()), ("row", pa.int64())])
 
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             least, rows = [], []
             for row, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                w = words(text.as_py())
-                if len(w) >= window:
-                    p = places(*minimisers(hashes.of(w), window, piece))
+                w = Words(text.as_py())
+                if w.n >= window:
+                    p = places(*minimisers(w.hashes(), window, piece))
                     least.append(p)
                     rows.append(np.full(len(p), row))
             if least:
@@ -106,6 +140,14 @@ def list_places(window: int, piece: int):
     return run
 
 
+def shared_runs(w: Words, window: int, piece: int, shared: list[int]) -> list[tuple[int, int, int]]:
+    """(minimiser, first window, end) of every run of windows with one shared minimiser."""
+    least = minimisers(w.hashes(), window, piece)[1].view(np.int64)
+    cut = (np.flatnonzero(least[1:] != least[:-1]) + 1).tolist()
+    known = set(shared)
+    return [(m, a, e) for m, a, e in zip(least[[0, *cut]].tolist(), [0, *cut], [*cut, len(least)], strict=True) if m in known]
+
+
 def pack(window: int, piece: int):
     """(row, id, text, shared, hot) -> (bucket, id, row, start, string): the first of equal strings in the task."""
     schema = pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("string", pa.binary())])
@@ -119,20 +161,14 @@ def pack(window: int, piece: int):
             yield batch_of(schema, [first[3][part], first[0][part], first[1][part], first[2][part], string[part]])
 
     def run(batches):
-        hashes, held, size = WordHashes(), {}, 0
+        held, size = {}, 0
         for b in batches:
             for row, i, text, shared, hot in zip(*(c.to_pylist() if k != 2 else c for k, c in enumerate(b.columns)), strict=True):
-                w = words(text.as_py())
-                _, least = minimisers(hashes.of(w), window, piece)
-                least = least.view(np.int64)
-                hit, hot = np.isin(least, shared), set(hot)
-                cut = np.flatnonzero(least[1:] != least[:-1]) + 1
-                for a, e in zip([0, *cut.tolist()], [*cut.tolist(), len(least)], strict=True):
-                    if not hit[a]:
-                        continue
-                    bucket = int(least[a])
+                w = Words(text.as_py())
+                hot = set(hot)
+                for bucket, a, e in shared_runs(w, window, piece, shared):
                     for s, t in ((x, x + 1) for x in range(a, e)) if bucket in hot else ((a, e),):
-                        string = b" ".join(w[s:t + window - 1])
+                        string = w.slice(s, t + window - 1)
                         key = int(np.uint64(xxhash.xxh3_64_intdigest(string)).view(np.int64)) if bucket in hot else bucket
                         new, old = (i, row, s, key), held.get(string)
                         if old is None:
@@ -194,14 +230,15 @@ def remove(window: int, piece: int):
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.binary())])
 
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
             out = []
             for i, text, shared, fresh in zip(b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                w = words(text.as_py())
-                n = len(w)
+                w = Words(text.as_py())
+                n, kept, text = w.n, w.n, w.norm
                 if shared is not None:
-                    repeat = np.isin(minimisers(hashes.of(w), window, piece)[1].view(np.int64), shared)
+                    repeat = np.zeros(n - window + 1, bool)
+                    for _, a, e in shared_runs(w, window, piece, shared):
+                        repeat[a:e] = True
                     for f in fresh or ():
                         if f["id"] == i:
                             repeat[f["start"]:f["start"] + f["n"]] = False
@@ -209,9 +246,11 @@ def remove(window: int, piece: int):
                     for a, e in _runs(repeat):
                         edge[a] += 1
                         edge[e + window - 1] -= 1
-                    gone = np.cumsum(edge[:n]) > 0
-                    w = [x for x, g in zip(w, gone.tolist(), strict=True) if not g]
-                out.append((i, n, n - len(w), b" ".join(w)))
+                    stay = np.cumsum(edge[:n]) == 0
+                    kept = int(stay.sum())
+                    if kept < n:
+                        text = b" ".join(w.slice(a, e) for a, e in _runs(stay))
+                out.append((i, n, n - kept, text))
             if out:
                 yield batch_of(schema, list(zip(*out, strict=True)))
 
@@ -222,7 +261,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, n_words, n_removed, kept_text (binary, words joined by one space)."""
     rows = docs.select(F.xxhash64(id_of(id_col), text_col).alias("row"), id_of(id_col).alias("id"), F.col(text_col).alias("text"))
     listed = stored(rows.select("row", "text").mapInArrow(list_places(window, piece), "least long, row long"), "minimisers")
-    shared = listed.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join below has plain shuffles on both sides and Spark can split a hot minimiser.
+    shared = stored(listed.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-minimisers")
     of_row = (listed.join(shared, "least").groupBy("row")
               .agg(F.collect_set("least").alias("shared"), F.collect_set(F.when(F.col("n") > hot, F.col("least"))).alias("hot")))
     known = rows.join(of_row, "row", "left")
