@@ -10,7 +10,8 @@ from .common import stored
 def _stars(edges: DataFrame, both: bool) -> DataFrame:
     """Hang every larger neighbour (``both``) or every smaller one under the least of the neighbourhood."""
     e = edges.union(edges.select("v", "u")) if both else edges
-    least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written, so that the join has plain shuffles on both sides and Spark can split a hub's rows.
+    least = stored(e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     near = e.join(least, "u")
     if both:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

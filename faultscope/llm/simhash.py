@@ -163,6 +163,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lists = postings(fps.select("fp").distinct()).repartition("key").sortWithinPartitions("key")
     roots = components(lists.mapInArrow(list_links, "u long, v long"))
     rows = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("id", "fp", F.coalesce("root", "fp").alias("root"))
-    least = rows.groupBy("root").agg(F.min("id").alias("least"))
+    least = stored(rows.groupBy("root").agg(F.min("id").alias("least")), "components")  # written: see components._stars
     return rows.join(least, "root").select(
         back_to_id("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), back_to_id("least").alias("component_id"))
