@@ -5,17 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import DAY, HOUR, activity_state, idiv
-from .joins import interval_join, not_in_intervals
+from ..session import materialize
+from .joins import asof, not_in_intervals
+from .scan import running
+from .summaries import with_percentiles
 
 
-def curves(tel: DataFrame, points: DataFrame, keys: list[str], point_id: str, at: str, metrics: list[str], unit: int, start: int, end: int) -> DataFrame:
-    """Long curves ``(point, metric, offset, mean, n)`` for offsets ``[start, end)`` in units."""
-    iv = points.select(*keys, point_id, (F.col(at) + start * unit).alias("_lo"), (F.col(at) + end * unit).alias("_hi"))
-    j = interval_join(tel.select(*keys, "t", *metrics), iv, keys, "t", "_lo", "_hi", width=(end - start) * unit)
-    j = j.withColumn("offset", idiv(F.col("t") - F.col("_lo"), unit) + start)
-    wide = j.groupBy(point_id, "offset").agg(*[F.struct(F.avg(m).alias("mean"), F.count(m).alias("n")).alias(m) for m in metrics])
-    arr = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}.mean").alias("mean"), F.col(f"{m}.n").alias("n")) for m in metrics]))
-    return wide.select(point_id, "offset", arr.alias("x")).select(point_id, "offset", "x.*").where(F.col("n") > 0)
+def curves(tel: DataFrame, points: DataFrame, keys: list[str], point_id: str, at: str, metrics: list[str], unit: int, start: int, end: int, width: int = DAY) -> DataFrame:
+    """Long curves ``(point, metric, offset, mean, n)`` for offsets ``[start, end)`` in units.
+
+    Readings and points are never paired: running sums and counts of the readings are looked up
+    at the ``end - start + 1`` borders of each point, and neighbouring borders subtracted. The
+    work is readings + points x borders, however many of both a key has. Means come from
+    differences of sums, so they are as exact as the running sums (whole numbers: exactly).
+    """
+    runs = {"_c": ("sum", F.lit(1).cast("bigint"))}
+    for m in metrics:
+        runs |= {f"_s_{m}": ("sum", F.coalesce(F.col(m).cast("double"), F.lit(0.0))), f"_n_{m}": ("sum", F.col(m).isNotNull().cast("bigint"))}
+    upto = running(tel.select(*keys, "t", *metrics), keys, ["t"], idiv("t", width), runs).drop(*metrics)
+    border = points.select(*keys, point_id, F.col(at).alias("_at"), F.explode(F.sequence(F.lit(start), F.lit(end))).alias("offset"))
+    border = border.withColumn("_bt", F.col("_at") + F.col("offset") * F.lit(unit))
+    # ``_c`` leads the payload: of equal times the row with all of them is taken.
+    d = asof(border, upto, keys, "_bt", "t", {c: c for c in runs}, width, inclusive=False)
+    w = Window.partitionBy(point_id).orderBy("offset")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    for m in metrics:
+        n, x = (zero(F.lead(c).over(w)) - zero(F.col(c)) for c in (f"_n_{m}", f"_s_{m}"))
+        d = d.withColumns({f"_dn_{m}": n, f"_dx_{m}": x})
+    arr = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.try_divide(F.col(f"_dx_{m}"), F.col(f"_dn_{m}")).alias("mean"), F.col(f"_dn_{m}").alias("n")) for m in metrics]))
+    return (d.where(F.col("offset") < end).select(point_id, F.col("offset").cast("bigint").alias("offset"), arr.alias("x"))
+            .select(point_id, "offset", "x.*").where(F.col("n") > 0))
 
 
 def curve_windows(cv: DataFrame, point_id: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
@@ -30,9 +49,9 @@ def curve_windows(cv: DataFrame, point_id: str, windows: dict[str, tuple[int, in
 def cluster_effect(df: DataFrame, cluster: list[str], group: list[str], value: str) -> DataFrame:
     """Median inside clusters first, then median, quartiles and share positive over clusters."""
     c = df.where(F.col(value).isNotNull()).groupBy(*group, *cluster).agg(F.percentile(value, 0.5).alias("_m"))
-    q = F.percentile("_m", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    return c.groupBy(*group).agg(F.count("*").alias("clusters"), q[0].alias("median"), q[1].alias("q25"), q[2].alias("q75"),
-                                 F.avg((F.col("_m") > 0).cast("double")).alias("share_positive"))
+    c = materialize(c, "clusters")  # a cluster is small, a group is not: its quantiles come from counts
+    a = c.groupBy(*group).agg(F.count("*").alias("clusters"), F.avg((F.col("_m") > 0).cast("double")).alias("share_positive"))
+    return with_percentiles(a, c, group, "_m", {"median": 0.5, "q25": 0.25, "q75": 0.75})
 
 
 def normalised_curves(cv: DataFrame, point_id: str, base: tuple[int, int], min_bins: int) -> DataFrame:
@@ -155,7 +174,8 @@ def confirm_metrics(windows: DataFrame, runs: DataFrame, base: str, final: str,
     """Median change from baseline to the final window among events with a terminal run."""
     hit = runs.where(F.col("run") >= min_run).select("event_id").distinct()
     d = windows.join(hit, "event_id", "left_semi").withColumn("_c", F.col(final) - F.col(base))
-    return d.groupBy("metric").agg(F.count("_c").alias("cases"), F.percentile("_c", 0.5).alias("median_change"))
+    d = materialize(d.select("metric", "_c"), "changes")
+    return with_percentiles(d.groupBy("metric").agg(F.count("_c").alias("cases")), d, ["metric"], "_c", {"median_change": 0.5})
 
 
 def mechanism_rates(df: DataFrame, cluster: list[str], flags: dict[str, Column]) -> DataFrame:

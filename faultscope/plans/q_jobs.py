@@ -99,7 +99,7 @@ dr AS (SELECT slot, rep, ({mix_hash_sql(42, 'rep', 'pos')} % n) + 1 AS pos FROM
 m AS (SELECT slot, rep, median(v) AS s FROM dr JOIN (SELECT slot, pos, v FROM p) USING (slot, pos) GROUP BY 1, 2)
 SELECT slot, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.975) AS ci_high FROM m GROUP BY 1""", "ci_low ci_high")
 def _(c):
-    u = c.telemetry.groupBy("slot", "grp").agg(F.percentile("temp", 0.5).alias("v"))
+    u = Sm.exact_percentiles(c.telemetry, ["slot", "grp"], "temp", {"v": 0.5})
     return B.bootstrap_ci(u, ["slot"], "grp", "v", reps=200)
 
 
