@@ -8,7 +8,7 @@ do not depend on the order in which partitions are merged.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,7 +28,7 @@ class Canon:
     spark: SparkSession
     sf_dir: str
     step: int = STEP
-    _memo: dict = field(default_factory=dict)
+    copies: int = 1  # of every entity, for timings on a larger grid
 
     def __post_init__(self):
         use_utc(self.spark)
@@ -40,7 +40,11 @@ class Canon:
     def telemetry(self) -> DataFrame:
         util = F.round(F.col("value") * 100)
         temp = F.get_json_object("props", "$.k").cast("double")
-        return self.table("events").select(
+        events = self.table("events")
+        if self.copies > 1:
+            copy = F.explode(F.sequence(F.lit(0), F.lit(self.copies - 1)))
+            events = events.withColumn("_copy", copy).withColumn("user_id", F.col("user_id") + F.col("_copy") * F.lit(GROUP_SIZE * 1_000_000))
+        return events.select(
             F.col("user_id").alias("entity"),
             idiv("user_id", GROUP_SIZE).alias("grp"),
             F.pmod("user_id", F.lit(GROUP_SIZE)).alias("slot"),
