@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batch_of, table
+from .common import batch_of, share, table
 
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 _CONTROL = re.compile(r"([<\[])(\\*)(?=\||/?s>|/?INST\])")
@@ -77,7 +77,7 @@ def mask(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray,
 def format_chats(rows: DataFrame, tokenizer_file: str, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: id, formatted, ids, loss_token, loss_start, loss_stop."""
     with open(tokenizer_file, encoding="utf-8") as f:
-        source = rows.sparkSession.sparkContext.broadcast(f.read())
+        source = share(rows.sparkSession, f.read())
     ints = pa.list_(pa.int32())
     schema = pa.schema([("id", pa.int64()), ("formatted", pa.string()), ("ids", ints), ("loss_token", ints), ("loss_start", ints), ("loss_stop", ints)])
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
@@ -45,6 +47,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+class _ByValue:
+    """Pickles as its object with classes by value: executors need not have this package."""
+
+    def __init__(self, obj):
+        self.obj = obj
+
+    def __reduce__(self):
+        return pickle.loads, (cloudpickle.dumps(self.obj),)
+
+
+def share(spark: SparkSession, obj):
+    """Broadcast of an object of bounded size; ``value`` is set up once in each worker."""
+    return spark.sparkContext.broadcast(_ByValue(obj))
+
+
 def by_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]):
     """mapInArrow function from ``make``, which is called once in each task."""
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batch_of, plain_word_spans, plain_words, table
+from .common import batch_of, plain_word_spans, plain_words, share, table
 
 WINDOW, BLOCK = 10, 500_000
 
@@ -87,7 +87,7 @@ ROW = f"id long, n_words long, n_hit long, items array<string>, spans {SPANS}"
 
 
 def _scan(rows: DataFrame, items: list[tuple], window: int, only_hits: bool) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(Windows(items, window))
+    shared = share(rows.sparkSession, Windows(items, window))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", span), ("key", pa.int64()), ("runs", span)])
     name = lambda pairs: [{"start": a, "stop": b} for a, b in pairs]
@@ -176,7 +176,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         return run
 
     for part in item_blocks(items, item_col, item_text, block):
-        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(Windows(part, window))), docs.schema)
+        docs = docs.mapInArrow(clean(share(docs.sparkSession, Windows(part, window))), docs.schema)
     return docs
 
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batch_of, by_batch, table
+from .common import batch_of, by_batch, share, table
 from .html_labels import PAGES
 
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
@@ -215,7 +215,7 @@ def main_text(page: str | None, tree: Node | bool) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", also: tuple[str, ...] = ("url",)) -> DataFrame:
     """One row per input row: id, the columns in ``also`` (strings), text, n_chars."""
-    tree = pages.sparkSession.sparkContext.broadcast(grow(*labelled()))
+    tree = share(pages.sparkSession, grow(*labelled()))
     schema = pa.schema([("id", pa.int64()), *((c, pa.string()) for c in also), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def make():

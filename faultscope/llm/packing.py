@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from .common import batch_of
+from .common import batch_of, share
 
 LENGTH, END, PARTS, CACHED = 2048, 1, 8_000_000, 800_000
 #: Characters for which the split below is the tokenizer's own; texts with others go to it whole.
@@ -93,7 +93,7 @@ def encoder(tokenizer_file: str, ranks_file: str, pattern: str) -> Encoder:
 def encoded(docs: DataFrame, path: str, tokenizer_file: str, ranks_file: str, pattern: str, id_col: str, text_col: str, end: int = END) -> DataFrame:
     """Pass 1: (part, at, id, n, ids) written to ``path``."""
     spark = docs.sparkSession
-    source = spark.sparkContext.broadcast(encoder(tokenizer_file, ranks_file, pattern))
+    source = share(spark, encoder(tokenizer_file, ranks_file, pattern))
     schema = pa.schema([("part", pa.int32()), ("at", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
     tail = np.array([end], "<u2").tobytes()
 
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, tokenizer_file: str, ranks_file: str, pattern: str, id
     size = np.zeros(max((r.part for r in totals), default=-1) + 1, np.int64)
     for r in totals:
         size[r.part] = r.n
-    base = spark.sparkContext.broadcast(np.cumsum(size) - size)
+    base = share(spark, np.cumsum(size) - size)
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
                         ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import batch_of, by_batch, stored, table
+from .common import batch_of, by_batch, share, stored, table
 
 ROWS, BINS, COARSE, ROUNDS, PAIRS, RATE, RIDGE, LEAST = 40_000, 48, 8, 120, 6, 0.15, 2.0, 4
 NAMES = ["log_bytes", "word_bytes", "short_words", "distinct_words", "upper", "digits", "marks", "symbols", "bars", "bangs", "not_ascii", "line_words", "same_lines", "long_words", "stops", "again"]
@@ -126,12 +126,12 @@ def _quads(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarr
 
 def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     n, m = x.shape if len(x) else (0, len(NAMES))
-    share = float(y.mean()) if n else 0.5
-    if not n or not 0 < share < 1:
-        share = min(max(share, 1e-3), 1 - 1e-3)
-        return Additive([], [], float(np.log(share / (1 - share))))
+    prior = float(y.mean()) if n else 0.5
+    if not n or not 0 < prior < 1:
+        prior = min(max(prior, 1e-3), 1 - 1e-3)
+        return Additive([], [], float(np.log(prior / (1 - prior))))
     cuts = lambda k, bins: np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1]))
-    model = Additive([cuts(k, BINS) for k in range(m)], [cuts(k, COARSE) for k in range(m)], float(np.log(share / (1 - share))))
+    model = Additive([cuts(k, BINS) for k in range(m)], [cuts(k, COARSE) for k in range(m)], float(np.log(prior / (1 - prior))))
     bins = [np.searchsorted(e, x[:, k]) for k, e in enumerate(model.edges)]
     sizes = [len(e) + 1 for e in model.edges]
     count = [np.bincount(b, minlength=s) for b, s in zip(bins, sizes, strict=True)]
@@ -168,8 +168,8 @@ def held_out(id_col: str) -> Column:
 def train(x: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = ROWS) -> Additive:
     """Fit on the labelled rows that are not held out; about ``rows`` of them at most."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("double").alias("y"))
-    share = min(1.0, rows / max(known.count(), 1))
-    some = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    part = min(1.0, rows / max(known.count(), 1))
+    some = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))
     got = x.join(some, "id").orderBy("id", "y").toPandas()
     return fit(np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES)), got["y"].to_numpy(float))
 
@@ -177,7 +177,7 @@ def train(x: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: st
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
     """One row per input row: id, held_out, score, predicted."""
     x = stored(feature_table(docs, id_col, text_col), "quality-features")
-    model = docs.sparkSession.sparkContext.broadcast(train(x, labels, rows=rows))
+    model = share(docs.sparkSession, train(x, labels, rows=rows))
     schema = pa.schema([("id", pa.int64()), ("score", pa.float64())])
 
     def make():
@@ -193,7 +193,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
     """Rows of ``docs``, all columns, that the classifier accepts. Texts do not move: they are scored in place."""
     x = feature_table(docs, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast(train(x, labels, rows=rows))
+    model = share(docs.sparkSession, train(x, labels, rows=rows))
     at = docs.columns.index(text_col)
 
     def make():

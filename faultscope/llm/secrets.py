@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .automaton import compile_backwards, compile_rules
-from .common import batch_of, table
+from .common import batch_of, share, table
 
 
 class Rule(NamedTuple):
@@ -97,7 +97,7 @@ class Scanner:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES) -> DataFrame:
     """One row per input row: id, found: array of (kind, start, stop) by start, then rule."""
-    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
+    scanner = share(docs.sparkSession, Scanner(rules))
     schema = pa.schema([("id", pa.int64()), ("found", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])))])
 
     def run(batches):

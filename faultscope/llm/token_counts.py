@@ -19,7 +19,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import batch_of, by_batch
+from .common import batch_of, by_batch, share
 
 LIMIT, MARK, CACHED = 4096, "▁", 400_000
 
@@ -81,7 +81,7 @@ class Runs(dict):
 
 def token_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit."""
-    rank = docs.sparkSession.sparkContext.broadcast(vocabulary(model_file))
+    rank = share(docs.sparkSession, vocabulary(model_file))
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
     def make():
