@@ -238,4 +238,4 @@ def score_chunk(order) -> Column:
     many chunks.
     """
     c = _c(order).cast("double")
-    return F.floor(F.signum(c) * F.log1p(F.abs(c) * 1e6) * 64.0).cast("bigint")
+    return F.floor(F.signum(c) * F.log1p(F.abs(c) * 1e6) * 1024.0).cast("bigint")

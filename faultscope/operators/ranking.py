@@ -85,28 +85,26 @@ def swap_tail(df: DataFrame, k: int, m: int, n: int, swaps: int, ratio: float, r
     order: ``position`` and ``in_top``.
     """
     by = list(by)
-    c = df.where(((F.col("rank2") <= m) | (F.col("rank1") <= n)) & (F.col("rank2") > k) & (F.col("rank1") < F.col("rank2")))
-    c = topk(c, risk, swaps, by, entity, "_i") if swaps > 0 else c.limit(0).withColumn("_i", F.lit(0))
-    c = c.select(*by, "_i", F.col(entity).alias("_new"), F.col(risk).alias("_rn"))
-    s = df.where((F.col("rank2") <= k) & (F.col("rank2") > k - swaps)).select(
-        *by, (F.lit(k + 1) - F.col("rank2")).alias("_i"), F.col(entity).alias("_old"), F.col(risk).alias("_ro"), F.col("rank2").alias("_slot"))
-    ok = F.when(F.col("_rn") >= F.lit(ratio) * F.col("_ro"), 1).otherwise(0)
-    chain = Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    hit = c.join(s, [*by, "_i"]).withColumn("_ok", F.min(ok).over(chain)).where(F.col("_ok") == 1)
-    moved = hit.select(*by, F.explode(F.array(
-        F.struct(F.col("_new").alias("e"), F.col("_slot").alias("slot"), F.lit(1).alias("into")),
-        F.struct(F.col("_old").alias("e"), F.col("_slot").alias("slot"), F.lit(0).alias("into")))).alias("_x"))
-    moved = moved.select(*by, F.col("_x.e").alias(entity), F.col("_x.slot").alias("_slot"), F.col("_x.into").alias("_into"))
-    # Positions follow from the swap list itself (at most ``swaps`` entries per time), without sorting again.
-    gone = hit.groupBy(*by).agg(F.sort_array(F.collect_list("_slot")).alias("_out"), F.collect_list("_new").alias("_in"), F.count("*").alias("_m"))
-    came = hit.join(df.select(*by, F.col(entity).alias("_new"), F.col("rank2").alias("_r2")), [*by, "_new"]).groupBy(*by).agg(F.collect_list("_r2").alias("_cr"))
-    d = df.join(moved, [*by, entity], "left").join(gone.drop("_in").join(came, by), by, "left")
+    # All rows that can take part, at most k + m + n a time: the swap list is worked out in one row.
+    near = (F.col("rank2") <= m) | (F.col("rank1") <= n)
+    heads = df.where(near | (F.col("rank2") <= k)).groupBy(*by).agg(F.collect_list(F.struct(
+        F.col(entity).alias("e"), F.col("rank1").alias("r1"), F.col("rank2").alias("r2"), F.col(risk).alias("risk"), near.alias("near"))).alias("_h"))
+    ordered = lambda keep, key: F.sort_array(F.transform(F.filter("_h", keep), lambda x: F.struct(key(x).alias("o"), x["e"].alias("e"), x["r2"].alias("r2"), x["risk"].alias("risk"))))
+    new = ordered(lambda x: x["near"] & (x["r2"] > k) & (x["r1"] < x["r2"]), lambda x: -x["risk"])
+    old = ordered(lambda x: (x["r2"] <= k) & (x["r2"] > k - swaps), lambda x: -x["r2"])
+    met = heads.withColumn("_z", F.arrays_zip(F.slice(new, 1, max(swaps, 0)).alias("n"), old.alias("o")))
+    ok = F.transform("_z", lambda x: F.coalesce(x["n"]["risk"] >= F.lit(ratio) * x["o"]["risk"], F.lit(False)))
+    met = met.withColumn("_first", F.array_position(ok, False))
+    met = met.select(*by, F.when(F.col("_first") > 0, F.slice("_z", F.lit(1), (F.col("_first") - 1).cast("int"))).otherwise(F.col("_z")).alias("_z"))
+    d = df.join(met, by, "left")
     r = F.col("rank2")
-    ahead = lambda arr: F.coalesce(F.size(F.filter(arr, lambda x: x < r)), F.lit(0))
-    in_top = F.when(F.col("_into").isNotNull(), F.col("_into") == 1).otherwise(r <= k)
-    pos = (F.when(F.col("_into") == 1, F.col("_slot")).when(F.col("_into") == 0, F.lit(k + 1) + ahead("_out"))
-           .when(r <= k, r).otherwise(r + F.coalesce("_m", F.lit(0)) - F.when(F.col("_m").isNotNull(), ahead("_cr")).otherwise(F.lit(0))))
-    return d.withColumn("in_top", in_top).withColumn("position", pos).drop("_slot", "_into", "_out", "_m", "_cr")
+    out = F.exists("_z", lambda x: x["o"]["e"] == F.col(entity))
+    d = d.withColumns({"_slot": F.get(F.transform(F.filter("_z", lambda x: x["n"]["e"] == F.col(entity)), lambda x: x["o"]["r2"]), F.lit(0)), "_gone": F.coalesce(out, F.lit(False))})
+    ahead = lambda side: F.coalesce(F.size(F.filter("_z", lambda x: x[side]["r2"] < r)), F.lit(0))
+    in_top = F.col("_slot").isNotNull() | (~F.col("_gone") & (r <= k))
+    pos = (F.when(F.col("_slot").isNotNull(), F.col("_slot")).when(F.col("_gone"), F.lit(k + 1) + ahead("o"))
+           .when(r <= k, r).otherwise(r + F.coalesce(F.size("_z"), F.lit(0)) - ahead("n")))
+    return d.withColumn("in_top", in_top).withColumn("position", pos).drop("_slot", "_gone", "_z")
 
 
 def promote(candidates: DataFrame, baseline: DataFrame, kind: str, ap: str, recall: str, name: str, gain: float, tolerance: float, tie: float = 1e-12) -> DataFrame:
