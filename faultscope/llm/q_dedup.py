@@ -34,16 +34,15 @@ OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
-  SELECT doc_id, w, unnest(range(len(w) - 19)) AS start FROM d WHERE len(w) >= 20
+  SELECT doc_id, unnest(range(len(w) - 19)) AS start, unnest(list_transform(range(len(w) - 19), lambda i: array_to_string(w[i + 1:i + 20], ' '))) AS win FROM d WHERE len(w) >= 20
 ), g AS (
-  SELECT doc_id, start, row_number() OVER (PARTITION BY array_to_string(w[start + 1:start + 20], ' ') ORDER BY doc_id, start) > 1 AS again FROM s
+  SELECT doc_id, start, row_number() OVER (PARTITION BY win ORDER BY doc_id, start) > 1 AS again FROM s
 ), gone AS (
   SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM g WHERE again
-), r AS (SELECT doc_id, list(place) AS gone FROM gone GROUP BY doc_id),
-k AS (
-  SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS m,
-         CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END AS kept
-  FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+), l AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM d
+), k AS (
+  SELECT l.doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n FROM l ANTI JOIN gone ON gone.doc_id = l.doc_id AND gone.place = l.place GROUP BY 1
 )
-SELECT doc_id, n AS n_words, m AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
