@@ -44,10 +44,15 @@ def thin_positives(onset_bins: DataFrame, h: int, stride: int) -> DataFrame:
 
 
 def validation_subset(df: DataFrame, label: str, budget: int, keys: list[str], seed: int) -> DataFrame:
-    """All positives, negatives up to the row budget."""
-    pos = df.agg(F.sum(label))
-    d = df.withColumn("_p", pos.scalar())
-    neg = exact_n(d.where(F.col(label) == 0), [], F.greatest(F.lit(0), F.lit(budget) - F.col("_p")), keys, seed)
+    """All positives, negatives up to ``budget`` rows in all.
+
+    The budget bounds evaluation rows, a feature of this operator: metrics on the subset see a
+    higher prevalence. ``left_out`` is the number of negatives that are not in it.
+    """
+    n = df.agg(F.sum(label).alias("p"), F.count_if(F.col(label) == 0).alias("n")).select(F.struct("p", "n")).scalar()
+    room = F.greatest(F.lit(0), F.lit(budget) - F.coalesce(n["p"], F.lit(0)))
+    d = df.withColumns({"_p": room, "left_out": F.greatest(F.lit(0), n["n"] - room)})
+    neg = exact_n(d.where(F.col(label) == 0), [], F.col("_p"), keys, seed)
     return d.where(F.col(label) == 1).unionByName(neg).drop("_p")
 
 

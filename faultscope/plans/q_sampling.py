@@ -35,10 +35,11 @@ def _(c):
     return S.thin_positives(c.faults.select("entity", bin_index("t", T0, c.step).alias("bin")), 12, 6)
 
 
-@plan("validation_subset", "L10", ("scores",), f"""ng AS (SELECT *, row_number() OVER (ORDER BY {hsh(5)}, entity, bin) AS r FROM scores WHERE label = 0)
-SELECT entity, bin, label FROM scores WHERE label = 1 UNION ALL SELECT entity, bin, label FROM ng WHERE r <= greatest(0, 9000 - (SELECT sum(label) FROM scores))""")
+@plan("validation_subset", "L10", ("scores",), f"""ng AS (SELECT *, row_number() OVER (ORDER BY {hsh(5)}, entity, bin) AS r FROM scores WHERE label = 0),
+lo AS (SELECT greatest(0, count(*) FILTER (WHERE label = 0) - greatest(0, 9000 - sum(label)))::BIGINT AS left_out FROM scores)
+SELECT entity, bin, label, left_out FROM scores, lo WHERE label = 1 UNION ALL SELECT entity, bin, label, left_out FROM ng, lo WHERE r <= greatest(0, 9000 - (SELECT sum(label) FROM scores))""")
 def _(c):
-    return S.validation_subset(c.tape, "label", 9000, ["entity", "bin"], 5).select("entity", "bin", "label")
+    return S.validation_subset(c.tape, "label", 9000, ["entity", "bin"], 5).select("entity", "bin", "label", "left_out")
 
 
 @plan("time_sampling", "L11", ("decisions",), f"SELECT t FROM (SELECT t, row_number() OVER (ORDER BY {mix_hash_sql(3, 't')}, t) AS r FROM (SELECT DISTINCT t FROM decisions)) WHERE r <= 40")
