@@ -162,7 +162,7 @@ def _(c):
     return C.matured_feedback(blk, o, 6, 4).withColumn("applied_at_origin", F.coalesce("applied_at_origin", F.lit(-1)))
 
 
-@plan("momentum_control", "M18 M19 M25 K6", ("scores",))
+@plan("momentum_control", "M19 K6", ("scores",))
 def _(c):
     """Validation AP of nine (train, observe) combinations per origin, then hold or re-search."""
     combos = F.explode(F.array(*[F.struct(F.lit(d).cast("bigint").alias("days"), F.lit(h).cast("bigint").alias("hours")) for d in (7, 14, 21) for h in (1, 6, 24)]))
@@ -196,7 +196,7 @@ def _(c):
     return C.training_cost(f, [7, 14])
 
 
-@plan("window_stability", "A38 M24", ("scores",), BL + """SELECT origin % 2 AS model, avg(ap) AS mean, stddev_pop(ap) AS std, min(ap) AS min, max(ap) AS max, count(*) FILTER (WHERE ap > prev) AS chosen_15, count(*) FILTER (WHERE NOT ap > prev) AS chosen_9 FROM bl0 GROUP BY 1""", "mean std min max")
+@plan("window_stability", "A38", ("scores",), BL + """SELECT origin % 2 AS model, avg(ap) AS mean, stddev_pop(ap) AS std, min(ap) AS min, max(ap) AS max, count(*) FILTER (WHERE ap > prev) AS chosen_15, count(*) FILTER (WHERE NOT ap > prev) AS chosen_9 FROM bl0 GROUP BY 1""", "mean std min max")
 def _(c):
     b = blocks(c).withColumns({"model": F.col("origin") % 2, "length": F.when(F.col("ap") > F.col("prev"), 15).otherwise(9)})
     return C.stability(b, ["model"], "ap", "length", [15, 9])
