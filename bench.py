@@ -3,7 +3,7 @@
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default all cores)
 select the data and the parallelism. Each plan runs to a no-op sink after a session
 warm-up; the time is the median of BENCH_REPEAT runs (default 3, fewer for a plan that
-has used up BENCH_PLAN_SECONDS, default 8). "large" holds rows, seconds and rows per
+has used up BENCH_PLAN_SECONDS, default 6). "large" holds rows, seconds and rows per
 second of the 45-column features on a grid with every entity BENCH_COPIES times
 (default 30: 5.4 million rows at sf0.1).
 """
@@ -34,7 +34,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    most = float(os.environ.get("BENCH_PLAN_SECONDS", "8"))
+    most = float(os.environ.get("BENCH_PLAN_SECONDS", "6"))
     copies = int(os.environ.get("BENCH_COPIES", "30"))
     names = sys.argv[1:] or HEADLINE
     spark = (
