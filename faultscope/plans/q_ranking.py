@@ -212,21 +212,42 @@ cap AS (SELECT o.entity, o.onset_t, any_value(el.ok) AS eligible, count(tp.t) >
 """
 
 
-def capture(c):
-    top = R.topk(c.scores, "p1", 20)
-    times = c.decisions.where(F.pmod("bin", F.lit(17)) != 5)  # a schedule with holes
-    return M.onset_capture(top, times, c.faults, DAY, 600_000_000, 6 * HOUR)
+#: The same with every decision time, none left out.
+CAP_ALL = CAP.replace(" WHERE bin % 17 <> 5", "")
+
+
+def capture(c, times):
+    return M.onset_capture(R.topk(c.scores, "p1", 20), times, c.faults, DAY, 600_000_000, 6 * HOUR)
+
+
+def holes(c):
+    """A schedule with holes, as in ``CAP``."""
+    return c.decisions.where(F.pmod("bin", F.lit(17)) != 5)
 
 
 @plan("onset_capture", "E12 J18", ("scores", "faults"), CAP + "SELECT * FROM cap", "lead_hours")
 def _(c):
-    return capture(c)
+    return capture(c, holes(c))
+
+
+@plan("onset_capture_all", "E12 J18", ("scores", "faults"), CAP_ALL + "SELECT * FROM cap", "lead_hours")
+def _(c):
+    return capture(c, c.decisions)
+
+
+SUMMARY = """SELECT count(*) AS onsets, count(*) FILTER (WHERE captured) AS captured, avg(captured::INT) AS rate, quantile_cont(lead_hours, 0.1) AS lead_p10,
+ quantile_cont(lead_hours, 0.5) AS lead_median, quantile_cont(lead_hours, 0.9) AS lead_p90 FROM cap WHERE eligible"""
+LEADS = "rate lead_p10 lead_median lead_p90"
+
+
+@plan("capture_summary", "E12", ("scores", "faults"), CAP + SUMMARY, LEADS)
+def _(c):
+    return M.capture_summary(materialize(capture(c, holes(c)), "capture"))
 
 
-@plan("capture_summary", "E12", ("scores", "faults"), CAP + """SELECT count(*) AS onsets, count(*) FILTER (WHERE captured) AS captured, avg(captured::INT) AS rate, quantile_cont(lead_hours, 0.1) AS lead_p10,
- quantile_cont(lead_hours, 0.5) AS lead_median, quantile_cont(lead_hours, 0.9) AS lead_p90 FROM cap WHERE eligible""", "rate lead_p10 lead_median lead_p90")
+@plan("capture_summary_all", "E12", ("scores", "faults"), CAP_ALL + SUMMARY, LEADS)
 def _(c):
-    return M.capture_summary(materialize(capture(c), "capture"))
+    return M.capture_summary(materialize(capture(c, c.decisions), "capture"))
 
 
 @plan("episode_capture", "E13", ("scores", "faults"), f"""rk AS (SELECT *, {rk()}, count(*) OVER (PARTITION BY bin) AS n FROM scores),
