@@ -3,7 +3,9 @@
 The page is cut at block tags into flat blocks in page order. Each block has its number of
 words and its link density (share of words inside links), those of its neighbours, and where
 it stands: inside an article, inside a navigation-like element, inside an element whose
-class or id names an extra (advert, cookie notice, comments ...), or a heading. A small
+class or id names an extra (advert, cookie notice, comments ...), or a heading. An extra's
+name on an element that is or encloses an article or main element marks nothing there, save
+comments, teasers and adverts that follow an article as articles of their own. A small
 decision tree, fitted on the blocks of the labelled pages in ``html_labels``, keeps or drops
 each block; kept blocks are joined.
 
@@ -32,7 +34,7 @@ _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z
 _ATTR = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+")
 #: Elements without readable text.
-SILENT = frozenset("script style template noscript svg math iframe object canvas head title textarea select button audio video".split())
+SILENT = frozenset("script style template noscript svg iframe canvas head title textarea select button audio video".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 #: Elements that belong to the page rather than its article.
 FRAME = frozenset("nav aside footer form menu dialog".split())
@@ -44,6 +46,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 EXTRAS = frozenset("""ad advert advertisement advertising alert banner breadcrumb comment commentlist consent cookie disqus dialog footer gdpr login masthead menu menubar modal nav navbar
     navigation newsletter notice notification pager pagination popup promo promotion related reply respond search share sharing sidebar signup skip social sponsor sponsored
     subscribe subscription teaser toolbar widget""".split())
+#: Of these, what follows an article and may be an article element itself; the others also name parts of a layout.
+FOLLOWS = frozenset("ad advert advertisement advertising comment commentlist disqus promo promotion related reply respond sponsor sponsored teaser".split())
+#: What stands after these in a name says what a layout has or lacks: with-sidebar, page-no-nav.
+HAS = frozenset("with without has have no non".split())
 HEADER = frozenset("header banner masthead".split())
 
 
@@ -57,21 +63,31 @@ class Block(NamedTuple):
     heading: bool
 
 
-def extra_named(attributes: str) -> bool:
+def extra_named(attributes: str) -> int:
+    """0: no extra; 1: an extra; 2: one of ``FOLLOWS``.
+
+    A name counts by its first and its last part (ad-slot, cookie-banner), cut before ``--``
+    and before with-, has-, no-: page-sidebar-right and layout--sidebar name no extra.
+    """
+    found = 0
     if "=" not in attributes:
-        return False
+        return found
     for m in _ATTR.finditer(attributes):
-        for w in _NAMES.findall((m[1] or m[2] or m[3] or "").lower()):
-            if w in EXTRAS or w.removesuffix("s") in EXTRAS:
-                return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _NAMES.findall(name.partition("--")[0])
+            parts = parts[:next((k for k, w in enumerate(parts) if w in HAS), len(parts))]
+            for w in {*parts[:1], *parts[-1:]}:
+                w = w if w in EXTRAS else w.removesuffix("s")
+                if w in EXTRAS:
+                    found = max(found, 1 + (w in FOLLOWS))
+    return found
 
 
 class _Open(NamedTuple):
     tag: str
     article: bool
     frame: bool
-    extra: bool
+    extra: int
     silent: bool
 
 
@@ -80,16 +96,19 @@ def blocks(page: str | None) -> list[Block]:
     text: list[str] = []  # pieces of the open block; links alternate
     linked: list[str] = []
     link = heading = False
-    stack = [_Open("", False, False, False, False)]
+    stack = [_Open("", False, False, 0, False)]
+    told = False  # text of an article that is no extra
 
     def close() -> None:
+        nonlocal told
         raw = "".join(text)
         if raw and not raw.isspace():
             words = unescape(raw).split()
             if words:
                 top = stack[-1]
                 inside = len(unescape(" ".join(linked)).split())
-                out.append(Block(" ".join(words), len(words), min(inside, len(words)), top.article, top.frame, top.extra, heading))
+                out.append(Block(" ".join(words), len(words), min(inside, len(words)), top.article, top.frame, top.extra > 0, heading))
+                told = told or top.article and not top.frame and not top.extra
         text.clear()
         linked.clear()
 
@@ -123,9 +142,9 @@ def blocks(page: str | None) -> list[Block]:
             if stack[-1].tag == "p":  # any block ends a paragraph
                 stack.pop()
         elif tag not in SILENT:
-            if not end and not empty and tag not in VOID and extra_named(attributes):
+            if not end and not empty and tag not in VOID and (named := extra_named(attributes)):
                 close()
-                stack.append(stack[-1]._replace(tag=tag, extra=True))
+                stack.append(stack[-1]._replace(tag=tag, extra=max(stack[-1].extra, named)))
             elif end and stack[-1].tag == tag:
                 close()
                 stack.pop()
@@ -139,7 +158,10 @@ def blocks(page: str | None) -> list[Block]:
             continue
         top = stack[-1]
         frame = top.frame or tag in FRAME or tag == "header" and not top.article
-        stack.append(_Open(tag, top.article or tag in ("article", "main"), frame, top.extra or tag not in ("html", "body") and extra_named(attributes), top.silent or tag in SILENT))
+        extra = top.extra if tag in ("html", "body") else max(top.extra, extra_named(attributes))
+        if tag in ("article", "main") and not (extra == 2 and told):  # a layout's name says nothing of its article; comments after an article are extras
+            extra = 0
+        stack.append(_Open(tag, top.article or tag in ("article", "main"), frame, extra, top.silent or tag in SILENT))
         if tag in RAW:  # up to its own end tag, whatever stands between
             stop = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(page, at)
             at = stop.start() if stop else len(page)

@@ -35,4 +35,9 @@ PAGES = [page for n in (1, 2, 4, 8, 16, 30, 60, 120) for m in (3, 20, 200) for p
     f"<table><tr><td><a href=1>-home</a></td><td><a href=2>-news</a></td></tr></table><p>{_LONG}</p><p>+a shorter one between two long ones.</p><p>{_LONG}</p><div class='sidebar'><p>-text beside the story that is long enough to be taken for the story itself if one looks at words alone</p></div>",
     f"<nav>{_LINKS}</nav><p>{_LONG}</p><aside>-a remark of many words beside the text, which nobody asked for and which is left out</aside><p>{_LONG}</p><footer>-made by us with many words and no links, to look like text, at the end of the page</footer>",
     f"<header><p>-the site has a slogan of quite a few words that comes first on each page</p></header><article><p>+x</p></article><div class='related'><a href=1>-other story</a></div><dialog>-a notice of some words</dialog>",
+    # names of extras on what is or encloses the article; extras inside it and after it
+    f"<div class='layout with-sidebar'><article><p>{_LONG}</p><p>+short</p></article><div class='sidebar'><p>-text at the side</p></div></div>",
+    f"<div class='sidebar-layout'><header>-site</header><main id='page-no-nav'><h1>+title</h1><article class='post has-comments'><p>+one</p><p>{_LONG}</p><div class='share'>-tell others</div></article></main></div>",
+    f"<main class='banner'><p>{_LONG}</p><p>+ok</p></main><section id='comments'><article class='comment'><p>-I have read all of this text and have a lot to say about it, as you see here</p></article></section>",
+    f"<article class='teaser'><p>+the first</p><p>{_LONG}</p></article><section class='related-posts'><article><h3>-another</h3><p>-a text about another thing, of a good number of words</p></article></section>",
 ]
