@@ -15,11 +15,26 @@ def _sized(n: int, m: int) -> list[str]:
     return [
         f"<header>{d}</header><nav><a href=1>{d}</a></nav><div class='ad'>{e}</div><article><h1>{k}</h1><p>{long_}<p>{k}<p><a href=2>{k}</a><p>{k}<div class='notice'>{e}</div></article><footer>{e}</footer>",
         f"<div class='banner'>{e}</div><main><p>{k}</p><h2>{long_}</h2><section id='comments'><p>{d}<p>{e}</section></main><aside>{e}<p>{d}</aside><form>{e}</form>",
+        f"<article><nav><a href=1>{d}</a><p><a href=2>{e}</a></nav><p>{k}<aside><a href=3>{d}</a></aside><p>{long_}<div class='related'><a href=4>{e}</a></div><p><a href=5>{k}</a><footer><a href=6>{d}</a></footer></article>",
         f"<article>{long_}<br>{k}<br><a href=1>{long_}</a></article><div class='menu'><a href=1>{d}</a></div><div>{d}</div><div>{e}</div><footer>{d}</footer>",
     ]
 
 
-PAGES = [page for n in (1, 2, 4, 8, 16, 30, 60, 120) for m in (3, 20, 200) for page in _sized(n, m)] + [
+def _bare(n: int, m: int) -> list[str]:
+    """Pages without article or main, of blocks with n and m words: links, frames and extras tell, size does not."""
+    k, long_, d, e = _say("+", n), _say("+", m), _say("-", n), _say("-", m)
+    links = f"<ul><li><a href=1>{d}</a><li><a href=2>{e}</a><li><a href=3>{d}</a> | <a href=4>{d}</a></ul>"
+    return [
+        k,
+        f"<p>{k}</p><p>{long_}</p>",
+        f"<h1>{k}</h1><p>{k}<p>{long_}<h2>{k}</h2><ul><li>{k}<li>{long_}<li>{k}</ul><p>{k}</p>",
+        f"<div>{links}</div><h1>{k}</h1><p>{k}<p>{long_} <a href=1>there</a><h2>{long_}</h2><ul><li>{k}<li>{k} <a href=2>here</a></ul><p>{long_}</p><p>{k}</p><div>{links}</div>",
+        f"<nav>{d}{links}</nav><div><p>{k}</p></div><div class='ad'>{e}</div><p>{k}</p><div class='sidebar'><h3>{d}</h3>{e}</div><aside>{d}</aside><ul><li>{k}</ul><footer>{e}<p>{d}</footer>",
+        f"{links}<p>{k}</p>{links}<h2>{k}</h2>{links}<p>{long_}</p>",
+    ]
+
+
+PAGES = [page for n in (1, 2, 4, 8, 16, 30, 60, 120) for m in (3, 20, 200) for page in _sized(n, m) + _bare(n, m)] + [
     # article element with everything around it
     f"<html><head><title>-t</title></head><body><header><h1>-site name</h1>{_LINKS}</header><nav>{_LINKS}</nav><div class='ad'>-buy this very good thing today</div>"
     f"<article><h1>+heading</h1><p>{_LONG}<p>{_LONG} <a href=x>see there</a></p><p>+short.</p><ul><li>+point</li><li><a href=y>+a linked point</a></li></ul><h2>+next</h2><p>+ok</p></article>"
@@ -31,7 +46,7 @@ PAGES = [page for n in (1, 2, 4, 8, 16, 30, 60, 120) for m in (3, 20, 200) for p
     f"<main><h1>+title of it</h1><p>+one line</p><p>{_LONG}</p><form><p>-your name and your mail please</p><label>-mail</label></form><div id='comments'><p>-first! what a nice text you wrote here, thank you</p></div></main>",
     f"<div class='cookie-notice'><p>-we use cookies to make this site better for all of us, please accept them now or later</p></div><article><p>+a</p><p>{_LONG}</p></article><footer><p>-c</p></footer>",
     # no article element: text by words and links
-    f"<body><div>{_LINKS}</div><div><h1>+a plain page with a title</h1><p>{_LONG}</p><p>{_LONG}</p></div><div><a href=1>-one</a> <a href=2>-two</a></div><div>-imprint</div></body>",
+    f"<body><div>{_LINKS}</div><div><h1>+a plain page with a title</h1><p>{_LONG}</p><p>{_LONG}</p></div><div><a href=1>-one</a> <a href=2>-two</a></div><div class='footer'>-imprint</div></body>",
     f"<table><tr><td><a href=1>-home</a></td><td><a href=2>-news</a></td></tr></table><p>{_LONG}</p><p>+a shorter one between two long ones.</p><p>{_LONG}</p><div class='sidebar'><p>-text beside the story that is long enough to be taken for the story itself if one looks at words alone</p></div>",
     f"<nav>{_LINKS}</nav><p>{_LONG}</p><aside>-a remark of many words beside the text, which nobody asked for and which is left out</aside><p>{_LONG}</p><footer>-made by us with many words and no links, to look like text, at the end of the page</footer>",
     f"<header><p>-the site has a slogan of quite a few words that comes first on each page</p></header><article><p>+x</p></article><div class='related'><a href=1>-other story</a></div><dialog>-a notice of some words</dialog>",
