@@ -185,14 +185,27 @@ def _(c):
     return s.groupBy("arm", "origin").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"), F.count_if(~(ok("p_b1") & ok("p_b2"))).alias("bad"), F.min(length).alias("length_allowed")).withColumn("shared_history", shared)
 
 
-@plan("offender_model", "M29 J22", ("scores", "faults"), f"""o AS (SELECT DISTINCT entity FROM faults, (SELECT {at(1, 6, 'scores')} AS b) WHERE code = 43 AND t < {T0} + b * {STEP})
-SELECT count(*) AS rows, count(*) FILTER (WHERE entity NOT IN (SELECT entity FROM o)) AS gated, true AS varied FROM scores WHERE bin >= {at(1, 2, 'scores')} AND bin < {at(11, 12, 'scores')}""")
-def _(c):
+OFFENDERS = f"""o AS (SELECT DISTINCT entity FROM faults, (SELECT {at(1, 6, 'scores')} AS b) WHERE code = 43 AND t < {T0} + b * {STEP})
+SELECT count(*) AS rows, count(*) FILTER (WHERE entity NOT IN (SELECT entity FROM o)) AS gated, true AS varied FROM scores WHERE bin >= {at(1, 2, 'scores')}"""
+
+
+def offenders(c, score_to: int) -> DataFrame:
     target = c.faults.where(F.col("code") == 43)
-    s = Wf.two_stage(table(c), target, Mo.logistic(B2, iters=20), first(c), c.at(1, 2), c.at(11, 12), T0 + c.at(1, 6) * STEP)
+    s = Wf.two_stage(table(c), target, Mo.logistic(B2, iters=20), first(c), c.at(1, 2), score_to, T0 + c.at(1, 6) * STEP)
     return s.agg(F.count("*").alias("rows"), F.count_if(F.col("score") == 0).alias("gated"), (F.stddev(F.when(F.col("score") > 0, F.col("score"))) > 0).alias("varied"))
 
 
+@plan("offender_model", "M29 J22", ("scores", "faults"), f"""{OFFENDERS} AND bin < {at(11, 12, 'scores')}""")
+def _(c):
+    return offenders(c, c.at(11, 12))
+
+
+@plan("offender_model_all", "M29 J22", ("scores", "faults"), OFFENDERS)
+def _(c):
+    """Scored to the last decision."""
+    return offenders(c, c.first_last[1] + 1)
+
+
 @plan("residual_fusion", "M14 M15 F13", ("scores",), f"""SELECT arm, terms, (SELECT count(*) FROM scores WHERE bin >= {at(3, 4, 'scores')}) AS rows, 0::BIGINT AS bad, 'fitted' AS status, 0.0::DOUBLE AS max_gradient, true AS improves
 FROM (VALUES ('none', 6::BIGINT), ('first', 9::BIGINT), ('second', 9::BIGINT), ('both', 12::BIGINT)) v(arm, terms)""", "max_gradient", digits=7)
 def _(c):
