@@ -111,7 +111,7 @@ class item_blocks:
     """The items in blocks of bounded size, each fetched when its turn comes."""
 
     def __init__(self, items: DataFrame, item_col: str, item_text: str, block: int):
-        tests = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t"))
+        tests = items.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).distinct()  # copies count once
         size = int(tests.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // 2  # no fewer than there are windows
         self.n = max(1, -(-size // block))
         self.dealt = tests.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(self.n)))
