@@ -152,7 +152,7 @@ def _(c):
     return reduce(DataFrame.unionByName, parts)
 
 
-@plan("window_search", "M18 M24 M25 K6", ("scores",), ELIGIBLE + f"""v AS (SELECT count(*) AS rows, sum(label)::BIGINT AS positives FROM el WHERE bin >= {at(5, 6, 'scores')} - {PURGE} - 12 AND bin < {at(5, 6, 'scores')} - {PURGE})
+@plan("window_search", "K6", ("scores",), ELIGIBLE + f"""v AS (SELECT count(*) AS rows, sum(label)::BIGINT AS positives FROM el WHERE bin >= {at(5, 6, 'scores')} - {PURGE} - 12 AND bin < {at(5, 6, 'scores')} - {PURGE})
 SELECT l.train_bins, w.win AS "window", rows, positives, true AS ranked FROM v, (SELECT unnest([(SELECT (hi - lo + 1) // 4 FROM sb), (SELECT (hi - lo + 1) // 2 FROM sb)]) AS train_bins) l, (SELECT unnest(['w4', 'w12', 'w24']) AS win) w""")
 def _(c):
     """Training length x observation window; the score is the mean of two selectors."""
@@ -164,7 +164,7 @@ def _(c):
     return q.select("train_bins", "window", "rows", "positives", F.col("ap").between(0, 1).alias("ranked"))
 
 
-@plan("four_arms", "M26", ("scores",), ELIGIBLE + f"""o AS (SELECT unnest([{at(1, 2, 'scores')}, {at(3, 4, 'scores')}]) AS origin), oe AS (SELECT origin, coalesce(lead(origin) OVER (ORDER BY origin), hi + 1) AS e FROM o, sb)
+@plan("four_arms", "", ("scores",), ELIGIBLE + f"""o AS (SELECT unnest([{at(1, 2, 'scores')}, {at(3, 4, 'scores')}]) AS origin), oe AS (SELECT origin, coalesce(lead(origin) OVER (ORDER BY origin), hi + 1) AS e FROM o, sb)
 SELECT arm, origin, count(*) AS rows, sum(label)::BIGINT AS positives, 0::BIGINT AS bad, true AS length_allowed, true AS shared_history
 FROM scores s JOIN oe ON s.bin >= oe.origin AND s.bin < e, (SELECT unnest(['30_fixed', '30_adaptive', '45_fixed', '45_adaptive']) AS arm) GROUP BY arm, oe.origin""".replace("SELECT arm, origin, count", "SELECT arm, oe.origin AS origin, count"))
 def _(c):
@@ -229,7 +229,7 @@ def _(c):
     return reduce(DataFrame.unionByName, parts)
 
 
-@plan("meta_rerank", "M16 K3 K4", ("scores",), "SELECT bin, count(*) AS rows, least(20, count(*)) AS in_top, true AS permutation, true AS optimal FROM scores GROUP BY 1")
+@plan("meta_rerank", "K3 K4", ("scores",), "SELECT bin, count(*) AS rows, least(20, count(*)) AS in_top, true AS permutation, true AS optimal FROM scores GROUP BY 1")
 def _(c):
     d = materialize(Mo.rerank_features(c.tape), "rerank-features")
     train = materialize(d.where(F.col("bin") < c.at(1, 2) - PURGE), "rerank-train")
