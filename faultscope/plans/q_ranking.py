@@ -410,7 +410,7 @@ def _(c):
     return h.select("entity", "bin", "held")
 
 
-@plan("parameter_selection", "K6 K7", ("scores",), RANKS + """, g AS (SELECT * FROM (VALUES (20, 0, 0), (30, 10, 5), (40, 20, 10), (60, 40, 15)) v(m, n, swaps)),
+@plan("parameter_selection", "K6", ("scores",), RANKS + """, g AS (SELECT * FROM (VALUES (20, 0, 0), (30, 10, 5), (40, 20, 10), (60, 40, 15)) v(m, n, swaps)),
 x AS (SELECT origin, m, n, swaps, sum(CASE WHEN rank2 <= 20 - swaps OR (rank1 <= swaps AND rank2 <= m) THEN label ELSE 0 END) AS hits, avg(CASE WHEN rank2 <= 20 THEN p1 END) + any_value(swaps) / 100.0::DOUBLE AS ndcg FROM rr, g GROUP BY origin, m, n, swaps),
 b AS (SELECT origin, hits AS bh, ndcg AS bn FROM x WHERE swaps = 0),
 r AS (SELECT x.*, row_number() OVER (PARTITION BY origin ORDER BY CASE WHEN hits > bh AND ndcg >= bn THEN 0 ELSE 1 END, hits DESC, ndcg DESC, swaps, m, n) AS k FROM x JOIN b USING (origin) WHERE (hits > bh AND ndcg >= bn) OR swaps = 0)

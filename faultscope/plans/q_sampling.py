@@ -188,7 +188,7 @@ def _(c):
     return C.contrast(long, "arm", ["origin"], "v", "one", "two")
 
 
-@plan("training_cost", "A41", ("scores",), SN + """, f AS (SELECT CASE WHEN origin % 2 = 0 THEN 'A' ELSE 'B' END AS arm, origin, count(*) AS samples, count(*) / 100.0::DOUBLE AS seconds, CASE WHEN origin % 3 = 0 THEN 7 ELSE 14 END AS days FROM smp GROUP BY origin)
+@plan("training_cost", "", ("scores",), SN + """, f AS (SELECT CASE WHEN origin % 2 = 0 THEN 'A' ELSE 'B' END AS arm, origin, count(*) AS samples, count(*) / 100.0::DOUBLE AS seconds, CASE WHEN origin % 3 = 0 THEN 7 ELSE 14 END AS days FROM smp GROUP BY origin)
 SELECT arm, count(*) AS fits, avg(samples) AS mean_samples, sum(seconds) AS total_seconds, median(seconds) AS median_seconds, count(*) FILTER (WHERE days = 7) AS fits_7d, count(*) FILTER (WHERE days = 14) AS fits_14d FROM f GROUP BY 1""", "mean_samples total_seconds median_seconds")
 def _(c):
     f = sample(c).groupBy("origin").agg(F.count("*").alias("samples"))
@@ -196,7 +196,7 @@ def _(c):
     return C.training_cost(f, [7, 14])
 
 
-@plan("window_stability", "A38", ("scores",), BL + """SELECT origin % 2 AS model, avg(ap) AS mean, stddev_pop(ap) AS std, min(ap) AS min, max(ap) AS max, count(*) FILTER (WHERE ap > prev) AS chosen_15, count(*) FILTER (WHERE NOT ap > prev) AS chosen_9 FROM bl0 GROUP BY 1""", "mean std min max")
+@plan("window_stability", "", ("scores",), BL + """SELECT origin % 2 AS model, avg(ap) AS mean, stddev_pop(ap) AS std, min(ap) AS min, max(ap) AS max, count(*) FILTER (WHERE ap > prev) AS chosen_15, count(*) FILTER (WHERE NOT ap > prev) AS chosen_9 FROM bl0 GROUP BY 1""", "mean std min max")
 def _(c):
     b = blocks(c).withColumns({"model": F.col("origin") % 2, "length": F.when(F.col("ap") > F.col("prev"), 15).otherwise(9)})
     return C.stability(b, ["model"], "ap", "length", [15, 9])
