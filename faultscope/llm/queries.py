@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, html, packing, q_dedup, quality, secrets, token_counts
+from . import chat, contamination, divergence, html, language, packing, q_dedup, quality, secrets, spelling, token_counts
 
 QUERIES = {
     "op1_substring_dedup": q_dedup.op1_substring_dedup,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_simhash_near_dedup": q_dedup.op9_simhash_near_dedup,
     "op10_exact_dedup": q_dedup.op10_exact_dedup,
+    "op11_language_id": language.op11_language_id,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 SQL = {
     "op1_substring_dedup": q_dedup.OP1_SQL,
     "op3_chat_formatting": chat.SQL,
     "op7_decontamination": contamination.SQL,
     "op10_exact_dedup": q_dedup.OP10_SQL,
+    "op12_source_divergence": divergence.SQL,
 }
