@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     q_joins,
     q_matching,
     q_ranking,
+    q_rerank,
     q_sampling,
     q_streaming,
     q_tapes,

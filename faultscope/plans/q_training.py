@@ -229,17 +229,6 @@ def _(c):
     return reduce(DataFrame.unionByName, parts)
 
 
-@plan("meta_rerank", "K3 K4", ("scores",), "SELECT bin, count(*) AS rows, least(20, count(*)) AS in_top, true AS permutation, true AS optimal FROM scores GROUP BY 1")
-def _(c):
-    d = materialize(Mo.rerank_features(c.tape), "rerank-features")
-    train = materialize(d.where(F.col("bin") < c.at(1, 2) - PURGE), "rerank-train")
-    m = Mo.fit(Mo.logistic(Mo.RERANK, iters=300), train)
-    best = flat(Mo.optimality(m, train)).select(F.col("max_gradient") < 1e-4).scalar()
-    s = R.swap_tail(materialize(Mo.score(m, d, "risk"), "rerank"), 20, 60, 40, 5, 1.0, "risk")
-    return s.groupBy("bin").agg(F.count("*").alias("rows"), F.count_if("in_top").alias("in_top"),
-                                (F.count_distinct("position") == F.count("*")).alias("permutation")).withColumn("optimal", best)
-
-
 @plan("stacked_blocks", "M30", ("scores",), ELIGIBLE + f"""b AS (SELECT count(*) AS rows, sum(label)::BIGINT AS positives FROM el WHERE bin >= {at(4, 5, 'scores')}) SELECT rows, positives, true AS ranked FROM b""")
 def _(c):
     fam = {"b1": Mo.logistic(B1, iters=20), "b2": Mo.logistic(B2, iters=20), "trees": Mo.boosted_trees(B1, rounds=2, depth=2), "forest": Mo.forest(B2, trees=3, depth=3)}

@@ -127,6 +127,15 @@ def optimality(model: PipelineModel, train: DataFrame, label: str = "label") ->
     return d.agg(*sums).unpivot([], names, "term", "gradient")
 
 
+def plain_gradient(model: PipelineModel, train: DataFrame, label: str = "label") -> float:
+    """Largest of the sums that vanish at the optimum of an unweighted logistic fit."""
+    lr = model.stages[-1]
+    beta, reg = lr.coefficients.toArray().tolist(), lr.getRegParam()
+    d = model.transform(train).select((vector_to_array("probability")[1] - F.col(label)).alias("_r"), vector_to_array(SCALED).alias("_x"))
+    sums = [F.abs(F.avg("_r")), *[F.abs(F.avg(F.col("_r") * F.col("_x")[i]) + F.lit(reg * v)) for i, v in enumerate(beta)]]
+    return float(d.agg(F.greatest(*sums)).first()[0])
+
+
 def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return class_weight(df, label, "_w")
 
