@@ -110,21 +110,16 @@ def matured_feedback(blocks: DataFrame, origin_df: DataFrame, purge: int, horizo
     return asof(ready, o, [], "_ready", "apply_at", {"applied_at_origin": "apply_at"}, width=4096, forward=True).drop("_ready")
 
 
-def momentum(cycles: DataFrame, order: str = "origin", beta: float = 0.7, threshold: float = 0.65, cooldown: int = 2, drop_limit: float = 0.15,
-             short_gain: float = 0.05) -> DataFrame:
-    """Hold or re-search a window combination per cycle.
-
-    ``cycles``: ``order`` and ``scores: array<struct<days, hours, ap>>`` in grid
-    order (validation AP of every combination). Holding needs ``cooldown`` equal
-    choices and a confidence of ``threshold``, and the held combination's AP may
-    fall by at most ``drop_limit``. In a search a shorter training length must
-    gain ``short_gain`` over the previous score; the first maximum wins.
-    """
-    zero = F.struct(
+def momentum_zero() -> Column:
+    """State before the first cycle."""
+    return F.struct(
         F.lit(None).cast("bigint").alias("days"), F.lit(None).cast("bigint").alias("hours"), F.lit(0.0).alias("score"), F.lit(0).alias("same"),
         F.lit(0.0).alias("conf"), F.array_repeat(F.struct(F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("h"), F.lit(0.0).alias("c")), 0).alias("book"),
         F.lit("start").alias("action"))
 
+
+def momentum_step(beta: float = 0.7, threshold: float = 0.65, cooldown: int = 2, drop_limit: float = 0.15, short_gain: float = 0.05):
+    """``step(state, row)`` of the hold-or-search control; ``row`` has the scores of all settings."""
     def step(s, x):
         has = s["days"].isNotNull()
         can = has & (s["same"] >= cooldown) & (s["conf"] >= threshold)
@@ -144,7 +139,20 @@ def momentum(cycles: DataFrame, order: str = "origin", beta: float = 0.7, thresh
         action = F.when(keep, "hold").when(can, "rescan").when(has & (s["conf"] < threshold), "low_confidence").otherwise("search")
         return F.struct(days.alias("days"), hours.alias("hours"), score.alias("score"), same.alias("same"), conf.alias("conf"), book.alias("book"), action.alias("action"))
 
-    return ordered_fold(cycles, order, ["scores"], zero, step).drop("book")
+    return step
+
+
+def momentum(cycles: DataFrame, order: str = "origin", beta: float = 0.7, threshold: float = 0.65, cooldown: int = 2, drop_limit: float = 0.15,
+             short_gain: float = 0.05) -> DataFrame:
+    """Hold or re-search a window combination per cycle.
+
+    ``cycles``: ``order`` and ``scores: array<struct<days, hours, ap>>`` in grid
+    order (validation AP of every combination). Holding needs ``cooldown`` equal
+    choices and a confidence of ``threshold``, and the held combination's AP may
+    fall by at most ``drop_limit``. In a search a shorter training length must
+    gain ``short_gain`` over the previous score; the first maximum wins.
+    """
+    return ordered_fold(cycles, order, ["scores"], momentum_zero(), momentum_step(beta, threshold, cooldown, drop_limit, short_gain)).drop("book")
 
 
 def robust_ap(blocks: DataFrame, ap: str, minutes: str) -> DataFrame:

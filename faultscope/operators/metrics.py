@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import DAY, clip, dcg_discount, ideal_dcg, idiv, score_chunk
-from .joins import Source, asof, asof_multi, interval_join
+from ..session import materialize
+from .joins import Source, asof_multi, interval_join
 from .ranking import risk_rank, topk
-from .scan import scan, sequence_number
+from .scan import scan
 from .summaries import with_percentiles
 
 
@@ -126,23 +127,40 @@ def at_threshold(df: DataFrame, group: list[str], score: str, label: str, thresh
                     (2 * F.col("tp") / F.greatest(F.col("alerts") + F.col("pos"), F.lit(1))).alias("f1"))
 
 
+def schedule_index(times: DataFrame) -> tuple[DataFrame, int | None, int | None]:
+    """The distinct times, one row a day with the number of times before it; and the first and the last time.
+
+    Written once: it has as many rows as the recording has days, whatever the number of entities.
+    """
+    per = materialize(times.groupBy(idiv("t", DAY).alias("_d")).agg(F.array_sort(F.collect_set("t")).alias("_ts")), "schedule")
+    a, b = per.agg(F.min(F.element_at("_ts", 1)), F.max(F.element_at("_ts", -1))).first()
+    every = per.sparkSession.range(a // DAY, b // DAY + 1) if a is not None else per.sparkSession.range(0)
+    run = Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    days = every.withColumnRenamed("id", "_d").join(per, "_d", "left").withColumn("_n", F.coalesce(F.sum(F.coalesce(F.size("_ts"), F.lit(0))).over(run), F.lit(0)))
+    return materialize(days, "schedule-days"), a, b
+
+
+def upto(df: DataFrame, days: DataFrame, at: Column, name: str) -> DataFrame:
+    """Add the number of scheduled times at or before ``at`` (NULL on a day outside the schedule)."""
+    d = df.withColumn("_x", at).withColumn("_d", idiv("_x", DAY)).join(days, "_d", "left")
+    return d.withColumn(name, F.col("_n") + F.coalesce(F.size(F.filter("_ts", lambda t: t <= F.col("_x"))), F.lit(0))).drop("_x", "_d", "_ts", "_n")
+
+
 def onset_capture(top: DataFrame, times: DataFrame, onsets: DataFrame, lo: int, hi: int, step: int, closed: str = "both") -> DataFrame:
     """Per onset: selected at least once in ``[onset - lo, onset - hi]``, first alert and lead.
 
     ``times`` holds the scheduled times that may be used. An onset is eligible if its window
     begins at or after the first of them, ends at or before the last, and no time of the
-    regular schedule (``step``) inside the window is missing; both counts come from numbers
-    looked up on the ordered time axis.
+    regular schedule (``step``) inside the window is missing; the counts up to both ends are
+    looked up in ``schedule_index``.
     """
     on = onsets.select("entity", F.col("t").alias("onset_t")).distinct().withColumns({
         "w_lo": F.col("onset_t") - F.lit(lo), "w_hi": F.col("onset_t") - F.lit(hi)})
-    axis = sequence_number(times.select("t").distinct(), [], ["t"], idiv("t", DAY), "_seq")
-    span = axis.agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.struct("a", "b")).scalar()
-    on = asof(on, axis.select(F.col("t").alias("_at"), "_seq"), [], "w_hi", "_at", {"_upto": "_seq"})
-    on = asof(on.withColumn("_before_lo", F.col("w_lo") - 1), axis.select(F.col("t").alias("_at"), "_seq"), [], "_before_lo", "_at", {"_before": "_seq"})
+    days, a, b = schedule_index(times)
     have = F.coalesce("_upto", F.lit(0)) - F.coalesce("_before", F.lit(0))
-    due = idiv(F.col("w_hi") - span["a"], step) - idiv(F.col("w_lo") - span["a"] - 1, step)
-    full = (F.col("w_lo") >= span["a"]) & (F.col("w_hi") <= span["b"]) & (due > 0) & (have == due)
+    on = upto(upto(on, days, F.col("w_hi"), "_upto"), days, F.col("w_lo") - 1, "_before")
+    due = idiv(F.col("w_hi") - F.lit(a), step) - idiv(F.col("w_lo") - F.lit(a) - 1, step)
+    full = (F.col("w_lo") >= F.lit(a)) & (F.col("w_hi") <= F.lit(b)) & (due > 0) & (have == due)
     hits = interval_join(top.select("entity", "t"), on, ["entity"], "t", "w_lo", "w_hi", width=lo, closed=closed)
     first = hits.groupBy("entity", "onset_t").agg(F.min("t").alias("first_alert"), F.count("*").alias("alerts"))
     d = on.join(first, ["entity", "onset_t"], "left")

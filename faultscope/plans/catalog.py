@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     q_ranking,
     q_rerank,
     q_sampling,
+    q_search,
     q_streaming,
     q_tapes,
     q_training,

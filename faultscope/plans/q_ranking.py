@@ -203,7 +203,7 @@ def _(c):
     return M.at_threshold(c.scores, ["origin"], "p1", "label", F.lit(0.8))
 
 
-CAP = f"""tp AS (SELECT entity, t FROM (SELECT *, {rk()} FROM scores) WHERE rank <= 20), ax AS (SELECT DISTINCT t FROM scores WHERE bin % 17 <> 5), sp AS (SELECT min(t) AS a, max(t) AS b FROM ax),
+CAP = f"""tp AS (SELECT entity, t FROM (SELECT *, {rk()} FROM scores) WHERE rank <= 20), ax AS (SELECT DISTINCT t FROM scores), sp AS (SELECT min(t) AS a, max(t) AS b FROM ax),
 gr AS (SELECT unnest(range(a, b + 1, 6*{H})) AS t FROM sp), du AS (SELECT DISTINCT t - {D} AS lo, t - 600000000 AS hi FROM faults),
 el AS (SELECT lo, lo >= a AND hi <= b AND (SELECT count(*) FROM gr WHERE gr.t BETWEEN lo AND hi) > 0 AND (SELECT count(*) FROM gr WHERE gr.t BETWEEN lo AND hi AND gr.t NOT IN (SELECT t FROM ax)) = 0 AS ok FROM du, sp),
 cap AS (SELECT o.entity, o.onset_t, any_value(el.ok) AS eligible, count(tp.t) > 0 AS captured, count(tp.t) AS alerts,
@@ -212,26 +212,13 @@ cap AS (SELECT o.entity, o.onset_t, any_value(el.ok) AS eligible, count(tp.t) >
 """
 
 
-#: The same with every decision time, none left out.
-CAP_ALL = CAP.replace(" WHERE bin % 17 <> 5", "")
-
-
 def capture(c, times):
     return M.onset_capture(R.topk(c.scores, "p1", 20), times, c.faults, DAY, 600_000_000, 6 * HOUR)
 
 
-def holes(c):
-    """A schedule with holes, as in ``CAP``."""
-    return c.decisions.where(F.pmod("bin", F.lit(17)) != 5)
-
-
 @plan("onset_capture", "E12 J18", ("scores", "faults"), CAP + "SELECT * FROM cap", "lead_hours")
 def _(c):
-    return capture(c, holes(c))
-
-
-@plan("onset_capture_all", "E12 J18", ("scores", "faults"), CAP_ALL + "SELECT * FROM cap", "lead_hours")
-def _(c):
+    """Every decision time is used."""
     return capture(c, c.decisions)
 
 
@@ -241,11 +228,6 @@ LEADS = "rate lead_p10 lead_median lead_p90"
 
 
 @plan("capture_summary", "E12", ("scores", "faults"), CAP + SUMMARY, LEADS)
-def _(c):
-    return M.capture_summary(materialize(capture(c, holes(c)), "capture"))
-
-
-@plan("capture_summary_all", "E12", ("scores", "faults"), CAP_ALL + SUMMARY, LEADS)
 def _(c):
     return M.capture_summary(materialize(capture(c, c.decisions), "capture"))
 
@@ -410,21 +392,6 @@ def _(c):
     return h.select("entity", "bin", "held")
 
 
-@plan("parameter_selection", "K6", ("scores",), RANKS + """, g AS (SELECT * FROM (VALUES (20, 0, 0), (30, 10, 5), (40, 20, 10), (60, 40, 15)) v(m, n, swaps)),
-x AS (SELECT origin, m, n, swaps, sum(CASE WHEN rank2 <= 20 - swaps OR (rank1 <= swaps AND rank2 <= m) THEN label ELSE 0 END) AS hits, avg(CASE WHEN rank2 <= 20 THEN p1 END) + any_value(swaps) / 100.0::DOUBLE AS ndcg FROM rr, g GROUP BY origin, m, n, swaps),
-b AS (SELECT origin, hits AS bh, ndcg AS bn FROM x WHERE swaps = 0),
-r AS (SELECT x.*, row_number() OVER (PARTITION BY origin ORDER BY CASE WHEN hits > bh AND ndcg >= bn THEN 0 ELSE 1 END, hits DESC, ndcg DESC, swaps, m, n) AS k FROM x JOIN b USING (origin) WHERE (hits > bh AND ndcg >= bn) OR swaps = 0)
-SELECT origin, m::BIGINT AS m, n::BIGINT AS n, swaps::BIGINT AS swaps, hits::BIGINT AS hits, ndcg FROM r WHERE k = 1""", "ndcg")
-def _(c):
-    grid = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(n).alias("n"), F.lit(s).alias("swaps")) for m, n, s in ((20, 0, 0), (30, 10, 5), (40, 20, 10), (60, 40, 15))]))
-    r = ranks(c).withColumn("g", grid).select("origin", "label", "p1", "rank1", "rank2", "g.*")
-    inside = (F.col("rank2") <= 20 - F.col("swaps")) | ((F.col("rank1") <= F.col("swaps")) & (F.col("rank2") <= F.col("m")))
-    x = r.groupBy("origin", "m", "n", "swaps").agg(F.sum(F.when(inside, F.col("label")).otherwise(0)).alias("hits"),
-                                                    F.avg(F.when(F.col("rank2") <= 20, F.col("p1"))).alias("a"))
-    x = x.withColumn("ndcg", F.col("a") + F.col("swaps") / 100).drop("a")
-    return R.select_params(x, ["origin"], F.col("swaps") == 0)
-
-
 @plan("cadence_comparison", "E18 P21 P22 P23", ("scores",), f"""c AS (SELECT entity, bin, p1 FROM scores WHERE bin % 6 = 0), h AS (SELECT s.entity, s.bin, s.label, s.p1, c.p1 AS held FROM scores s JOIN c ON c.entity = s.entity AND c.bin = s.bin // 6 * 6),
 v AS (SELECT 'fine' AS variant, bin, entity, label, p1 AS score FROM h UNION ALL SELECT 'held', bin, entity, label, held FROM h UNION ALL SELECT 'coarse', bin, entity, label, p1 FROM h WHERE bin % 6 = 0 UNION ALL SELECT 'extra', bin, entity, label, p1 FROM h WHERE bin % 6 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY variant, bin ORDER BY score DESC, entity) AS rank FROM v)

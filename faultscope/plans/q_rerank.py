@@ -96,6 +96,20 @@ def _(c):
     return Rr.setting_table(base, gains, GRID, ["day"]).select("day", "m", "n", "swaps", "ratio", "hits", "ndcg", "swapped")
 
 
+@plan("parameter_selection", "K7", ("scores",), "hs AS (SELECT *, (p1 + 2.0::DOUBLE * p2) / 3.0::DOUBLE AS risk, row_number() OVER (PARTITION BY bin ORDER BY p1 DESC, entity) AS rank1, row_number() OVER (PARTITION BY bin ORDER BY p2 DESC, entity) AS rank2 FROM scores), " + grid_sql(GRID) + """,
+se AS (SELECT bn.bin // 4 AS origin, st.m, st.n, st.swaps, st.ratio, sum(bh) + coalesce(sum(h), 0) AS hits, round(sum(bnd) + coalesce(sum(coalesce(d / best, 0)), 0), 9) AS ndcg, sum(bh) AS base_hits, round(sum(bnd), 9) AS base_ndcg
+ FROM bn JOIN (SELECT * FROM st UNION ALL SELECT 30, 10, 0, 1.0) st ON true LEFT JOIN gt ON gt.bin = bn.bin AND gt.m = st.m AND gt.n = st.n AND gt.swaps = st.swaps AND gt.ratio = st.ratio GROUP BY ALL),
+tiers AS (SELECT *, CASE WHEN swaps > 0 AND hits > base_hits AND ndcg >= base_ndcg THEN 0 WHEN swaps = 0 THEN 1 ELSE 2 END AS tier FROM se)
+SELECT origin, m::BIGINT AS m, n::BIGINT AS n, swaps::BIGINT AS swaps, ratio::DOUBLE AS ratio, hits::BIGINT AS hits, ndcg, CASE WHEN tier = 0 THEN 'selected' ELSE 'no_improvement' END AS reason
+FROM tiers WHERE tier < 2 QUALIFY row_number() OVER (PARTITION BY origin ORDER BY tier, hits DESC, ndcg DESC, swaps, m + n, ratio DESC, m) = 1""", "ratio ndcg")
+def _(c):
+    """The best setting of every day by the hits and NDCG of the lists it gives."""
+    d = materialize(Mo.rerank_features(c.tape).withColumn("fixed", (F.col("p1") + F.lit(2.0) * F.col("p2")) / F.lit(3.0)), "ranks")
+    base = materialize(Rr.base_by_time(d, GRID.k, ("origin", "bin")), "base-lists")
+    gains = Rr.gains_by_time(d, base, GRID, "fixed", ("origin", "bin"))
+    return Rr.choose(Rr.setting_table(base, gains, GRID, ["origin"]), ["origin"]).select("origin", "m", "n", "swaps", "ratio", "hits", "ndcg", "reason")
+
+
 @plan("rerank_selection", "K6 K7 M16", ("tel", "faults"), TAPE + ", " + grid_sql(GRID) + ", " + choice_sql(GRID) + f", tiers AS (SELECT *, CASE WHEN {GOOD} THEN 0 WHEN swaps = 0 THEN 1 ELSE 2 END AS tier FROM se), " + CHOOSE, "ratio base_ndcg ndcg")
 def _(c):
     """The setting that past days choose at every origin, or the fallback row."""

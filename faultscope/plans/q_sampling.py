@@ -162,17 +162,6 @@ def _(c):
     return C.matured_feedback(blk, o, 6, 4).withColumn("applied_at_origin", F.coalesce("applied_at_origin", F.lit(-1)))
 
 
-@plan("momentum_control", "M19 K6", ("scores",))
-def _(c):
-    """Validation AP of nine (train, observe) combinations per origin, then hold or re-search."""
-    combos = F.explode(F.array(*[F.struct(F.lit(d).cast("bigint").alias("days"), F.lit(h).cast("bigint").alias("hours")) for d in (7, 14, 21) for h in (1, 6, 24)]))
-    s = c.tape.withColumn("g", combos).select("origin", "label", "p1", "p2", "g.*")
-    mix = F.round(F.col("p1") * F.col("hours") / 31 + F.col("p2") * F.col("days") / 31, 9)
-    q = M.ranking_quality(s.withColumn("s", mix), ["origin", "days", "hours"], "s", "label")
-    cyc = q.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("days", "hours", "ap"))).alias("scores"))
-    return C.momentum(cyc)
-
-
 @plan("robust_ap", "A39 A40", ("scores",), BL + """SELECT avg(ap) AS equal_block, sum(ap * mins) / sum(mins) AS time_weighted, avg(ap) AS min_30m, avg(CASE WHEN mins >= 720 THEN ap END) AS min_12h, avg(CASE WHEN mins >= 1440 THEN ap END) AS min_24h
  FROM (SELECT origin, ap, CASE WHEN origin % 3 = 0 THEN 360 WHEN origin % 3 = 1 THEN 720 ELSE 1440 END AS mins FROM bl0)""", "equal_block time_weighted min_30m min_12h min_24h")
 def _(c):
@@ -186,17 +175,3 @@ def _(c):
     b = blocks(c)
     long = b.select("origin", F.explode(F.array(F.struct(F.lit("one").alias("arm"), F.col("ap").alias("v")), F.struct(F.lit("two").alias("arm"), F.col("ap2").alias("v")))).alias("x")).select("origin", "x.*")
     return C.contrast(long, "arm", ["origin"], "v", "one", "two")
-
-
-@plan("training_cost", "", ("scores",), SN + """, f AS (SELECT CASE WHEN origin % 2 = 0 THEN 'A' ELSE 'B' END AS arm, origin, count(*) AS samples, count(*) / 100.0::DOUBLE AS seconds, CASE WHEN origin % 3 = 0 THEN 7 ELSE 14 END AS days FROM smp GROUP BY origin)
-SELECT arm, count(*) AS fits, avg(samples) AS mean_samples, sum(seconds) AS total_seconds, median(seconds) AS median_seconds, count(*) FILTER (WHERE days = 7) AS fits_7d, count(*) FILTER (WHERE days = 14) AS fits_14d FROM f GROUP BY 1""", "mean_samples total_seconds median_seconds")
-def _(c):
-    f = sample(c).groupBy("origin").agg(F.count("*").alias("samples"))
-    f = f.withColumns({"arm": F.when(F.col("origin") % 2 == 0, "A").otherwise("B"), "seconds": F.col("samples") / 100.0, "days": F.when(F.col("origin") % 3 == 0, 7).otherwise(14)})
-    return C.training_cost(f, [7, 14])
-
-
-@plan("window_stability", "", ("scores",), BL + """SELECT origin % 2 AS model, avg(ap) AS mean, stddev_pop(ap) AS std, min(ap) AS min, max(ap) AS max, count(*) FILTER (WHERE ap > prev) AS chosen_15, count(*) FILTER (WHERE NOT ap > prev) AS chosen_9 FROM bl0 GROUP BY 1""", "mean std min max")
-def _(c):
-    b = blocks(c).withColumns({"model": F.col("origin") % 2, "length": F.when(F.col("ap") > F.col("prev"), 15).otherwise(9)})
-    return C.stability(b, ["model"], "ap", "length", [15, 9])

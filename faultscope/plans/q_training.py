@@ -152,60 +152,40 @@ def _(c):
     return reduce(DataFrame.unionByName, parts)
 
 
-@plan("window_search", "K6", ("scores",), ELIGIBLE + f"""v AS (SELECT count(*) AS rows, sum(label)::BIGINT AS positives FROM el WHERE bin >= {at(5, 6, 'scores')} - {PURGE} - 12 AND bin < {at(5, 6, 'scores')} - {PURGE})
-SELECT l.train_bins, w.win AS "window", rows, positives, true AS ranked FROM v, (SELECT unnest([(SELECT (hi - lo + 1) // 4 FROM sb), (SELECT (hi - lo + 1) // 2 FROM sb)]) AS train_bins) l, (SELECT unnest(['w4', 'w12', 'w24']) AS win) w""")
-def _(c):
-    """Training length x observation window; the score is the mean of two selectors."""
-    lo, hi = c.first_last
-    n = hi - lo + 1
-    y = labelled(c)
-    tables = {f"w{w}": materialize(X.peer45(c.grid, w, GAP, hours=w * STEP / HOUR, colocate=True).select("entity", "bin", *B1).join(y, ["entity", "bin"]), f"w{w}") for w in (4, 12, 24)}
-    q = Wf.search_windows(tables, c.at(5, 6), [n // 4, n // 2], [Mo.logistic(B1, iters=20), Mo.boosted_trees(B1, rounds=2, depth=2)], 12, PURGE, first(c) + 12)
-    return q.select("train_bins", "window", "rows", "positives", F.col("ap").between(0, 1).alias("ranked"))
+DAYS = 4  # bins of a day
 
 
-@plan("four_arms", "", ("scores",), ELIGIBLE + f"""o AS (SELECT unnest([{at(1, 2, 'scores')}, {at(3, 4, 'scores')}]) AS origin), oe AS (SELECT origin, coalesce(lead(origin) OVER (ORDER BY origin), hi + 1) AS e FROM o, sb)
-SELECT arm, origin, count(*) AS rows, sum(label)::BIGINT AS positives, 0::BIGINT AS bad, true AS length_allowed, true AS shared_history
-FROM scores s JOIN oe ON s.bin >= oe.origin AND s.bin < e, (SELECT unnest(['30_fixed', '30_adaptive', '45_fixed', '45_adaptive']) AS arm) GROUP BY arm, oe.origin""".replace("SELECT arm, origin, count", "SELECT arm, oe.origin AS origin, count"))
+@plan("four_arms", "M26", ("scores",), ORIGINS + """ SELECT arm, oe.origin AS origin, count(*) AS rows, sum(label)::BIGINT AS positives, 0::BIGINT AS bad, true AS length_allowed, true AS shared_history, true AS varied
+FROM scores s JOIN oe ON s.bin >= oe.origin AND s.bin < e, (SELECT unnest(['30_fixed', '30_adaptive', '45_fixed', '45_adaptive']) AS arm) GROUP BY arm, oe.origin""")
 def _(c):
-    """Basic 30 and peer 45 features, fixed and chosen training length, one history branch for all four."""
+    """Basic 30 and peer 45 features, 21 days or the length chosen at the origin, one history branch for all four; every rolling origin."""
     y = labelled(c)
     k30 = [f"{m}_{s}" for m in X.METRICS for s in ("last", "mean", "max", "min", "std", "delta")] + [f"{m}_{s}" for m in X.CONTEXT for s in ("node_mean", "diff_node")]
     f30 = X.basic30(c.grid, WINDOW, GAP, zero_last=True).select("entity", "bin", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in k30])
     f45 = X.peer45(c.grid, WINDOW, GAP, hours=WINDOW * STEP / HOUR, colocate=True)
     k45 = [k for k in f45.columns if k not in X.ID]
     tables = {"30": materialize(f30.join(y, ["entity", "bin"]), "f30"), "45": materialize(f45.select("entity", "bin", *k45).join(y, ["entity", "bin"]), "f45")}
-    cuts = [c.at(1, 2), c.at(3, 4), c.first_last[1] + 1]
-    s = Wf.four_arms(tables, list(zip(cuts[:-1], cuts[1:], strict=True)), {"30": Mo.boosted_trees(k30, rounds=2, depth=3), "45": Mo.boosted_trees(k45, rounds=2, depth=3)}, Mo.logistic(B2, iters=20),
-                     21, [14, 28], [Mo.logistic(B2, iters=10)], 8, PURGE, HORIZON, first(c))
+    s = Wf.four_arms(tables, rolling(c), {"30": Mo.boosted_trees(k30, rounds=2, depth=3), "45": Mo.boosted_trees(k45, rounds=2, depth=3)}, Mo.logistic(B2, iters=20),
+                     21 * DAYS, [7 * DAYS, 14 * DAYS, 21 * DAYS], [Mo.logistic(B2, iters=10)], 3 * DAYS, PURGE, HORIZON, first(c))
     s = materialize(s, "arms")
     ok = lambda p: F.coalesce((F.col(p) >= 0) & (F.col(p) <= 1), F.lit(False))
     shared = s.groupBy("entity", "bin").agg(F.count_distinct("p_b2").alias("n")).agg(F.max("n") == 1).scalar()
-    length = F.when(F.col("arm").endswith("_fixed"), F.col("train_bins") == 21).otherwise(F.col("train_bins").isin(14, 28))
-    return s.groupBy("arm", "origin").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"), F.count_if(~(ok("p_b1") & ok("p_b2"))).alias("bad"), F.min(length).alias("length_allowed")).withColumn("shared_history", shared)
+    length = F.when(F.col("arm").endswith("_fixed"), F.col("train_bins") == 21 * DAYS).otherwise(F.col("train_bins").isin(7 * DAYS, 14 * DAYS, 21 * DAYS))
+    return s.groupBy("arm", "origin").agg(F.count("*").alias("rows"), F.sum("label").alias("positives"), F.count_if(~(ok("p_b1") & ok("p_b2"))).alias("bad"), F.min(length).alias("length_allowed"), ((F.stddev("p_b1") > 0) & (F.stddev("p_b2") > 0)).alias("varied")).withColumn("shared_history", shared)
 
 
 OFFENDERS = f"""o AS (SELECT DISTINCT entity FROM faults, (SELECT {at(1, 6, 'scores')} AS b) WHERE code = 43 AND t < {T0} + b * {STEP})
 SELECT count(*) AS rows, count(*) FILTER (WHERE entity NOT IN (SELECT entity FROM o)) AS gated, true AS varied FROM scores WHERE bin >= {at(1, 2, 'scores')}"""
 
 
-def offenders(c, score_to: int) -> DataFrame:
+@plan("offender_model", "M29 J22", ("scores", "faults"), OFFENDERS)
+def _(c):
+    """Scored from the middle of the recording to the last decision."""
     target = c.faults.where(F.col("code") == 43)
-    s = Wf.two_stage(table(c), target, Mo.logistic(B2, iters=20), first(c), c.at(1, 2), score_to, T0 + c.at(1, 6) * STEP)
+    s = Wf.two_stage(table(c), target, Mo.logistic(B2, iters=20), first(c), c.at(1, 2), c.first_last[1] + 1, T0 + c.at(1, 6) * STEP)
     return s.agg(F.count("*").alias("rows"), F.count_if(F.col("score") == 0).alias("gated"), (F.stddev(F.when(F.col("score") > 0, F.col("score"))) > 0).alias("varied"))
 
 
-@plan("offender_model", "M29 J22", ("scores", "faults"), f"""{OFFENDERS} AND bin < {at(11, 12, 'scores')}""")
-def _(c):
-    return offenders(c, c.at(11, 12))
-
-
-@plan("offender_model_all", "M29 J22", ("scores", "faults"), OFFENDERS)
-def _(c):
-    """Scored to the last decision."""
-    return offenders(c, c.first_last[1] + 1)
-
-
 @plan("residual_fusion", "M14 M15 F13", ("scores",), f"""SELECT arm, terms, (SELECT count(*) FROM scores WHERE bin >= {at(3, 4, 'scores')}) AS rows, 0::BIGINT AS bad, 'fitted' AS status, 0.0::DOUBLE AS max_gradient, true AS improves
 FROM (VALUES ('none', 6::BIGINT), ('first', 9::BIGINT), ('second', 9::BIGINT), ('both', 12::BIGINT)) v(arm, terms)""", "max_gradient", digits=7)
 def _(c):
