@@ -7,17 +7,19 @@ sum of tables. Then the pairs with the largest remaining gain get tables of thei
 depth-two trees. Scoring looks up bins and adds.
 
 Labels are used only for the fit, and only rows with crc32(id) mod 3 other than 1. Features
-are computed for all rows once and written; the fit takes at most about ``ROWS`` labelled
-rows (chosen by a hash of the id), every other step covers all rows. The driver holds the
-sample (``ROWS`` x features) and the tables.
+are computed for all rows once and written; the fit takes at most ``ROWS`` labelled rows
+(those of the smallest hashes; equal rows count once and weigh more), every other step covers
+all rows. The driver holds the sample (``ROWS`` x features) and the tables.
 
 Edge cases: a null text is an empty one, with all features 0, and gets a score; without
 labelled rows, or with one class only, the score is the share of label 1 (0.5 if none);
-repeated labels are used each; other columns are ignored.
+repeated labels and documents weigh by their number; very long texts are read whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from itertools import combinations
 from operator import eq
@@ -124,9 +126,11 @@ def _quads(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarr
     return best, table_
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Additive:
+def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> Additive:
+    """``w`` counts how often each row stands."""
     n, m = x.shape if len(x) else (0, len(NAMES))
-    prior = float(y.mean()) if n else 0.5
+    w = np.ones(n) if w is None else w
+    prior = float(np.average(y, weights=w)) if n else 0.5
     if not n or not 0 < prior < 1:
         prior = min(max(prior, 1e-3), 1 - 1e-3)
         return Additive([], [], float(np.log(prior / (1 - prior))))
@@ -134,13 +138,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     model = Additive([cuts(k, BINS) for k in range(m)], [cuts(k, COARSE) for k in range(m)], float(np.log(prior / (1 - prior))))
     bins = [np.searchsorted(e, x[:, k]) for k, e in enumerate(model.edges)]
     sizes = [len(e) + 1 for e in model.edges]
-    count = [np.bincount(b, minlength=s) for b, s in zip(bins, sizes, strict=True)]
+    count = [np.bincount(b, w, s) for b, s in zip(bins, sizes, strict=True)]
     model.single = [np.zeros(s) for s in sizes]
     z = np.full(n, model.base)
     for _ in range(ROUNDS):
         for k in range(m):
             p = 1 / (1 + np.exp(-z))
-            step = RATE * _tree(np.bincount(bins[k], y - p, sizes[k]), np.bincount(bins[k], p * (1 - p), sizes[k]), count[k])
+            step = RATE * _tree(np.bincount(bins[k], w * (y - p), sizes[k]), np.bincount(bins[k], w * p * (1 - p), sizes[k]), count[k])
             model.single[k] += step
             z += step[bins[k]]
     coarse = [np.searchsorted(e, x[:, k]) for k, e in enumerate(model.coarse)]
@@ -149,7 +153,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     def grids(i: int, j: int):
         p = 1 / (1 + np.exp(-z))
         at, shape = coarse[i] * width[j] + coarse[j], (width[i], width[j])
-        return [np.bincount(at, w, width[i] * width[j]).reshape(shape) for w in (y - p, p * (1 - p), np.ones(n))]
+        return [np.bincount(at, v, width[i] * width[j]).reshape(shape) for v in (w * (y - p), w * p * (1 - p), w)]
 
     ranked = sorted(((_quads(*grids(i, j))[0], i, j) for i, j in combinations(range(m), 2) if min(width[i], width[j]) > 1), reverse=True)[:PAIRS]
     model.double = {(i, j): np.zeros((width[i], width[j])) for _, i, j in ranked}
@@ -166,12 +170,14 @@ def held_out(id_col: str) -> Column:
 
 
 def train(x: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", rows: int = ROWS) -> Additive:
-    """Fit on the labelled rows that are not held out; about ``rows`` of them at most."""
+    """Fit on labelled rows that are not held out, at most ``rows`` distinct (id, features, label), each with its weight."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("double").alias("y"))
-    part = min(1.0, rows / max(known.count(), 1))
-    some = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(part * 1_000_000))
-    got = x.join(some, "id").orderBy("id", "y").toPandas()
-    return fit(np.array(got["x"].tolist(), float).reshape(len(got), len(NAMES)), got["y"].to_numpy(float))
+    known = known.groupBy("id", "y").agg(F.count(F.lit(1)).alias("w"))
+    some = stored(x.join(known, "id").groupBy("id", "y", "x").agg(F.sum("w").alias("w")).withColumn("h", F.xxhash64("id", "y", "x")), "quality-known")
+    part = 1.2 * rows / max(some.count(), 1)  # a little more by the hash, then exactly the first ones
+    got = some.where(F.pmod("h", F.lit(1_000_000)) < math.ceil(part * 1_000_000)).orderBy("h", "id", "y").limit(rows).toArrow()
+    flat = got["x"].combine_chunks().flatten().to_numpy() if got.num_rows else np.zeros(0)
+    return fit(flat.reshape(got.num_rows, len(NAMES)), got["y"].to_numpy().astype(float), got["w"].to_numpy().astype(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS) -> DataFrame:
