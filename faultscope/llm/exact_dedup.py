@@ -13,7 +13,8 @@ put the state on the side with one row a digest, and the byte check aggregates b
 map-side, so copies of one text meet as one row a task.
 
 Edge cases: null text is empty; a null id is the smallest; of repeated rows with one id
-one row stays (locator); other columns are ignored; an empty table gives no rows.
+one row stays (locator); very long texts are compared whole; other columns are ignored; an
+empty table gives no rows. The id -2^63 stands for null.
 """
 
 from __future__ import annotations
@@ -84,13 +85,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def by_bytes(docs: DataFrame, feed: DataFrame, state: DataFrame, mixed: DataFrame, id_col: str, norm: Column, digest) -> DataFrame:
-    """The same rows when a digest stands for several texts: those digests are grouped by text."""
+    """The same rows when a digest stands for several texts: those digests are grouped by text.
+
+    No digest decides here. Copies of a row (same id, same text) are counted and written out again, the first one stays.
+    """
     clear = feed.join(mixed, "digest", "left_anti").join(state, "digest")
-    # Locators are not recomputed on ``docs`` (its row order need not repeat): id and full digest find the row.
     full = docs.select(id_of(id_col).alias("id"), digest(norm).alias("digest"), sha256(norm).alias("text_sha256"), norm.alias("norm")).join(mixed, "digest", "left_semi")
-    at = feed.groupBy("id", "text_sha256").agg(F.max("at").alias("at"))
-    groups = (full.join(at, ["id", "text_sha256"]).groupBy("norm")
-              .agg(F.max("id").alias("keep_id"), F.max_by("at", "id").alias("keep_at"), F.count(F.lit(1)).alias("group_size"), F.first("text_sha256").alias("text_sha256")))
-    rest = feed.join(mixed, "digest", "left_semi").join(groups.drop("norm"), "text_sha256")
+    rows = full.groupBy("norm", "id").agg(F.count(F.lit(1)).alias("n"), F.first("digest").alias("digest"), F.first("text_sha256").alias("text_sha256"))
+    groups = rows.groupBy("norm").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    rest = rows.join(groups, "norm").withColumn("at", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    rest = rest.withColumn("keep_at", F.when(F.col("id") == F.col("keep_id"), 1).otherwise(0).cast("bigint"))
     cols = ["id", "digest", "text_sha256", "at", "keep_id", "keep_at", "group_size"]
     return clear.select(cols).unionByName(rest.select(cols))
