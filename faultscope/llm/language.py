@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import batch_of, by_batch, share, stored, table
 
-ORDER, NODES, CELLS = 4, 1 << 20, 1 << 24
+ORDER, NODES, CELLS = 4, 1 << 19, 1 << 23
 #: Bytes worked on at once in a task, and grams held before they are handed on.
 PIECE, HELD = 1 << 20, 1 << 20
 UNKNOWN = "und"
@@ -219,10 +219,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = every.agg(F.countDistinct("lang").alias("langs"), *[F.count_if(F.col("n") >= p).alias(f"p{j}") for j, p in enumerate(powers)]).first()
     most = min(nodes, cells // max(sizes["langs"], 1))
     least = next((p for j, p in enumerate(powers) if sizes[f"p{j}"] <= most), 1 << 62)
-    got = every.where(F.col("n") >= least).toPandas()
-    langs = sorted(set(got["lang"]), key=str.encode)
-    number = {x: k for k, x in enumerate(langs)}
-    return Trees({"lang": got["lang"].map(number).to_numpy(np.int64) if len(got) else np.zeros(0, np.int64), **{c: got[c].to_numpy(np.int64) for c in ("order", "gram", "n")}}, langs)
+    got = every.where(F.col("n") >= least).select(F.col("lang"), F.col("order").cast("long"), "gram", "n").toArrow()
+    coded = got["lang"].combine_chunks().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    langs = sorted(names, key=str.encode)
+    place = np.array([langs.index(x) for x in names], np.int64)
+    return Trees({"lang": place[coded.indices.to_numpy()] if names else np.zeros(0, np.int64), **{c: got[c].to_numpy() for c in ("order", "gram", "n")}}, langs)
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", nodes: int = NODES, cells: int = CELLS) -> DataFrame:
