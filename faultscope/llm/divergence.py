@@ -1,8 +1,7 @@
 r"""Source divergence audit: how far the vocabularies of a language's sources lie apart.
 
-Kept terms (Iceberg prefix refinement): the documents are first written as their distinct terms
-with counts. Level by level the prefixes get longer (``FIRST`` bytes, then twice as many each
-time). A level counts, for each (lang, prefix), the documents that hold a term with that prefix,
+Kept terms (Iceberg prefix refinement): level by level the prefixes get longer (``FIRST`` bytes,
+then twice as many each time). A level reads the documents once and counts, for each (lang, prefix), the documents that hold a term with that prefix,
 under prefixes that survived the level before; prefixes in fewer than ``least`` documents are
 discarded with all terms below them. A term that is no longer than the level's width counts as a
 complete one (marked by a blank behind it) and is kept or discarded for good. The levels end when
@@ -31,39 +30,66 @@ as many as the result itself has.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import share, stored, table
 
-LEAST, TOP, FIRST, BITS = 10, 10, 3, 1 << 26
+LEAST, TOP, FIRST, BITS = 10, 10, 6, 1 << 26
 SCALE = 1_000_000_000
-#: Counts held by a task before they are handed on, and pairs worked on at once.
-HELD, PAIRS = 400_000, 1 << 20
+#: Counts held by a task before they are handed on; bytes of text, cells of a table and pairs worked on at once.
+HELD, SLICE, WIDE, CELLS, PAIRS = 400_000, 1 << 21, 1 << 24, 1 << 25, 1 << 20
 _TERM = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def term_table(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, terms, counts): distinct terms of each document, joined by blanks, with their counts."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("terms", pa.binary()), ("counts", pa.list_(pa.int64()))])
+def named_texts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """(lang, source, text) without nulls."""
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
 
-    def run(batches):
-        for b in batches:
-            terms, flat, ends = [], [], [0]
-            for text in b.column(2).to_pylist():
-                n: dict[bytes, int] = {}
-                for t in text.encode().translate(_TERM).split():
-                    n[t] = n.get(t, 0) + 1
-                terms.append(b" ".join(n))
-                flat.extend(n.values())
-                ends.append(len(flat))
-            counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(terms, pa.binary()), counts], schema=schema)
 
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
-    return docs.select(*named).mapInArrow(run, "lang string, source string, terms binary, counts array<bigint>")
+def tokens(b: pa.RecordBatch, size: int) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray, list[bytes]]]:
+    """Runs of documents of one lang: lang, their sources, the document and the term of each occurrence, the terms.
+
+    A run holds ``size`` bytes of text, or one document.
+    """
+    langs = b.column(0).dictionary_encode()
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        mine = pc.equal(langs.indices, k)
+        text, source = b.column(2).filter(mine), b.column(1).filter(mine)
+        upto, lo = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)), 0
+        while lo < len(text):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + size, "right")))
+            part = pa.concat_arrays([text.slice(lo, hi - lo).cast(pa.large_string())])  # offsets from 0
+            _, offsets, data = part.buffers()
+            plain = pa.LargeStringArray.from_buffers(len(part), offsets, pa.py_buffer(data.to_pybytes().translate(_TERM) if data else b""))
+            words = pc.ascii_split_whitespace(plain)
+            coded = words.flatten().cast(pa.large_binary()).dictionary_encode()
+            doc = np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+            yield lang, source.slice(lo, hi - lo), doc, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            lo = hi
+
+
+def documents_of(doc: np.ndarray, place: np.ndarray, docs: int, places: int) -> np.ndarray:
+    """For each place the number of documents that hold it: one bit table if it is small, else a sort."""
+    key = doc * places + place
+    if docs * places <= CELLS:
+        seen = np.zeros(docs * places, bool)
+        seen[key] = True
+        return seen.reshape(docs, places).sum(0)
+    return np.bincount(np.unique(key) % places, minlength=places)
+
+
+def tally(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, in order, with their numbers."""
+    if size <= CELLS:
+        n = np.bincount(key, minlength=1)
+        return np.flatnonzero(n), n[n > 0]
+    return np.unique(key, return_counts=True)
 
 
 def _key(prefix: str | Column) -> Column:
@@ -87,64 +113,52 @@ class Survivors:
 def survivors(prefixes: DataFrame, bits: int) -> Survivors:
     """From (lang, prefix); at most ``bits`` / 64 rows reach the driver."""
     at = F.xxhash64(_key("prefix")).bitwiseAND(F.lit(bits - 1))  # XXH64 with seed 42
-    rows = (prefixes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("word")).toPandas())
-    return Survivors(rows["place"].to_numpy(np.int64), rows["word"].to_numpy(np.int64), bits)
-
-
-class _Prefix(dict):
-    """Term to its prefix of this level, to the complete term and a blank, or to None."""
-
-    def __init__(self, lang: bytes, before: int, width: int, alive: Survivors | None):
-        super().__init__()
-        self.lang, self.before, self.width, self.alive = lang + b"\0", before, width, alive
-
-    def __missing__(self, term: bytes) -> bytes | None:
-        if len(term) <= self.before or (self.alive is not None and self.lang + term[:self.before] not in self.alive):
-            out = None
-        else:
-            out = term[:self.width] if len(term) > self.width else term + b" "
-        if len(self) > HELD:
-            self.clear()
-        self[term] = out
-        return out
+    rows = (prefixes.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("word")).toArrow())
+    return Survivors(rows["place"].to_numpy(), rows["word"].to_numpy(), bits)
 
 
-def count_prefixes(terms: DataFrame, before: int, width: int, alive) -> DataFrame:
+def count_prefixes(texts: DataFrame, before: int, width: int, alive) -> DataFrame:
     """(lang, prefix, n): documents that hold a term with the prefix; ``alive`` is a broadcast or None."""
     schema = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("n", pa.int64())])
 
+    def prefix_of(term: bytes, lang: bytes, survived) -> bytes | None:
+        if len(term) <= before or (survived is not None and lang + term[:before] not in survived):
+            return None
+        return term[:width] if len(term) > width else term + b" "
+
     def run(batches):
-        known: dict[str, _Prefix] = {}
         held: dict[str, dict[bytes, int]] = {}
+        survived = alive.value if alive else None
 
         def emit():
             for lang, n in held.items():
-                n.pop(None, None)
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.array(n, pa.binary()), pa.array(n.values(), pa.int64())], schema=schema)
             held.clear()
-            known.clear()
 
         for b in batches:
-            for lang, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if lang not in known:
-                    known[lang] = _Prefix(lang.encode(), before, width, alive.value if alive else None)
+            for lang, source, doc, term, terms in tokens(b, SLICE):
+                number: dict[bytes | None, int] = {None: 0}
+                head = lang.encode() + b"\0"
+                place = np.fromiter((number.setdefault(prefix_of(t, head, survived), len(number)) for t in terms), np.int64, len(terms))[term]
+                here = place > 0
+                times = documents_of(doc[here], place[here], len(source), len(number)).tolist()
                 n = held.setdefault(lang, {})
-                for p in set(map(known[lang].__getitem__, blob.split())):
-                    n[p] = n.get(p, 0) + 1
-                if sum(map(len, held.values())) + len(held) > HELD:
+                for p, c in zip(list(number)[1:], times[1:], strict=True):
+                    n[p] = n.get(p, 0) + c
+                if sum(map(len, held.values())) > HELD:
                     yield from emit()
         yield from emit()
 
-    return terms.select("lang", "terms").mapInArrow(run, "lang string, prefix binary, n long").groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
+    return texts.select("lang", "source", "text").mapInArrow(run, "lang string, prefix binary, n long").groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
 
 
-def kept_terms(terms: DataFrame, least: int = LEAST, first: int = FIRST, bits: int = BITS) -> DataFrame:
+def kept_terms(texts: DataFrame, least: int = LEAST, first: int = FIRST, bits: int = BITS) -> DataFrame:
     """(lang, term, n_docs) of the terms in at least ``least`` documents of the lang."""
-    spark = terms.sparkSession
+    spark = texts.sparkSession
     before, width, alive, out = 0, first, None, None
     whole = F.expr("right(hex(prefix), 2) = '20'")
     while True:
-        level = stored(count_prefixes(terms, before, width, alive).where(F.col("n") >= least).withColumn("whole", whole), "divergence-level")
+        level = stored(count_prefixes(texts, before, width, alive).where(F.col("n") >= least).withColumn("whole", whole), "divergence-level")
         done = level.where("whole").select("lang", F.expr("substring(prefix, 1, octet_length(prefix) - 1)").cast("string").alias("term"), F.col("n").alias("n_docs"))
         out = done if out is None else out.unionByName(done)
         rest = level.where("NOT whole")
@@ -154,44 +168,25 @@ def kept_terms(terms: DataFrame, least: int = LEAST, first: int = FIRST, bits: i
         before, width = width, 2 * width
 
 
-def count_kept(terms: DataFrame, kept: DataFrame, bits: int = BITS) -> DataFrame:
+def count_kept(texts: DataFrame, kept: DataFrame, bits: int = BITS) -> DataFrame:
     """(lang, source, term, n) of the kept terms that occur in the group."""
-    may = share(terms.sparkSession, survivors(kept.select("lang", F.col("term").cast("binary").alias("prefix")), bits))
+    may = share(texts.sparkSession, survivors(kept.select("lang", F.col("term").cast("binary").alias("prefix")), bits))
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
 
     def run(batches):
-        known: dict[str, _Prefix] = {}
-        held: dict[tuple[str, str], dict[bytes, int]] = {}
-
-        class Whole(_Prefix):
-            def __missing__(self, term):
-                out = term if self.lang + term in self.alive else None
-                if len(self) > HELD:
-                    self.clear()
-                self[term] = out
-                return out
-
-        def emit():
-            for (lang, source), n in held.items():
-                n.pop(None, None)
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(n)), pa.repeat(pa.scalar(source, pa.string()), len(n)),
-                                                  pa.array([t.decode() for t in n], pa.string()), pa.array(n.values(), pa.int64())], schema=schema)
-            held.clear()
-            known.clear()
-
+        bits = may.value
         for b in batches:
-            flat, ends = b.column(3).values.to_pylist(), b.column(3).offsets.to_pylist()
-            for k, (lang, source, blob) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
-                if lang not in known:
-                    known[lang] = Whole(lang.encode(), 0, 0, may.value)
-                n = held.setdefault((lang, source), {})
-                for t, c in zip(map(known[lang].__getitem__, blob.split()), flat[ends[k]:ends[k + 1]], strict=True):
-                    n[t] = n.get(t, 0) + c
-                if sum(map(len, held.values())) + len(held) > HELD:
-                    yield from emit()
-        yield from emit()
-
-    part = terms.mapInArrow(run, "lang string, source string, term string, n long")
+            for lang, source, doc, term, terms in tokens(b, WIDE):
+                head, coded = lang.encode() + b"\0", source.dictionary_encode()
+                good = np.fromiter((head + t in bits for t in terms), bool, len(terms))[term]
+                group = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc[good]]
+                pairs, times = tally(group * len(terms) + term[good], len(coded.dictionary) * len(terms))
+                if len(pairs):
+                    names = pa.array(terms, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(pairs)), coded.dictionary.take(pa.array(pairs // len(terms))),
+                                                      names.take(pa.array(pairs % len(terms))), pa.array(times.astype(np.int64))], schema=schema)
+
+    part = texts.mapInArrow(run, "lang string, source string, term string, n long")
     return part.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
 
 
@@ -245,12 +240,12 @@ def shared_pairs(rows: DataFrame) -> DataFrame:
 def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
                       least: int = LEAST, top: int = TOP, first: int = FIRST, bits: int = BITS) -> DataFrame:
     """lang, source, part, item, value, rank."""
-    terms = stored(term_table(docs, text_col, lang_col, source_col), "divergence-terms")
-    kept = stored(kept_terms(terms, least, first, bits), "divergence-kept")
-    counts = stored(count_kept(terms, kept, bits), "divergence-counts")
+    texts = named_texts(docs, text_col, lang_col, source_col)
+    kept = stored(kept_terms(texts, least, first, bits), "divergence-kept")
+    counts = stored(count_kept(texts, kept, bits), "divergence-counts")
     by_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     size = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
-    groups = terms.select("lang", "source").distinct().join(by_lang, "lang", "left").join(size, ["lang", "source"], "left").select(
+    groups = texts.select("lang", "source").distinct().join(by_lang, "lang", "left").join(size, ["lang", "source"], "left").select(
         F.monotonically_increasing_id().alias("gid"), "lang", "source", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("v", "total", "held")])
     groups = stored(groups.withColumn("p0", F.expr(share_of("0", "total", "v"))), "divergence-groups")
     all_ = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
