@@ -1,7 +1,7 @@
 """Streaming plans, checked against batch SQL.
 
-The events arrive in ``SLICES`` groups of files, one micro-batch each, ordered by time plus
-up to half an hour: rows are late, but within the delay of an hour, so the batch result is
+The events arrive in groups of files, one micro-batch each (at least ``SLICES``, and so many
+that a group has about ``GROUP_ROWS`` rows at most), ordered by time plus up to half an hour: rows are late, but within the delay of an hour, so the batch result is
 due row by row. Machines with memory give out what the last watermark has passed.
 """
 
@@ -15,7 +15,11 @@ from .oracle import D, H
 from .registry import plan
 
 
-SLICES, FILES = 6, 2
+SLICES, FILES, GROUP_ROWS = 6, 2, 5_000_000
+
+
+def groups(c) -> int:
+    return max(SLICES, -(-c.table("events").count() // GROUP_ROWS))
 
 
 def arrivals(c, path=None, first=0, last=None):
@@ -24,8 +28,9 @@ def arrivals(c, path=None, first=0, last=None):
     t = F.unix_micros(F.col("ts").cast("timestamp"))
     late = t + F.pmod(F.col("event_id") * 7919, F.lit(1800)) * F.lit(1_000_000)
     span = e.agg(F.min(t).alias("a"), F.max(t).alias("b")).select(F.struct("a", "b")).scalar()
-    group = F.least(idiv((late - span["a"]) * SLICES, span["b"] - span["a"] + 1), F.lit(SLICES - 1))
-    return J.arrival_files(e, path or scratch_path(c.spark, "arrivals"), group, SLICES, FILES, first, last)
+    n = groups(c)
+    group = F.least(idiv((late - span["a"]) * n, span["b"] - span["a"] + 1), F.lit(n - 1))
+    return J.arrival_files(e, path or scratch_path(c.spark, "arrivals"), group, n, FILES, first, last)
 
 
 def source(c, path=None):
@@ -83,7 +88,8 @@ def _(c):
 def _(c):
     """Half of the files, stop, the other half from the checkpoint: the same table as the whole run."""
     where, out, ckpt = (scratch_path(c.spark, x) for x in ("arrivals", "resumed", "resumed-ckpt"))
-    for first, last in ((0, SLICES // 2 - 1), (SLICES // 2, SLICES - 1)):
+    n = groups(c)
+    for first, last in ((0, n // 2 - 1), (n // 2, n - 1)):
         d = J.run_to_table(ledger_stream(c, arrivals(c, where, first, last)), "resumed", ckpt, out)
     return d
 

@@ -7,14 +7,14 @@ how rows are dealt to files and batches.
 
 from __future__ import annotations
 
-import bisect
-import math
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import idiv
@@ -23,19 +23,29 @@ from ..session import scratch_path
 # Executors get the state functions with the job, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+
 
 def run_to_table(stream: DataFrame, label: str, checkpoint: str | None = None, path: str | None = None, mode: str = "append") -> DataFrame:
     """Drive a stream over all available input into a Parquet table and read it back.
 
     The checkpoint and the table live in the shared folder; a rerun with the same
-    two paths continues after the last committed batch.
+    two paths continues after the last committed batch. State is kept in RocksDB, on disk.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, f"{label}-out")
     checkpoint = checkpoint or scratch_path(spark, f"{label}-ckpt")
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        q = (stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -49,10 +59,13 @@ def arrival_files(df: DataFrame, path: str, order, batches: int, files: int = 2,
     return path
 
 
-def read_events(spark: SparkSession, base: str, schema: T.StructType, glob: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
+def read_events(spark: SparkSession, base: str, schema: T.StructType, glob: str = "events.parquet", files_per_batch: int | None = None, bytes_per_batch: str | None = None) -> DataFrame:
+    """Files as a stream; micro-batches are cut by number of files or by bytes (``"512m"``), not by both."""
     r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        r = r.option("maxBytesPerTrigger", bytes_per_batch)
     return r.parquet(base)
 
 
@@ -118,57 +131,109 @@ def stream_topk(scores: DataFrame, length_us: int, k: int, delay: str, salts: in
 
 # ---- custom state --------------------------------------------------------------------
 #
-# Each machine below keeps the rows that the watermark has not passed in its state
-# (bounded by the delay) and runs over the rows behind it in the order of time. So late
-# rows inside the delay take their place, and the result does not depend on how the
-# input is cut into files or batches. A timer at the watermark releases what is held
-# when an entity gets no more rows; rows later than the delay are dropped by Spark.
-
-HELD = "held_t array<bigint>, held_v array<double>"
+# Each machine below keeps the rows that the watermark has not passed in RocksDB, cut into
+# chunks of event time, and runs over the rows behind it in the order of time, one chunk
+# after the other. So late rows inside the delay take their place, and the result does not
+# depend on how the input is cut into files or batches. What a task holds at once is one
+# Arrow batch and the rows of one entity in one chunk, never the rows of an entity in a
+# micro-batch; ``width`` sets the chunk. A timer releases what is held when an entity gets
+# no more rows; rows later than the delay are dropped by Spark.
+
+WIDTH = 600_000_000
+
+
+def hold(held, t: np.ndarray, v: np.ndarray, width: int, part: int) -> None:
+    """Put one Arrow batch of rows into the state, a part for each time chunk it touches."""
+    chunk = t // width
+    order = np.argsort(chunk, kind="stable")
+    keys, starts = np.unique(chunk[order], return_index=True)
+    for c, at in zip(keys.tolist(), np.split(order, starts[1:])):
+        held.updateValue((c, part), (t[at].tolist(), v[at].tolist()))
+
+
+def release(held, mark: int, width: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows up to ``mark`` leave the state in the order of (time, value, NaN last), a chunk at a time."""
+    due: dict[int, list[tuple]] = {}
+    for c, p in held.keys():
+        if c * width <= mark:
+            due.setdefault(c, []).append((c, p))
+    for c in sorted(due):
+        parts = [held.getValue(k) for k in due[c]]
+        t = np.concatenate([np.asarray(p[0], np.int64) for p in parts])
+        v = np.concatenate([np.asarray(p[1], float) for p in parts])
+        order = np.lexsort((v, np.isnan(v), t))
+        t, v = t[order], v[order]
+        cut = int(np.searchsorted(t, mark, "right"))
+        if cut == 0 and len(parts) == 1:
+            continue
+        for k in due[c]:
+            held.removeKey(k)
+        if cut < len(t):
+            held.updateValue((c, part), (t[cut:].tolist(), v[cut:].tolist()))
+        if cut:
+            yield t[:cut], v[:cut]
+
+
+class Machine(StatefulProcessor):
+    """``step(memory, t, v) -> (memory, output rows)`` over an entity's rows in the order of time.
 
+    ``start`` is the memory before the first row. ``step(memory, None, watermark)`` is asked
+    once the rows are done, to close what the watermark has closed; it returns a third value,
+    the time in microseconds to be asked again, or None.
+    """
 
-def _released(pdfs: Iterator[pd.DataFrame], held_t, held_v, value: str | None, watermark_us: int, timed_out: bool) -> tuple[list, list, list]:
-    """(rows behind the watermark by time, times still held, values still held).
+    def __init__(self, value: str | None, step: Callable, start: tuple, memory: str, names: list[str], width: int):
+        self.value, self.step, self.start, self.schema, self.names, self.width = value, step, start, memory, names, width
 
-    A micro-batch of an entity arrives as Arrow chunks; each is merged as it comes.
-    """
-    rows = [(t, math.nan if v is None else v) for t, v in zip(held_t, held_v)]
-    if not timed_out:
-        for pdf in pdfs:
-            rows += zip(pdf["t"].tolist(), pdf[value].to_numpy(dtype=float) if value else [0.0] * len(pdf))
-    rows.sort(key=lambda r: (r[0], r[1] != r[1], r[1]))
-    cut = bisect.bisect_right(rows, watermark_us, key=lambda r: r[0])
-    keep = rows[cut:]
-    return rows[:cut], [int(t) for t, _ in keep], [float(v) for _, v in keep]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.memory = handle.getValueState("memory", f"{self.schema}, part bigint, due bigint")
+        self.held = handle.getMapState("held", "chunk bigint, part bigint", "t array<bigint>, v array<double>")
 
+    def handleInputRows(self, key, rows, timerValues):
+        return self.advance(key, rows, timerValues.getCurrentWatermarkInMs(), False)
 
-def _machine(src: DataFrame, key: str, value: str | None, step: Callable, start: tuple, state_cols: str, out: str, delay: str) -> DataFrame:
-    """``step(memory, t, v) -> (memory, output rows)`` over each entity's rows in the order of time.
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return self.advance(key, (), timerValues.getCurrentWatermarkInMs(), True)
 
-    ``start`` is the memory before the first row. ``step(memory, None, watermark)`` is asked
-    once the rows are done, to close what the watermark has closed; it returns a third value,
-    the time in microseconds to be asked again, or None.
-    """
+    def advance(self, key, pdfs, mark_ms: int, fired: bool) -> Iterator[pd.DataFrame]:
+        *memory, part, due = self.memory.get() or (*self.start, 0, -1)
+        if fired:
+            due = -1
+        for pdf in pdfs:
+            v = pdf[self.value].to_numpy(dtype=float) if self.value else np.zeros(len(pdf))
+            hold(self.held, pdf["t"].to_numpy(dtype=np.int64), v, self.width, part)
+            part += 1
+        mark = mark_ms * 1000
+        for t, v in release(self.held, mark, self.width, part):
+            done: list[tuple] = []
+            for at, x in zip(t.tolist(), v.tolist()):
+                memory, more = self.step(memory, at, x)
+                done += more
+            if done:
+                yield self.frame(key, done)
+        part += 1
+        memory, more, again = self.step(memory, None, mark)
+        if more:
+            yield self.frame(key, more)
+        first = min((c for c, _ in self.held.keys()), default=None)
+        wake = [*([first * self.width - 1000] if first is not None else []), *([again] if again is not None else [])]
+        next_due = max(min(wake) // 1000, mark_ms) if wake else -1  # fires once the watermark is past it
+        if next_due != due:
+            if due >= 0:
+                self.handle.deleteTimer(due)
+            if next_due >= 0:
+                self.handle.registerTimer(next_due)
+        self.memory.update((*memory, part, next_due))
+
+    def frame(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=self.names)
+
+
+def _machine(src: DataFrame, key: str, value: str | None, step: Callable, start: tuple, state_cols: str, out: str, delay: str, width: int = WIDTH) -> DataFrame:
     names = [c.split()[0] for c in out.split(",")]
-
-    def run(k, pdfs, state: GroupState):
-        *memory, held_t, held_v = state.get if state.exists else (*start, [], [])
-        mark = state.getCurrentWatermarkMs() * 1000
-        rows, held_t, held_v = _released(pdfs, held_t, held_v, value, mark, state.hasTimedOut)
-        done: list[tuple] = []
-        for t, v in rows:
-            memory, more = step(memory, int(t), float(v))
-            done += more
-        memory, more, again = step(memory, None, mark)
-        done += more
-        state.update((*memory, held_t, held_v))
-        wake = [*held_t[:1], *([again] if again is not None else [])]
-        if wake:  # fires once the watermark is past it
-            state.setTimeoutTimestamp(max(min(wake) // 1000, state.getCurrentWatermarkMs() + 1))
-        if done:
-            yield pd.DataFrame([(k[0], *d) for d in done], columns=names)
-
-    return src.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(run, out, f"{state_cols}, {HELD}", "append", GroupStateTimeout.EventTimeTimeout)
+    wanted = src.select(key, "ts", "t", *([value] if value else [])).withWatermark("ts", delay)
+    return wanted.groupBy(key).transformWithStateInPandas(Machine(value, step, start, state_cols, names, width), out, "append", "EventTime")
 
 
 LEDGER_OUT = "entity bigint, code bigint, onset_t bigint, end_t bigint, uncertain_onset boolean, close_reason string"
