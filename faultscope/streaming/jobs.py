@@ -218,7 +218,7 @@ class Machine(StatefulProcessor):
             yield self.frame(key, more)
         first = min((c for c, _ in self.held.keys()), default=None)
         wake = [*([first * self.width - 1000] if first is not None else []), *([again] if again is not None else [])]
-        next_due = max(min(wake) // 1000, mark_ms) if wake else -1  # fires once the watermark is past it
+        next_due = max(min(wake) // 1000, mark_ms + 1) if wake else -1  # fires once the watermark is past it; one at or before it never does
         if next_due != due:
             if due >= 0:
                 self.handle.deleteTimer(due)
