@@ -231,6 +231,49 @@ def mix_hash_sql(seed: int, *keys: str) -> str:
     return f"(((({h}) % 46337) * ({h})) % {_M31})"
 
 
+def value_text(col: str, kind: str) -> Column:
+    """A column as text that every SQL engine writes alike; NULL is ``n``.
+
+    ``kind`` is the Spark type name. Doubles and floats are written as their exact whole-number
+    mantissa and power of two (so no engine's printing of decimals matters; 0.0 and -0.0 are
+    equal), times as microseconds, dates as days, strings and bytes as the md5 of their bytes.
+    """
+    c = F.col(f"`{col}`")
+    if kind in ("double", "float"):
+        a = F.abs(c.cast("double"))
+        e = F.greatest(F.least(F.floor(F.log2(a)), F.lit(1023)), F.lit(-1022)).cast("int")
+        m = a / F.pow(F.lit(2.0), e)
+        m, e = F.when(m < 1, m * 2).when(m >= 2, m / 2).otherwise(m), F.when(m < 1, e - 1).when(m >= 2, e + 1).otherwise(e)
+        exact = F.concat(F.when(c < 0, "-").otherwise(""), (m * F.lit(2.0 ** 52)).cast("bigint").cast("string"), F.lit("e"), e.cast("string"))
+        text = F.when(F.isnan(c), "nan").when(a == float("inf"), F.when(c < 0, "-inf").otherwise("inf")).when(c == 0, "0").otherwise(exact)
+    elif kind in ("bigint", "int", "smallint", "tinyint") or kind.startswith("decimal"):
+        text = c.cast("string")
+    elif kind == "boolean":
+        text = F.when(c, "1").otherwise("0")
+    elif kind == "date":
+        text = F.unix_date(c).cast("string")
+    elif kind in ("timestamp", "timestamp_ntz"):
+        text = F.unix_micros(c.cast("timestamp")).cast("string")
+    elif kind in ("string", "binary"):
+        text = F.md5(c.cast("binary"))
+    else:
+        raise TypeError(f"{col}: no portable text for {kind}")
+    return F.when(c.isNull(), "n").otherwise(text)
+
+
+def value_text_sql(col: str, kind: str) -> str:
+    """``value_text`` as SQL text (used by the oracle statements)."""
+    if kind == "double":
+        e = f"greatest(least(floor(log2(abs({col}))), 1023), -1022)"
+        m = f"(abs({col}) / pow(2.0, {e}))"
+        exact = (f"(CASE WHEN {col} < 0 THEN '-' ELSE '' END) || CAST((CASE WHEN {m} < 1 THEN {m} * 2 WHEN {m} >= 2 THEN {m} / 2 ELSE {m} END) * 4503599627370496.0 AS BIGINT)"
+                 f" || 'e' || CAST({e} + (CASE WHEN {m} < 1 THEN -1 WHEN {m} >= 2 THEN 1 ELSE 0 END) AS INT)")
+        return f"(CASE WHEN {col} IS NULL THEN 'n' WHEN isnan({col}) THEN 'nan' WHEN isinf({col}) THEN CASE WHEN {col} < 0 THEN '-inf' ELSE 'inf' END WHEN {col} = 0 THEN '0' ELSE {exact} END)"
+    if kind == "string":
+        return f"(CASE WHEN {col} IS NULL THEN 'n' ELSE md5({col}) END)"
+    return f"(CASE WHEN {col} IS NULL THEN 'n' ELSE CAST({col} AS VARCHAR) END)"
+
+
 def score_chunk(order) -> Column:
     """Coarse monotone key of a real-valued order column.
 

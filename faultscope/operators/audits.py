@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalar import DAY, idiv, mix_hash
+from ..functions.scalar import DAY, idiv, mix_hash, value_text
 from .scan import scan
 
 
@@ -33,10 +33,18 @@ def entity_diff(frames: dict[str, DataFrame], reference: DataFrame, key: str) ->
 
 
 def fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Order-free content hash: rows, xor and sum of row hashes."""
-    h = F.xxhash64(*(cols or df.columns))
-    return df.select(h.alias("h")).agg(F.count("*").alias("rows"), F.bit_xor("h").alias("xor_hash"),
-                                       F.sum(F.pmod("h", F.lit(1_000_000_007))).alias("sum_hash"))
+    """Content hash of a table as a multiset of rows, which any SQL engine reproduces.
+
+    A row is the md5 of its columns' portable texts (``value_text``) in the order of ``cols``; the
+    hash is the number of rows and the sums of the first and of the next sixty bits of the md5, as
+    exact decimals (text). Order and partitions do not matter; a changed value, a row more or
+    less, a repeated row and a NULL moved to another column alter it. An empty table has sums of 0.
+    """
+    kinds = dict(df.dtypes)
+    row = F.md5(F.concat_ws(",", *[value_text(c, kinds[c]) for c in cols or df.columns]))
+    part = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(28,0)")
+    total = lambda at: F.coalesce(F.sum(part(at)), F.lit(0)).cast("decimal(38,0)").cast("string")
+    return df.select(row.alias("h")).agg(F.count("*").alias("rows"), total(1).alias("first_sum"), total(16).alias("second_sum"))
 
 
 def key_fingerprint(df: DataFrame, keys: list[str], seed: int = 7) -> DataFrame:

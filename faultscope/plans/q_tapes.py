@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F, types as T
 
 from ..canonical import T0
-from ..functions.scalar import DAY, HOUR, mix_hash_sql, pareto_weight
+from ..functions.scalar import DAY, HOUR, mix_hash_sql, pareto_weight, value_text_sql
 from ..operators import audits as A
 from ..operators import grid as G
 from ..operators import ranking as R
@@ -105,9 +105,15 @@ def _(c):
     return A.key_fingerprint(c.telemetry, ["entity", "t"])
 
 
-@plan("content_fingerprint", "S18")
+CONTENT = {"entity": "bigint", "t": "bigint", "util": "double", "sixth": "double", "event_type": "string", "event_id": "bigint"}
+
+
+@plan("content_fingerprint", "S18", ("tel",), f"""x AS (SELECT entity, t, nullif(util, 50.0) AS util, temp / 6.0 AS sixth, event_type, event_id FROM tel),
+h AS (SELECT md5({" || ',' || ".join(value_text_sql(k, v) for k, v in CONTENT.items())}) AS h FROM x)
+SELECT count(*) AS rows, coalesce(sum(('0x' || substr(h, 1, 15))::BIGINT), 0)::VARCHAR AS first_sum, coalesce(sum(('0x' || substr(h, 16, 15))::BIGINT), 0)::VARCHAR AS second_sum FROM h""")
 def _(c):
-    return A.fingerprint(c.telemetry)
+    x = c.telemetry.withColumns({"sixth": F.col("temp") / 6.0, "util": F.nullif("util", F.lit(50.0))})
+    return A.fingerprint(x, list(CONTENT))
 
 
 RT = f"""rt AS (SELECT t AS decision_t, entity, CASE WHEN (entity * 31 + bin) % 97 = 0 THEN NULL ELSE p1 END AS risk_score, CASE WHEN (entity + bin) % 89 = 0 THEN 0 ELSE rank END AS risk_rank FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY p1 DESC, entity) AS rank FROM scores))"""

@@ -53,7 +53,7 @@ def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame
     written has no ``_SUCCESS`` and is written anew.
     """
     row = fingerprint(key).head()
-    tag = f"{row['rows']}-{row['xor_hash'] or 0:x}-{row['sum_hash'] or 0:x}"
+    tag = f"{row['rows']}-{row['first_sum']}-{row['second_sum']}"
     target = f"{path.rstrip('/')}/{tag}"
     if exists(spark, f"{target}/_SUCCESS"):
         return spark.read.parquet(target), True
