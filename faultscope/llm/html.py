@@ -3,8 +3,9 @@
 The page is cut at block tags into flat blocks in page order. Each block has its number of
 words and its link density (share of words inside links), those of its neighbours, and where
 it stands: inside an article, inside a navigation-like element, inside an element whose
-class or id names an extra (advert, cookie notice, comments ...), or a heading. An extra's
-name on an element that is or encloses an article or main element marks nothing there, save
+class or id names an extra (advert, cookie notice, comments ...), inside one whose name is a
+weak sign only (menu, share, widget ...: there words, links and neighbours tell), or a heading.
+An extra's name on an element that is or encloses an article or main element marks nothing there, save
 comments, teasers and adverts that follow an article as articles of their own. A small
 decision tree, fitted on the blocks of the labelled pages in ``html_labels``, keeps or drops
 each block; kept blocks are joined.
@@ -13,13 +14,15 @@ Scripts, styles, markup comments, templates and the document head hold no text a
 Character references are decoded first, then white space becomes one space.
 
 Edge cases: null html is empty and gives an empty text; unclosed tags and cut pages are read
-to the end, an unfinished last tag or comment is dropped; ``<`` that opens no tag is text;
-repeated rows are read each; other columns are ignored.
+to the end, an unfinished last tag or comment is dropped; a link that is never closed ends with
+the block element around it, an anchor without href is no link; the work is linear in the page; ``<`` that opens no tag is text;
+an empty table gives an empty table; repeated rows are read each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from typing import NamedTuple
 
@@ -32,6 +35,7 @@ from .html_labels import PAGES
 
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 _ATTR = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.IGNORECASE)
 _NAMES = re.compile(r"[a-z]+")
 #: Elements without readable text.
 SILENT = frozenset("script style template noscript svg iframe canvas head title textarea select button audio video".split())
@@ -48,6 +52,10 @@ EXTRAS = frozenset("""ad advert advertisement advertising alert banner breadcrum
     subscribe subscription teaser toolbar widget""".split())
 #: Of these, what follows an article and may be an article element itself; the others also name parts of a layout.
 FOLLOWS = frozenset("ad advert advertisement advertising comment commentlist disqus promo promotion related reply respond sponsor sponsored teaser".split())
+#: Of these, names of link lists that article text also carries: words, links and neighbours decide there.
+WEAK = frozenset("breadcrumb menu menubar nav navbar navigation pager pagination search share sharing skip social toolbar widget".split())
+#: On a paragraph or inside a line these are weak as well.
+WEAK_INLINE = WEAK | frozenset("alert banner dialog footer masthead notice notification sidebar".split())
 #: What stands after these in a name says what a layout has or lacks: with-sidebar, page-no-nav.
 HAS = frozenset("with without has have no non".split())
 HEADER = frozenset("header banner masthead".split())
@@ -61,10 +69,11 @@ class Block(NamedTuple):
     frame: bool
     extra: bool
     heading: bool
+    weak: bool
 
 
-def extra_named(attributes: str) -> int:
-    """0: no extra; 1: an extra; 2: one of ``FOLLOWS``.
+def extra_named(attributes: str, weak: frozenset[str] = WEAK) -> int:
+    """0: no extra; 1: a weak sign; 2: an extra; 3: one of ``FOLLOWS``.
 
     A name counts by its first and its last part (ad-slot, cookie-banner), cut before ``--``
     and before with-, has-, no-: page-sidebar-right and layout--sidebar name no extra.
@@ -79,7 +88,7 @@ def extra_named(attributes: str) -> int:
             for w in {*parts[:1], *parts[-1:]}:
                 w = w if w in EXTRAS else w.removesuffix("s")
                 if w in EXTRAS:
-                    found = max(found, 1 + (w in FOLLOWS))
+                    found = max(found, 1 if w in weak else 2 + (w in FOLLOWS))
     return found
 
 
@@ -96,7 +105,9 @@ def blocks(page: str | None) -> list[Block]:
     text: list[str] = []  # pieces of the open block; links alternate
     linked: list[str] = []
     link = heading = False
+    depth = 0  # of the stack where the open link began
     stack = [_Open("", False, False, 0, False)]
+    count: Counter[str] = Counter()  # open elements by tag
     told = False  # text of an article that is no extra
 
     def close() -> None:
@@ -107,11 +118,18 @@ def blocks(page: str | None) -> list[Block]:
             if words:
                 top = stack[-1]
                 inside = len(unescape(" ".join(linked)).split())
-                out.append(Block(" ".join(words), len(words), min(inside, len(words)), top.article, top.frame, top.extra > 0, heading))
+                out.append(Block(" ".join(words), len(words), min(inside, len(words)), top.article, top.frame, top.extra > 1, heading, top.extra == 1))
                 told = told or top.article and not top.frame and not top.extra
         text.clear()
         linked.clear()
 
+    def push(o: _Open) -> None:
+        stack.append(o)
+        count[o.tag] += 1
+
+    def pop() -> None:
+        count[stack.pop().tag] -= 1
+
     def add(s: str) -> None:
         if s and not stack[-1].silent:
             text.append(s)
@@ -134,34 +152,39 @@ def blocks(page: str | None) -> list[Block]:
             break  # cut inside a tag
         tag = tag.lower()
         if tag == "a":
-            link = not end
+            link, depth = not end and _HREF.search(attributes) is not None, len(stack)
             continue
         if tag in BREAKS:
             close()
             heading = tag in HEADINGS and not end
             if stack[-1].tag == "p":  # any block ends a paragraph
-                stack.pop()
+                pop()
+                if tag == "br":  # but not its links
+                    depth = min(depth, len(stack))
+                link = link and len(stack) >= depth
         elif tag not in SILENT:
-            if not end and not empty and tag not in VOID and (named := extra_named(attributes)):
+            if not end and not empty and tag not in VOID and (named := extra_named(attributes, WEAK_INLINE)):
                 close()
-                stack.append(stack[-1]._replace(tag=tag, extra=max(stack[-1].extra, named)))
+                push(stack[-1]._replace(tag=tag, extra=max(stack[-1].extra, named)))
             elif end and stack[-1].tag == tag:
                 close()
-                stack.pop()
+                pop()
             continue
         if end:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k:
-                del stack[k:]
+            if count[tag]:
+                while stack[-1].tag != tag:
+                    pop()
+                pop()
+                link = link and len(stack) >= depth
             continue
         if tag in VOID or empty and tag in SILENT:
             continue
         top = stack[-1]
         frame = top.frame or tag in FRAME or tag == "header" and not top.article
-        extra = top.extra if tag in ("html", "body") else max(top.extra, extra_named(attributes))
-        if tag in ("article", "main") and not (extra == 2 and told):  # a layout's name says nothing of its article; comments after an article are extras
+        extra = top.extra if tag in ("html", "body") else max(top.extra, extra_named(attributes, WEAK_INLINE if tag == "p" or tag in HEADINGS else WEAK))
+        if tag in ("article", "main") and not (extra == 3 and told):  # a layout's name says nothing of its article; comments after an article are extras
             extra = 0
-        stack.append(_Open(tag, top.article or tag in ("article", "main"), frame, extra, top.silent or tag in SILENT))
+        push(_Open(tag, top.article or tag in ("article", "main"), frame, extra, top.silent or tag in SILENT))
         if tag in RAW:  # up to its own end tag, whatever stands between
             stop = re.compile(f"</{tag}(?=[\\s/>])", re.IGNORECASE).search(page, at)
             at = stop.start() if stop else len(page)
@@ -169,7 +192,7 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "article", "frame", "extra", "heading", "page_has_article"]
+FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "article", "frame", "extra", "heading", "page_has_article", "weak"]
 
 
 def block_features(found: list[Block]) -> np.ndarray:
@@ -178,7 +201,7 @@ def block_features(found: list[Block]) -> np.ndarray:
     density = np.array([b.linked / b.words for b in found], float)
     before, after = (lambda v: np.r_[0.0, v[:-1]]), (lambda v: np.r_[v[1:], 0.0])
     flags = np.array([(b.article, b.frame, b.extra, b.heading) for b in found], float).reshape(n, 4)
-    return np.column_stack([words, density, before(words), before(density), after(words), after(density), flags, np.full(n, float(flags[:, 0].any()))])
+    return np.column_stack([words, density, before(words), before(density), after(words), after(density), flags, np.full(n, float(flags[:, 0].any())), np.array([b.weak for b in found], float)])
 
 
 class Node(NamedTuple):
@@ -188,7 +211,7 @@ class Node(NamedTuple):
     right: Node | bool
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node | bool:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node | bool:
     """Gini tree; ties go to the first feature and the lowest cut."""
     keep = bool(y.mean() >= 0.5)
     if not depth or y.all() or not y.any():

@@ -34,7 +34,28 @@ def _bare(n: int, m: int) -> list[str]:
     ]
 
 
+def _weak(n: int) -> list[str]:
+    """Weakly named elements inside an article: sentences stay, labels of a few words go unless nothing else is there, links go."""
+    k, d, label, sentence = _say("+", n), _say("-", n), _say("-", 1 + n % 4), _say("+", 9 + n)
+    return [
+        f"<article><p>{k}</p><section class='social'><p>{sentence}<p>{sentence}</section><div class='share'>{label}</div><p>{k}</p><ul class='menu'><li><a href=1>{d}</a><li><a href=2>{label}</a></ul></article>",
+        f"<main><h1>{k}</h1><div class='widget'><p>{sentence} <a href=1>there</a></p><span>{label}</span></div><p>{k}<div class='toolbar'>{label}</div><p class='search'>{sentence}</main>",
+        f"<article><div class='navigation'><a href=1>{d}</a> | <a href=2>{d}</a></div><p>{k}<p class='footer-note'>{sentence}<p>{k}</article>",
+        f"<article><ul class='menu'><li>{k}</li></ul></article>",
+        f"<article><div class='share'>{label}</div><p>{k}</p></article>",
+        f"<article><section class='social'><h1>{k}</h1><p>{sentence}</p><h2>{k}</h2><p>{sentence}</p></section></article>",
+        f"<article><p>{k}<ul class='pagination'><li>{label}<li><a href=2>{label}</a><li><a href=3>{d}</a></ul><p>{k}</article>",
+    ]
+
+
+def _linked(n: int) -> list[str]:
+    """Pages without article: a sentence may be mostly one long link, a row of links has next to no other words."""
+    words, link = _say("+", 3 + n // 8), " ".join(["word"] * n)
+    return [f"<p>{words} <a href=1>{link}</a></p>", f"<div><a href=1>{_say('-', n)}</a> | <a href=2>{link}</a></div><p>{words} <a href=1>{link}</a></p><p>+end</p>"]
+
+
 PAGES = [page for n in (1, 2, 4, 8, 16, 30, 60, 120) for m in (3, 20, 200) for page in _sized(n, m) + _bare(n, m)] + [
+    page for n in (1, 2, 4, 8, 16, 30, 60, 120) for page in _weak(n)] + [page for n in (10, 16, 24, 40, 80) for page in _linked(n)] + [
     # article element with everything around it
     f"<html><head><title>-t</title></head><body><header><h1>-site name</h1>{_LINKS}</header><nav>{_LINKS}</nav><div class='ad'>-buy this very good thing today</div>"
     f"<article><h1>+heading</h1><p>{_LONG}<p>{_LONG} <a href=x>see there</a></p><p>+short.</p><ul><li>+point</li><li><a href=y>+a linked point</a></li></ul><h2>+next</h2><p>+ok</p></article>"
