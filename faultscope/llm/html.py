@@ -211,7 +211,7 @@ class Node(NamedTuple):
     right: Node | bool
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node | bool:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10) -> Node | bool:
     """Gini tree; ties go to the first feature and the lowest cut."""
     keep = bool(y.mean() >= 0.5)
     if not depth or y.all() or not y.any():

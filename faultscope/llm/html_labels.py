@@ -35,14 +35,17 @@ def _bare(n: int, m: int) -> list[str]:
 
 
 def _weak(n: int) -> list[str]:
-    """Weakly named elements inside an article: sentences stay, labels of a few words go unless nothing else is there, links go."""
-    k, d, label, sentence = _say("+", n), _say("-", n), _say("-", 1 + n % 4), _say("+", 9 + n)
+    """Weakly named elements: in an article sentences stay, labels of a few words go unless nothing else is there, links go; outside all go."""
+    k, d, label, sentence, beside = _say("+", n), _say("-", n), _say("-", 1 + n % 4), _say("+", 9 + n), _say("-", 9 + n)
     return [
         f"<article><p>{k}</p><section class='social'><p>{sentence}<p>{sentence}</section><div class='share'>{label}</div><p>{k}</p><ul class='menu'><li><a href=1>{d}</a><li><a href=2>{label}</a></ul></article>",
         f"<main><h1>{k}</h1><div class='widget'><p>{sentence} <a href=1>there</a></p><span>{label}</span></div><p>{k}<div class='toolbar'>{label}</div><p class='search'>{sentence}</main>",
         f"<article><div class='navigation'><a href=1>{d}</a> | <a href=2>{d}</a></div><p>{k}<p class='footer-note'>{sentence}<p>{k}</article>",
         f"<article><ul class='menu'><li>{k}</li></ul></article>",
         f"<article><div class='share'>{label}</div><p>{k}</p></article>",
+        f"<div class='widget'><p>{beside}<p>{beside}</div><article><p>{k}<p>{sentence}</article><div class='social'>{label}<p>{beside}</div><div class='menu'>{beside}</div>",
+        f"<div class='menu'>{label}</div><p>{k}<p>{sentence}<div class='widget'><p>{beside}<p>{beside}</div><p>{sentence}<p>{k}<div class='social'>{d}</div>",
+        f"<div class='navbar'>{beside}<p>{d}</div><h1>{k}</h1><p>{sentence}<p>{k}",
         f"<article><section class='social'><h1>{k}</h1><p>{sentence}</p><h2>{k}</h2><p>{sentence}</p></section></article>",
         f"<article><p>{k}<ul class='pagination'><li>{label}<li><a href=2>{label}</a><li><a href=3>{d}</a></ul><p>{k}</article>",
     ]
