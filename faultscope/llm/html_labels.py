@@ -43,6 +43,7 @@ def _weak(n: int) -> list[str]:
         f"<article><div class='navigation'><a href=1>{d}</a> | <a href=2>{d}</a></div><p>{k}<p class='footer-note'>{sentence}<p>{k}</article>",
         f"<article><ul class='menu'><li>{k}</li></ul></article>",
         f"<article><div class='share'>{label}</div><p>{k}</p></article>",
+        f"<article><p>{k}</p><div class='share'>{label}</div></article>",
         f"<div class='widget'><p>{beside}<p>{beside}</div><article><p>{k}<p>{sentence}</article><div class='social'>{label}<p>{beside}</div><div class='menu'>{beside}</div>",
         f"<div class='menu'>{label}</div><p>{k}<p>{sentence}<div class='widget'><p>{beside}<p>{beside}</div><p>{sentence}<p>{k}<div class='social'>{d}</div>",
         f"<div class='navbar'>{beside}<p>{d}</div><h1>{k}</h1><p>{sentence}<p>{k}",
