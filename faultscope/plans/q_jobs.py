@@ -94,13 +94,13 @@ def _(c):
     return Sm.missingness(c.log, "entity", "code")
 
 
-@plan("bootstrap_median", "A22", ("tel",), f"""u AS (SELECT slot, grp, median(temp) AS v FROM tel GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY grp) AS pos, count(*) OVER (PARTITION BY slot) AS n FROM u),
+@plan("bootstrap_median", "A22", ("tel",), f"""u AS (SELECT slot, grp, median(temp) AS v FROM tel GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY v) AS pos, count(*) OVER (PARTITION BY slot) AS n FROM u WHERE v IS NOT NULL),
 dr AS (SELECT slot, rep, ({mix_hash_sql(42, 'rep', 'pos')} % n) + 1 AS pos FROM p, (SELECT unnest(range(0, 200)) AS rep)),
 m AS (SELECT slot, rep, median(v) AS s FROM dr JOIN (SELECT slot, pos, v FROM p) USING (slot, pos) GROUP BY 1, 2)
 SELECT slot, quantile_cont(s, 0.025) AS ci_low, quantile_cont(s, 0.975) AS ci_high FROM m GROUP BY 1""", "ci_low ci_high")
 def _(c):
     u = Sm.exact_percentiles(c.telemetry, ["slot", "grp"], "temp", {"v": 0.5})
-    return B.bootstrap_ci(u, ["slot"], "grp", "v", reps=200)
+    return B.bootstrap_ci(u, ["slot"], "v", reps=200)
 
 
 @plan("block_bootstrap", "A23", ("scores",), f"""o AS (SELECT origin, avg(p1) - avg(p2) AS d, sum(label) AS y FROM scores GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY origin) AS pos, count(*) OVER () AS n FROM o),
