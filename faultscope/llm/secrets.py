@@ -83,15 +83,15 @@ class Scanner:
     def scan(self, text: str | None) -> list[tuple[int, int, int]]:
         """(start, rule, end) in code points, sorted."""
         data = (text or "").encode()
-        out = []
-        for start, k, end in self.matches(data):
+        out, at, before = [], 0, 0
+        for start, k, end in sorted(self.matches(data)):  # by start: code points are counted once over the text
             rule = self.rules[k]
             size = end - start
             if rule.value:
                 size -= re.match(rule.value.encode(), data[start:end]).end()
             if size >= rule.least:
-                first = len(data[:start].decode())
-                out.append((first, k, first + end - start))
+                at, before = start, before + len(data[at:start].decode())
+                out.append((before, k, before + end - start))
         return sorted(out)
 
 
