@@ -12,7 +12,8 @@ move while there is one block.
 
 Edge cases: null text or item has no words and no window; an item of fewer than ``window``
 words is one window; items that share an id count once; a null item id reads as an empty
-string; repeated rows are judged each; other columns are ignored.
+string; repeated rows are judged each; other columns are ignored; without documents there is no
+row, without items no hit; a text is read once, its length only bounds the memory of its task.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ ROW = f"id long, n_words long, n_hit long, items array<string>, spans {SPANS}"
 def _scan(rows: DataFrame, items: list[tuple], window: int, only_hits: bool) -> DataFrame:
     shared = share(rows.sparkSession, Windows(items, window))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", span), ("key", pa.int64()), ("runs", span)])
+    schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", span), ("key", pa.string()), ("runs", span)])
     name = lambda pairs: [{"start": a, "stop": b} for a, b in pairs]
 
     def run(batches):
@@ -104,7 +105,7 @@ def _scan(rows: DataFrame, items: list[tuple], window: int, only_hits: bool) ->
             if out:
                 yield batch_of(schema, list(zip(*out, strict=True)))
 
-    return rows.mapInArrow(run, f"{ROW}, key long, runs {SPANS}")
+    return rows.mapInArrow(run, f"{ROW}, key string, runs {SPANS}")
 
 
 class item_blocks:
@@ -127,11 +128,16 @@ class item_blocks:
         return next(iter(self))
 
 
+def row_key(id_col: str, text_col: str):
+    """SHA-256 of id and text: no two rows that differ share it. A null text reads as an empty one, neither has words."""
+    return F.sha2(F.concat(F.coalesce(F.col(id_col).cast("bigint").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))), 256)
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                   window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row per document row: id, n_words, n_hit, items (sorted ids), spans (code points), contaminated."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     parts = item_blocks(items, item_col, item_text, block)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), (row_key(id_col, text_col) if len(parts) > 1 else F.lit("")).alias("key"), F.col(text_col).alias("text"))
     if len(parts) == 1:
         out = _scan(rows, parts.first(), window, False).drop("key", "runs")
     else:
