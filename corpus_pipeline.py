@@ -28,18 +28,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the row with the largest doc_id; of repeated rows one."""
     decided = stored(exact_dedup.exact_dedup(docs), "exact-decisions").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "kept", F.expr("doc_id <=> keep_id").alias("own"))
-    keyed = docs.withColumn("__sha", exact_dedup.sha256(ascii_lower(F.col("text"))))
+    sha = "_".join(["sha", *docs.columns])  # a name that no column has
+    keyed = docs.withColumn(sha, exact_dedup.sha256(ascii_lower(F.col("text"))))
 
     def same(other: DataFrame):
-        return keyed["doc_id"].eqNullSafe(other["id"]) & (keyed["__sha"] == other["sha"])
+        return keyed["doc_id"].eqNullSafe(other["id"]) & (keyed[sha] == other["sha"])
 
     gone = decided.where("NOT kept AND NOT own")
     again = decided.where("NOT kept AND own").select("id", "sha").distinct()
     if again.isEmpty():
-        return keyed.join(gone, same(gone), "left_anti").drop("__sha")
+        return keyed.join(gone, same(gone), "left_anti").drop(sha)
     either = gone.select("id", "sha").union(again)
-    rows = keyed.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return keyed.join(either, same(either), "left_anti").unionByName(rows).drop("__sha")
+    rows = keyed.join(again, same(again), "left_semi").dropDuplicates(["doc_id", sha])
+    return keyed.join(either, same(either), "left_anti").unionByName(rows).drop(sha)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
