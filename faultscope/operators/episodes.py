@@ -32,7 +32,10 @@ def code_summary(events: DataFrame) -> DataFrame:
 
 
 def event_index(eps: DataFrame, near: int = 2 * HOUR, clean: int = 72 * HOUR, width: int = 30 * DAY) -> DataFrame:
-    """Isolation flags and clusters for episodes ``entity, grp, code, start_t, end_t``."""
+    """Isolation flags and clusters for episodes ``entity, grp, code, start_t, end_t`` (read twice: pass them written).
+
+    A cluster holds the episodes of one group that begin at the same microsecond with one code.
+    """
     chunk = idiv("start_t", width)
     order = ["start_t", "code", "end_t"]
     d = scan(eps, ["entity"], order, chunk, run={"previous_end": ("max", F.col("end_t"), "before")},
@@ -44,8 +47,7 @@ def event_index(eps: DataFrame, near: int = 2 * HOUR, clean: int = 72 * HOUR, wi
         "isolated": (before.isNull() | (before > near)) & (after.isNull() | (after > near)),
         "clean_pre": before.isNull() | (before > clean),
     })
-    sizes = d.groupBy("grp", "code", "start_t").agg(F.count("*").alias("cluster_size"))
-    return d.join(sizes, ["grp", "code", "start_t"])
+    return d.withColumn("cluster_size", F.count("*").over(Window.partitionBy("grp", "code", "start_t")))
 
 
 def cluster_numbers(events: DataFrame, cols: list[str], order_col: str, width: int = DAY) -> DataFrame:

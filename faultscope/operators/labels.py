@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import DAY, HOUR, idiv
-from .joins import Source, asof, asof_multi, not_in_intervals
+from .joins import Source, asof, asof_multi, not_in_intervals, sweep
 
 
 def next_event(decisions: DataFrame, onsets: DataFrame, t: str = "t", name: str = "next_onset", bounds=None) -> DataFrame:
@@ -27,23 +27,26 @@ def label_bins(grid: DataFrame, onset_bins: DataFrame, h: int, name: str = "labe
 
 
 def label_state(decisions: DataFrame, ledger: DataFrame, horizon: int = DAY, bounds=None) -> DataFrame:
-    """Label from certain onsets; not eligible inside an episode or with an uncertain onset ahead."""
-    if bounds is None:
-        b = decisions.agg(F.struct(F.min("t").alias("lo"), F.max("t").alias("hi"))).scalar()
-        bounds = (b["lo"], b["hi"])
-    led = ledger.select("entity", "onset_t", "end_t", "uncertain_onset")
-    d = asof_multi(
-        decisions,
-        [Source(led.where(~F.col("uncertain_onset")), "onset_t", {"_c": "onset_t"}, False),
-         Source(led.where(F.col("uncertain_onset")), "onset_t", {"_u": "onset_t"}, False)],
-        ["entity"], "t", forward=True, until=bounds[0])
-    d = asof(d, led, ["entity"], "t", "onset_t", {"_end": "end_t"}, until=bounds[1])
-    ahead = lambda c: F.coalesce(F.col(c) <= F.col("t") + horizon, F.lit(False))
-    active = F.coalesce(F.col("_end") >= F.col("t"), F.lit(False))
+    """Label from certain onsets; not eligible inside an episode or with an uncertain onset ahead.
+
+    An onset is ahead of the times from ``onset - horizon`` (with) to ``onset`` (without), so it adds
+    one at the first and takes one away at the second; the latest episode begun is a running maximum.
+    One sweep over decisions and ledger gives all three.
+    """
+    one = lambda c: F.when(c, 1).otherwise(0).cast("bigint")
+    sure, unsure, begun = one(~F.col("uncertain_onset")), one(F.col("uncertain_onset")), F.struct("onset_t", "end_t")
+
+    def mark(at: Column, sign: int, last: Column) -> Column:
+        return F.struct(at.alias("_t"), F.lit(0).alias("_kind"), (sure * sign).alias("_c"), (unsure * sign).alias("_u"), last.alias("_last"))
+
+    marks = F.array(mark(F.col("onset_t") - F.lit(horizon), 1, F.when(F.lit(False), begun)), mark(F.col("onset_t"), -1, begun))
+    entries = ledger.where("onset_t IS NOT NULL").select("entity", F.explode(marks).alias("_m")).select("entity", "_m.*")
+    d = sweep(decisions, entries, ["entity"], F.col("t"), {"_c": "sum", "_u": "sum", "_last": "max"}, DAY, bounds and bounds[1])
+    active = F.coalesce(F.col("_last")["end_t"] >= F.col("t"), F.lit(False))
     return d.withColumns({
-        "label": F.when(ahead("_c"), 1).otherwise(0).cast("bigint"),
-        "eligible": ~active & ~ahead("_u"),
-    }).drop("_c", "_u", "_end")
+        "label": F.when(F.col("_c") > 0, 1).otherwise(0).cast("bigint"),
+        "eligible": ~active & ~F.coalesce(F.col("_u") > 0, F.lit(False)),
+    }).drop("_c", "_u", "_last")
 
 
 def label_state_for_code(decisions: DataFrame, ledger: DataFrame, code: int, horizon: int = DAY, bounds=None) -> DataFrame:

@@ -6,6 +6,7 @@ from ..canonical import T0
 from ..functions.scalar import DAY, HOUR
 from ..operators import episodes as E
 from ..operators.joins import merge_intervals
+from ..session import materialize
 from .oracle import D, H
 from .registry import plan
 
@@ -27,7 +28,7 @@ def eps(c):
 
 
 def eidx(c):
-    return E.event_index(eps(c), near=6 * HOUR)
+    return E.event_index(materialize(eps(c), "episodes"), near=6 * HOUR)
 
 
 @plan("episodes_by_code", "S2 W1 W4 A7 A8", ("faults",), EPS + """
