@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import mix_hash
-from ..operators.ranking import best_row, swap_tail
+from ..operators.ranking import best_row, swap_tail, topk
 from ..session import materialize
 from . import models as Mo
 
@@ -48,10 +48,25 @@ def ideal(positives: Column, k: int) -> Column:
     return F.element_at(F.array(*sums), F.greatest(F.lit(1), F.least(positives, F.lit(k))).cast("int"))
 
 
+def heads(df: DataFrame, g: Grid, by=("bin",), entity: str = "entity") -> DataFrame:
+    """The rows that any setting of the grid can meet, with ``positives`` of all rows of their time.
+
+    No row behind both Top-r (r the largest of k, m and n) is in a list or a pool, and of a row behind
+    one of them only that matters: its rank there reads r + 1. So a time is never ranked in full;
+    each map task sends r rows a time and list.
+    """
+    r, keys = max(g.k, *g.m, *g.n), [*by, entity]
+    one, two = (topk(df, p, r, by, entity, n) for p, n in (("p1", "rank1"), ("p2", "rank2")))
+    both = one.select(*df.columns, "rank1", F.lit(r + 1).alias("rank2")).unionByName(two.select(*df.columns, F.lit(r + 1).alias("rank1"), "rank2"))
+    rest = [c for c in df.columns if c not in keys]
+    d = both.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], F.min("rank1").alias("rank1"), F.min("rank2").alias("rank2"))
+    return d.join(df.groupBy(*by).agg(F.sum("label").alias("positives")), list(by))
+
+
 def base_by_time(df: DataFrame, k: int, by=("bin",)) -> DataFrame:
-    """Per time: positives, hits and NDCG of the base Top-k (NDCG 0 without positives)."""
+    """Per time: positives, hits and NDCG of the base Top-k (NDCG 0 without positives); ``df`` has all rows or ``heads``."""
     top = F.col("rank2") <= k
-    a = df.groupBy(*by).agg(F.sum("label").alias("positives"), F.sum(F.when(top, F.col("label")).otherwise(0)).alias("base_hits"),
+    a = df.groupBy(*by).agg((F.max("positives") if "positives" in df.columns else F.sum("label")).alias("positives"), F.sum(F.when(top, F.col("label")).otherwise(0)).alias("base_hits"),
                             F.sum(F.when(top, F.col("label") * discount(F.col("rank2"))).otherwise(0.0)).alias("_dcg"))
     a = a.withColumn("ideal", F.when(F.col("positives") > 0, ideal(F.col("positives"), k)))
     return a.withColumn("base_ndcg", F.coalesce(F.col("_dcg") / F.col("ideal"), F.lit(0.0))).drop("_dcg")
