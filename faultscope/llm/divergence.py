@@ -42,8 +42,9 @@ from .common import share, stored, table
 
 LEAST, TOP, FIRST, BITS = 10, 10, 6, 1 << 26
 SCALE = 1_000_000_000
-#: Counts held by a task before they are handed on; bytes of text, cells of a table and pairs worked on at once.
-HELD, SLICE, WIDE, CELLS, PAIRS = 400_000, 1 << 21, 1 << 24, 1 << 25, 1 << 20
+#: Counts held by a task before they are handed on; bytes of text, cells of a table (8 bytes each) and pairs worked on at once.
+#: A worker holds some 130 MB with them: several share an executor with the JVM.
+HELD, SLICE, WIDE, CELLS, PAIRS = 100_000, 1 << 20, 1 << 22, 1 << 22, 1 << 20
 _TERM = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
