@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import score_chunk
+from ..session import materialize
 from .scan import sequence_number
 
 
@@ -85,6 +86,8 @@ def swap_tail(df: DataFrame, k: int, m: int, n: int, swaps: int, ratio: float, r
     order: ``position`` and ``in_top``.
     """
     by = list(by)
+    if swaps <= 0:
+        return df.withColumn("in_top", F.col("rank2") <= k).withColumn("position", F.col("rank2"))
     # All rows that can take part, at most k + m + n a time: the swap list is worked out in one row.
     near = (F.col("rank2") <= m) | (F.col("rank1") <= n)
     heads = df.where(near | (F.col("rank2") <= k)).groupBy(*by).agg(F.collect_list(F.struct(
@@ -92,11 +95,12 @@ def swap_tail(df: DataFrame, k: int, m: int, n: int, swaps: int, ratio: float, r
     ordered = lambda keep, key: F.sort_array(F.transform(F.filter("_h", keep), lambda x: F.struct(key(x).alias("o"), x["e"].alias("e"), x["r2"].alias("r2"), x["risk"].alias("risk"))))
     new = ordered(lambda x: x["near"] & (x["r2"] > k) & (x["r1"] < x["r2"]), lambda x: -x["risk"])
     old = ordered(lambda x: (x["r2"] <= k) & (x["r2"] > k - swaps), lambda x: -x["r2"])
-    met = heads.withColumn("_z", F.arrays_zip(F.slice(new, 1, max(swaps, 0)).alias("n"), old.alias("o")))
+    met = heads.withColumn("_z", F.arrays_zip(F.slice(new, 1, swaps).alias("n"), old.alias("o")))
     ok = F.transform("_z", lambda x: F.coalesce(x["n"]["risk"] >= F.lit(ratio) * x["o"]["risk"], F.lit(False)))
     met = met.withColumn("_first", F.array_position(ok, False))
     met = met.select(*by, F.when(F.col("_first") > 0, F.slice("_z", F.lit(1), (F.col("_first") - 1).cast("int"))).otherwise(F.col("_z")).alias("_z"))
-    d = df.join(met, by, "left")
+    # A row a time, written so that its size is known: else all rows are shuffled to meet it.
+    d = df.join(materialize(met, "swaps"), by, "left")
     r = F.col("rank2")
     out = F.exists("_z", lambda x: x["o"]["e"] == F.col(entity))
     d = d.withColumns({"_slot": F.get(F.transform(F.filter("_z", lambda x: x["n"]["e"] == F.col(entity)), lambda x: x["o"]["r2"]), F.lit(0)), "_gone": F.coalesce(out, F.lit(False))})

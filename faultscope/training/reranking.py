@@ -185,7 +185,7 @@ def evaluate(df: DataFrame, g: Grid, p: Protocol, risk: str, origin: int) -> tup
 def rerank_walk(df: DataFrame, origins: list[tuple[int, int]], g: Grid, p: Protocol) -> tuple[DataFrame, DataFrame]:
     """Meta re-ranker over rolling origins: (one row per origin, reranked rows of every segment).
 
-    ``df``: entity, bin, label, rank1, rank2 and ``models.RERANK``. Per origin a logistic model is
+    ``df``: entity, bin, label, rank1, rank2 and ``models.RERANK``, cheap to read several times (spans of it are not written again). Per origin a logistic model is
     fitted on the older days, settings are chosen on the newer days by its risk, and the segment is
     reordered by the chosen setting; without enough times or without an improvement the base order
     stays. The loop runs over origins; each step is a set of Spark jobs.
@@ -199,11 +199,11 @@ def rerank_walk(df: DataFrame, origins: list[tuple[int, int]], g: Grid, p: Proto
         n, seg = counts[o], df.where((F.col("bin") >= o) & (F.col("bin") < end))
         pick, optimal, model = None, None, None
         if min(n["fit_times"], n["select_times"]) >= p.least:
-            train = materialize(df.where((F.col("bin") >= a) & (F.col("bin") < b)), "rerank-fit")
+            train = df.where((F.col("bin") >= a) & (F.col("bin") < b))
             size = train.count()
             model = Mo.fit(Mo.logistic(Mo.RERANK, weighted=False, reg=1.0 / size, iters=100), train)
             if not isinstance(model, Mo.ConstantPrior):
-                scored = materialize(Mo.score(model, df.where((F.col("bin") >= b) & (F.col("bin") < c)), "risk"), "rerank-select")
+                scored = Mo.score(model, df.where((F.col("bin") >= b) & (F.col("bin") < c)), "risk")
                 pick = evaluate(scored, g, p, "risk", o)[1].first()
                 optimal = Mo.plain_gradient(model, train)
         swaps = pick["swaps"] if pick else 0
